@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from linewise.functions.paths import path_base, path_prefixes
 from linewise.operators.scope import top_level, with_call_depth
+from linewise.plans.materialize import cut
 from linewise.plans.scan import DEFAULT_CHUNK_BITS, chunk_of, last_before, running_sum
 
 REFINEMENTS = ("include_all", "ignore_base", "most_specific")
@@ -50,7 +51,7 @@ def refine(defs: Column, strategy: str = "include_all") -> Column:
 @dataclass
 class Lineage:
     """The pieces of one graph build; all lazy DataFrames."""
-    trace: DataFrame      # trace with call depth
+    trace: DataFrame      # top-level exec / update rows (written)
     nodes: DataFrame      # run_id, node_id, event_id, lineno, line, uses
     reads: DataFrame      # run_id, dst, event_id, name, id, w_lineno, src (NULL = unknown)
     writes: DataFrame     # run_id, event_id, lineno, name, id (refined)
@@ -63,12 +64,13 @@ def build(trace: DataFrame, refinement: str = "include_all", ignore_unknown: boo
     t = trace.filter(F.col("kind").isin("exec", "update", "enter", "exit")) \
              .select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs")
     t = with_call_depth(t, on_unbalanced=on_unbalanced, chunk_bits=chunk_bits)
-    top = top_level(t)
+    top = cut(top_level(t).select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs"),
+              "top_level")
 
     # Node ids, a running count of top-level statements per run
     execs = top.filter(F.col("kind") == "exec").select("run_id", "event_id", "lineno", "line", "uses")
     nodes = running_sum(execs, ["run_id"], ["event_id"], F.lit(1), "node_id", chunk)
-    nodes = nodes.select("run_id", "node_id", "event_id", "lineno", "line", "uses")
+    nodes = cut(nodes.select("run_id", "node_id", "event_id", "lineno", "line", "uses"), "nodes")
 
     # One row per distinct (name, id) read or (refined) write
     reads = nodes.select("run_id", "event_id", F.col("node_id").alias("dst"),
@@ -87,7 +89,8 @@ def build(trace: DataFrame, refinement: str = "include_all", ignore_unknown: boo
                                            "lineno", F.lit(True).alias("_w"))))
     hop1 = last_before(acc, ["run_id", "id"], ["event_id", F.col("_w").cast("int")],
                        F.col("_w"), F.col("lineno"), "w_lineno", chunk)
-    hop1 = hop1.filter(~F.col("_w")).select("run_id", "event_id", "dst", "name", "id", "w_lineno")
+    hop1 = cut(hop1.filter(~F.col("_w")).select("run_id", "event_id", "dst", "name", "id", "w_lineno"),
+               "reads")
 
     # Hop 2, lineno -> latest node of that line strictly before the read. The
     # reading node itself has the same event id, so sources sort after targets on ties.
@@ -115,7 +118,7 @@ def build(trace: DataFrame, refinement: str = "include_all", ignore_unknown: boo
     edges = (edge_rows.select("run_id", F.coalesce("src", F.lit(0)).cast("bigint").alias("src"),
                               F.col("dst").cast("bigint").alias("dst"))
                       .distinct())
-    return Lineage(trace=t, nodes=nodes, reads=all_reads, writes=writes, edges=edges)
+    return Lineage(trace=top, nodes=nodes, reads=all_reads, writes=writes, edges=edges)
 
 
 def lineage(trace: DataFrame, refinement: str = "include_all", ignore_unknown: bool = False,
@@ -148,7 +151,7 @@ def node_defs(g: Lineage, trace: DataFrame, refinement: str, chunk_bits: int = D
     """For each node, the refined and complete writes of the last update attributed
     to it (an update goes to the latest node of its line at or before it)."""
     chunk = chunk_of("event_id", chunk_bits)
-    ups = top_level(g.trace).filter(F.col("kind") == "update").select(
+    ups = g.trace.filter(F.col("kind") == "update").select(
         "run_id", "event_id", "lineno", "defs")
     probe = (ups.select("run_id", "lineno", "event_id", F.col("defs"),
                         F.lit(None).cast("bigint").alias("node_id"), F.lit(False).alias("_n"))

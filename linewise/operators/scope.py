@@ -76,30 +76,30 @@ def by_origin(trace: DataFrame, defined: bool | None = None, called: bool | None
 def collapse_external(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
     """Keep a call into code not defined by the user, drop everything beneath it.
 
-    A second counter opens a level only on enters into external code (and closes on
-    the exits that match them). Events at external level 0 are kept, plus the boundary
-    rows (the external enter itself and its exit)."""
-    t = with_call_depth(trace, chunk_bits=chunk_bits)
-    # level of the event among all calls; an external call opened at level L is closed
-    # by the exit whose depth-before equals L + 1
-    spans = call_spans(trace, chunk_bits)
-    ext_enter = trace.filter((F.col("kind") == "enter") & ~F.coalesce(F.col("call.defined_by_user"), F.lit(False))) \
-                     .select("run_id", F.col("event_id").alias("enter_id"))
-    ext = spans.join(ext_enter, ["run_id", "enter_id"], "left_semi")
-    # delta +1 just after an external enter, -1 at its exit; the level before an event is
-    # then the number of external calls it sits inside, counted without boundaries
+    An event is kept unless some external call span (B3) strictly contains it; the
+    external enter and its exit are the kept boundary rows. Implemented as a running
+    count of open external spans (+1 at the enter, -1 at the exit), not a range join."""
+    spans = call_spans_with_origin(trace, chunk_bits)
+    ext = spans.filter(~F.coalesce(F.col("defined_by_user"), F.lit(False)))
     marks = ext.select("run_id", F.col("enter_id").alias("event_id"), F.lit(1).alias("_d"), F.lit(0).alias("_b")) \
         .unionByName(ext.filter(F.col("exit_id").isNotNull())
                         .select("run_id", F.col("exit_id").alias("event_id"), F.lit(-1).alias("_d"), F.lit(1).alias("_b")))
-    t2 = t.join(marks, ["run_id", "event_id"], "left")
-    t2 = t2.withColumn("_d", F.coalesce("_d", F.lit(0))).withColumn("_b", F.coalesce("_b", F.lit(0)))
+    t2 = (trace.join(marks, ["run_id", "event_id"], "left")
+               .withColumn("_d", F.coalesce("_d", F.lit(0))).withColumn("_b", F.coalesce("_b", F.lit(0))))
     inside = running_sum(t2, ["run_id"], ["event_id"], F.col("_d"), "_inside",
                          chunk_of("event_id", chunk_bits), inclusive=False)
-    # the enter row has _inside counted before it; the exit row has its own -1 excluded
+    # the exclusive count of an external exit row includes its own span
     keep = (F.col("_inside") == 0) | ((F.col("_inside") == 1) & (F.col("_b") == 1))
     return inside.filter(keep).drop("_d", "_b", "_inside")
 
 
+def call_spans_with_origin(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    spans = call_spans(trace, chunk_bits)
+    origin = trace.filter(F.col("kind") == "enter").select(
+        "run_id", F.col("event_id").alias("enter_id"), F.col("call.defined_by_user").alias("defined_by_user"))
+    return spans.join(origin, ["run_id", "enter_id"])
+
+
 def drop_named(trace: DataFrame, names: DataFrame | list[str], field: str = "call.co_name",
                chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
     """Drop calls whose name is in ``names`` together with everything they run.

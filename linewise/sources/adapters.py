@@ -72,7 +72,7 @@ def _call_enter(k: Column, vs: dict[str, Column]) -> Column:
         (k % 5 == 0).alias("is_method"), name.alias("co_name"), name.alias("qualname"),
         F.concat(F.lit("m"), _s(k % 3)).alias("module"),
         F.array(vs["n0"], vs["n1"]).alias("args"),
-        (1000 + k % 7).cast("bigint").alias("func_id"),
+        (k % 4).cast("bigint").alias("func_id"),   # address of the receiver v{k%4}
         F.lit(True).alias("called_by_user"), (k % 2 == 0).alias("defined_by_user"))
 
 
@@ -99,43 +99,49 @@ def _row(kind, eid, lineno, line, uses, defs, call, loop_name, msg) -> Column:
 
 
 def events_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trace adapter over ``events`` (one scan, one generate; no shuffle)."""
+    """The trace adapter over ``events`` (one scan, one generate; no shuffle).
+
+    Each event first expands into at most two (kind, offset) pairs; every field is then
+    one flat expression of (kind, event_type, k), which keeps the generated code small.
+    """
     ev = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"), "event_id", "event_type",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
-    k, et, e = F.col("k"), F.col("event_type"), F.col("event_id")
+    k, et = F.col("k"), F.col("event_type")
+    primary = (F.when(et.isin("click", "view", "purchase"), F.lit("exec"))
+                .when((et == "signup") & (k < ENTER_BELOW), F.lit("enter"))
+                .when((et == "error") & (k < EXIT_BELOW), F.lit("exit"))
+                .when((et == "error") & (k < EXCEPTION_BELOW), F.lit("exception")))
+    secondary = (F.when(et == "purchase", F.lit("update"))
+                  .when((et == "signup") & (k >= LOOP_INIT_FROM), F.lit("loop_init"))
+                  .when((et == "view") & (k % 4 == 0), F.lit("loop_iter"))
+                  .when((et == "error") & (k >= LOOP_CLEAR_FROM), F.lit("loop_clear")))
+    pairs = F.array(F.struct(primary.alias("kind"), F.lit(0).alias("off")),
+                    F.struct(secondary.alias("kind"), F.lit(1).alias("off")))
+    x = ev.select("run_id", "event_id", "event_type", "k", F.explode(pairs).alias("p")) \
+          .select("run_id", "event_id", "event_type", "k", F.col("p.kind").alias("kind"),
+                  F.col("p.off").alias("off")) \
+          .filter(F.col("kind").isNotNull())
+    kind = F.col("kind")
     vs = event_vars(k)
-    lineno = k % LINE_MOD
-    line = F.concat(et, F.lit("("), _s(lineno), F.lit(")"))
-    first, second = 2 * e, 2 * e + 1
-    loop = F.concat(F.lit("loop"), _s(k % 2))
-    primary = (
-        F.when(et == "click", _row("exec", first, lineno, line, F.array(vs["n0"], vs["n1"], vs["n2"]),
-                                   _empty_vars(), None, None, None))
-         .when(et == "view", _row("exec", first, lineno, line, F.array(vs["n0"], vs["n1"]),
-                                  _empty_vars(), None, None, None))
-         .when(et == "purchase", _row("exec", first, lineno, line, F.array(vs["base"]),
-                                      _empty_vars(), None, None, None))
-         .when((et == "signup") & (k < ENTER_BELOW),
-               _row("enter", first, lineno, line, None, None, _call_enter(k, vs), None, None))
-         .when((et == "error") & (k < EXIT_BELOW),
-               _row("exit", first, lineno, line, None, None, _call_exit(k), None, None))
-         .when((et == "error") & (k < EXCEPTION_BELOW),
-               _row("exception", first, None, None, None, None, None, None,
-                    F.concat(F.lit("error k="), _s(k)))))
-    secondary = (
-        F.when(et == "purchase", _row("update", second, lineno, None, _empty_vars(),
-                                      F.array(vs["n0"], vs["n1"], vs["n2"]), None, None, None))
-         .when((et == "signup") & (k >= LOOP_INIT_FROM),
-               _row("loop_init", second, lineno, None, None, None, None, loop, None))
-         .when((et == "view") & (k % 4 == 0),
-               _row("loop_iter", second, lineno, None, None, None, None, loop, None))
-         .when((et == "error") & (k >= LOOP_CLEAR_FROM),
-               _row("loop_clear", second, lineno, None, None, None, None, loop, None)))
-    rows = F.filter(F.array(primary, secondary), lambda r: r.isNotNull())
-    return (ev.select("run_id", F.explode(rows).alias("r"))
-              .select("run_id", "r.event_id", "r.kind", "r.lineno", "r.line", "r.uses", "r.defs",
-                      "r.call", "r.loop_name", "r.msg"))
+    lineno = F.when(kind != "exception", k % LINE_MOD).cast("bigint")
+    line = F.when(kind.isin("exec", "enter", "exit"),
+                  F.concat(et, F.lit("("), _s(k % LINE_MOD), F.lit(")")))
+    uses = (F.when(kind == "exec",
+                   F.when(et == "click", F.array(vs["n0"], vs["n1"], vs["n2"]))
+                    .when(et == "view", F.array(vs["n0"], vs["n1"]))
+                    .otherwise(F.array(vs["base"])))
+             .when(kind == "update", _empty_vars()))
+    defs = (F.when(kind == "update", F.array(vs["n0"], vs["n1"], vs["n2"]))
+             .when(kind == "exec", _empty_vars()))
+    call = (F.when(kind == "enter", _call_enter(k, vs))
+             .when(kind == "exit", _call_exit(k)))
+    loop_name = F.when(kind.startswith("loop_"), F.concat(F.lit("loop"), _s(k % 2)))
+    msg = F.when(kind == "exception", F.concat(F.lit("error k="), _s(k)))
+    return x.select(
+        "run_id", (2 * F.col("event_id") + F.col("off")).cast("bigint").alias("event_id"), "kind",
+        lineno.alias("lineno"), line.alias("line"), uses.alias("uses"), defs.alias("defs"),
+        call.alias("call"), loop_name.alias("loop_name"), msg.alias("msg"))
 
 
 LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
@@ -162,8 +168,8 @@ def lineitem_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.when(writes, _empty_vars()).otherwise(F.array(var)), _empty_vars(), None, None, None),
         F.when(writes, _row("update", 2 * F.col("pos") + 1, F.col("l_linenumber"), None,
                             _empty_vars(), F.array(var), None, None, None)))
-    return (pos.select(F.col("l_suppkey").cast("bigint").alias("run_id"),
-                       F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
+    return (pos.select(F.col("l_suppkey").cast("bigint").alias("run_id"), F.explode(rows).alias("r"))
+               .filter(F.col("r").isNotNull())
                .select("run_id", "r.event_id", "r.kind", "r.lineno", "r.line", "r.uses", "r.defs",
                        "r.call", "r.loop_name", "r.msg"))
 
