@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linewise.plans.materialize import cut
 from linewise.plans.scan import (DEFAULT_CHUNK_BITS, chunk_of, clamped_level, first_after,
                                  last_before, running_sum)
 
@@ -137,7 +138,8 @@ def bound_loops(trace: DataFrame, n: int | None, chunk_bits: int = DEFAULT_CHUNK
     if n is None:
         return trace.filter(~F.col("kind").isin(*markers))
     chunk = chunk_of("event_id", chunk_bits)
-    m = trace.filter(F.col("kind").isin(*markers)).select("run_id", "event_id", "kind", "loop_name")
+    m = cut(trace.filter(F.col("kind").isin(*markers)).select("run_id", "event_id", "kind", "loop_name"),
+            "loop_markers")
     keys = ["run_id", "loop_name"]
     is_init, is_iter, is_clear = (F.col("kind") == "loop_init", F.col("kind") == "loop_iter",
                                   F.col("kind") == "loop_clear")
@@ -145,13 +147,14 @@ def bound_loops(trace: DataFrame, n: int | None, chunk_bits: int = DEFAULT_CHUNK
     m = running_sum(m, keys, ["event_id"], (is_init | is_clear).cast("int"), "_cseg", chunk)
     m = running_sum(m, keys + ["_cseg"], ["event_id"], is_iter.cast("int"), "_cnt", chunk)
     # kseg: "ignored" segments, only a clear opens a new one
-    m = running_sum(m, keys, ["event_id"], is_clear.cast("int"), "_kseg", chunk)
+    m = cut(running_sum(m, keys, ["event_id"], is_clear.cast("int"), "_kseg", chunk), "loop_segments")
     over = (F.col("_cnt") >= n) & ~is_clear
     # off: loop is over its bound at or before this marker within the kseg (sticky)
     m = running_sum(m, keys + ["_kseg"], ["event_id"], over.cast("int"), "_over", chunk)
     m = m.withColumn("_off", (F.col("_over") > 0).cast("int"))
     m = last_before(m, keys, ["event_id"], F.lit(True), F.col("_off"), "_prev_off", chunk)
-    m = m.withColumn("_delta", F.col("_off") - F.coalesce("_prev_off", F.lit(0)))
+    m = cut(m.withColumn("_delta", F.col("_off") - F.coalesce("_prev_off", F.lit(0)))
+             .filter(F.col("_delta") != 0), "loop_switches")
     rows = trace.join(m.select("run_id", "event_id", "_delta"), ["run_id", "event_id"], "left") \
                 .withColumn("_delta", F.coalesce("_delta", F.lit(0)))
     # number of loops currently off, including a change made by this very marker

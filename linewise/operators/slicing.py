@@ -32,9 +32,12 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 
 def slices(edges: DataFrame, seeds: DataFrame, direction: str = "backward",
-           max_rounds: int | None = None) -> DataFrame:
+           max_rounds: int | None = None, hops_per_round: int = 4) -> DataFrame:
     """``(run_id, seed, node_id)`` for every node reachable from each seed
-    (the seed included). ``seeds`` has ``run_id`` and ``seed`` columns."""
+    (the seed included). ``seeds`` has ``run_id`` and ``seed`` columns.
+
+    Each round expands ``hops_per_round`` hops (distinct after every hop, so a frontier
+    never exceeds the slice) before the visited anti join and the write."""
     if direction == "backward":
         step = edges.select("run_id", F.col("dst").alias("node_id"), F.col("src").alias("next_id"))
     elif direction == "forward":
@@ -48,10 +51,14 @@ def slices(edges: DataFrame, seeds: DataFrame, direction: str = "backward",
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         visited = parts[0] if len(parts) == 1 else _union(parts)
-        nxt = (frontier.join(step, ["run_id", "node_id"])
-                       .select("run_id", "seed", F.col("next_id").alias("node_id"))
-                       .distinct()
-                       .join(visited, ["run_id", "seed", "node_id"], "left_anti"))
+        hop = frontier
+        reached = None
+        for _ in range(hops_per_round):
+            hop = (hop.join(step, ["run_id", "node_id"])
+                      .select("run_id", "seed", F.col("next_id").alias("node_id"))
+                      .distinct())
+            reached = hop if reached is None else reached.unionByName(hop)
+        nxt = reached.distinct().join(visited, ["run_id", "seed", "node_id"], "left_anti")
         frontier = cut(nxt, "slice_frontier")
         if not frontier.take(1):
             break
