@@ -18,6 +18,7 @@ from linewise.operators import scope as B
 from linewise.operators import slicing as S
 from linewise.plans import oracle as O
 from linewise.sources.adapters import events_trace, lineitem_trace, orders_facts
+from linewise.streaming import live as G
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -536,3 +537,19 @@ ORDER BY impact DESC, run_id, seed LIMIT {IMPACT_K}""")
 def impact(spark, sf):
     g, e = _known_graph(spark, sf)
     return S.impact(S.slices_by_text(g.nodes, e, SLICE_TEXT, "forward"), IMPACT_K)
+
+
+# ---- G: streaming ----------------------------------------------------------------------
+
+@register("live_lineage", O.lineage_sql("include_all"))
+def live_lineage(spark, sf):
+    out = G.run_available_now(spark, events_trace(spark, sf, with_time=True),
+                              lambda st: G.live_lineage(st), "live_lineage")
+    return out.filter(F.col("src").isNotNull()).select("run_id", "src", "dst").distinct()
+
+
+@register("live_run_status", f"""WITH {O.EV}
+SELECT run_id, event_id, msg FROM trace WHERE kind = 'exception'""")
+def live_run_status(spark, sf):
+    return G.run_available_now(spark, events_trace(spark, sf, with_time=True), G.live_run_status,
+                               "live_run_status")

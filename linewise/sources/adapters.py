@@ -108,14 +108,14 @@ def _row(kind, eid, lineno, line, uses, defs, call, loop_name, msg) -> Column:
         (msg if msg is not None else none).cast("string").alias("msg"))
 
 
-def events_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_trace(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
     """The trace adapter over ``events`` (one scan, one generate; no shuffle).
 
     Each event first expands into at most two (kind, offset) pairs; every field is then
     one flat expression of (kind, event_type, k), which keeps the generated code small.
     """
-    ev = spread(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props")).select(
-        F.col("user_id").alias("run_id"), "event_id", "event_type",
+    ev = spread(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props", "ts")).select(
+        F.col("user_id").alias("run_id"), "event_id", "event_type", "ts",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
     k, et = F.col("k"), F.col("event_type")
     primary = (F.when(et.isin("click", "view", "purchase"), F.lit("exec"))
@@ -128,8 +128,8 @@ def events_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .when((et == "error") & (k >= LOOP_CLEAR_FROM), F.lit("loop_clear")))
     pairs = F.array(F.struct(primary.alias("kind"), F.lit(0).alias("off")),
                     F.struct(secondary.alias("kind"), F.lit(1).alias("off")))
-    x = ev.select("run_id", "event_id", "event_type", "k", F.explode(pairs).alias("p")) \
-          .select("run_id", "event_id", "event_type", "k", F.col("p.kind").alias("kind"),
+    x = ev.select("run_id", "event_id", "event_type", "k", "ts", F.explode(pairs).alias("p")) \
+          .select("run_id", "event_id", "event_type", "k", "ts", F.col("p.kind").alias("kind"),
                   F.col("p.off").alias("off")) \
           .filter(F.col("kind").isNotNull())
     kind = F.col("kind")
@@ -148,10 +148,10 @@ def events_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(kind == "exit", _call_exit(k)))
     loop_name = F.when(kind.startswith("loop_"), F.concat(F.lit("loop"), _s(k % 2)))
     msg = F.when(kind == "exception", F.concat(F.lit("error k="), _s(k)))
-    return x.select(
-        "run_id", (2 * F.col("event_id") + F.col("off")).cast("bigint").alias("event_id"), "kind",
-        lineno.alias("lineno"), line.alias("line"), uses.alias("uses"), defs.alias("defs"),
-        call.alias("call"), loop_name.alias("loop_name"), msg.alias("msg"))
+    cols = ["run_id", (2 * F.col("event_id") + F.col("off")).cast("bigint").alias("event_id"), "kind",
+            lineno.alias("lineno"), line.alias("line"), uses.alias("uses"), defs.alias("defs"),
+            call.alias("call"), loop_name.alias("loop_name"), msg.alias("msg")]
+    return x.select(*cols, "ts") if with_time else x.select(*cols)
 
 
 LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
