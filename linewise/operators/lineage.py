@@ -59,11 +59,19 @@ class Lineage:
 
 
 def build(trace: DataFrame, refinement: str = "include_all", ignore_unknown: bool = False,
-          chunk_bits: int = DEFAULT_CHUNK_BITS, on_unbalanced: str = "clamp") -> Lineage:
+          chunk_bits: int = DEFAULT_CHUNK_BITS, on_unbalanced: str = "clamp",
+          has_calls: bool | None = None) -> Lineage:
+    """``has_calls=False`` declares a trace without enter/exit events (every statement is
+    top level) and skips the depth scan; ``None`` probes for one such row."""
     chunk = chunk_of("event_id", chunk_bits)
     t = trace.filter(F.col("kind").isin("exec", "update", "enter", "exit")) \
              .select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs")
-    t = with_call_depth(t, on_unbalanced=on_unbalanced, chunk_bits=chunk_bits)
+    if has_calls is None:
+        has_calls = bool(t.filter(F.col("kind").isin("enter", "exit")).take(1))
+    if has_calls:
+        t = with_call_depth(t, on_unbalanced=on_unbalanced, chunk_bits=chunk_bits)
+    else:   # no calls at all: every event is top level, skip the depth scan
+        t = t.withColumn("depth", F.lit(0).cast("bigint"))
     top = cut(top_level(t).select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs"),
               "top_level")
 

@@ -36,7 +36,8 @@ def register(name: str, sql: str | None = None):
 
 
 def _graph(spark, sf, refinement="include_all", ignore_unknown=False) -> L.Lineage:
-    return L.build(events_trace(spark, sf), refinement, ignore_unknown)
+    # the events adapter emits enter/exit rows (signup / error events)
+    return L.build(events_trace(spark, sf), refinement, ignore_unknown, has_calls=True)
 
 
 # ---- C: lineage graph ------------------------------------------------------------------
@@ -63,7 +64,7 @@ def lineage_most_specific(spark, sf):
 
 @register("lineage_parts", O.LINEITEM)
 def lineage_parts(spark, sf):
-    return L.build(lineitem_trace(spark, sf)).edges
+    return L.build(lineitem_trace(spark, sf), has_calls=False).edges
 
 
 @register("unknown_summary", f"""WITH {O.graph_ctes()},
