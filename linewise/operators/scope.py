@@ -193,3 +193,47 @@ def link_calls(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFr
                          F.col("event_id"), "caller_event_id", chunk)
     return linked.filter(~F.col("_src")).select("run_id", F.col("event_id").alias("enter_id"),
                                                 F.col("loc").alias("func_id"), "caller_event_id")
+
+
+def function_refs(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    """What each function reads: every ``exec`` inside a call is attributed to its
+    innermost open call (the latest enter whose level equals the statement's depth, an
+    as-of scan keyed by (run, level)); one row per (run, function address, name, id)."""
+    chunk = chunk_of("event_id", chunk_bits)
+    t = with_call_depth(trace.filter(F.col("kind").isin("exec", "enter", "exit"))
+                             .select("run_id", "event_id", "kind", "uses", "call"), chunk_bits=chunk_bits)
+    enters = t.filter(F.col("kind") == "enter").select(
+        "run_id", "event_id", (F.col("depth") + 1).alias("level"), F.col("call.func_id").alias("func_id"),
+        F.lit(None).cast(t.schema["uses"].dataType).alias("uses"), F.lit(True).alias("_src"))
+    inner = t.filter((F.col("kind") == "exec") & (F.col("depth") > 0)).select(
+        "run_id", "event_id", F.col("depth").alias("level"), F.lit(None).cast("bigint").alias("func_id"),
+        "uses", F.lit(False).alias("_src"))
+    owned = last_before(enters.unionByName(inner), ["run_id", "level"], ["event_id", F.col("_src").cast("int")],
+                        F.col("_src"), F.col("func_id"), "owner", chunk)
+    return (owned.filter(~F.col("_src") & F.col("owner").isNotNull())
+                 .select("run_id", F.col("owner").alias("func_id"), F.explode("uses").alias("u"))
+                 .select("run_id", "func_id", F.col("u.name").alias("name"), F.col("u.id").alias("id"))
+                 .distinct())
+
+
+def indirect_uses(trace: DataFrame, fn_refs: DataFrame | None = None,
+                  chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    """A statement that reads a function's address also reads what that function
+    reads, and what the functions it names read (closure over the function graph, by the
+    slice frontier). Returns the statement's direct and indirect reads, distinct."""
+    from linewise.operators.slicing import slices
+    refs = cut(fn_refs if fn_refs is not None else function_refs(trace, chunk_bits), "function_refs")
+    fns = refs.select("run_id", "func_id").distinct()
+    fgraph = (refs.join(fns.select("run_id", F.col("func_id").alias("id")), ["run_id", "id"], "left_semi")
+                  .select("run_id", F.col("func_id").alias("src"), F.col("id").alias("dst")).distinct())
+    reach = slices(fgraph, fns.select("run_id", F.col("func_id").alias("seed")), "forward")
+    closure_refs = (reach.select("run_id", F.col("seed").alias("fn"), F.col("node_id").alias("func_id"))
+                         .join(refs, ["run_id", "func_id"])
+                         .select("run_id", "fn", "name", "id"))
+    direct = (trace.filter(F.col("kind") == "exec")
+                   .select("run_id", "event_id", F.explode("uses").alias("u"))
+                   .select("run_id", "event_id", F.col("u.name").alias("name"), F.col("u.id").alias("id")))
+    named = direct.join(fns.select("run_id", F.col("func_id").alias("id")), ["run_id", "id"], "left_semi") \
+                  .select("run_id", "event_id", F.col("id").alias("fn"))
+    indirect = named.join(closure_refs, ["run_id", "fn"]).select("run_id", "event_id", "name", "id")
+    return direct.unionByName(indirect).distinct()

@@ -242,6 +242,30 @@ def link_calls(spark, sf):
     return B.link_calls(events_trace(spark, sf))
 
 
+@register("indirect_uses", f"""WITH RECURSIVE {O.EV},
+ex AS (SELECT * FROM depth WHERE kind = 'exec' AND depth > 0),
+owned AS (SELECT x.run_id, x.event_id, arg_max(n.k % 4, n.event_id) AS fn
+          FROM ex x JOIN depth n ON n.run_id = x.run_id AND n.kind = 'enter' AND n.depth + 1 = x.depth
+                                 AND n.event_id < x.event_id
+          GROUP BY x.run_id, x.event_id),
+refs AS (SELECT DISTINCT o.run_id, o.fn AS func_id, u.name, u.id FROM owned o
+         JOIN uses_flat u ON u.run_id = o.run_id AND u.event_id = o.event_id),
+fns AS (SELECT DISTINCT run_id, func_id FROM refs),
+fgraph AS (SELECT DISTINCT r.run_id, r.func_id AS src, r.id AS dst FROM refs r
+           JOIN fns f ON f.run_id = r.run_id AND f.func_id = r.id),
+reach(run_id, fn, g) AS (
+  SELECT run_id, func_id, func_id FROM fns
+  UNION
+  SELECT c.run_id, c.fn, e.dst FROM reach c JOIN fgraph e ON e.run_id = c.run_id AND e.src = c.g),
+direct AS (SELECT run_id, event_id, name, id FROM uses_flat),
+ind AS (SELECT d.run_id, d.event_id, r.name, r.id FROM direct d
+        JOIN reach c ON c.run_id = d.run_id AND c.fn = d.id
+        JOIN refs r ON r.run_id = c.run_id AND r.func_id = c.g)
+SELECT run_id, event_id, name, id FROM direct UNION SELECT run_id, event_id, name, id FROM ind""")
+def indirect_uses(spark, sf):
+    return B.indirect_uses(events_trace(spark, sf))
+
+
 # ---- A: event model --------------------------------------------------------------------
 
 @register("accesses", f"""WITH {O.EV}
