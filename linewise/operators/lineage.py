@@ -13,7 +13,7 @@ Node ids count top-level statements per run from 1; edges are distinct and ``src
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +48,98 @@ def refine(defs: Column, strategy: str = "include_all") -> Column:
     raise ValueError(f"unknown refinement: {strategy}")
 
 
-@dataclass
 class Lineage:
-    """The pieces of one graph build; all lazy DataFrames."""
-    trace: DataFrame      # top-level exec / update rows (written)
-    nodes: DataFrame      # run_id, node_id, event_id, lineno, line, uses
-    reads: DataFrame      # run_id, dst, event_id, name, id, w_lineno, src (NULL = unknown)
-    writes: DataFrame     # run_id, event_id, lineno, name, id (refined)
-    edges: DataFrame      # run_id, src, dst (distinct)
+    """The pieces of one graph build. Each stage is computed (and written) on first use,
+    so queries that need only nodes never resolve reads.
+
+    trace   top-level exec / update rows
+    nodes   run_id, node_id, event_id, lineno, line, uses
+    writes  run_id, event_id, lineno, name, id (refined)
+    reads   run_id, dst, event_id, name, id, w_lineno, src (NULL = unknown)
+    edges   run_id, src, dst (distinct)
+    """
+
+    def __init__(self, trace: DataFrame, refinement: str = "include_all", ignore_unknown: bool = False,
+                 chunk_bits: int = DEFAULT_CHUNK_BITS, on_unbalanced: str = "clamp",
+                 has_calls: bool | None = None):
+        self._src, self.refinement, self.ignore_unknown = trace, refinement, ignore_unknown
+        self.chunk_bits, self.on_unbalanced, self.has_calls = chunk_bits, on_unbalanced, has_calls
+        self.chunk = chunk_of("event_id", chunk_bits)
+
+    @cached_property
+    def trace(self) -> DataFrame:
+        t = self._src.filter(F.col("kind").isin("exec", "update", "enter", "exit")) \
+                     .select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs")
+        has_calls = self.has_calls
+        if has_calls is None:
+            has_calls = bool(t.filter(F.col("kind").isin("enter", "exit")).take(1))
+        if has_calls:
+            t = with_call_depth(t, on_unbalanced=self.on_unbalanced, chunk_bits=self.chunk_bits)
+        else:   # no calls at all: every event is top level, skip the depth scan
+            t = t.withColumn("depth", F.lit(0).cast("bigint"))
+        return cut(top_level(t).select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs"),
+                   "top_level")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        # Node ids, a running count of top-level statements per run
+        execs = self.trace.filter(F.col("kind") == "exec").select("run_id", "event_id", "lineno", "line", "uses")
+        nodes = running_sum(execs, ["run_id"], ["event_id"], F.lit(1), "node_id", self.chunk)
+        return cut(nodes.select("run_id", "node_id", "event_id", "lineno", "line", "uses"), "nodes")
+
+    @cached_property
+    def writes(self) -> DataFrame:
+        return (self.trace.filter(F.col("kind") == "update")
+                    .select("run_id", "event_id", "lineno",
+                            F.explode(_dedupe_vars(refine(F.col("defs"), self.refinement))).alias("v"))
+                    .select("run_id", "event_id", "lineno", "v.name", "v.id"))
+
+    @cached_property
+    def _hop1(self) -> DataFrame:
+        # A5/A6 + C2: hop 1, location -> lineno of the last write strictly before the read
+        reads = self.nodes.select("run_id", "event_id", F.col("node_id").alias("dst"),
+                                  F.explode(_dedupe_vars("uses")).alias("v")) \
+                          .select("run_id", "event_id", "dst", "v.name", "v.id")
+        acc = (reads.select("run_id", "id", "event_id", "dst", "name",
+                            F.lit(None).cast("bigint").alias("lineno"), F.lit(False).alias("_w"))
+                    .unionByName(self.writes.select("run_id", "id", "event_id",
+                                                    F.lit(None).cast("bigint").alias("dst"), "name",
+                                                    "lineno", F.lit(True).alias("_w"))))
+        hop1 = last_before(acc, ["run_id", "id"], ["event_id", F.col("_w").cast("int")],
+                           F.col("_w"), F.col("lineno"), "w_lineno", self.chunk)
+        return cut(hop1.filter(~F.col("_w")).select("run_id", "event_id", "dst", "name", "id", "w_lineno"),
+                   "reads")
+
+    @cached_property
+    def _resolved(self) -> DataFrame:
+        # Hop 2, lineno -> latest node of that line strictly before the read. The
+        # reading node itself has the same event id, so sources sort after targets on ties.
+        known = self._hop1.filter(F.col("w_lineno").isNotNull())
+        probe = (known.select("run_id", F.col("w_lineno").alias("lineno"), "event_id", "dst", "name", "id",
+                              F.lit(None).cast("bigint").alias("node_id"), F.lit(False).alias("_n"))
+                      .unionByName(self.nodes.select("run_id", "lineno", "event_id",
+                                                     F.lit(None).cast("bigint").alias("dst"),
+                                                     F.lit(None).cast("string").alias("name"),
+                                                     F.lit(None).cast("bigint").alias("id"),
+                                                     "node_id", F.lit(True).alias("_n"))))
+        hop2 = last_before(probe, ["run_id", "lineno"], ["event_id", F.col("_n").cast("int")],
+                           F.col("_n"), F.col("node_id"), "src", self.chunk)
+        return hop2.filter(~F.col("_n")).select(
+            "run_id", "dst", "event_id", "name", "id", F.col("lineno").alias("w_lineno"), "src")
+
+    @cached_property
+    def reads(self) -> DataFrame:
+        unknown = self._hop1.filter(F.col("w_lineno").isNull()).select(
+            "run_id", "dst", "event_id", "name", "id", "w_lineno", F.lit(None).cast("bigint").alias("src"))
+        return self._resolved.unionByName(unknown)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        # Unknown reads come from node 0 unless ignored; edges are distinct
+        rows = self._resolved.filter(F.col("src").isNotNull()) if self.ignore_unknown else self.reads
+        return (rows.select("run_id", F.coalesce("src", F.lit(0)).cast("bigint").alias("src"),
+                            F.col("dst").cast("bigint").alias("dst"))
+                    .distinct())
 
 
 def build(trace: DataFrame, refinement: str = "include_all", ignore_unknown: bool = False,
@@ -63,70 +147,7 @@ def build(trace: DataFrame, refinement: str = "include_all", ignore_unknown: boo
           has_calls: bool | None = None) -> Lineage:
     """``has_calls=False`` declares a trace without enter/exit events (every statement is
     top level) and skips the depth scan; ``None`` probes for one such row."""
-    chunk = chunk_of("event_id", chunk_bits)
-    t = trace.filter(F.col("kind").isin("exec", "update", "enter", "exit")) \
-             .select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs")
-    if has_calls is None:
-        has_calls = bool(t.filter(F.col("kind").isin("enter", "exit")).take(1))
-    if has_calls:
-        t = with_call_depth(t, on_unbalanced=on_unbalanced, chunk_bits=chunk_bits)
-    else:   # no calls at all: every event is top level, skip the depth scan
-        t = t.withColumn("depth", F.lit(0).cast("bigint"))
-    top = cut(top_level(t).select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs"),
-              "top_level")
-
-    # Node ids, a running count of top-level statements per run
-    execs = top.filter(F.col("kind") == "exec").select("run_id", "event_id", "lineno", "line", "uses")
-    nodes = running_sum(execs, ["run_id"], ["event_id"], F.lit(1), "node_id", chunk)
-    nodes = cut(nodes.select("run_id", "node_id", "event_id", "lineno", "line", "uses"), "nodes")
-
-    # One row per distinct (name, id) read or (refined) write
-    reads = nodes.select("run_id", "event_id", F.col("node_id").alias("dst"),
-                         F.explode(_dedupe_vars("uses")).alias("v")) \
-                 .select("run_id", "event_id", "dst", "v.name", "v.id")
-    writes = top.filter(F.col("kind") == "update") \
-                .select("run_id", "event_id", "lineno",
-                        F.explode(_dedupe_vars(refine(F.col("defs"), refinement))).alias("v")) \
-                .select("run_id", "event_id", "lineno", "v.name", "v.id")
-
-    # Hop 1, location -> lineno of the last write strictly before the read
-    acc = (reads.select("run_id", "id", "event_id", "dst", "name",
-                        F.lit(None).cast("bigint").alias("lineno"), F.lit(False).alias("_w"))
-                .unionByName(writes.select("run_id", "id", "event_id",
-                                           F.lit(None).cast("bigint").alias("dst"), "name",
-                                           "lineno", F.lit(True).alias("_w"))))
-    hop1 = last_before(acc, ["run_id", "id"], ["event_id", F.col("_w").cast("int")],
-                       F.col("_w"), F.col("lineno"), "w_lineno", chunk)
-    hop1 = cut(hop1.filter(~F.col("_w")).select("run_id", "event_id", "dst", "name", "id", "w_lineno"),
-               "reads")
-
-    # Hop 2, lineno -> latest node of that line strictly before the read. The
-    # reading node itself has the same event id, so sources sort after targets on ties.
-    known = hop1.filter(F.col("w_lineno").isNotNull())
-    probe = (known.select("run_id", F.col("w_lineno").alias("lineno"), "event_id", "dst", "name", "id",
-                          F.lit(None).cast("bigint").alias("node_id"), F.lit(False).alias("_n"))
-                  .unionByName(nodes.select("run_id", "lineno", "event_id",
-                                            F.lit(None).cast("bigint").alias("dst"),
-                                            F.lit(None).cast("string").alias("name"),
-                                            F.lit(None).cast("bigint").alias("id"),
-                                            "node_id", F.lit(True).alias("_n"))))
-    hop2 = last_before(probe, ["run_id", "lineno"], ["event_id", F.col("_n").cast("int")],
-                       F.col("_n"), F.col("node_id"), "src", chunk)
-    resolved = hop2.filter(~F.col("_n")).select(
-        "run_id", "dst", "event_id", "name", "id", F.col("lineno").alias("w_lineno"), "src")
-    unknown = hop1.filter(F.col("w_lineno").isNull()).select(
-        "run_id", "dst", "event_id", "name", "id", "w_lineno", F.lit(None).cast("bigint").alias("src"))
-    all_reads = resolved.unionByName(unknown)
-
-    # Unknown reads come from node 0 unless ignored; edges are distinct
-    if ignore_unknown:
-        edge_rows = resolved.filter(F.col("src").isNotNull())
-    else:
-        edge_rows = all_reads
-    edges = (edge_rows.select("run_id", F.coalesce("src", F.lit(0)).cast("bigint").alias("src"),
-                              F.col("dst").cast("bigint").alias("dst"))
-                      .distinct())
-    return Lineage(trace=top, nodes=nodes, reads=all_reads, writes=writes, edges=edges)
+    return Lineage(trace, refinement, ignore_unknown, chunk_bits, on_unbalanced, has_calls)
 
 
 def lineage(trace: DataFrame, refinement: str = "include_all", ignore_unknown: bool = False,

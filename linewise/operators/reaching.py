@@ -132,7 +132,9 @@ def must_writes(facts: DataFrame, writes: DataFrame, max_depth: int) -> DataFram
 
 def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Branch-aware reaching writers, ``(unit_id, src, dst, key)``."""
-    f = facts.withColumn("bp", F.coalesce("branch_path", F.array().cast(facts.schema["branch_path"].dataType)))
+    # the facts feed the depth probe, the must-write rounds and the accesses: write once
+    f = cut(facts.withColumn("bp", F.coalesce("branch_path", F.array().cast(facts.schema["branch_path"].dataType))),
+            "facts")
     if max_depth is None:
         max_depth = f.agg(F.max(F.size("bp"))).first()[0] or 0
     acc = accesses(f.drop("branch_path").withColumnRenamed("bp", "branch_path")) \
