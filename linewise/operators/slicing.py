@@ -32,7 +32,7 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 
 def slices(edges: DataFrame, seeds: DataFrame, direction: str = "backward",
-           max_rounds: int | None = None, hops_per_round: int = 4) -> DataFrame:
+           max_rounds: int | None = None, hops_per_round: int = 8) -> DataFrame:
     """``(run_id, seed, node_id)`` for every node reachable from each seed
     (the seed included). ``seeds`` has ``run_id`` and ``seed`` columns.
 
