@@ -115,10 +115,11 @@ def _reuse(kind: str):
     """Queries of one session share the adapter DataFrame (its plan is built and analysed
     once; DataFrames are immutable, so sharing is safe)."""
     def deco(fn):
-        def wrapper(spark: SparkSession, sf_dir: str, *args):
-            key = (kind, id(spark), spark.sparkContext.applicationId, sf_dir, args)
+        def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
+            key = (kind, id(spark), spark.sparkContext.applicationId, sf_dir, args,
+                   tuple(sorted(kwargs.items())))
             if key not in _BUILT:
-                _BUILT[key] = fn(spark, sf_dir, *args)
+                _BUILT[key] = fn(spark, sf_dir, *args, **kwargs)
             return _BUILT[key]
         wrapper.__doc__, wrapper.__name__ = fn.__doc__, fn.__name__
         return wrapper
