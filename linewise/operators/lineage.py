@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewise.functions.paths import path_base, path_prefixes
-from linewise.operators.scope import top_level, with_call_depth
+from linewise.operators.scope import call_delta, top_level, with_call_depth
 from linewise.plans.materialize import cut
-from linewise.plans.scan import DEFAULT_CHUNK_BITS, chunk_of, last_before, running_sum
+from linewise.plans.scan import (DEFAULT_CHUNK_BITS, chunk_of, clamped_level_and_count, last_before,
+                                 running_sum)
 
 REFINEMENTS = ("include_all", "ignore_base", "most_specific")
 
@@ -68,24 +69,34 @@ class Lineage:
 
     @cached_property
     def trace(self) -> DataFrame:
+        """Top-level exec / update rows with ``node_id`` on the execs.
+
+        Depth and node numbering run as one chunked pass (node ids count the execs whose
+        depth is 0); a trace declared call-free skips the depth part."""
         t = self._src.filter(F.col("kind").isin("exec", "update", "enter", "exit")) \
                      .select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs")
         has_calls = self.has_calls
         if has_calls is None:
             has_calls = bool(t.filter(F.col("kind").isin("enter", "exit")).take(1))
-        if has_calls:
-            t = with_call_depth(t, on_unbalanced=self.on_unbalanced, chunk_bits=self.chunk_bits)
-        else:   # no calls at all: every event is top level, skip the depth scan
-            t = t.withColumn("depth", F.lit(0).cast("bigint"))
-        return cut(top_level(t).select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs"),
+        is_exec = F.col("kind") == "exec"
+        if has_calls and self.on_unbalanced == "clamp":
+            t = clamped_level_and_count(t, ["run_id"], ["event_id"], call_delta(),
+                                        lambda depth: (depth == 0) & is_exec, "depth", "node_id", self.chunk)
+        else:
+            if has_calls:
+                t = with_call_depth(t, on_unbalanced=self.on_unbalanced, chunk_bits=self.chunk_bits)
+            else:   # no calls at all: every event is top level
+                t = t.withColumn("depth", F.lit(0).cast("bigint"))
+            t = running_sum(t, ["run_id"], ["event_id"], ((F.col("depth") == 0) & is_exec).cast("int"),
+                            "node_id", self.chunk)
+        return cut(top_level(t).select("run_id", "event_id", "kind", "lineno", "line", "uses", "defs",
+                                       F.when(is_exec, F.col("node_id")).alias("node_id")),
                    "top_level")
 
     @cached_property
     def nodes(self) -> DataFrame:
-        # Node ids, a running count of top-level statements per run
-        execs = self.trace.filter(F.col("kind") == "exec").select("run_id", "event_id", "lineno", "line", "uses")
-        nodes = running_sum(execs, ["run_id"], ["event_id"], F.lit(1), "node_id", self.chunk)
-        return cut(nodes.select("run_id", "node_id", "event_id", "lineno", "line", "uses"), "nodes")
+        return self.trace.filter(F.col("kind") == "exec").select(
+            "run_id", "node_id", "event_id", "lineno", "line", "uses")
 
     @cached_property
     def writes(self) -> DataFrame:

@@ -120,3 +120,32 @@ def clamped_level(df: DataFrame, keys, order: Sequence[str | Column], delta: Col
     return (local.join(carry, ["_k", "_c"], "left")
                  .withColumn(out, (e - F.least(F.lit(0), run_min)).cast("bigint"))
                  .drop("_k", "_c", "_v", "_e", "_m", "_off", "_g"))
+
+
+def clamped_level_and_count(df: DataFrame, keys, order: Sequence[str | Column], delta: Column,
+                            counted, level_out: str, count_out: str, chunk: Column) -> DataFrame:
+    """:func:`clamped_level` and, in the same pass, a running count (inclusive) of the rows
+    for which ``counted(level_column)`` holds. After the level carry is joined back the
+    rows are still partitioned by ``(key, chunk)``, so the count's local window needs no
+    new exchange: one wide shuffle for both scans."""
+    order = _cols(order)
+    d = _prepare(df.withColumn("_v", delta.cast("bigint")), keys, chunk)
+    w_ex = Window.partitionBy("_k", "_c").orderBy(*order).rowsBetween(_UNB, -1)
+    w_in = Window.partitionBy("_k", "_c").orderBy(*order).rowsBetween(_UNB, 0)
+    w_chunks = Window.partitionBy("_k").orderBy("_c").rowsBetween(_UNB, -1)
+    local = (d.withColumn("_e", F.coalesce(F.sum("_v").over(w_ex), F.lit(0)))
+              .withColumn("_m", F.min("_e").over(w_in)))
+    carry = (local.groupBy("_k", "_c").agg(F.sum("_v").alias("_t"), F.min("_e").alias("_lm"))
+                  .withColumn("_off", F.coalesce(F.sum("_t").over(w_chunks), F.lit(0)))
+                  .withColumn("_g", F.min(F.col("_off") + F.col("_lm")).over(w_chunks))
+                  .select("_k", "_c", "_off", "_g"))
+    run_min = F.least(F.col("_off") + F.col("_m"), F.coalesce("_g", F.col("_off") + F.col("_m")))
+    lvl = (local.join(carry, ["_k", "_c"], "left")
+                .withColumn(level_out, (F.col("_off") + F.col("_e") - F.least(F.lit(0), run_min)).cast("bigint")))
+    lvl = lvl.withColumn("_cv", F.when(counted(F.col(level_out)), 1).otherwise(0).cast("bigint"))
+    lvl = lvl.withColumn("_lc", F.sum("_cv").over(w_in))
+    carry2 = (lvl.groupBy("_k", "_c").agg(F.sum("_cv").alias("_t2"))
+                 .select("_k", "_c", F.coalesce(F.sum("_t2").over(w_chunks), F.lit(0)).alias("_in2")))
+    return (lvl.join(carry2, ["_k", "_c"], "left")
+               .withColumn(count_out, (F.col("_lc") + F.coalesce("_in2", F.lit(0))).cast("bigint"))
+               .drop("_k", "_c", "_v", "_e", "_m", "_off", "_g", "_cv", "_lc", "_in2"))

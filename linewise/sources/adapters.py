@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewise.plans.materialize import cut
 from linewise.plans.scan import running_sum
 from linewise.sources.schema import TRACE
 
@@ -112,14 +113,16 @@ _BUILT: dict[tuple, DataFrame] = {}
 
 
 def _reuse(kind: str):
-    """Queries of one session share the adapter DataFrame (its plan is built and analysed
-    once; DataFrames are immutable, so sharing is safe)."""
+    """An adapter is the ETL step into a trace / facts table: its output is written once
+    per session under the checkpoint folder (as a trace store would hold it) and the
+    queries of the session read that table. Downstream scans then re-read narrow,
+    column-pruned Parquet instead of recomputing the adapter in every plan branch."""
     def deco(fn):
         def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
             key = (kind, id(spark), spark.sparkContext.applicationId, sf_dir, args,
                    tuple(sorted(kwargs.items())))
             if key not in _BUILT:
-                _BUILT[key] = fn(spark, sf_dir, *args, **kwargs)
+                _BUILT[key] = cut(fn(spark, sf_dir, *args, **kwargs), f"{kind}_table")
             return _BUILT[key]
         wrapper.__doc__, wrapper.__name__ = fn.__doc__, fn.__name__
         return wrapper
