@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from linewise.functions.paths import path_prefixes_with_depth, statement_writes
 from linewise.plans.materialize import cut
-from linewise.plans.scan import last_before, running_sum
+from linewise.plans.scan import count_and_last, last_before, running_sum
 
 KEYS = ["unit_id", "scope_id", "key"]
 
@@ -130,8 +130,10 @@ def must_writes(facts: DataFrame, writes: DataFrame, max_depth: int) -> DataFram
     return pseudo_all
 
 
-def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Branch-aware reaching writers, ``(unit_id, src, dst, key)``."""
+def reaching_branches_by_pairs(facts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """E4/E5 by candidates minus killers (the recipe of the survey). Correct, but the
+    candidate join forms every (write, read) pair of a segment; kept as a cross-check
+    for :func:`reaching_branches`, which forms output pairs only."""
     # the facts feed the depth probe, the must-write rounds and the accesses: write once
     f = cut(facts.withColumn("bp", F.coalesce("branch_path", F.array().cast(facts.schema["branch_path"].dataType))),
             "facts")
@@ -192,3 +194,157 @@ def loop_edges(facts: DataFrame) -> DataFrame:
     return (w.groupBy("unit_id", "scope_id", "ctl_id", "key")
              .agg(F.max_by("stmt_id", "seq").alias("src"))
              .select("unit_id", "ctl_id", "src", "key"))
+
+
+# positions of the output-sensitive form: statements sit at their seq; a block's end item
+# just after its last statement, an arm-end query after that, a block-start query just
+# before its first statement
+_END, _ARM_END, _START = 0.4, 0.45, -0.4
+
+
+def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Branch-aware reaching writers, ``(unit_id, src, dst, key)``, forming only
+    output pairs.
+
+    Per context (the path of an arm; [] at top level) the items are the real writes
+    directly in it (they kill everything earlier) and the nested blocks, placed at their
+    end, which contribute their *exit set* (writes inside that survive to the block's
+    end) and kill too when both arms must write the key. A query (a read, or the end of
+    an arm) takes the last killing item before it plus every non-killing block after
+    that item: segments are running counts of killing items, non-killing blocks are
+    numbered inside their segment, and a query with ``m`` of them explodes
+    ``sequence(1, m)`` and equi-joins on the number. Exit sets are built bottom-up by
+    depth; a read whose own context has no killing item continues at the start of its
+    enclosing block one level out.
+    """
+    bp_t = facts.schema["branch_path"].dataType
+    f = cut(facts.withColumn("bp", F.coalesce("branch_path", F.array().cast(bp_t))), "facts")
+    if max_depth is None:
+        max_depth = f.agg(F.max(F.size("bp"))).first()[0] or 0
+    acc = accesses(f.drop("branch_path").withColumnRenamed("bp", "branch_path")) \
+        .withColumnRenamed("branch_path", "bp")
+    reads = acc.filter(~F.col("_w")).select(
+        "unit_id", "scope_id", "key", F.col("seq").cast("double").alias("seq"), "bp",
+        F.col("stmt_id").alias("dst"))
+    writes = acc.filter(F.col("_w")).select("unit_id", "scope_id", "key", F.col("seq").cast("double").alias("seq"),
+                                            "bp", "stmt_id")
+    stmts = f.select("unit_id", "scope_id", F.col("seq").cast("double").alias("seq"), "bp")
+    # blocks: (unit, scope, parent context, ctl) with first / last statement
+    blocks = None
+    for d in range(1, max_depth + 1):
+        b = (stmts.filter(F.size("bp") >= d)
+                  .select("unit_id", "scope_id", F.slice("bp", 1, d - 1).alias("ctx"),
+                          F.element_at("bp", d)["ctl_id"].alias("ctl"), "seq")
+                  .groupBy("unit_id", "scope_id", "ctx", "ctl")
+                  .agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+                  .withColumn("depth", F.lit(d)))
+        blocks = b if blocks is None else blocks.unionByName(b)
+    if blocks is not None:
+        blocks = cut(blocks, "reaching_blocks")
+        pseudo = must_writes(f, writes, max_depth)
+        kills = pseudo.select("unit_id", "scope_id", "key", F.col("bp").alias("ctx"),
+                              F.col("block_ctl").alias("ctl"), F.lit(True).alias("both"))
+    # read queries at every level: level n at the read, level l < n at the start of the
+    # enclosing block of depth l + 1
+    levels = reads.select("*", F.explode(F.sequence(F.lit(0), F.size("bp"))).alias("lvl"))
+    levels = levels.select("unit_id", "scope_id", "key", "dst", "seq", "lvl",
+                           F.slice("bp", 1, "lvl").alias("ctx"),
+                           F.when(F.col("lvl") < F.size("bp"), F.element_at("bp", F.col("lvl") + 1)["ctl_id"])
+                            .alias("inner_ctl"), F.size("bp").alias("n"))
+    if blocks is not None:
+        starts = blocks.select("unit_id", "scope_id", "ctx", F.col("ctl").alias("inner_ctl"),
+                               (F.col("first") + _START).alias("start"))
+        levels = levels.join(starts, ["unit_id", "scope_id", "ctx", "inner_ctl"], "left")
+        levels = levels.withColumn("pos", F.when(F.col("lvl") == F.col("n"), F.col("seq")).otherwise(F.col("start")))
+    else:
+        levels = levels.withColumn("pos", F.col("seq"))
+    levels = cut(levels.select("unit_id", "scope_id", "key", "dst", "lvl", "ctx", "pos"), "reaching_levels")
+
+    exits = None      # (unit, scope, key, ctx=parent, ctl) -> src  (exit set of a block)
+    found = []        # per level: (unit, scope, key, dst, lvl, has_kill, src)
+    for d in range(max_depth, -1, -1):
+        items = writes.filter(F.size("bp") == d).select(
+            "unit_id", "scope_id", "key", F.col("bp").alias("ctx"), F.col("seq").alias("pos"),
+            F.lit(True).alias("kill"), F.col("stmt_id").alias("w"), F.lit(None).cast("bigint").alias("ctl"))
+        if exits is not None:
+            child = (exits.select("unit_id", "scope_id", "key", "ctx", "ctl").distinct()
+                          .join(blocks.filter(F.col("depth") == d + 1)
+                                      .select("unit_id", "scope_id", "ctx", "ctl", "last"),
+                                ["unit_id", "scope_id", "ctx", "ctl"]))
+            child = child.join(kills, ["unit_id", "scope_id", "key", "ctx", "ctl"], "left")
+            items = items.unionByName(child.select(
+                "unit_id", "scope_id", "key", "ctx", (F.col("last") + _END).alias("pos"),
+                F.coalesce("both", F.lit(False)).alias("kill"), F.lit(None).cast("bigint").alias("w"), "ctl"))
+        queries = levels.filter(F.col("lvl") == d).select(
+            "unit_id", "scope_id", "key", "ctx", "pos", F.col("dst").alias("q_dst"),
+            F.lit(None).cast("bigint").alias("q_ctl"), F.lit(None).cast(bp_t).alias("q_parent"))
+        if d >= 1:
+            # arm-end queries of the blocks of depth d: one per (arm, key) with items
+            arm_keys = items.select("unit_id", "scope_id", "key", "ctx").distinct()
+            ends = blocks.filter(F.col("depth") == d).select(
+                "unit_id", "scope_id", F.col("ctx").alias("q_parent"), F.col("ctl").alias("q_ctl"), "last")
+            arm_q = (arm_keys.withColumn("q_parent", F.slice("ctx", 1, d - 1))
+                             .withColumn("q_ctl", F.element_at("ctx", d)["ctl_id"])
+                             .join(ends, ["unit_id", "scope_id", "q_parent", "q_ctl"])
+                             .select("unit_id", "scope_id", "key", "ctx", (F.col("last") + _ARM_END).alias("pos"),
+                                     F.lit(None).cast("bigint").alias("q_dst"), "q_ctl", "q_parent"))
+            queries = queries.unionByName(arm_q)
+        rows = (items.select("unit_id", "scope_id", "key", "ctx", "pos", F.lit(1).alias("_t"), "kill", "w", "ctl",
+                             F.lit(None).cast("bigint").alias("q_dst"), F.lit(None).cast("bigint").alias("q_ctl"),
+                             F.lit(None).cast(bp_t).alias("q_parent"))
+                     .unionByName(queries.select("unit_id", "scope_id", "key", "ctx", "pos", F.lit(0).alias("_t"),
+                                                 F.lit(False).alias("kill"), F.lit(None).cast("bigint").alias("w"),
+                                                 F.lit(None).cast("bigint").alias("ctl"), "q_dst", "q_ctl", "q_parent")))
+        ckeys = ["unit_id", "scope_id", "key", "ctx"]
+        order = ["pos", "_t"]
+        chunk = F.shiftright(F.floor("pos").cast("bigint"), 20)
+        is_item, is_kill = F.col("_t") == 1, (F.col("_t") == 1) & F.col("kill")
+        # nk numbers the non-killing blocks of a context; the killer carries the nk at
+        # its own position, so a query's blocks are exactly killer.nk + 1 .. nk
+        rows = count_and_last(rows, ckeys, order, (is_item & ~F.col("kill")).cast("int"), is_kill,
+                              F.struct("w", "ctl"), "nk", "killer", chunk)
+        rows = cut(rows, f"reaching_level_{d}")
+        nonkill = rows.filter((F.col("_t") == 1) & ~F.col("kill")).select(*ckeys, F.col("nk").alias("idx"), "ctl")
+        q = (rows.filter(F.col("_t") == 0)
+                 .withColumn("seg", F.col("killer").isNotNull().cast("int"))
+                 .withColumn("lo", F.coalesce(F.col("killer.n"), F.lit(0)) + 1))
+        # contributions: the killer (a write or a both-write block), then blocks lo..nk
+        by_kill = q.filter(F.col("seg") > 0).select(
+            "unit_id", "scope_id", "key", "ctx", "q_dst", "q_ctl", "q_parent",
+            F.col("killer.v.w").alias("w"), F.col("killer.v.ctl").alias("ctl"))
+        by_block = (q.filter(F.col("nk") >= F.col("lo"))
+                     .select(*ckeys, "q_dst", "q_ctl", "q_parent",
+                             F.explode(F.sequence(F.col("lo"), F.col("nk"))).alias("idx"))
+                     .join(nonkill, ckeys + ["idx"])
+                     .select("unit_id", "scope_id", "key", "ctx", "q_dst", "q_ctl", "q_parent",
+                             F.lit(None).cast("bigint").alias("w"), "ctl"))
+        contrib = by_kill.unionByName(by_block)
+        direct = contrib.filter(F.col("w").isNotNull()).select(
+            "unit_id", "scope_id", "key", "q_dst", "q_ctl", "q_parent", F.col("w").alias("src"))
+        if exits is not None:
+            via = (contrib.filter(F.col("ctl").isNotNull())
+                          .join(exits, ["unit_id", "scope_id", "key", "ctx", "ctl"])
+                          .select("unit_id", "scope_id", "key", "q_dst", "q_ctl", "q_parent", "src"))
+            direct = direct.unionByName(via)
+        got = cut(direct.distinct(), f"reaching_contrib_{d}")
+        # reads: contributions at this level, and whether this level had a killer
+        found.append(got.filter(F.col("q_dst").isNotNull()).select(
+            "unit_id", "scope_id", "key", F.col("q_dst").alias("dst"), F.lit(d).alias("lvl"), "src"))
+        found.append(q.filter(F.col("q_dst").isNotNull() & (F.col("seg") > 0)).select(
+            "unit_id", "scope_id", "key", F.col("q_dst").alias("dst"), F.lit(d).alias("lvl"),
+            F.lit(None).cast("bigint").alias("src")))
+        if d >= 1:
+            new_exits = got.filter(F.col("q_dst").isNull()).select(
+                "unit_id", "scope_id", "key", F.col("q_parent").alias("ctx"), F.col("q_ctl").alias("ctl"), "src")
+            exits = new_exits.distinct()
+    allf = found[0]
+    for x in found[1:]:
+        allf = allf.unionByName(x)
+    allf = cut(allf, "reaching_found")
+    # a read stops at the innermost level that has a killer
+    stop = (allf.filter(F.col("src").isNull()).groupBy("unit_id", "scope_id", "key", "dst")
+                .agg(F.max("lvl").alias("stop")))
+    return (allf.filter(F.col("src").isNotNull())
+                .join(stop, ["unit_id", "scope_id", "key", "dst"], "left")
+                .filter(F.col("stop").isNull() | (F.col("lvl") >= F.col("stop")))
+                .select("unit_id", "src", "dst", "key").distinct())

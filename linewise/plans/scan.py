@@ -149,3 +149,33 @@ def clamped_level_and_count(df: DataFrame, keys, order: Sequence[str | Column],
     return (lvl.join(carry2, ["_k", "_c"], "left")
                .withColumn(count_out, (F.col("_lc") + F.coalesce("_in2", F.lit(0))).cast("bigint"))
                .drop("_k", "_c", "_v", "_e", "_m", "_off", "_g", "_cv", "_lc", "_in2"))
+
+
+def count_and_last(df: DataFrame, keys, order: Sequence[str | Column], counted: Column, src: Column,
+                   value: Column, count_out: str, last_out: str, chunk: Column) -> DataFrame:
+    """One pass for two scans: ``count_out`` = running count (inclusive) of ``counted``
+    rows, and ``last_out`` = the latest ``src`` row at or before each row, as
+    ``struct(v, n)`` with its ``value`` and the running count at that row."""
+    order = _cols(order)
+    d = _prepare(df.withColumn("_v", counted.cast("bigint")).withColumn("_s", src), keys, chunk)
+    w_in = Window.partitionBy("_k", "_c").orderBy(*order).rowsBetween(_UNB, 0)
+    w_chunks = Window.partitionBy("_k").orderBy("_c").rowsBetween(_UNB, -1)
+    local = d.withColumn("_ln", F.sum("_v").over(w_in))
+    local = local.withColumn("_ll", F.last(F.when(F.col("_s"), F.struct(value.alias("v"), F.col("_ln").alias("n"))),
+                                           ignorenulls=True).over(w_in))
+    summ = local.groupBy("_k", "_c").agg(
+        F.sum("_v").alias("_t"),
+        F.max_by(F.struct(value.alias("v"), F.col("_ln").alias("n")),
+                 F.when(F.col("_s"), F.struct(*order))).alias("_lk"))
+    summ = summ.withColumn("_off", F.coalesce(F.sum("_t").over(w_chunks), F.lit(0)))
+    summ = summ.withColumn("_lkg", F.when(F.col("_lk").isNotNull(), F.struct(
+        F.col("_lk.v").alias("v"), (F.col("_lk.n") + F.col("_off")).alias("n"))))
+    carry = summ.select("_k", "_c", "_off", F.last("_lkg", ignorenulls=True).over(w_chunks).alias("_in"))
+    out = local.join(carry, ["_k", "_c"], "left").withColumn("_off", F.coalesce("_off", F.lit(0)))
+    return (out.withColumn(count_out, (F.col("_ln") + F.col("_off")).cast("bigint"))
+               .withColumn(last_out, F.coalesce(
+                   F.when(F.col("_ll").isNotNull(), F.struct(F.col("_ll.v").alias("v"),
+                                                             (F.col("_ll.n") + F.col("_off")).cast("bigint").alias("n"))),
+                   F.struct(F.col("_in.v").alias("v"), F.col("_in.n").cast("bigint").alias("n"))))
+               .withColumn(last_out, F.when(F.col(last_out)["n"].isNotNull(), F.col(last_out)))
+               .drop("_k", "_c", "_v", "_s", "_ln", "_ll", "_off", "_in"))

@@ -17,7 +17,7 @@ def random_block(rng, depth, counter):
             counter[1] += 1
             out.append(("if", counter[1], random_block(rng, depth + 1, counter), random_block(rng, depth + 1, counter)))
         else:
-            out.append(("write" if rng.random() < 0.5 else "read", rng.choice("ab")))
+            out.append(("write" if rng.random() < 0.5 else "read", rng.choice("abc")))
     return out
 
 
@@ -53,13 +53,15 @@ def fold(block, unit, state, edges, seq):
 def test_reaching_branches_equals_fold(spark):
     rng = random.Random(3)
     rows, want = [], set()
-    for unit in range(60):
+    for unit in range(150):
         prog = random_block(rng, 0, [0, 0])
         flatten(prog, [], rows, unit, [0])
         fold(prog, unit, {}, want, [0])
     facts = spark.createDataFrame(rows, FACTS)
     got = {(r.unit_id, r.src, r.dst, r.key) for r in E.reaching_branches(facts).collect()}
     assert got == want
+    pairs = {(r.unit_id, r.src, r.dst, r.key) for r in E.reaching_branches_by_pairs(facts).collect()}
+    assert pairs == want
 
 
 def test_straight_line_and_undefined(spark):
