@@ -573,6 +573,14 @@ def live_lineage(spark, sf):
     return out.filter(F.col("src").isNotNull()).select("run_id", "src", "dst").distinct()
 
 
+@register("live_lineage_ordered", O.lineage_sql("include_all"))
+def live_lineage_ordered(spark, sf):
+    trace = G.with_flush(events_trace(spark, sf, with_time=True))
+    out = G.run_available_now(spark, trace, lambda st: G.live_lineage(st, ordered=True, delay="1 hour"),
+                              "live_lineage_ordered")
+    return out.filter(F.col("src").isNotNull()).select("run_id", "src", "dst").distinct()
+
+
 @register("live_run_status", f"""WITH {O.EV}
 SELECT run_id, event_id, msg FROM trace WHERE kind = 'exception'""")
 def live_run_status(spark, sf):

@@ -9,9 +9,8 @@ G2  In-order release: with ``ordered=True`` events are buffered in state and rel
     sorted by ``event_id``, once the event-time watermark passes them (an event-time
     timeout flushes the rest); an event older than one already folded is counted as late
     in the ``late`` output column and skipped. Gaps in ``event_id`` are never waited on.
-    Structured Streaming has no end-of-stream watermark, so on a finite source the events
-    of the last ``delay`` stay buffered until newer data arrives; the parity query
-    therefore uses G1 (each micro-batch is sorted per run before folding).
+    Structured Streaming has no end-of-stream watermark, so a finite source ends each
+    run with a ``flush`` punctuation row, which releases everything of the run before it.
 G3  ``live_run_status``: abnormal ends, a stateless filter.
 
 Batch/stream parity: over a finite file source run with ``availableNow`` the distinct
@@ -37,10 +36,14 @@ STATE_SCHEMA = ("counter long, depth long, line_node string, loc_line string, "
 _KINDS = ("exec", "update", "enter", "exit")
 
 
-def _prepare(stream: DataFrame, refinement: str) -> DataFrame:
+def _prepare(stream: DataFrame, refinement: str, delay: str | None = None) -> DataFrame:
     pair = lambda v: F.struct(v["name"].alias("name"), v["id"].alias("id"))
-    return (stream.filter(F.col("kind").isin(*_KINDS))
-                  .select("run_id", "event_id", "kind", "lineno", F.col("ts").cast("timestamp").alias("ts"),
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    if delay is not None:
+        # the watermark sees every row (also kinds the fold ignores, e.g. flush markers)
+        stream = stream.withWatermark("ts", delay)
+    return (stream.filter(F.col("kind").isin(*_KINDS, "flush"))
+                  .select("run_id", "event_id", "kind", "lineno", "ts",
                           F.to_json(F.array_distinct(F.transform(F.coalesce("uses", F.array()), pair))).alias("uses"),
                           F.to_json(F.array_distinct(F.transform(F.coalesce(refine(F.col("defs"), refinement),
                                                                             F.array()), pair))).alias("defs")))
@@ -56,16 +59,21 @@ def _fold(ignore_unknown: bool, ordered: bool):
             buffer = json.loads(buf)
         else:
             counter, depth, line_node, loc_line, last, buffer = 1, 0, {}, {}, -(1 << 62), []
+        flush = None   # a "flush" row of the run releases every buffered event before it
         if not state.hasTimedOut:
             for pdf in pdfs:
                 ts = pd.to_datetime(pdf["ts"]).astype("int64") // 1_000_000
                 for e, k, lno, u, d, t in zip(pdf["event_id"], pdf["kind"], pdf["lineno"], pdf["uses"],
                                                pdf["defs"], ts):
+                    if k == "flush":
+                        flush = max(flush or int(e), int(e))
+                        continue
                     buffer.append([int(e), k, None if pd.isna(lno) else int(lno), u, d, int(t)])
         if ordered and not state.hasTimedOut:
             wm = state.getCurrentWatermarkMs()
-            ready = [b for b in buffer if b[5] <= wm]
-            buffer = [b for b in buffer if b[5] > wm]
+            due = [(b[5] <= wm) or (flush is not None and b[0] < flush) for b in buffer]
+            ready = [b for b, x in zip(buffer, due) if x]
+            buffer = [b for b, x in zip(buffer, due) if not x]
         else:
             ready, buffer = buffer, []
         ready.sort(key=lambda b: b[0])
@@ -109,11 +117,8 @@ def _fold(ignore_unknown: bool, ordered: bool):
 def live_lineage(stream: DataFrame, refinement: str = "include_all", ignore_unknown: bool = False,
                  ordered: bool = False, delay: str = "0 seconds") -> DataFrame:
     """A streaming DataFrame of edge rows (``late`` rows carry a count instead)."""
-    prepared = _prepare(stream, refinement)
-    timeout = GroupStateTimeout.NoTimeout
-    if ordered:
-        prepared = prepared.withWatermark("ts", delay)
-        timeout = GroupStateTimeout.EventTimeTimeout
+    prepared = _prepare(stream, refinement, delay if ordered else None)
+    timeout = GroupStateTimeout.EventTimeTimeout if ordered else GroupStateTimeout.NoTimeout
     return prepared.groupBy("run_id").applyInPandasWithState(
         _fold(ignore_unknown, ordered), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
 
@@ -142,3 +147,14 @@ def run_available_now(spark, trace: DataFrame, build, label: str, files: int = 4
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/sink")
+
+
+def with_flush(trace: DataFrame) -> DataFrame:
+    """End a finite trace: one ``flush`` punctuation row per run, after its last event."""
+    last = trace.groupBy("run_id").agg(F.max("event_id").alias("_m"), F.max("ts").alias("_t"))
+    marks = last.select("run_id", (F.col("_m") + 1).alias("event_id"), F.lit("flush").alias("kind"),
+                        F.col("_t").alias("ts"))
+    for c in trace.columns:
+        if c not in marks.columns:
+            marks = marks.withColumn(c, F.lit(None).cast(trace.schema[c].dataType))
+    return trace.unionByName(marks.select(*trace.columns))
