@@ -16,7 +16,7 @@ enclosing (test, arm) pairs outermost first (E14).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewise.functions.paths import path_prefixes_with_depth, statement_writes
@@ -340,11 +340,9 @@ def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFra
     allf = found[0]
     for x in found[1:]:
         allf = allf.unionByName(x)
-    allf = cut(allf, "reaching_found")
-    # a read stops at the innermost level that has a killer
-    stop = (allf.filter(F.col("src").isNull()).groupBy("unit_id", "scope_id", "key", "dst")
-                .agg(F.max("lvl").alias("stop")))
-    return (allf.filter(F.col("src").isNotNull())
-                .join(stop, ["unit_id", "scope_id", "key", "dst"], "left")
-                .filter(F.col("stop").isNull() | (F.col("lvl") >= F.col("stop")))
+    # a read stops at the innermost level that has a killer (one window per read; its rows
+    # are that read's own contributions, at most one marker per level)
+    per_read = Window.partitionBy("unit_id", "scope_id", "key", "dst")
+    allf = allf.withColumn("stop", F.max(F.when(F.col("src").isNull(), F.col("lvl"))).over(per_read))
+    return (allf.filter(F.col("src").isNotNull() & (F.col("stop").isNull() | (F.col("lvl") >= F.col("stop"))))
                 .select("unit_id", "src", "dst", "key").distinct())
