@@ -25,3 +25,21 @@ def test_line_lookups_and_node_ids(spark):
     assert L.edge_exists(g, 1, 3).count() == 0
     assert [r.node_id for r in L.node_by_line(g, 3).collect()] == [3]
     assert {r.node_id for r in S.node_ids(g.nodes, F.col("lineno") >= 2).collect()} == {2, 3}
+
+
+def test_unbalanced_modes(spark):
+    import pytest
+
+    from linewise.operators import scope as B
+    rows = [{"run_id": 1, "event_id": 1, "kind": "exit", "lineno": 1, "call": {"co_name": "f"}},
+            {"run_id": 1, "event_id": 2, "kind": "exec", "lineno": 1, "uses": [], "defs": []},
+            {"run_id": 2, "event_id": 1, "kind": "enter", "lineno": 1, "call": {"co_name": "f"}},
+            {"run_id": 2, "event_id": 2, "kind": "exec", "lineno": 1, "uses": [], "defs": []},
+            {"run_id": 2, "event_id": 3, "kind": "exit", "lineno": 1, "call": {"co_name": "f"}}]
+    tr = trace_df(spark, rows)
+    clamp = {(r.run_id, r.event_id): r.depth for r in B.with_call_depth(tr).collect()}
+    assert clamp[(1, 2)] == 0 and clamp[(2, 2)] == 1
+    kept = {r.run_id for r in B.with_call_depth(tr, on_unbalanced="quarantine").collect()}
+    assert kept == {2}
+    with pytest.raises(ValueError):
+        B.with_call_depth(tr, on_unbalanced="error")
