@@ -1,8 +1,9 @@
 """G: live lineage over a streaming trace (Structured Streaming).
 
-G1  ``live_lineage``: per run, a stateful fold (``applyInPandasWithState`` keyed by
-    ``run_id``) keeps the node counter, call depth, ``lineno -> node`` and
-    ``location -> lineno`` and emits edges as statements arrive. The state is bounded by
+G1  ``live_lineage``: per run, a stateful fold (``transformWithStateInPandas`` keyed by
+    ``run_id``) keeps the node counter and call depth (value state) and the maps
+    ``lineno -> node`` and ``location -> lineno`` (map states, read and written per key
+    touched, so a micro-batch costs O(its events), not O(state)). The state is bounded by
     the program (lines and addresses), not by the trace length. Write refinement and the
     (name, id) de-duplication run in Spark before the state step (Column expressions).
 G2  In-order release: with ``ordered=True`` events are buffered in state and released,
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linewise.operators.lineage import refine
@@ -116,7 +118,10 @@ def _fold(ignore_unknown: bool, ordered: bool):
 
 def live_lineage(stream: DataFrame, refinement: str = "include_all", ignore_unknown: bool = False,
                  ordered: bool = False, delay: str = "0 seconds") -> DataFrame:
-    """A streaming DataFrame of edge rows (``late`` rows carry a count instead)."""
+    """A streaming DataFrame of edge rows (``late`` rows carry a count instead).
+    Unordered (G1) uses incremental map state; ordered (G2) buffers per run."""
+    if not ordered:
+        return live_lineage_incremental(stream, refinement, ignore_unknown)
     prepared = _prepare(stream, refinement, delay if ordered else None)
     timeout = GroupStateTimeout.EventTimeTimeout if ordered else GroupStateTimeout.NoTimeout
     return prepared.groupBy("run_id").applyInPandasWithState(
@@ -138,6 +143,8 @@ def run_available_now(spark, trace: DataFrame, build, label: str, files: int = 4
     from linewise.session import checkpoint_dir
     base = f"{checkpoint_dir(spark).rstrip('/')}/linewise/{label}-{uuid.uuid4().hex}"
     trace.repartitionByRange(files, "event_id").write.parquet(f"{base}/source")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     reader = spark.readStream.schema(spark.read.parquet(f"{base}/source").schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -158,3 +165,84 @@ def with_flush(trace: DataFrame) -> DataFrame:
         if c not in marks.columns:
             marks = marks.withColumn(c, F.lit(None).cast(trace.schema[c].dataType))
     return trace.unionByName(marks.select(*trace.columns))
+
+
+class _LineageProcessor(StatefulProcessor):
+    """G1 with incremental state (``transformWithStateInPandas``): per run a value state
+    (node counter, call depth, last event) and two map states (``lineno -> node``,
+    ``location -> lineno``). Each micro-batch reads only the keys its events touch (once
+    per distinct key) and writes back only the keys it changed."""
+
+    def __init__(self, ignore_unknown: bool):
+        self.ignore_unknown = ignore_unknown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.meta = handle.getValueState("meta", "counter long, depth long, last_event long")
+        self.line_node = handle.getMapState("line_node", "lineno long", "node long")
+        self.loc_line = handle.getMapState("loc_line", "loc string", "lineno long")
+
+    def _get(self, state, cache, key):
+        if key not in cache:
+            cache[key] = state.getValue((key,))[0] if state.containsKey((key,)) else None
+        return cache[key]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        run_id = int(key[0])
+        m = self.meta.get() if self.meta.exists() else None
+        counter, depth, last = (int(m[0]), int(m[1]), int(m[2])) if m else (1, 0, -(1 << 62))
+        events = []
+        for pdf in rows:
+            events.extend(zip(pdf["event_id"], pdf["kind"], pdf["lineno"], pdf["uses"], pdf["defs"]))
+        events.sort(key=lambda r: r[0])
+        ln_cache, ll_cache, ln_dirty, ll_dirty = {}, {}, set(), set()
+        src, dst, late = [], [], 0
+        for e, k, lno, u, d in events:
+            e = int(e)
+            if e <= last:
+                late += 1
+                continue
+            last = e
+            if k == "enter":
+                depth += 1
+            elif k == "exit":
+                depth = max(0, depth - 1)
+            elif depth == 0 and k == "exec":
+                node = counter
+                counter += 1
+                for v in json.loads(u):
+                    line = self._get(self.loc_line, ll_cache, json.dumps(v.get("id")))
+                    owner = None if line is None else self._get(self.line_node, ln_cache, int(line))
+                    if owner is not None:
+                        src.append(owner)
+                        dst.append(node)
+                    elif not self.ignore_unknown:
+                        src.append(0)
+                        dst.append(node)
+                ln_cache[int(lno)] = node
+                ln_dirty.add(int(lno))
+            elif depth == 0 and k == "update":
+                for v in json.loads(d):
+                    loc = json.dumps(v.get("id"))
+                    ll_cache[loc] = int(lno)
+                    ll_dirty.add(loc)
+        for k in ln_dirty:
+            self.line_node.updateValue((k,), (ln_cache[k],))
+        for k in ll_dirty:
+            self.loc_line.updateValue((k,), (ll_cache[k],))
+        self.meta.update((counter, depth, last))
+        n = len(src)
+        out = pd.DataFrame({"run_id": [run_id] * n, "src": src, "dst": dst, "late": [0] * n})
+        if late:
+            out = pd.concat([out, pd.DataFrame({"run_id": [run_id], "src": [None], "dst": [None], "late": [late]})])
+        yield out.astype({"run_id": "int64", "src": "Int64", "dst": "Int64", "late": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def live_lineage_incremental(stream: DataFrame, refinement: str = "include_all",
+                             ignore_unknown: bool = False) -> DataFrame:
+    """G1 on ``transformWithStateInPandas`` (needs the RocksDB state store provider)."""
+    return _prepare(stream, refinement).groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=_LineageProcessor(ignore_unknown), outputStructType=OUT_SCHEMA,
+        outputMode="Append", timeMode="None")

@@ -67,3 +67,16 @@ def test_ordered_release_reorders_late_files(spark):
     live = {(r.run_id, r.src, r.dst) for r in out.filter("src is not null").collect()}
     assert out.agg(F.sum("late")).first()[0] in (None, 0)
     assert live == batch
+
+
+def test_incremental_state_equals_batch(spark):
+    rng = random.Random(13)
+    rows = []
+    for run in range(5):
+        rows += random_log(rng, run, 40)
+    for r in rows:
+        r.setdefault("uses", None)
+    tr = trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    batch = {(r.run_id, r.src, r.dst) for r in L.build(tr.drop("ts")).edges.collect()}
+    out = G.run_available_now(spark, tr, G.live_lineage_incremental, "test_live_tws")
+    assert {(r.run_id, r.src, r.dst) for r in out.filter("src is not null").collect()} == batch
