@@ -48,3 +48,16 @@ def test_slice_invariants(spark):
     assert (4, 4, 2) in sub and (4, 1, 2) not in sub
     top = S.impact(S.slices(edges, seeds, "forward"), k=1).collect()
     assert [(r.seed, r.impact) for r in top] == [(1, 3)]
+
+
+def test_readme_usage(spark):
+    from linewise.sources.io import read_trace, write_graph, write_trace
+    d = tempfile.mkdtemp(prefix="linewise-readme-", dir="/tmp")
+    write_trace(trace_df(spark, program([([], [("x", 1)]), ([("x", 1)], [("y", 2)]), ([("y", 2)], [])])),
+                f"{d}/trace")
+    trace = read_trace(spark, f"{d}/trace")
+    g = L.build(trace, refinement="most_specific")
+    write_graph(g.nodes, g.edges, f"{d}/graph")
+    seeds = g.edges.groupBy("run_id").agg(F.max("dst").alias("seed"))
+    got = {r.node_id for r in S.slices(g.edges.filter("src <> 0"), seeds, "backward").collect()}
+    assert got == {1, 2, 3}
