@@ -56,7 +56,7 @@ class Lineage:
     trace   top-level exec / update rows
     nodes   run_id, node_id, event_id, lineno, line, uses
     writes  run_id, event_id, lineno, name, id (refined)
-    reads   run_id, dst, event_id, name, id, w_lineno, src (NULL = unknown)
+    reads   run_id, dst, event_id, name, id, w_lineno, w_found, src (NULL = unknown)
     edges   run_id, src, dst (distinct)
     """
 
@@ -116,16 +116,18 @@ class Lineage:
                     .unionByName(self.writes.select("run_id", "id", "event_id",
                                                     F.lit(None).cast("bigint").alias("dst"), "name",
                                                     "lineno", F.lit(True).alias("_w"))))
+        # the found flag rides along: a write with a NULL lineno is still a write
         hop1 = last_before(acc, ["run_id", "id"], ["event_id", F.col("_w").cast("int")],
-                           F.col("_w"), F.col("lineno"), "w_lineno", self.chunk)
-        return cut(hop1.filter(~F.col("_w")).select("run_id", "event_id", "dst", "name", "id", "w_lineno"),
-                   "reads")
+                           F.col("_w"), F.struct(F.col("lineno").alias("l")), "_hit", self.chunk)
+        return cut(hop1.filter(~F.col("_w")).select(
+            "run_id", "event_id", "dst", "name", "id", F.col("_hit.l").alias("w_lineno"),
+            F.col("_hit").isNotNull().alias("w_found")), "reads")
 
     @cached_property
     def _resolved(self) -> DataFrame:
         # Hop 2, lineno -> latest node of that line strictly before the read. The
         # reading node itself has the same event id, so sources sort after targets on ties.
-        known = self._hop1.filter(F.col("w_lineno").isNotNull())
+        known = self._hop1.filter(F.col("w_found"))
         probe = (known.select("run_id", F.col("w_lineno").alias("lineno"), "event_id", "dst", "name", "id",
                               F.lit(None).cast("bigint").alias("node_id"), F.lit(False).alias("_n"))
                       .unionByName(self.nodes.select("run_id", "lineno", "event_id",
@@ -136,12 +138,14 @@ class Lineage:
         hop2 = last_before(probe, ["run_id", "lineno"], ["event_id", F.col("_n").cast("int")],
                            F.col("_n"), F.col("node_id"), "src", self.chunk)
         return hop2.filter(~F.col("_n")).select(
-            "run_id", "dst", "event_id", "name", "id", F.col("lineno").alias("w_lineno"), "src")
+            "run_id", "dst", "event_id", "name", "id", F.col("lineno").alias("w_lineno"),
+            F.lit(True).alias("w_found"), "src")
 
     @cached_property
     def reads(self) -> DataFrame:
-        unknown = self._hop1.filter(F.col("w_lineno").isNull()).select(
-            "run_id", "dst", "event_id", "name", "id", "w_lineno", F.lit(None).cast("bigint").alias("src"))
+        unknown = self._hop1.filter(~F.col("w_found")).select(
+            "run_id", "dst", "event_id", "name", "id", "w_lineno", "w_found",
+            F.lit(None).cast("bigint").alias("src"))
         return self._resolved.unionByName(unknown)
 
     @cached_property
@@ -174,7 +178,7 @@ def unknown_summary(g: Lineage) -> DataFrame:
     the trace; here each distinct name appears once, in first-read order, so the
     aggregate is bounded by the program text, not by the number of executions.
     """
-    firsts = (g.reads.filter(F.col("w_lineno").isNull())
+    firsts = (g.reads.filter(~F.col("w_found"))
                      .groupBy("run_id", "name")
                      .agg(F.min("event_id").alias("first_event_id"), F.count(F.lit(1)).alias("n_reads")))
     return (firsts.groupBy("run_id")

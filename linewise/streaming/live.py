@@ -36,6 +36,7 @@ STATE_SCHEMA = ("counter long, depth long, line_node string, loc_line string, "
                 "last_event long, buffer string")
 
 _KINDS = ("exec", "update", "enter", "exit")
+_NULL_LINE = -(1 << 62)   # stands for a NULL lineno inside the Python state (NULL is a real key)
 
 
 def _prepare(stream: DataFrame, refinement: str, delay: str | None = None) -> DataFrame:
@@ -70,7 +71,7 @@ def _fold(ignore_unknown: bool, ordered: bool):
                     if k == "flush":
                         flush = max(flush or int(e), int(e))
                         continue
-                    buffer.append([int(e), k, None if pd.isna(lno) else int(lno), u, d, int(t)])
+                    buffer.append([int(e), k, _NULL_LINE if pd.isna(lno) else int(lno), u, d, int(t)])
         if ordered and not state.hasTimedOut:
             wm = state.getCurrentWatermarkMs()
             due = [(b[5] <= wm) or (flush is not None and b[0] < flush) for b in buffer]
@@ -198,6 +199,7 @@ class _LineageProcessor(StatefulProcessor):
         src, dst, late = [], [], 0
         for e, k, lno, u, d in events:
             e = int(e)
+            lno = _NULL_LINE if pd.isna(lno) else int(lno)
             if e <= last:
                 late += 1
                 continue

@@ -80,3 +80,17 @@ def test_incremental_state_equals_batch(spark):
     batch = {(r.run_id, r.src, r.dst) for r in L.build(tr.drop("ts")).edges.collect()}
     out = G.run_available_now(spark, tr, G.live_lineage_incremental, "test_live_tws")
     assert {(r.run_id, r.src, r.dst) for r in out.filter("src is not null").collect()} == batch
+
+
+def test_null_line_numbers(spark):
+    rows = [{"run_id": 1, "event_id": 1, "kind": "exec", "lineno": None, "uses": [], "defs": []},
+            {"run_id": 1, "event_id": 2, "kind": "update", "lineno": None, "uses": [], "defs": [("x", 1)]},
+            {"run_id": 1, "event_id": 3, "kind": "exec", "lineno": 2, "uses": [("x", 1)], "defs": []}]
+    tr = trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    batch = {(r.run_id, r.src, r.dst) for r in L.build(tr.drop("ts")).edges.collect()}
+    assert batch == {(1, 1, 2)}
+    live = G.run_available_now(spark, tr, G.live_lineage, "test_null")
+    assert {(r.run_id, r.src, r.dst) for r in live.filter("src is not null").collect()} == batch
+    ordered = G.run_available_now(spark, G.with_flush(tr), lambda st: G.live_lineage(st, ordered=True),
+                                  "test_null_ordered")
+    assert {(r.run_id, r.src, r.dst) for r in ordered.filter("src is not null").collect()} == batch
