@@ -20,7 +20,7 @@ def random_log(rng, run_id, n):
     for _ in range(n):
         eid += rng.randint(1, 3)          # gaps, never contiguous
         r = rng.random()
-        lineno = rng.randint(0, 5)
+        lineno = None if rng.random() < 0.05 else rng.randint(0, 5)
         if r < 0.45:
             uses = [(p, rng.choice([None, 1, 2, 3, 4, 5])) for p in rng.sample(PATHS, rng.randint(0, 3))]
             rows.append({"run_id": run_id, "event_id": eid, "kind": "exec", "lineno": lineno,
