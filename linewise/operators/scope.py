@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linewise.plans.materialize import cut
 from linewise.plans.scan import (DEFAULT_CHUNK_BITS, chunk_of, clamped_level, first_after,
-                                 last_before, running_sum)
+                                 last_before, running_sum, running_sums)
 
 def call_delta() -> Column:
     return F.when(F.col("kind") == "enter", 1).when(F.col("kind") == "exit", -1).otherwise(0)
@@ -143,11 +143,12 @@ def bound_loops(trace: DataFrame, n: int | None, chunk_bits: int = DEFAULT_CHUNK
     keys = ["run_id", "loop_name"]
     is_init, is_iter, is_clear = (F.col("kind") == "loop_init", F.col("kind") == "loop_iter",
                                   F.col("kind") == "loop_clear")
-    # cseg: count segments (a new one at each init or clear); cnt: iterations so far in it
-    m = running_sum(m, keys, ["event_id"], (is_init | is_clear).cast("int"), "_cseg", chunk)
-    m = running_sum(m, keys + ["_cseg"], ["event_id"], is_iter.cast("int"), "_cnt", chunk)
-    # kseg: "ignored" segments, only a clear opens a new one
-    m = cut(running_sum(m, keys, ["event_id"], is_clear.cast("int"), "_kseg", chunk), "loop_segments")
+    # cseg: count segments (a new one at each init or clear); kseg: "ignored" segments,
+    # only a clear opens a new one (both in one pass); cnt: iterations so far in a cseg
+    m = running_sums(m, keys, ["event_id"], {"_cseg": (is_init | is_clear).cast("int"),
+                                              "_kseg": is_clear.cast("int")}, chunk)
+    m = cut(running_sum(m, keys + ["_cseg"], ["event_id"], is_iter.cast("int"), "_cnt", chunk),
+            "loop_segments")
     over = (F.col("_cnt") >= n) & ~is_clear
     # off: loop is over its bound at or before this marker within the kseg (sticky)
     m = running_sum(m, keys + ["_kseg"], ["event_id"], over.cast("int"), "_over", chunk)

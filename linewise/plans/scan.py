@@ -179,3 +179,26 @@ def count_and_last(df: DataFrame, keys, order: Sequence[str | Column], counted:
                    F.struct(F.col("_in.v").alias("v"), F.col("_in.n").cast("bigint").alias("n"))))
                .withColumn(last_out, F.when(F.col(last_out)["n"].isNotNull(), F.col(last_out)))
                .drop("_k", "_c", "_v", "_s", "_ln", "_ll", "_off", "_in"))
+
+
+def running_sums(df: DataFrame, keys, order: Sequence[str | Column], values: dict[str, Column],
+                 chunk: Column, inclusive: bool = True) -> DataFrame:
+    """Several running sums over the same key and order in one pass (one shuffle, one
+    chunk summary): ``{out: value}``, each BIGINT."""
+    order = _cols(order)
+    names = list(values)
+    d = _prepare(df.select("*", *[values[n].cast("bigint").alias(f"_v{i}") for i, n in enumerate(names)]),
+                 keys, chunk)
+    w_local = (Window.partitionBy("_k", "_c").orderBy(*order)
+               .rowsBetween(_UNB, 0 if inclusive else -1))
+    w_chunks = Window.partitionBy("_k").orderBy("_c").rowsBetween(_UNB, -1)
+    local = d.select("*", *[F.coalesce(F.sum(f"_v{i}").over(w_local), F.lit(0)).alias(f"_l{i}")
+                            for i in range(len(names))])
+    totals = d.groupBy("_k", "_c").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(names))])
+    carry = totals.select("_k", "_c", *[F.coalesce(F.sum(f"_t{i}").over(w_chunks), F.lit(0)).alias(f"_i{i}")
+                                        for i in range(len(names))])
+    out = local.join(carry, ["_k", "_c"], "left")
+    out = out.select("*", *[(F.col(f"_l{i}") + F.coalesce(f"_i{i}", F.lit(0))).cast("bigint").alias(n)
+                            for i, n in enumerate(names)])
+    drop = ["_k", "_c"] + [f"_{p}{i}" for p in "vli" for i in range(len(names))]
+    return out.drop(*drop)
