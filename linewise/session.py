@@ -1,14 +1,18 @@
 """Session helpers.
 
-The library never creates machine-local scratch space on a cluster: lineage cuts
-(``DataFrame.checkpoint``) go to the shared folder named by ``spark.checkpoint.dir``.
-Only when that setting is absent (tests, local runs) do we pick a folder ourselves.
+The library never creates machine-local scratch space on a cluster: lineage cuts (written
+tables) go to the shared folder named by ``spark.checkpoint.dir``. Only when that setting
+is absent (tests, local runs) do we pick a folder ourselves.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -45,3 +49,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="linewise-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once per application), so that Python workers
+    can import it without an installation or a shared code folder."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    # Spark's own file server hands the archive out for as long as the application runs
+    own = tempfile.mkdtemp(prefix="linewise-ship-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    path = os.path.join(own, f"{root.name}-{sc.applicationId}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
