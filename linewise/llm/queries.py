@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from linewise.llm.decontaminate import op9_benchmark_decontamination
 from linewise.llm.packing import op4_best_fit_packing
+from linewise.llm.simhash import op6_simhash_near_dedup
+from linewise.llm.tokenfile import op10_token_planes
 
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_token_planes": op10_token_planes,
 }
 ORACLE: dict[str, str] = {}
