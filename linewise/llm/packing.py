@@ -13,11 +13,12 @@ share one); its free tail is a *gap*. Then supersteps run until every piece has
 3. conflicts are resolved by rank: the count is the rank of the gap on the stack of free
    gaps, and the gap and the piece that meet at one rank are paired. A rank sees at most
    one gap and one piece of each size, so no group exceeds twice the capacity;
-4. gaps shrink, gaps too small for any piece left are closed, pieces larger than every gap
-   get as many new sequences as their total length needs at least, and the next step runs.
+4. gaps shrink, gaps too small for any piece left are closed, and the next step runs. New
+   sequences are opened for what exceeds the free space or fits into no gap any more, as
+   few as that total needs.
 
-A corpus of very many very short pieces would need many steps; then pieces up to 1/16 of
-the capacity are first tied into bundles of up to 1/8, which are placed like one piece.
+With more than ``MANY`` pieces for each gap, steps that place one piece in a gap would go on
+for long; then small pieces are first tied into bundles, which are placed like one piece.
 
 Each step's state is a written table in the shared checkpoint folder, so a lost executor
 costs only the current step; the driver sees a few totals per step.
@@ -38,6 +39,7 @@ from linewise.llm.tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
+MANY = 8
 
 PIECE_SCHEMA = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
                 "ids binary")
@@ -120,15 +122,20 @@ def _matched(state: DataFrame) -> DataFrame:
     at = Window.partitionBy("rank").orderBy(F.desc("size"), "kind")
     near = F.when(F.col("kind") == 0, F.lead(F.struct("kind", "id", "size")).over(at)) \
             .otherwise(F.lag(F.struct("kind", "id", "size")).over(at))
-    meets = (F.col("rank") > 0) & (F.col("near.kind") == 1 - F.col("kind"))
-    return cut(ranked.withColumn("near", near).select(
+    meets = F.col("near.kind") == 1 - F.col("kind")
+    met = ranked.where("rank > 0").withColumn("near", near).select(
         "kind", "id", "size", F.when(meets, F.col("near.id")).alias("with_id"),
-        F.when(meets, F.col("near.size")).alias("with_size")), "pack-match")
+        F.when(meets, F.col("near.size")).alias("with_size"))
+    # a piece that finds no free gap has no rank: it does not take part in the pairing
+    alone = ranked.where("rank <= 0").select("kind", "id", "size", F.lit(None).cast("bigint").alias("with_id"),
+                                             F.lit(None).cast("bigint").alias("with_size"))
+    return cut(met.unionByName(alone), "pack-match")
 
 
 def _bundles(items: DataFrame, most: int) -> DataFrame:
     """Tie the items (id, size) of each partition, as they come, into bundles of up to
-    ``most`` tokens: id, size, bundle (id of its first item), inner (offset in it)."""
+    ``most`` tokens (a longer item stays alone): id, size, bundle (id of its first item),
+    inner (offset in it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, used = None, 0
@@ -148,6 +155,31 @@ def _bundles(items: DataFrame, most: int) -> DataFrame:
         run, "id bigint, size bigint, bundle bigint, inner bigint")
 
 
+def _lacking(gaps: dict[int, int], items: dict[int, int]) -> int:
+    """Tokens for which new sequences are needed now: what exceeds all the free space, or
+    the pieces that after the coming sweep fit into no gap, if that is more. Both tables
+    count rows by size, so they are bounded by the capacity."""
+    total = sum(size * n for size, n in items.items())
+    space = sum(size * n for size, n in gaps.items())
+    stack, after, left = [], 0, {}
+    for size in sorted({*gaps, *items}, reverse=True):
+        if size in gaps:
+            stack.append([size, gaps[size]])
+        n = items.get(size, 0)
+        while n and stack:
+            took = min(n, stack[-1][1])
+            n -= took
+            stack[-1][1] -= took
+            after = max(after, stack[-1][0] - size)
+            if not stack[-1][1]:
+                stack.pop()
+        if n:
+            left[size] = n
+    after = max([after, *(size for size, _ in stack)])
+    unfit = sum(size * n for size, n in left.items() if size > after)
+    return max(total - space, unfit, 0)
+
+
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Places for pieces (id unique, size from 1 to ``capacity``): id, sequence_id, offset.
 
@@ -162,46 +194,49 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.lit(0).alias("kind"), "id", (F.lit(capacity) - F.col("size")).alias("size"))
     items = pieces.where(~big).select("id", F.col("size").cast("bigint").alias("size"))
 
-    tiny = F.col("size") <= capacity // 16
-    n = pieces.agg(F.sum(F.when(tiny, 1).otherwise(0)).alias("tiny"),
-                   F.sum(F.when(tiny, 0).otherwise(1)).alias("other")).first()
-    tied = None
-    if (n.tiny or 0) > 8 * (n.other or 0) + 1000:
-        tied = cut(_bundles(items.where(tiny), capacity // 8), "pack-bundles")
-        items = items.where(~tiny).unionByName(
-            tied.groupBy(F.col("bundle").alias("id")).agg(F.sum("size").alias("size")))
-
     state = items.select(F.lit(1).alias("kind"), "id", "size").unionByName(gaps)
-    put, opened = [], 0
+    put, ties, opened = [], [], 0
     while True:
-        done = _matched(state)
-        put.append(done.where("kind = 1 AND with_id IS NOT NULL").select(
-            "id", F.col("with_id").alias("sequence_id"),
-            (F.lit(capacity) - F.col("with_size")).alias("offset")))
-        items = done.where("kind = 1 AND with_id IS NULL").select("kind", "id", "size")
-        gaps = done.where("kind = 0").select(
-            "kind", "id", (F.col("size") - F.coalesce("with_size", F.lit(0))).alias("size"))
-        left = items.agg(F.count("*").alias("n"), F.min("size").alias("least")).first()
-        if not left.n:
+        # sizes are at most the capacity, so this table is bounded by it, not by the data
+        count = {(r.kind, r.size): r.n for r in
+                 state.groupBy("kind", "size").agg(F.count("*").alias("n")).collect()}
+        n_items = sum(n for (kind, _), n in count.items() if kind)
+        if not n_items:
             break
-        gaps = gaps.where(F.col("size") >= left.least)
-        widest = gaps.agg(F.max("size")).first()[0] or 0
-        state = items.unionByName(gaps)
-        unfit = items.where(F.col("size") > widest).agg(F.sum("size")).first()[0] or 0
-        if unfit:
-            new = -(-unfit // capacity)
+        least = min(size for kind, size in count if kind)
+        gaps = {size: n for (kind, size), n in count.items() if not kind and size >= least}
+        waiting = {size: n for (kind, size), n in count.items() if kind}
+        new = -(-_lacking(gaps, waiting) // capacity)
+        n_gaps = new + sum(gaps.values())
+        state = state.where((F.col("kind") == 1) | (F.col("size") >= least))
+        if n_items > MANY * n_gaps:
+            total = sum(size * n for size, n in waiting.items())
+            most = min(capacity if new else max(gaps), max(capacity // 8, total // n_gaps))
+            tied = cut(_bundles(state.where("kind = 1"), most), "pack-bundles")
+            ties.append((len(put), tied))
+            state = state.where("kind = 0").unionByName(tied.groupBy("bundle").agg(
+                F.lit(1).alias("kind"), F.sum("size").alias("size")).select(
+                "kind", F.col("bundle").alias("id"), "size"))
+        if new:
             state = state.unionByName(spark.range(opened + 1, opened + new + 1).select(
                 F.lit(0).alias("kind"), (-F.col("id")).alias("id"),
                 F.lit(capacity).cast("bigint").alias("size")))
             opened += new
-    spots = put[0]
-    for p in put[1:]:
-        spots = spots.unionByName(p)
-    if tied is not None:
-        whole = spots.join(tied.select("bundle").distinct(), spots["id"] == F.col("bundle"), "left_anti")
-        spread = tied.join(spots.withColumnRenamed("id", "bundle"), "bundle").select(
-            "id", "sequence_id", (F.col("offset") + F.col("inner")).alias("offset"))
-        spots = whole.unionByName(spread)
+        done = _matched(state)
+        put.append(done.where("kind = 1 AND with_id IS NOT NULL").select(
+            "id", F.col("with_id").alias("sequence_id"),
+            (F.lit(capacity) - F.col("with_size")).alias("offset")))
+        rest = F.when(F.col("kind") == 1, F.col("size")).otherwise(
+            F.col("size") - F.coalesce("with_size", F.lit(0)))
+        state = done.where("kind = 0 OR with_id IS NULL").select(
+            "kind", "id", rest.alias("size")).where("size > 0")
+    spots = placed[0].where("1 = 0")
+    for step in reversed(range(len(put))):
+        spots = put[step].unionByName(spots)
+        for at, tied in ties:
+            if at == step:  # what was placed from this step on may be bundles of it
+                spots = cut(tied.join(spots.withColumnRenamed("id", "bundle"), "bundle").select(
+                    "id", "sequence_id", (F.col("offset") + F.col("inner")).alias("offset")), "pack-untied")
     return placed[0].unionByName(spots)
 
 
