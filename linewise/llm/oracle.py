@@ -77,3 +77,47 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
                 coalesce(mm.labels, [])))), ','), '') AS labels,
        CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
 FROM w LEFT JOIN b USING (doc_id) LEFT JOIN mm USING (doc_id)"""
+
+
+def sharding_sql(n: int = 8) -> str:
+    """All columns but text_crc32, which DuckDB has no function for (the tests compare it)."""
+    from linewise.llm.sharding import SALTS, tree
+
+    def table(name: str, shards) -> str:
+        rows = ", ".join(f"({s.region}, {s.rack}, {s.shard}, {s.weight})" for s in shards)
+        return f"{name}(region, rack, shard, weight) AS (VALUES {rows})"
+
+    def chosen(level: str, t: str, above: str) -> str:
+        other = {"region": "", "rack": "AND t.region = d.region", "shard": "AND t.rack = d.rack"}[level]
+        return (f"SELECT d.*, t.{level} AS {level} FROM {above} d JOIN (SELECT DISTINCT "
+                f"{'region' if level == 'region' else 'region, rack' if level == 'rack' else 'region, rack, shard'}, "
+                f"sum(weight) OVER (PARTITION BY {level}) AS weight FROM {t}) t ON true {other} "
+                f"QUALIFY row_number() OVER (PARTITION BY d.doc_id ORDER BY ln((('0x' || "
+                f"substr(md5(d.doc_id::VARCHAR || ':{level}:' || t.{level}), 1, 13))::BIGINT + 0.5) "
+                f"/ 4503599627370496.0) / t.weight DESC) = 1")
+    return f"""
+WITH {table('a', tree(n))}, {table('b', tree(n + 1))},
+k AS (SELECT doc_id FROM documents),
+a1 AS ({chosen('region', 'a', 'k')}), a2 AS ({chosen('rack', 'a', 'a1')}), a3 AS ({chosen('shard', 'a', 'a2')}),
+b1 AS ({chosen('region', 'b', 'k')}), b2 AS ({chosen('rack', 'b', 'b1')}), b3 AS ({chosen('shard', 'b', 'b2')}),
+s AS (SELECT a3.doc_id, a3.shard, b3.shard AS grown_shard,
+             ('0x' || substr(md5(a3.doc_id::VARCHAR), 1, 6))::BIGINT % {SALTS} AS salt
+      FROM a3 JOIN b3 USING (doc_id))
+SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, shard, grown_shard, 'key' AS law,
+       row_number() OVER (PARTITION BY shard ORDER BY salt, doc_id) - 1 AS slot
+FROM s JOIN documents USING (doc_id)"""
+
+
+def line_dedup_sql() -> str:
+    from linewise.llm.lines import MIN_SITES
+
+    return rf"""
+WITH p AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, source, unnest(parts) AS raw, unnest(range(len(parts))) AS pos FROM p),
+n AS (SELECT doc_id, source, pos, raw, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+b AS (SELECT line, min((doc_id, pos)) AS first FROM n WHERE line <> '' GROUP BY line
+      HAVING count(DISTINCT source) >= {MIN_SITES}),
+m AS (SELECT n.*, b.line IS NOT NULL AND (doc_id, pos) <> b.first AS gone FROM n LEFT JOIN b USING (line))
+SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE gone IS NOT TRUE), '') AS text
+FROM m GROUP BY doc_id"""

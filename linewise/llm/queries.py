@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from linewise.llm.decontaminate import op9_benchmark_decontamination
 from linewise.llm.licenses import op3_license_scans
-from linewise.llm.oracle import license_sql, quality_sql
+from linewise.llm.lines import op1_line_dedup
+from linewise.llm.oracle import license_sql, line_dedup_sql, quality_sql
 from linewise.llm.packing import op4_best_fit_packing
 from linewise.llm.quality import op2_quality_rules
+from linewise.llm.sharding import op7_sharding
 from linewise.llm.simhash import op6_simhash_near_dedup
 from linewise.llm.tokenfile import op10_token_planes
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scans": op3_license_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_sharding": op7_sharding,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_planes": op10_token_planes,
 }
 ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup_sql(),
     "op2_quality_rules": quality_sql(),
     "op3_license_scans": license_sql(),
 }
