@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from linewise.llm.decontaminate import op9_benchmark_decontamination
+from linewise.llm.language import op8_language_id
 from linewise.llm.licenses import op3_license_scans
 from linewise.llm.lines import op1_line_dedup
 from linewise.llm.oracle import license_sql, line_dedup_sql, quality_sql
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sharding": op7_sharding,
+    "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_planes": op10_token_planes,
 }
