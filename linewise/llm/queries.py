@@ -12,12 +12,14 @@ from linewise.llm.quality import op2_quality_rules
 from linewise.llm.sharding import op7_sharding
 from linewise.llm.simhash import op6_simhash_near_dedup
 from linewise.llm.tokenfile import op10_token_planes
+from linewise.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scans": op3_license_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sharding": op7_sharding,
     "op8_language_id": op8_language_id,
