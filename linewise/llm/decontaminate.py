@@ -21,8 +21,9 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewise.llm.common import cut, documents, ship_package, split_words_bytes, table
@@ -101,6 +102,11 @@ def scan(text: str | None, own: list[Searcher]) -> tuple[int, list[int], list[in
     return len(words), *_joined(sorted(spans)), sorted(found)
 
 
+def found_in(text: str | None, own: list[Searcher]) -> bool:
+    words = split_words_bytes(text)
+    return any(True for s in own for _ in s.search(words))
+
+
 def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """First and last words of sorted spans after joining those that touch or overlap."""
     firsts: list[int] = []
@@ -208,6 +214,27 @@ def _merge_spans(rows: DataFrame) -> DataFrame:
              "items array<string>")
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
+    ship_package(docs.sparkSession)
+    for block in _blocks(benchmark, block_bytes):
+        docs = docs.where(_free_of(block, docs, window))
+    return docs
+
+
+def _free_of(block: list[tuple[str, str]], docs: DataFrame, window: int) -> Column:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    @F.pandas_udf("boolean")
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = searchers(shared.value, window)
+        for texts in batches:
+            yield pd.Series([not found_in(t, own) for t in texts], dtype="bool")
+
+    return free(F.col("text").cast("string"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -65,21 +65,27 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed bigint) of every row."""
+    """doc_id, th (a hash of the text, which with doc_id names the row) and fp (the
+    fingerprint as a signed bigint) of every row."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                fps = np.array([fingerprint_of(t, shingle) for t in part.column(1).to_pylist()],
+                fps = np.array([fingerprint_of(t, shingle) for t in part.column(2).to_pylist()],
                                np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                    [part.column(0), part.column(1), pa.array(fps.view(np.int64))],
+                    names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, fp bigint")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash(text).alias("th"),
+                       text.alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
+
+
+def _text_hash(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def pivots(n: int = PIVOTS) -> np.ndarray:
@@ -262,7 +268,8 @@ def links(classes: DataFrame, distance: int = DISTANCE, n_pivots: int = PIVOTS,
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
                     n_pivots: int = PIVOTS, bucket_rows: int = BUCKET_ROWS,
                     n_blocks: int | None = None) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the connected group) per row.
+    """doc_id, fp, component_id (the smallest doc_id of the connected group), th and root (a
+    fingerprint that names the group) per row.
 
     Null and empty texts and texts of white space have fingerprint 0 and are linked like any
     others. Repeated rows give repeated rows; a null doc_id is never a component's id while
@@ -274,8 +281,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = cut(rooted.join(ids, "root").select("fp", "component_id"), "simhash-ids")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(rooted.join(ids, "root").select("fp", "component_id", "root"), "simhash-ids")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "th", "root")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs``, all columns, per near-duplicate group: the one with the smallest
+    doc_id (of repeated ids the one with the least text hash)."""
+    groups = near_duplicates(docs, **options)
+    keep = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("_kept")).select("_kept"))
+    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"),
+                   _text_hash(F.col("text").cast("string")).alias("th"))
+    out = docs.withColumn("_row", key)
+    return (out.join(cut(keep, "simhash-kept"), F.col("_row").eqNullSafe(F.col("_kept")), "left_semi")
+            .dropDuplicates(["_row"]).drop("_row"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
