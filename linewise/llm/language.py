@@ -28,6 +28,7 @@ ORDERS = 3
 MAX_LANGS = 2000
 FOLDS, HELD_OUT = 4, 2
 _BITS = 21
+_BLANK = 1  # a code point that is no letter
 _PIECE = 1 << 20
 _LETTERS: list[np.ndarray] = []
 
@@ -69,17 +70,18 @@ def _summed(parts) -> tuple[np.ndarray, np.ndarray]:
 
 def _grams(lowered: str, orders: int) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(lowered.encode("utf-32-le", "replace"), np.uint32)
-    x = np.zeros(len(points) + 2, np.int64)  # 0 stands for the blank around words
-    x[1:-1] = np.where(_letters()[points], points, 0)
-    if not x.any():
+    x = np.full(len(points) + 2, _BLANK, np.int64)
+    x[1:-1] = np.where(_letters()[points], points, _BLANK)
+    blank = x == _BLANK
+    if blank.all():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = x[np.concatenate([[True], (x[1:] != 0) | (x[:-1] != 0)])]  # one blank between words
-    found = [x[x != 0]]
+    x = x[np.concatenate([[True], ~(blank[1:] & blank[:-1])])]  # one blank between words
+    found = [x[x != _BLANK]]
     if orders > 1:
         found.append((x[:-1] << _BITS) | x[1:])
     if orders > 2:  # a blank in the middle would join two words
         three = (found[1][:-1] << _BITS) | x[2:]
-        found.append(three[x[1:-1] != 0])
+        found.append(three[x[1:-1] != _BLANK])
     flat = np.sort(np.concatenate(found))
     edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     return flat[edge], np.diff(np.append(edge, len(flat)))

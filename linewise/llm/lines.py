@@ -67,20 +67,21 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, log2_k: int =
     bad = boilerplate(lines, min_sites, log2_k)
     drops = (lines.join(bad, ["h1", "h2"])
              .where(~(F.struct("doc", "pos").eqNullSafe(F.col("first"))))
-             .groupBy("doc").agg(F.collect_set("pos").alias("_drop")))
+             .groupBy(F.col("doc").alias("_lw_of")).agg(F.collect_set("pos").alias("_lw_drop")))
     text = F.col("text").cast("string")
     key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"),
                    F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
-    out = docs.withColumn("_doc", key).join(drops, F.col("_doc").eqNullSafe(F.col("doc")), "left")
+    out = docs.withColumn("_lw_doc", key).join(
+        drops, F.col("_lw_doc").eqNullSafe(F.col("_lw_of")), "left")
     parts = F.split(text, "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drop")),
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_lw_drop")),
                        lambda i: F.get(parts, i))
     n_lines = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"),
                               lambda ln: ln.rlike(r"[^\x20\x09-\x0D]"))).cast("bigint")
     return (out.withColumn("_n_lines", n_lines)
-            .withColumn("_n_removed", F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint"))
-            .withColumn("text", F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(kept, "\n")))
-            .drop("_doc", "doc", "_drop"))
+            .withColumn("_n_removed", F.coalesce(F.size("_lw_drop"), F.lit(0)).cast("bigint"))
+            .withColumn("text", F.when(F.col("_lw_drop").isNull(), text).otherwise(F.array_join(kept, "\n")))
+            .drop("_lw_doc", "_lw_of", "_lw_drop"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,12 +290,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     doc_id (of repeated ids the one with the least text hash)."""
     groups = near_duplicates(docs, **options)
     keep = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("_kept")).select("_kept"))
+            .groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("_lw_kept")).select("_lw_kept"))
     key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"),
                    _text_hash(F.col("text").cast("string")).alias("th"))
-    out = docs.withColumn("_row", key)
-    return (out.join(cut(keep, "simhash-kept"), F.col("_row").eqNullSafe(F.col("_kept")), "left_semi")
-            .dropDuplicates(["_row"]).drop("_row"))
+    out = docs.withColumn("_lw_row", key)
+    return (out.join(cut(keep, "simhash-kept"), F.col("_lw_row").eqNullSafe(F.col("_lw_kept")), "left_semi")
+            .dropDuplicates(["_lw_row"]).drop("_lw_row"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
