@@ -1,10 +1,12 @@
 """Reference-path scalar functions (D1-D9), all plain Column expressions (JVM side).
 
-A path is a dotted / subscripted reference such as ``a``, ``a.b.c``, ``m[0][1]`` or
-``df['c2'].apply``. It splits into segments: a leading identifier, then ``.name`` or
-``[...]`` parts (one level of nested brackets inside a subscript is allowed). Prefixes
-are taken on segment boundaries, so ``a.b`` is a prefix of ``a.b.c`` but not of ``a.bc``.
-Names used *inside* a subscript (the ``i`` of ``d[i]``) are not prefixes.
+A path is a reference such as ``a``, ``a.b.c``, ``m[0][1]``, ``df['c2'].apply(f(x)).y``. It
+splits into segments: a leading identifier, then ``.name``, ``[...]`` or ``(...)`` parts.
+Brackets nest to any depth, quotes inside them hide brackets, identifiers are Unicode
+letters, digits and ``_``. Prefixes are taken on segment boundaries, so ``a.b`` is a prefix
+of ``a.b.c`` but not of ``a.bc``. Names used *inside* brackets (the ``i`` of ``d[i]``) are not
+prefixes. A text that is no path (blanks or operators outside brackets, unbalanced
+brackets, an open quote) has NULL segments, hence NULL prefixes, base, parent and depth.
 """
 
 from __future__ import annotations
@@ -12,34 +14,74 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: segment pattern (Java regex). Identifier, attribute, or subscript.
-SEGMENT = r"[A-Za-z_][A-Za-z0-9_]*|\.[A-Za-z_][A-Za-z0-9_]*|\[(?:[^\[\]]|\[[^\[\]]*\])*\]"
-BASE = r"^[A-Za-z_][A-Za-z0-9_]*"
+_NAME = r"[\p{L}_][\p{L}\p{M}\p{N}_]*"
+#: Paths whose brackets hold neither brackets nor quotes: a regular expression splits them.
+_PLAIN = rf"^{_NAME}(\.{_NAME}|\[[^\[\](){{}}'\"]*\]|\([^\[\](){{}}'\"]*\))*$"
+_PLAIN_SEGMENT = rf"{_NAME}|\.{_NAME}|\[[^\]]*\]|\([^)]*\)"
 
 
 def _c(p) -> Column:
     return F.col(p) if isinstance(p, str) else p
 
 
+def _scan_segments(path: Column) -> Column:
+    """Segments by a scan over the characters that tracks bracket depth and quotes."""
+    text, quote, ok = "text", "quote", "ok"
+
+    def state(segs, cur, depth, q, esc, good):
+        return F.struct(segs.alias("segs"), cur.alias(text), depth.cast("int").alias("depth"),
+                        q.alias(quote), esc.alias("esc"), good.alias(ok))
+
+    def flushed(s):
+        return F.when(s[text] != "", F.concat(s["segs"], F.array(s[text]))).otherwise(s["segs"])
+
+    def step(s, ch):
+        cur, depth = s[text], s["depth"]
+        add = F.concat(cur, ch)
+        in_quote = s[quote] != ""
+        opens, closes = ch.isin("[", "(", "{"), ch.isin("]", ")", "}")
+        is_quote = ch.isin("'", '"')
+        ends = in_quote & (ch == s[quote]) & ~s["esc"]
+        top = ~in_quote & (depth == 0)
+        new_seg = top & (opens | (ch == "."))
+        close_seg = ~in_quote & closes & (depth == 1)
+        name = ch.rlike(r"[\p{L}\p{M}\p{N}_]")
+        good = s[ok] & F.when(~top, F.lit(True)).when(closes | is_quote | (ch == "{"), F.lit(False)) \
+            .when(opens, (cur != "") | (F.size(s["segs"]) > 0)) \
+            .when(ch == ".", (cur != "") | (F.size(s["segs"]) > 0)) \
+            .otherwise(name & ((cur != "") | (F.size(s["segs"]) == 0)))
+        return state(
+            F.when(new_seg, flushed(s)).when(close_seg, F.concat(s["segs"], F.array(add))).otherwise(s["segs"]),
+            F.when(new_seg, ch).when(close_seg, F.lit("")).otherwise(add),
+            depth + F.when(in_quote, 0).when(opens, 1).when(closes, -1).otherwise(0),
+            F.when(ends, F.lit("")).when(~in_quote & is_quote, ch).otherwise(s[quote]),
+            in_quote & (ch == "\\") & ~s["esc"], good)
+
+    def finish(s):
+        segs = flushed(s)
+        names = F.forall(segs, lambda x: x.rlike(rf"^(\.?{_NAME}|[\[(].*)$") | x.rlike(r"(?s)^[\[(]"))
+        return F.when(s[ok] & (s["depth"] == 0) & (s[quote] == "") & (F.size(segs) > 0) & names, segs)
+
+    zero = state(F.array().cast("array<string>"), F.lit(""), F.lit(0), F.lit(""), F.lit(False), F.lit(True))
+    return F.aggregate(F.split(path, ""), zero, lambda s, ch: F.when(ch == "", s).otherwise(step(s, ch)), finish)
+
+
 def path_segments(p) -> Column:
-    return F.regexp_extract_all(_c(p), F.lit(SEGMENT), 0)
+    path = _c(p)
+    return F.when(path.rlike(_PLAIN), F.regexp_extract_all(path, F.lit(_PLAIN_SEGMENT), 0)) \
+        .when(path.isNotNull(), _scan_segments(path))
 
 
 def path_prefixes(p, exclude_full: bool = False) -> Column:
     """All prefixes, shortest first (the full path last unless excluded)."""
     segs = path_segments(p)
-    n = F.size(segs)
-    full = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                       lambda i: F.array_join(F.slice(segs, 1, i), ""))
-    full = F.when(n > 0, full).otherwise(F.array().cast("array<string>"))
-    if exclude_full:
-        return F.slice(full, 1, F.greatest(n - 1, F.lit(0)))
-    return full
+    keep = F.size(segs) - 1 if exclude_full else F.size(segs)
+    return F.transform(F.slice(segs, 1, keep), lambda _, i: F.array_join(F.slice(segs, 1, i + 1), ""))
 
 
 def path_base(p) -> Column:
     """Leading identifier."""
-    return F.regexp_extract(_c(p), BASE, 0)
+    return F.get(path_segments(p), 0)
 
 
 def path_prefixes_with_depth(p) -> Column:
@@ -65,10 +107,18 @@ def is_prefix_of(p, q) -> Column:
     return F.array_contains(path_prefixes(q), _c(p))
 
 
+_TOKEN = (r"(?s)'(?:[^'\\]|\\.)*'" r'|"(?:[^"\\]|\\.)*"' r"|\s+|[\p{L}\p{M}\p{N}_]+|.")
+
+
 def canonical_ref(text) -> Column:
-    """Trim, then drop whitespace outside single or double quotes."""
-    t = F.trim(_c(text))
-    return F.regexp_replace(t, r"\s+(?=(?:[^'\"]*['\"][^'\"]*['\"])*[^'\"]*$)", "")
+    """The tokens of a statement without the blanks between them. A blank between two
+    words (``a in b``, ``not x``) stays as one blank; quoted text keeps its blanks."""
+    tokens = F.regexp_extract_all(F.trim(_c(text)), F.lit(_TOKEN), 0)
+    word = r"^[\p{L}\p{M}\p{N}_]"
+    return F.array_join(F.transform(tokens, lambda t, i: F.when(
+        t.rlike(r"^\s+$"),
+        F.when(F.get(tokens, i - 1).rlike(word) & F.get(tokens, i + 1).rlike(word), F.lit(" ")).otherwise(F.lit("")))
+        .otherwise(t)), "")
 
 
 def imported_name(name, alias) -> Column:
@@ -76,20 +126,27 @@ def imported_name(name, alias) -> Column:
     return F.coalesce(_c(alias), _c(name))
 
 
+def _prefixes_or_self(p, exclude_full: bool = False) -> Column:
+    """Prefixes of a path; of a text that is no path, the text itself (or nothing)."""
+    whole = F.array().cast("array<string>") if exclude_full else F.array(_c(p))
+    return F.coalesce(path_prefixes(p, exclude_full), whole)
+
+
+def _list(c) -> Column:
+    return F.coalesce(_c(c), F.array().cast("array<string>"))
+
+
 def statement_reads(targets, rhs_refs, is_augmented=None) -> Column:
     """D8 (+E10): reads of an assignment: the right-hand references with their
     prefixes, the proper prefixes of every target, and the full target when augmented."""
-    rhs = F.flatten(F.transform(F.coalesce(_c(rhs_refs), F.array().cast("array<string>")),
-                                lambda r: path_prefixes(r)))
-    tg = F.coalesce(_c(targets), F.array().cast("array<string>"))
-    lhs = F.flatten(F.transform(tg, lambda t: path_prefixes(t, exclude_full=True)))
+    rhs = F.flatten(F.transform(_list(rhs_refs), lambda r: _prefixes_or_self(r)))
+    lhs = F.flatten(F.transform(_list(targets), lambda t: _prefixes_or_self(t, exclude_full=True)))
     out = F.concat(rhs, lhs)
     if is_augmented is not None:
-        out = F.concat(out, F.when(_c(is_augmented), tg).otherwise(F.array().cast("array<string>")))
+        out = F.concat(out, F.when(_c(is_augmented), _list(targets)).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(out)
 
 
 def statement_writes(targets) -> Column:
     """Writing a path writes all its prefixes; sorted, distinct."""
-    tg = F.coalesce(_c(targets), F.array().cast("array<string>"))
-    return F.sort_array(F.array_distinct(F.flatten(F.transform(tg, lambda t: path_prefixes(t)))))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(_list(targets), lambda t: _prefixes_or_self(t)))))

@@ -7,21 +7,18 @@ enclosing (test, arm) pairs outermost first (E14).
 * E1 straight-line reaching writer and E9 undefined reads are as-of lookups (chunked
   scans keyed by (unit, scope, key)).
 * E2/E3 try the most specific prefix that has a writer; stores may imply their prefixes.
-* E4/E5 branch isolation and sound merges: candidates (w before r, same key, not in
-  sibling arms) minus those with a killer in between. The candidate and killer joins are
-  equi-joins on (unit, scope, key, segment), where a segment starts at every
-  unconditional write (which kills all earlier writers), so only pairs inside one
-  segment are ever formed.
+* E4/E5 branch isolation and sound merges: per context and key, the last killing item
+  before a read and the non-killing blocks after it, by number; only output pairs form.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewise.functions.paths import path_prefixes_with_depth, statement_writes
+from linewise.functions.paths import imported_name, path_prefixes_with_depth, statement_writes
 from linewise.plans.materialize import cut
-from linewise.plans.scan import count_and_last, last_before, running_sum
+from linewise.plans.scan import count_and_last, last_before
 
 KEYS = ["unit_id", "scope_id", "key"]
 
@@ -30,6 +27,21 @@ def _chunk(seq: str = "seq", bits: int = 20) -> Column:
     return F.shiftright(F.col(seq).cast("bigint"), bits)
 
 
+def with_accesses(facts: DataFrame) -> DataFrame:
+    """Fill ``loads`` and ``stores`` from the statement's own fields: an assignment stores its
+    targets, an augmented one reads them too (E10), an import stores the name it binds
+    (E11, D7: ``targets`` holds the alias if any, ``rhs_refs`` the module), every other
+    statement only reads (E12)."""
+    none = F.array().cast("array<string>")
+    targets, refs = F.coalesce("targets", none), F.coalesce("rhs_refs", none)
+    bound = F.array(imported_name(F.get(refs, 0), F.get(targets, 0)))
+    kind = F.col("kind")
+    return facts.withColumns({
+        "loads": F.when(kind == "import", none).when(
+            (kind == "assign") & F.coalesce("is_augmented", F.lit(False)), F.array_union(refs, targets)).otherwise(refs),
+        "stores": F.when(kind == "import", bound).when(kind == "assign", targets).otherwise(none)})
+
+
 def _stores(facts: DataFrame, over_approximate: bool = False, mutating_calls: bool = False) -> Column:
     st = F.coalesce("stores", F.array().cast("array<string>"))
     if mutating_calls:   # E13: a bare call counts as writing what it names
@@ -91,20 +103,6 @@ def reaching_specific(facts: DataFrame, over_approximate: bool = True) -> DataFr
                        F.col("b.key").alias("via"))
 
 
-def _is_prefix(a: Column, b: Column) -> Column:
-    return (F.size(a) <= F.size(b)) & (F.slice(b, 1, F.size(a)) == a)
-
-
-def _siblings(wp: Column, rp: Column) -> Column:
-    """Some block holds w in one arm and r in the other."""
-    n = F.least(F.size(wp), F.size(rp))
-    return F.when(n == 0, F.lit(False)).otherwise(F.exists(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: (F.element_at(wp, i)["ctl_id"] == F.element_at(rp, i)["ctl_id"])
-                  & (F.element_at(wp, i)["arm"] != F.element_at(rp, i)["arm"])
-                  & (F.slice(wp, 1, i - 1) == F.slice(rp, 1, i - 1))))
-
-
 def must_writes(facts: DataFrame, writes: DataFrame, max_depth: int) -> DataFrame:
     """E5 step 1: a pseudo-write at the end of every block where both arms must write a
     key (directly in the arm, or through a nested block's pseudo-write), bottom-up."""
@@ -112,7 +110,9 @@ def must_writes(facts: DataFrame, writes: DataFrame, max_depth: int) -> DataFram
     cur = writes.select("unit_id", "scope_id", "key", "seq", "bp")
     pseudo_all = None
     for level in range(max_depth, 0, -1):
-        at = cur.filter(F.size("bp") == level).select(
+        # a loop body may run no time: loops merge, they never kill
+        at = cur.filter((F.size("bp") == level)
+                        & (F.coalesce(F.element_at("bp", level)["kind"], F.lit("if")) != "loop")).select(
             "unit_id", "scope_id", "key", F.slice("bp", 1, level - 1).alias("parent"),
             F.element_at("bp", level)["ctl_id"].alias("ctl"), F.element_at("bp", level)["arm"].alias("arm"))
         both = at.groupBy("unit_id", "scope_id", "parent", "ctl", "key").agg(
@@ -122,7 +122,7 @@ def must_writes(facts: DataFrame, writes: DataFrame, max_depth: int) -> DataFram
                              F.element_at("bp", level)["ctl_id"].alias("ctl"), "seq")
                      .groupBy("unit_id", "scope_id", "parent", "ctl").agg(F.max("seq").alias("end_seq")))
         pseudo = both.join(ends, ["unit_id", "scope_id", "parent", "ctl"]).select(
-            "unit_id", "scope_id", "key", (F.col("end_seq") + F.lit(0.5)).alias("seq"),
+            "unit_id", "scope_id", "key", F.col("end_seq").alias("seq"),
             F.col("parent").alias("bp"), F.col("ctl").alias("block_ctl"))
         pseudo = cut(pseudo, "must_writes")
         pseudo_all = pseudo if pseudo_all is None else pseudo_all.unionByName(pseudo)
@@ -130,52 +130,6 @@ def must_writes(facts: DataFrame, writes: DataFrame, max_depth: int) -> DataFram
     return pseudo_all
 
 
-def reaching_branches_by_pairs(facts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """E4/E5 by candidates minus killers (the recipe of the survey). Correct, but the
-    candidate join forms every (write, read) pair of a segment; kept as a cross-check
-    for :func:`reaching_branches`, which forms output pairs only."""
-    # the facts feed the depth probe, the must-write rounds and the accesses: write once
-    f = cut(facts.withColumn("bp", F.coalesce("branch_path", F.array().cast(facts.schema["branch_path"].dataType))),
-            "facts")
-    if max_depth is None:
-        max_depth = f.agg(F.max(F.size("bp"))).first()[0] or 0
-    acc = accesses(f.drop("branch_path").withColumnRenamed("bp", "branch_path")) \
-        .withColumnRenamed("branch_path", "bp").withColumn("seq", F.col("seq").cast("double"))
-    writes = acc.filter(F.col("_w"))
-    pseudo = must_writes(f, writes, max_depth) if max_depth > 0 else None
-    kill_rows = writes.select("unit_id", "scope_id", "key", "seq", "bp", "stmt_id",
-                              F.lit(None).cast("bigint").alias("block_ctl"))
-    if pseudo is not None:
-        kill_rows = kill_rows.unionByName(pseudo.withColumn("stmt_id", F.lit(None).cast("bigint")))
-    # segment = number of unconditional real writes so far (inclusive for the write itself)
-    opens = ((F.size("bp") == 0) & F.col("stmt_id").isNotNull() & F.col("_w")).cast("int")
-    rows = (acc.select("unit_id", "scope_id", "key", "seq", "bp", "stmt_id", "_w",
-                       F.lit(None).cast("bigint").alias("block_ctl"))
-               .unionByName(kill_rows.filter(F.col("stmt_id").isNull())
-                                     .withColumn("_w", F.lit(True))))
-    rows = running_sum(rows, KEYS, ["seq", F.col("_w").cast("int")], opens, "seg",
-                       F.floor(F.col("seq") / (1 << 20)).cast("bigint"))
-    rows = cut(rows, "reaching_rows")
-    r = rows.filter(~F.col("_w")).select(*KEYS, "seg", F.col("seq").alias("r_seq"), F.col("bp").alias("r_bp"),
-                                         F.col("stmt_id").alias("dst"))
-    w = rows.filter(F.col("_w") & F.col("stmt_id").isNotNull()).select(
-        *KEYS, "seg", F.col("seq").alias("w_seq"), F.col("bp").alias("w_bp"), F.col("stmt_id").alias("src"))
-    k = rows.filter(F.col("_w")).select(*KEYS, "seg", F.col("seq").alias("k_seq"), F.col("bp").alias("k_bp"),
-                                        "block_ctl")
-    cand = (r.join(w, KEYS + ["seg"])
-             .filter((F.col("w_seq") < F.col("r_seq")) & ~_siblings(F.col("w_bp"), F.col("r_bp"))))
-    inside_own_block = (F.col("block_ctl").isNotNull() & (F.size("w_bp") > F.size("k_bp"))
-                        & _is_prefix(F.col("k_bp"), F.col("w_bp"))
-                        & (F.element_at("w_bp", F.size("k_bp") + 1)["ctl_id"] == F.col("block_ctl")))
-    killed = (cand.alias("c").join(k.alias("k"), KEYS + ["seg"])
-                  .filter((F.col("k_seq") > F.col("w_seq")) & (F.col("k_seq") < F.col("r_seq"))
-                          & (_is_prefix(F.col("k_bp"), F.col("r_bp")) | _is_prefix(F.col("k_bp"), F.col("w_bp")))
-                          & ~inside_own_block)
-                  .select(*KEYS, "dst", "src", "r_seq", "w_seq"))
-    live = cand.join(killed, KEYS + ["dst", "src", "r_seq", "w_seq"], "left_anti")
-    return live.select("unit_id", "src", "dst", "key").distinct()
-
-
 def control_edges(facts: DataFrame) -> DataFrame:
     """Each statement depends on the test of its innermost enclosing block."""
     bp = F.coalesce("branch_path", F.array())
@@ -184,27 +138,33 @@ def control_edges(facts: DataFrame) -> DataFrame:
                          F.element_at(bp, -1)["arm"].alias("arm"), "stmt_id"))
 
 
-def loop_edges(facts: DataFrame) -> DataFrame:
-    """Back-edge of a loop: the loop test depends on the last write of each key in
-    the loop body (the innermost enclosing block is read as the loop)."""
-    bp = F.coalesce("branch_path", F.array())
-    w = facts.filter(F.size(bp) > 0).select(
-        "unit_id", "scope_id", F.element_at(bp, -1)["ctl_id"].alias("ctl_id"), "seq", "stmt_id",
-        F.explode(_stores(facts)).alias("key"))
-    return (w.groupBy("unit_id", "scope_id", "ctl_id", "key")
-             .agg(F.max_by("stmt_id", "seq").alias("src"))
-             .select("unit_id", "ctl_id", "src", "key"))
+# positions of the output-sensitive form are (seq, rank) pairs, exact for any seq:
+# statements have rank 0; a block's end item comes just after its last statement, an
+# arm-end query after that, a block-start query just before its first statement
+_START, _AT, _END, _ARM_END = -1, 0, 1, 2
+_PART_BITS = 16   # numbers of blocks are expanded in parts of 2**16
 
 
-# positions of the output-sensitive form: statements sit at their seq; a block's end item
-# just after its last statement, an arm-end query after that, a block-start query just
-# before its first statement
-_END, _ARM_END, _START = 0.4, 0.45, -0.4
+def _pos(seq: Column, rank: int) -> Column:
+    return F.struct(seq.alias("seq"), F.lit(rank).alias("rank"))
 
 
-def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Branch-aware reaching writers, ``(unit_id, src, dst, key)``, forming only
-    output pairs.
+def _with_path(facts: DataFrame) -> DataFrame:
+    bp_t = facts.schema["branch_path"].dataType
+    return cut(facts.withColumn("bp", F.coalesce("branch_path", F.array().cast(bp_t))), "facts")
+
+
+def reaching_branches(facts: DataFrame) -> DataFrame:
+    """Branch-aware reaching writers of every read, ``(unit_id, src, dst, key)``."""
+    f = _with_path(facts)
+    reads = f.select("unit_id", "scope_id", F.explode(F.array_distinct("loads")).alias("key"), "seq",
+                     F.lit(_AT).alias("rank"), "bp", F.col("stmt_id").alias("dst"))
+    return _resolve(f, reads)
+
+
+def _resolve(f: DataFrame, reads: DataFrame) -> DataFrame:
+    """Branch-aware reaching writers of ``reads`` (at position (seq, rank) of the path bp)
+    among the statements ``f``, forming only output pairs.
 
     Per context (the path of an arm; [] at top level) the items are the real writes
     directly in it (they kill everything earlier) and the nested blocks, placed at their
@@ -217,18 +177,11 @@ def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFra
     depth; a read whose own context has no killing item continues at the start of its
     enclosing block one level out.
     """
-    bp_t = facts.schema["branch_path"].dataType
-    f = cut(facts.withColumn("bp", F.coalesce("branch_path", F.array().cast(bp_t))), "facts")
-    if max_depth is None:
-        max_depth = f.agg(F.max(F.size("bp"))).first()[0] or 0
-    acc = accesses(f.drop("branch_path").withColumnRenamed("bp", "branch_path")) \
-        .withColumnRenamed("branch_path", "bp")
-    reads = acc.filter(~F.col("_w")).select(
-        "unit_id", "scope_id", "key", F.col("seq").cast("double").alias("seq"), "bp",
-        F.col("stmt_id").alias("dst"))
-    writes = acc.filter(F.col("_w")).select("unit_id", "scope_id", "key", F.col("seq").cast("double").alias("seq"),
-                                            "bp", "stmt_id")
-    stmts = f.select("unit_id", "scope_id", F.col("seq").cast("double").alias("seq"), "bp")
+    bp_t = f.schema["bp"].dataType
+    max_depth = f.agg(F.max(F.size("bp"))).first()[0] or 0
+    writes = accesses(f.drop("branch_path").withColumnRenamed("bp", "branch_path")).filter(F.col("_w")).select(
+        "unit_id", "scope_id", "key", "seq", F.col("branch_path").alias("bp"), "stmt_id")
+    stmts = f.select("unit_id", "scope_id", "seq", "bp")
     # blocks: (unit, scope, parent context, ctl) with first / last statement
     blocks = None
     for d in range(1, max_depth + 1):
@@ -247,24 +200,24 @@ def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFra
     # read queries at every level: level n at the read, level l < n at the start of the
     # enclosing block of depth l + 1
     levels = reads.select("*", F.explode(F.sequence(F.lit(0), F.size("bp"))).alias("lvl"))
-    levels = levels.select("unit_id", "scope_id", "key", "dst", "seq", "lvl",
+    levels = levels.select("unit_id", "scope_id", "key", "dst", F.struct("seq", "rank").alias("own"), "lvl",
                            F.slice("bp", 1, "lvl").alias("ctx"),
                            F.when(F.col("lvl") < F.size("bp"), F.element_at("bp", F.col("lvl") + 1)["ctl_id"])
                             .alias("inner_ctl"), F.size("bp").alias("n"))
     if blocks is not None:
         starts = blocks.select("unit_id", "scope_id", "ctx", F.col("ctl").alias("inner_ctl"),
-                               (F.col("first") + _START).alias("start"))
+                               _pos(F.col("first"), _START).alias("start"))
         levels = levels.join(starts, ["unit_id", "scope_id", "ctx", "inner_ctl"], "left")
-        levels = levels.withColumn("pos", F.when(F.col("lvl") == F.col("n"), F.col("seq")).otherwise(F.col("start")))
+        levels = levels.withColumn("pos", F.when(F.col("lvl") == F.col("n"), F.col("own")).otherwise(F.col("start")))
     else:
-        levels = levels.withColumn("pos", F.col("seq"))
+        levels = levels.withColumn("pos", F.col("own"))
     levels = cut(levels.select("unit_id", "scope_id", "key", "dst", "lvl", "ctx", "pos"), "reaching_levels")
 
     exits = None      # (unit, scope, key, ctx=parent, ctl) -> src  (exit set of a block)
     found = []        # per level: (unit, scope, key, dst, lvl, has_kill, src)
     for d in range(max_depth, -1, -1):
         items = writes.filter(F.size("bp") == d).select(
-            "unit_id", "scope_id", "key", F.col("bp").alias("ctx"), F.col("seq").alias("pos"),
+            "unit_id", "scope_id", "key", F.col("bp").alias("ctx"), _pos(F.col("seq"), _AT).alias("pos"),
             F.lit(True).alias("kill"), F.col("stmt_id").alias("w"), F.lit(None).cast("bigint").alias("ctl"))
         if exits is not None:
             child = (exits.select("unit_id", "scope_id", "key", "ctx", "ctl").distinct()
@@ -273,7 +226,7 @@ def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFra
                                 ["unit_id", "scope_id", "ctx", "ctl"]))
             child = child.join(kills, ["unit_id", "scope_id", "key", "ctx", "ctl"], "left")
             items = items.unionByName(child.select(
-                "unit_id", "scope_id", "key", "ctx", (F.col("last") + _END).alias("pos"),
+                "unit_id", "scope_id", "key", "ctx", _pos(F.col("last"), _END).alias("pos"),
                 F.coalesce("both", F.lit(False)).alias("kill"), F.lit(None).cast("bigint").alias("w"), "ctl"))
         queries = levels.filter(F.col("lvl") == d).select(
             "unit_id", "scope_id", "key", "ctx", "pos", F.col("dst").alias("q_dst"),
@@ -286,7 +239,7 @@ def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFra
             arm_q = (arm_keys.withColumn("q_parent", F.slice("ctx", 1, d - 1))
                              .withColumn("q_ctl", F.element_at("ctx", d)["ctl_id"])
                              .join(ends, ["unit_id", "scope_id", "q_parent", "q_ctl"])
-                             .select("unit_id", "scope_id", "key", "ctx", (F.col("last") + _ARM_END).alias("pos"),
+                             .select("unit_id", "scope_id", "key", "ctx", _pos(F.col("last"), _ARM_END).alias("pos"),
                                      F.lit(None).cast("bigint").alias("q_dst"), "q_ctl", "q_parent"))
             queries = queries.unionByName(arm_q)
         rows = (items.select("unit_id", "scope_id", "key", "ctx", "pos", F.lit(1).alias("_t"), "kill", "w", "ctl",
@@ -297,7 +250,7 @@ def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFra
                                                  F.lit(None).cast("bigint").alias("ctl"), "q_dst", "q_ctl", "q_parent")))
         ckeys = ["unit_id", "scope_id", "key", "ctx"]
         order = ["pos", "_t"]
-        chunk = F.shiftright(F.floor("pos").cast("bigint"), 20)
+        chunk = _chunk("pos.seq")
         is_item, is_kill = F.col("_t") == 1, (F.col("_t") == 1) & F.col("kill")
         # nk numbers the non-killing blocks of a context; the killer carries the nk at
         # its own position, so a query's blocks are exactly killer.nk + 1 .. nk
@@ -313,8 +266,12 @@ def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFra
             "unit_id", "scope_id", "key", "ctx", "q_dst", "q_ctl", "q_parent",
             F.col("killer.v.w").alias("w"), F.col("killer.v.ctl").alias("ctl"))
         by_block = (q.filter(F.col("nk") >= F.col("lo"))
-                     .select(*ckeys, "q_dst", "q_ctl", "q_parent",
-                             F.explode(F.sequence(F.col("lo"), F.col("nk"))).alias("idx"))
+                     .select(*ckeys, "q_dst", "q_ctl", "q_parent", "lo", "nk",
+                             F.explode(F.sequence(F.shiftright("lo", _PART_BITS),
+                                                  F.shiftright("nk", _PART_BITS))).alias("part"))
+                     .select(*ckeys, "q_dst", "q_ctl", "q_parent", F.explode(F.sequence(
+                         F.greatest("lo", F.shiftleft("part", _PART_BITS)),
+                         F.least("nk", F.shiftleft(F.col("part") + 1, _PART_BITS) - 1))).alias("idx"))
                      .join(nonkill, ckeys + ["idx"])
                      .select("unit_id", "scope_id", "key", "ctx", "q_dst", "q_ctl", "q_parent",
                              F.lit(None).cast("bigint").alias("w"), "ctl"))
@@ -340,9 +297,30 @@ def reaching_branches(facts: DataFrame, max_depth: int | None = None) -> DataFra
     allf = found[0]
     for x in found[1:]:
         allf = allf.unionByName(x)
-    # a read stops at the innermost level that has a killer (one window per read; its rows
-    # are that read's own contributions, at most one marker per level)
-    per_read = Window.partitionBy("unit_id", "scope_id", "key", "dst")
-    allf = allf.withColumn("stop", F.max(F.when(F.col("src").isNull(), F.col("lvl"))).over(per_read))
-    return (allf.filter(F.col("src").isNotNull() & (F.col("stop").isNull() | (F.col("lvl") >= F.col("stop"))))
+    # a read stops at the innermost level that has a killer
+    read = ["unit_id", "scope_id", "key", "dst"]
+    allf = cut(allf, "reaching_found")
+    stops = allf.filter(F.col("src").isNull()).groupBy(*read).agg(F.max("lvl").alias("stop"))
+    return (allf.filter(F.col("src").isNotNull()).join(stops, read, "left")
+                .filter(F.col("stop").isNull() | (F.col("lvl") >= F.col("stop")))
                 .select("unit_id", "src", "dst", "key").distinct())
+
+
+def loop_edges(facts: DataFrame) -> DataFrame:
+    """Back-edges of loops. The test of a loop (block kind ``loop``; the statement whose
+    stmt_id is the block's ctl_id) runs again after the body, so it also depends on the
+    writers of the keys it reads that reach the body's end from inside the body. Plain
+    ``if`` blocks have none."""
+    f = _with_path(facts)
+    inside = f.select("unit_id", "scope_id", "seq", "bp", F.posexplode("bp").alias("d", "block")) \
+        .where("block.kind = 'loop' AND block.arm = 'T'")
+    ends = inside.groupBy("unit_id", "scope_id", F.col("block.ctl_id").alias("dst"),
+                          F.slice("bp", 1, F.col("d") + 1).alias("bp")).agg(F.max("seq").alias("seq"))
+    tests = f.select("unit_id", "scope_id", F.col("stmt_id").alias("dst"),
+                     F.explode(F.array_distinct("loads")).alias("key"))
+    again = ends.join(tests, ["unit_id", "scope_id", "dst"]).select(
+        "unit_id", "scope_id", "key", "seq", F.lit(_ARM_END).alias("rank"), "bp", "dst")
+    body = f.select("unit_id", F.col("stmt_id").alias("src"), F.explode("bp").alias("block")).select(
+        "unit_id", "src", F.col("block.ctl_id").alias("dst")).distinct()
+    return (_resolve(f, again).join(body, ["unit_id", "src", "dst"], "left_semi")
+            .select("unit_id", F.col("dst").alias("ctl_id"), "src", "key"))

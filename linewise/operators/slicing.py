@@ -1,10 +1,15 @@
 """F: node selection, forward / backward slices, induced subgraphs, impact.
 
-A slice is computed for many seeds at once by an iterative frontier: each round joins the
-frontier to the edges on ``(run_id, node)``, removes what the seed has already visited
-(anti join), and writes the new frontier under the checkpoint folder, so every round
-starts from files and the plan never grows. The loop stops on an empty frontier; it also
-terminates on cyclic (static) graphs because visited nodes never re-enter. ``WITH
+A slice is computed for many seeds at once by an iterative frontier over the *contracted*
+graph. Runs of nodes with one way in and one way out (a loop doing ``x = x + 1`` a billion
+times is such a run) are contracted first by pointer jumping: one pointer per node, doubled
+each round, so a run of n nodes takes log2(n) rounds and tables stay linear in the nodes.
+The frontier then steps over whole runs; their members are joined back at the end.
+
+Each round joins the frontier to the edges on ``(run_id, node)``, removes what the seed
+has visited (anti join), and writes the new frontier under the checkpoint folder, so every
+round starts from files and the plan never grows. The loop stops on an empty frontier; it
+also ends on cyclic (static) graphs because visited nodes never re-enter. ``WITH
 RECURSIVE`` is not used: Spark accepts only ``UNION ALL`` there, which enumerates paths.
 The driver only learns whether a frontier is empty (one row at most).
 """
@@ -31,13 +36,38 @@ def reverse(edges: DataFrame) -> DataFrame:
         c for c in edges.columns if c not in ("run_id", "src", "dst")])
 
 
-def slices(edges: DataFrame, seeds: DataFrame, direction: str = "backward",
-           max_rounds: int | None = None, hops_per_round: int = 8) -> DataFrame:
+def _chains(step: DataFrame) -> DataFrame | None:
+    """``(run_id, node_id, tail, hops, end_id)`` for every node inside a run of nodes with
+    one way in and one way out: the run's last such node, the hops to it, and the node
+    after it. Nodes on a cycle of such nodes have no tail and are left out."""
+    ins = step.groupBy("run_id", F.col("next_id").alias("node_id")).agg(F.count("*").alias("n_in"))
+    outs = step.groupBy("run_id", "node_id").agg(F.count("*").alias("n_out"), F.min("next_id").alias("next_id"))
+    inner = cut(outs.join(ins, ["run_id", "node_id"]).filter("n_in = 1 AND n_out = 1")
+                .select("run_id", "node_id", "next_id"), "chain_nodes")
+    followed = inner.select("run_id", F.col("node_id").alias("next_id"), F.lit(True).alias("more"))
+    # tail: itself where the next node is outside, else still open
+    state = cut(inner.join(followed, ["run_id", "next_id"], "left").select(
+        "run_id", "node_id", F.when(F.col("more"), F.col("next_id")).otherwise(F.col("node_id")).alias("tail"),
+        F.when(F.col("more"), 1).otherwise(0).cast("bigint").alias("hops"),
+        F.coalesce("more", F.lit(False)).alias("open")), "chain_pointers")
+    n = state.count()
+    jumps = 1
+    while jumps <= n and not state.filter("open").isEmpty():
+        to = state.select("run_id", F.col("node_id").alias("tail"), F.col("tail").alias("t2"),
+                          F.col("hops").alias("h2"), F.col("open").alias("o2"))
+        state = cut(state.join(to, ["run_id", "tail"]).select(
+            "run_id", "node_id", F.col("t2").alias("tail"), (F.col("hops") + F.col("h2")).alias("hops"),
+            F.col("o2").alias("open")), "chain_pointers")
+        jumps *= 2
+    if not n:
+        return None
+    ends = inner.select("run_id", F.col("node_id").alias("tail"), F.col("next_id").alias("end_id"))
+    return cut(state.filter("NOT open").join(ends, ["run_id", "tail"]), "chains")
+
+
+def slices(edges: DataFrame, seeds: DataFrame, direction: str = "backward", hops_per_round: int = 4) -> DataFrame:
     """``(run_id, seed, node_id)`` for every node reachable from each seed
-    (the seed included). ``seeds`` has ``run_id`` and ``seed`` columns.
-
-    Each round expands ``hops_per_round`` hops (distinct after every hop, so a frontier
-    never exceeds the slice) before the visited anti join and the write."""
+    (the seed included). ``seeds`` has ``run_id`` and ``seed`` columns."""
     if direction == "backward":
         step = edges.select("run_id", F.col("dst").alias("node_id"), F.col("src").alias("next_id"))
     elif direction == "forward":
@@ -45,27 +75,43 @@ def slices(edges: DataFrame, seeds: DataFrame, direction: str = "backward",
     else:
         raise ValueError(f"unknown direction: {direction}")
     step = cut(step.distinct(), "slice_edges")
-    frontier = cut(seeds.select("run_id", "seed", F.col("seed").alias("node_id")).distinct(), "slice_seeds")
+    seeds = cut(seeds.select("run_id", "seed", F.col("seed").alias("node_id")).distinct(), "slice_seeds")
+    chains = _chains(step)
+    if chains is None:
+        return _frontier(step, seeds, hops_per_round)
+    inside = chains.select("run_id", F.col("node_id").alias("next_id"), F.col("end_id").alias("to_id"), "tail")
+    outer = step.join(chains.select("run_id", "node_id"), ["run_id", "node_id"], "left_anti") \
+        .join(inside, ["run_id", "next_id"], "left")
+    outer = cut(outer.select("run_id", "node_id", F.coalesce("to_id", "next_id").alias("next_id"), "tail"),
+                "slice_contracted")
+    placed = cut(seeds.join(chains, ["run_id", "node_id"], "left"), "slice_placed")
+    start = placed.select("run_id", "seed", F.coalesce("end_id", "node_id").alias("node_id")).distinct()
+    met = cut(_frontier(outer.select("run_id", "node_id", "next_id").distinct(), start, hops_per_round), "slice_met")
+    # runs entered from a visited node are visited whole, a seed's own run from the seed on
+    whole = (met.join(outer.filter("tail IS NOT NULL").select("run_id", "node_id", "tail"), ["run_id", "node_id"])
+             .select("run_id", "seed", "tail").join(chains.select("run_id", "tail", "node_id"), ["run_id", "tail"]))
+    own = (placed.filter("tail IS NOT NULL").select("run_id", "seed", "tail", F.col("hops").alias("from"))
+           .join(chains.select("run_id", "tail", "node_id", "hops"), ["run_id", "tail"]).filter("hops <= from"))
+    cols = ["run_id", "seed", "node_id"]
+    return met.select(cols).unionByName(whole.select(cols)).unionByName(own.select(cols)).distinct()
+
+
+def _frontier(step: DataFrame, start: DataFrame, hops_per_round: int) -> DataFrame:
+    frontier = cut(start, "slice_frontier")
     parts = [frontier]
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
-        visited = parts[0] if len(parts) == 1 else _union(parts)
-        hop = frontier
-        reached = None
+    while True:
+        visited = _union(parts)
+        hop, reached = frontier, None
         for _ in range(hops_per_round):
             hop = (hop.join(step, ["run_id", "node_id"])
-                      .select("run_id", "seed", F.col("next_id").alias("node_id"))
-                      .distinct())
+                      .select("run_id", "seed", F.col("next_id").alias("node_id")).distinct())
             reached = hop if reached is None else reached.unionByName(hop)
-        nxt = reached.distinct().join(visited, ["run_id", "seed", "node_id"], "left_anti")
-        frontier = cut(nxt, "slice_frontier")
-        if not frontier.take(1):
-            break
+        frontier = cut(reached.distinct().join(visited, ["run_id", "seed", "node_id"], "left_anti"), "slice_frontier")
+        if frontier.isEmpty():
+            return visited
         parts.append(frontier)
         if len(parts) > COMPACT_EVERY:
             parts = [cut(_union(parts), "slice_visited")]
-    return parts[0] if len(parts) == 1 else _union(parts)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

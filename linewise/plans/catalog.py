@@ -17,6 +17,7 @@ from linewise.operators import reaching as E
 from linewise.operators import scope as B
 from linewise.operators import slicing as S
 from linewise.plans import oracle as O
+from linewise.plans.scan import chunk_of, last_before
 from linewise.sources.adapters import events_trace, lineitem_trace, orders_facts
 from linewise.streaming import live as G
 
@@ -361,27 +362,38 @@ st AS (SELECT run_id, event_id, k,
        FROM trace WHERE kind = 'exec' AND event_type = 'purchase')"""
 
 
-def _statements(spark, sf) -> DataFrame:
-    """Assignments of the events trace: a purchase exec reads its uses and its update
-    writes the most specific path (the last def)."""
+def _executed(spark, sf) -> DataFrame:
+    """Exec events with the most specific path that the update after them writes (NULL: no
+    update). An update belongs to the latest exec of its run and line before it; ids may
+    have gaps."""
     tr = events_trace(spark, sf)
-    ex = tr.filter(F.col("kind") == "exec").select("run_id", "event_id", "uses")
-    up = tr.filter(F.col("kind") == "update").select(
-        "run_id", (F.col("event_id") - 1).alias("event_id"), F.element_at("defs", -1)["name"].alias("target"))
-    return (ex.join(up, ["run_id", "event_id"])
-              .select("run_id", "event_id", F.array("target").alias("targets"),
-                      F.transform("uses", lambda u: u["name"]).alias("rhs_refs")))
+    rows = tr.filter(F.col("kind").isin("exec", "update")).select(
+        "run_id", "event_id", "kind", "lineno", "uses", F.element_at("defs", -1)["name"].alias("target"))
+    owned_by = last_before(rows, ["run_id", "lineno"], ["event_id"], F.col("kind") == "exec", F.col("event_id"),
+                           "of", chunk_of("event_id"))
+    up = owned_by.filter((F.col("kind") == "update") & F.col("of").isNotNull()).groupBy(
+        "run_id", F.col("of").alias("event_id")).agg(F.max_by("target", F.col("event_id")).alias("target"))
+    return rows.filter("kind = 'exec'").drop("target", "kind").join(up, ["run_id", "event_id"], "left")
+
+
+def _statements(spark, sf) -> DataFrame:
+    """Assignments of the events trace: a statement that is followed by an update reads its
+    uses and writes the most specific path (the last def)."""
+    return _executed(spark, sf).filter("target IS NOT NULL").select(
+        "run_id", "event_id", F.array("target").alias("targets"),
+        F.transform("uses", lambda u: u["name"]).alias("rhs_refs"), (F.col("lineno") % 5 == 0).alias("is_augmented"))
 
 
 @register("statement_reads", STMTS + """,
 r AS (SELECT run_id, event_id, concat('v', (k + 1) % 4) AS x FROM st
       UNION SELECT run_id, event_id, concat('v', k % 4) FROM st
-      UNION SELECT run_id, event_id, concat('v', k % 4, '[', k % 3, ']') FROM st)
+      UNION SELECT run_id, event_id, concat('v', k % 4, '[', k % 3, ']') FROM st
+      UNION SELECT run_id, event_id, target FROM st WHERE aug)
 SELECT run_id, event_id, string_agg(x, ',' ORDER BY x) AS reads FROM r GROUP BY ALL""")
 def statement_reads(spark, sf):
     s = _statements(spark, sf)
     return s.select("run_id", "event_id",
-                    F.array_join(F.sort_array(P.statement_reads("targets", "rhs_refs")), ",").alias("reads"))
+                    F.array_join(F.sort_array(P.statement_reads("targets", "rhs_refs", "is_augmented")), ",").alias("reads"))
 
 
 @register("statement_writes", STMTS + """,
@@ -396,18 +408,30 @@ def statement_writes(spark, sf):
 
 # ---- E: reaching writers ---------------------------------------------------------------
 
-@register("reaching_writers", f"""WITH {O.FACTS}
+def _reaching_sql(extra: str = "FALSE") -> str:
+    return f"""WITH {O.FACTS},
+w AS (SELECT * FROM facts WHERE is_write OR {extra})
 SELECT DISTINCT r.unit_id, arg_max(w.stmt_id, w.seq) AS src, r.stmt_id AS dst, r.key
-FROM facts r JOIN facts w ON w.unit_id = r.unit_id AND w.key = r.key AND w.is_write AND w.seq < r.seq
-WHERE NOT r.is_write GROUP BY r.unit_id, r.stmt_id, r.key""")
+FROM facts r JOIN w ON w.unit_id = r.unit_id AND w.scope_id = r.scope_id AND w.key = r.key AND w.seq < r.seq
+WHERE r.is_read GROUP BY r.unit_id, r.stmt_id, r.key"""
+
+
+@register("reaching_writers", _reaching_sql())
 def reaching_writers(spark, sf):
     return E.reaching_edges(orders_facts(spark, sf))
 
 
+@register("reaching_mutating", _reaching_sql("is_call"))
+def reaching_mutating(spark, sf):
+    """A bare call counts as writing what it names."""
+    return E.reaching_edges(orders_facts(spark, sf), mutating_calls=True)
+
+
 @register("undefined_reads", f"""WITH {O.FACTS}
 SELECT r.unit_id, r.scope_id, r.key, MIN(r.seq) AS source_seq, COUNT(*) AS n_reads
-FROM facts r WHERE NOT r.is_write AND NOT EXISTS (
-  SELECT 1 FROM facts w WHERE w.unit_id = r.unit_id AND w.key = r.key AND w.is_write AND w.seq < r.seq)
+FROM facts r WHERE r.is_read AND NOT EXISTS (
+  SELECT 1 FROM facts w WHERE w.unit_id = r.unit_id AND w.scope_id = r.scope_id AND w.key = r.key
+    AND w.is_write AND w.seq < r.seq)
 GROUP BY ALL""")
 def undefined_reads(spark, sf):
     return E.undefined_reads(orders_facts(spark, sf))
@@ -415,19 +439,21 @@ def undefined_reads(spark, sf):
 
 @register("reaching_branches", f"""WITH {O.FACTS},
 w AS (SELECT * FROM facts WHERE is_write),
-r AS (SELECT * FROM facts WHERE NOT is_write),
-blk AS (SELECT unit_id, ctl_id, MAX(seq) + 0.5 AS end_seq FROM facts WHERE ctl_id IS NOT NULL GROUP BY ALL),
-pseudo AS (SELECT w.unit_id, w.ctl_id, w.key, b.end_seq FROM w JOIN blk b ON b.unit_id = w.unit_id AND b.ctl_id = w.ctl_id
-           WHERE w.ctl_id IS NOT NULL GROUP BY ALL HAVING COUNT(DISTINCT w.arm) = 2)
+r AS (SELECT * FROM facts WHERE is_read),
+blk AS (SELECT unit_id, scope_id, ctl_id, MAX(seq) + 0.5 AS end_seq FROM facts WHERE ctl_id IS NOT NULL GROUP BY ALL),
+pseudo AS (SELECT w.unit_id, w.scope_id, w.ctl_id, w.key, b.end_seq FROM w
+           JOIN blk b ON b.unit_id = w.unit_id AND b.scope_id = w.scope_id AND b.ctl_id = w.ctl_id
+           WHERE w.ctl_id IS NOT NULL AND NOT w.in_loop GROUP BY ALL HAVING COUNT(DISTINCT w.arm) = 2)
 SELECT DISTINCT r.unit_id, w.stmt_id AS src, r.stmt_id AS dst, r.key
-FROM r JOIN w ON w.unit_id = r.unit_id AND w.key = r.key AND w.seq < r.seq
+FROM r JOIN w ON w.unit_id = r.unit_id AND w.scope_id = r.scope_id AND w.key = r.key AND w.seq < r.seq
 WHERE NOT (w.ctl_id IS NOT NULL AND r.ctl_id IS NOT NULL AND w.ctl_id = r.ctl_id AND w.arm <> r.arm)
   AND NOT EXISTS (
-    SELECT 1 FROM w k WHERE k.unit_id = r.unit_id AND k.key = r.key AND k.seq > w.seq AND k.seq < r.seq
+    SELECT 1 FROM w k WHERE k.unit_id = r.unit_id AND k.scope_id = r.scope_id AND k.key = r.key
+      AND k.seq > w.seq AND k.seq < r.seq
       AND (k.ctl_id IS NULL OR (k.ctl_id = r.ctl_id AND k.arm = r.arm) OR (k.ctl_id = w.ctl_id AND k.arm = w.arm)))
   AND NOT EXISTS (
-    SELECT 1 FROM pseudo p WHERE p.unit_id = r.unit_id AND p.key = r.key AND p.end_seq > w.seq AND p.end_seq < r.seq
-      AND (w.ctl_id IS NULL OR w.ctl_id <> p.ctl_id))""")
+    SELECT 1 FROM pseudo p WHERE p.unit_id = r.unit_id AND p.scope_id = r.scope_id AND p.key = r.key
+      AND p.end_seq > w.seq AND p.end_seq < r.seq AND (w.ctl_id IS NULL OR w.ctl_id <> p.ctl_id))""")
 def reaching_branches(spark, sf):
     return E.reaching_branches(orders_facts(spark, sf))
 
@@ -439,8 +465,9 @@ def control_edges(spark, sf):
 
 
 @register("loop_edges", f"""WITH {O.FACTS}
-SELECT unit_id, ctl_id, arg_max(stmt_id, seq) AS src, key FROM facts
-WHERE ctl_id IS NOT NULL AND is_write GROUP BY unit_id, ctl_id, key""")
+SELECT t.unit_id, t.stmt_id AS ctl_id, arg_max(b.stmt_id, b.seq) AS src, t.key
+FROM facts t JOIN facts b ON b.unit_id = t.unit_id AND b.scope_id = t.scope_id AND b.ctl_id = t.stmt_id AND b.key = t.key
+WHERE t.is_test AND t.in_loop AND b.is_write GROUP BY t.unit_id, t.stmt_id, t.key""")
 def loop_edges(spark, sf):
     return E.loop_edges(orders_facts(spark, sf))
 
@@ -462,11 +489,7 @@ hit AS (SELECT pp.unit_id, pp.seq, pp.path, pp.key, pp.depth, arg_max(pw.seq, pw
 def _path_facts(spark, sf) -> DataFrame:
     """Statement facts over the events trace: each exec reads its variables' paths, a
     purchase statement stores the most specific path it updates."""
-    tr = events_trace(spark, sf)
-    ex = tr.filter(F.col("kind") == "exec").select("run_id", "event_id", "uses")
-    up = tr.filter(F.col("kind") == "update").select(
-        "run_id", (F.col("event_id") - 1).alias("event_id"), F.element_at("defs", -1)["name"].alias("target"))
-    return ex.join(up, ["run_id", "event_id"], "left").select(
+    return _executed(spark, sf).select(
         F.col("run_id").alias("unit_id"), F.lit(0).cast("bigint").alias("scope_id"),
         F.col("event_id").alias("seq"), F.col("event_id").alias("stmt_id"),
         F.when(F.col("target").isNotNull(), "assign").otherwise("expr").alias("kind"),

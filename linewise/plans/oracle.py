@@ -150,14 +150,24 @@ SELECT DISTINCT run_id, CAST(COALESCE(src, 0) AS BIGINT) AS src, CAST(dst AS BIG
 FACTS = """
 o AS (
   SELECT o_custkey, o_orderkey, o_orderstatus, o_orderdate, o_orderpriority,
-         CAST(year(o_orderdate) AS BIGINT) AS yr,
-         CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS rnk
-  FROM orders),
+         CAST(year(o_orderdate) AS BIGINT) AS yr FROM orders),
+st AS (
+  SELECT *, CASE WHEN o_orderstatus = 'O' THEN 0 WHEN o_orderstatus = 'P' AND yr % 2 = 1 THEN 3 ELSE 2 END AS rnk FROM o
+  UNION ALL
+  SELECT DISTINCT o_custkey, -yr, 'T', NULL, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][yr % 5 + 1],
+         yr, 1 FROM o WHERE o_orderstatus IN ('F', 'P')),
 facts AS (
-  SELECT CAST(o_custkey AS BIGINT) AS unit_id, CAST(0 AS BIGINT) AS scope_id,
+  SELECT CAST(o_custkey AS BIGINT) AS unit_id,
+         CAST(CASE WHEN o_orderstatus <> 'T' AND o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS BIGINT) AS scope_id,
          CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY yr, rnk, o_orderdate, o_orderkey) AS BIGINT) AS seq,
          CAST(o_orderkey AS BIGINT) AS stmt_id, o_orderpriority AS key,
-         o_orderkey % 3 = 0 AS is_write,
-         CASE WHEN o_orderstatus IN ('F', 'P') THEN yr END AS ctl_id,
-         CASE o_orderstatus WHEN 'F' THEN 'T' WHEN 'P' THEN 'F' END AS arm
-  FROM o)"""
+         o_orderstatus <> 'T' AND (o_orderkey % 3 = 0 OR (o_orderkey % 3 = 2 AND o_orderkey % 5 = 0)) AS is_write,
+         o_orderstatus = 'T' OR o_orderkey % 6 = 0 OR o_orderkey % 3 = 1
+           OR (o_orderkey % 3 = 2 AND o_orderkey % 5 <> 0) AS is_read,
+         o_orderstatus <> 'T' AND o_orderkey % 3 = 2 AND o_orderkey % 5 = 1 AS is_call,
+         o_orderstatus = 'T' AS is_test,
+         CASE WHEN o_orderstatus IN ('F', 'P') THEN -yr END AS ctl_id,
+         CASE WHEN o_orderstatus = 'F' OR (o_orderstatus = 'P' AND yr % 2 = 0) THEN 'T'
+              WHEN o_orderstatus = 'P' THEN 'F' END AS arm,
+         yr % 2 = 0 AS in_loop
+  FROM st)"""

@@ -4,7 +4,7 @@ every row here is derived by Spark from the given tables, so the work grows with
 events  -> trace      run = user_id, k = props.k; each source event gives at most two
                       trace rows, at event ids 2*event_id and 2*event_id + 1
 lineitem -> trace     run = supplier, location = part bucket, R rows write
-orders  -> facts      unit = customer, key = priority, branch = (year, status)
+orders  -> facts      unit = customer, key = priority, block = (year, status)
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewise.operators.reaching import with_accesses
 from linewise.plans.materialize import cut
 from linewise.plans.scan import running_sum
-from linewise.sources.schema import TRACE
+from linewise.sources.schema import BRANCH, TRACE
 
 # Fixed values of the events adapter.
 LINE_MOD = 10            # lineno = k % 10
@@ -24,6 +25,7 @@ EXCEPTION_BELOW = 90     # error with 75 <= k < 90 is an abnormal end
 LOOP_INIT_FROM = 75      # signup with k >= 75 opens a loop
 LOOP_CLEAR_FROM = 90     # error with k >= 90 clears a loop
 PART_BUCKETS = 50        # lineitem location = l_partkey % 50
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
 
@@ -39,16 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a source that arrives in fewer splits than the cluster has cores (one
-    small file is one split), so the per-row adapter work runs in parallel. Sources with
-    enough splits (every large table) are left alone: no extra shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def _var(name: Column, vid: Column, vtype: Column, columns: Column | None = None) -> Column:
     if columns is None:
         columns = F.lit(None).cast("array<string>")
@@ -109,34 +101,13 @@ def _row(kind, eid, lineno, line, uses, defs, call, loop_name, msg) -> Column:
         (msg if msg is not None else none).cast("string").alias("msg"))
 
 
-_BUILT: dict[tuple, DataFrame] = {}
-
-
-def _reuse(kind: str):
-    """An adapter is the ETL step into a trace / facts table: its output is written once
-    per session under the checkpoint folder (as a trace store would hold it) and the
-    queries of the session read that table. Downstream scans then re-read narrow,
-    column-pruned Parquet instead of recomputing the adapter in every plan branch."""
-    def deco(fn):
-        def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
-            key = (kind, id(spark), spark.sparkContext.applicationId, sf_dir, args,
-                   tuple(sorted(kwargs.items())))
-            if key not in _BUILT:
-                _BUILT[key] = cut(fn(spark, sf_dir, *args, **kwargs), f"{kind}_table")
-            return _BUILT[key]
-        wrapper.__doc__, wrapper.__name__ = fn.__doc__, fn.__name__
-        return wrapper
-    return deco
-
-
-@_reuse("events")
 def events_trace(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
     """The trace adapter over ``events`` (one scan, one generate; no shuffle).
 
     Each event first expands into at most two (kind, offset) pairs; every field is then
     one flat expression of (kind, event_type, k), which keeps the generated code small.
     """
-    ev = spread(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props", "ts")).select(
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "props", "ts").select(
         F.col("user_id").alias("run_id"), "event_id", "event_type", "ts",
         F.get_json_object("props", "$.k").cast("int").alias("k"))
     k, et = F.col("k"), F.col("event_type")
@@ -173,26 +144,28 @@ def events_trace(spark: SparkSession, sf_dir: str, with_time: bool = False) -> D
     cols = ["run_id", (2 * F.col("event_id") + F.col("off")).cast("bigint").alias("event_id"), "kind",
             lineno.alias("lineno"), line.alias("line"), uses.alias("uses"), defs.alias("defs"),
             call.alias("call"), loop_name.alias("loop_name"), msg.alias("msg")]
-    return x.select(*cols, "ts") if with_time else x.select(*cols)
+    return cut(x.select(*cols, "ts") if with_time else x.select(*cols), "events_table")
 
 
 LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
                   "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
-@_reuse("lineitem")
+def lineitem_chunk() -> Column:
+    """Scan chunk of a line item; non-decreasing along ``LINEITEM_ORDER``."""
+    return F.struct(F.col("l_shipdate").alias("d"), F.shiftright("l_orderkey", 24).alias("o"))
+
+
 def lineitem_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineage at scale: run = supplier, statement = line item in ship order,
     location = part bucket; returned items (R) write it, the others read it.
 
     The per-supplier position is a chunked running count (a hot supplier is split by
-    ship month and order-key range, both leading the order), not a per-supplier window;
-    the chunk summary stays ~1/16M of the rows per month at any scale.
+    ship date and, within a date, by order-key range: the chunk never decreases along the
+    order), not a per-supplier window.
     """
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", *LINEITEM_ORDER)
-    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
-    pos = running_sum(li, ["l_suppkey"], LINEITEM_ORDER, F.lit(1), "pos",
-                      chunk=F.struct(month.alias("m"), F.shiftright("l_orderkey", 24).alias("o")))
+    pos = running_sum(li, ["l_suppkey"], LINEITEM_ORDER, F.lit(1), "pos", chunk=lineitem_chunk())
     loc = F.col("l_partkey") % PART_BUCKETS
     var = _var(F.concat(F.lit("p"), _s(loc)), loc, F.lit("part"))
     writes = F.col("l_returnflag") == "R"
@@ -202,42 +175,61 @@ def lineitem_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.when(writes, _empty_vars()).otherwise(F.array(var)), _empty_vars(), None, None, None),
         F.when(writes, _row("update", 2 * F.col("pos") + 1, F.col("l_linenumber"), None,
                             _empty_vars(), F.array(var), None, None, None)))
-    return (pos.select(F.col("l_suppkey").cast("bigint").alias("run_id"), F.explode(rows).alias("r"))
+    return cut(pos.select(F.col("l_suppkey").cast("bigint").alias("run_id"), F.explode(rows).alias("r"))
                .filter(F.col("r").isNotNull())
                .select("run_id", "r.event_id", "r.kind", "r.lineno", "r.line", "r.uses", "r.defs",
-                       "r.call", "r.loop_name", "r.msg"))
+                       "r.call", "r.loop_name", "r.msg"), "lineitem_table")
 
 
-@_reuse("orders")
-def orders_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statement facts over ``orders``: unit = customer, statement = order, one key
-    (the priority) read or written; a block per (customer, year) whose arms are the
-    statuses F (true arm) and P (false arm); status O stands before the block."""
-    o = table(spark, sf_dir, "orders").select(
-        "o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+ORDERS_ORDER = ["_year", "_rank", "o_orderdate", "o_orderkey"]
+
+
+def orders_chunk() -> Column:
+    """Scan chunk of an order; non-decreasing along ``ORDERS_ORDER``."""
+    return F.struct("_year", "_rank", "o_orderdate", F.shiftright("o_orderkey", 24).alias("o"))
+
+
+def ranked_orders(orders: DataFrame) -> DataFrame:
+    """Orders with the columns that lead their order: per customer and year the status-O
+    orders, the test, then the block (for an even year, a loop, in date order)."""
     year = F.year("o_orderdate").cast("bigint")
     rank = (F.when(F.col("o_orderstatus") == "O", 0)
-             .when(F.col("o_orderstatus") == "F", 1).otherwise(2))
-    o = o.withColumn("_year", year).withColumn("_rank", rank)
-    order = ["_year", "_rank", "o_orderdate", "o_orderkey"]
-    seq = running_sum(o, ["o_custkey"], order, F.lit(1), "seq", chunk=F.col("_year"))
-    in_block = F.col("o_orderstatus").isin("F", "P")
-    arm = F.when(F.col("o_orderstatus") == "F", "T").when(F.col("o_orderstatus") == "P", "F")
-    writes = F.col("o_orderkey") % 3 == 0
-    key = F.array(F.col("o_orderpriority"))
-    empty = F.array().cast("array<string>")
-    return seq.select(
+             .when((F.col("o_orderstatus") == "F") | (year % 2 == 0), 2).otherwise(3))
+    return orders.withColumn("_year", year).withColumn("_rank", rank)
+
+
+def orders_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement facts over ``orders``: unit = customer, statement = order, one key (the
+    priority). Statements are assignments (some augmented), imports, calls and
+    expressions by the order's key; a tenth stand in a scope of their own. A block per
+    (customer, year) holds the orders of status F and P: in odd years an ``if`` with arms
+    F (true) and P (false), in even years a loop with both in its body; a test statement
+    (id = minus the year) stands before it and reads one priority."""
+    o = ranked_orders(table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    tests = (o.where("o_orderstatus <> 'O'").select("o_custkey", "_year").distinct()
+             .select("o_custkey", (-F.col("_year")).alias("o_orderkey"), F.lit("T").alias("o_orderstatus"),
+                     F.lit(None).cast(o.schema["o_orderdate"].dataType).alias("o_orderdate"),
+                     F.get(F.array(*[F.lit(p) for p in PRIORITIES]), (F.col("_year") % 5).cast("int"))
+                     .alias("o_orderpriority"), "_year", F.lit(1).alias("_rank")))
+    seq = running_sum(o.unionByName(tests), ["o_custkey"], ORDERS_ORDER, F.lit(1), "seq", chunk=orders_chunk())
+    k, status, year = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("_year")
+    in_block = status.isin("F", "P")
+    loop = year % 2 == 0
+    arm = F.when(in_block, F.when(loop | (status == "F"), "T").otherwise("F"))
+    kind = (F.when(status == "T", "test").when(k % 3 == 0, "assign")
+             .when((k % 3 == 2) & (k % 5 == 0), "import").when((k % 3 == 2) & (k % 5 == 1), "call").otherwise("expr"))
+    key, empty = F.array(F.col("o_orderpriority")), F.array().cast("array<string>")
+    writes = kind.isin("assign", "import")
+    rows = seq.select(
         F.col("o_custkey").cast("bigint").alias("unit_id"),
-        F.lit(0).cast("bigint").alias("scope_id"),
-        F.col("seq"),
-        F.col("o_orderkey").cast("bigint").alias("stmt_id"),
-        F.when(writes, "assign").otherwise("expr").alias("kind"),
-        F.when(in_block, F.col("_year")).alias("ctl_id"),
-        arm.alias("arm"),
-        F.when(in_block, F.array(F.struct(F.col("_year").alias("ctl_id"), arm.alias("arm"))))
-         .otherwise(F.array().cast("array<struct<ctl_id:bigint,arm:string>>")).alias("branch_path"),
+        F.when((status != "T") & (k % 10 == 0), 1).otherwise(0).cast("bigint").alias("scope_id"),
+        F.col("seq"), k.cast("bigint").alias("stmt_id"), kind.alias("kind"),
+        F.when(in_block, -year).alias("ctl_id"), arm.alias("arm"),
+        F.when(in_block, F.array(F.struct((-year).alias("ctl_id"), arm.alias("arm"),
+                                          F.when(loop, "loop").otherwise("if").alias("kind"))))
+         .otherwise(F.array().cast(BRANCH)).alias("branch_path"),
         F.when(writes, key).otherwise(empty).alias("targets"),
-        F.when(writes, empty).otherwise(key).alias("rhs_refs"),
-        F.lit(False).alias("is_augmented"),
-        F.when(writes, empty).otherwise(key).alias("loads"),
-        F.when(writes, key).otherwise(empty).alias("stores"))
+        F.when(kind == "import", F.array(F.lit("pkg.mod"))).when(writes, empty).otherwise(key).alias("rhs_refs"),
+        ((kind == "assign") & (k % 2 == 0)).alias("is_augmented"))
+    return cut(with_accesses(rows), "orders_table")

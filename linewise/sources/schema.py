@@ -51,6 +51,7 @@ EDGES = T.StructType([
 BRANCH = T.ArrayType(T.StructType([
     T.StructField("ctl_id", T.LongType()),
     T.StructField("arm", T.StringType()),
+    T.StructField("kind", T.StringType()),   # if / loop
 ]))
 
 # Statement facts for the static (reaching-writer) analysis: one row per statement

@@ -61,3 +61,52 @@ def test_readme_usage(spark):
     seeds = g.edges.groupBy("run_id").agg(F.max("dst").alias("seed"))
     got = {r.node_id for r in S.slices(g.edges.filter("src <> 0"), seeds, "backward").collect()}
     assert got == {1, 2, 3}
+
+
+def _reach(edges, seed, forward):
+    nxt = {}
+    for a, b in edges:
+        nxt.setdefault(a if forward else b, []).append(b if forward else a)
+    seen, todo = {seed}, [seed]
+    while todo:
+        for n in nxt.get(todo.pop(), ()):
+            if n not in seen:
+                seen.add(n)
+                todo.append(n)
+    return seen
+
+
+def test_slices_of_random_graphs_equal_a_search(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows, want = [], {"forward": set(), "backward": set()}
+    seeds = []
+    for run in range(12):
+        n = 40
+        edges = {(i, i + 1) for i in range(n) if rnd.random() < 0.8}          # long runs
+        edges |= {(rnd.randrange(n), rnd.randrange(n)) for _ in range(run)}    # cycles and joins
+        edges |= {(100, 101), (101, 102), (102, 100)}                          # a cycle apart
+        rows += [(run, a, b) for a, b in edges]
+        for seed in (0, 20, 39, 101, rnd.randrange(n)):
+            seeds.append((run, seed))
+            for d in want:
+                want[d] |= {(run, seed, x) for x in _reach(edges, seed, d == "forward")}
+    e = spark.createDataFrame(rows, "run_id bigint, src bigint, dst bigint")
+    s = spark.createDataFrame(seeds, "run_id bigint, seed bigint")
+    for d in want:
+        got = [tuple(r) for r in S.slices(e, s, d).collect()]
+        assert len(got) == len(set(got)) and set(got) == want[d]
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    from linewise.operators import slicing
+
+    cuts = []
+    real = slicing.cut
+    monkeypatch.setattr(slicing, "cut", lambda df, label="step": cuts.append(label) or real(df, label))
+    n = 10_000
+    e = spark.range(n).selectExpr("1L AS run_id", "id AS src", "id + 1 AS dst")
+    s = spark.createDataFrame([(1, 0), (1, 5_000)], "run_id bigint, seed bigint")
+    assert S.slices(e, s, "forward").count() == n + 1 + n - 5_000 + 1
+    assert cuts.count("chain_pointers") <= 16 and len(cuts) <= 30

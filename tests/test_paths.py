@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linewise.functions import paths as P
 
+# Statement, targets, right-hand references, reads.
 READS = [
     ("a = 10", ["a"], [], []),
     ("a = x * 10", ["a"], ["x"], ["x"]),
@@ -53,3 +54,48 @@ def test_canonical_and_import(spark):
         P.canonical_ref("t").alias("c"), P.imported_name(F.lit("os"), "a1").alias("i1"),
         P.imported_name("n2", "a2").alias("i2")).first()
     assert (row.c, row.i1, row.i2) == ("df['a b'].x", "os", "np")
+
+
+HARD = {
+    "df.groupby(x).c": ["df", ".groupby", "(x)", ".c"],
+    "a[b[c[0]]].d": ["a", "[b[c[0]]]", ".d"],
+    "df['a]b'].x": ["df", "['a]b']", ".x"],
+    "é.b": ["é", ".b"],
+    "f(g(h(1), ']'))[\"x)\"].y": ["f", "(g(h(1), ']'))", "[\"x)\"]", ".y"],
+    "a['it\\'s [']": ["a", "['it\\'s [']"],
+    "a[i][j]": ["a", "[i]", "[j]"],
+    "名.x1": ["名", ".x1"],
+    "f()": ["f", "()"],
+    "a": ["a"],
+    "a b": None, "a + b": None, "a[": None, "a]": None, ".a": None, "a..b": None, "a.": None, "": None,
+    "[1]": None, "a['x": None, "a[0]b": None, "1a": None, "'s'": None, "a.(b)": None, None: None,
+}
+
+
+def test_segments_of_real_references(spark):
+    df = spark.createDataFrame([(k,) for k in HARD], "p string")
+    got = {r.p: r for r in df.select("p", P.path_segments("p").alias("s"), P.path_prefixes("p").alias("x"),
+                                     P.path_base("p").alias("b"), P.path_parent("p").alias("u"),
+                                     P.path_depth("p").alias("d")).collect()}
+    for p, segs in HARD.items():
+        assert got[p].s == segs, p
+        if segs is None:
+            assert got[p].x is None and got[p].b is None and got[p].u is None
+        else:
+            assert got[p].x == ["".join(segs[:i + 1]) for i in range(len(segs))]
+            assert got[p].b == segs[0] and got[p].d == len(segs)
+            assert got[p].u == ("".join(segs[:-1]) if len(segs) > 1 else None)
+
+
+def test_canonical_keeps_words_apart(spark):
+    cases = {"a in b": "a in b", "ainb": "ainb", "not  x": "not x", " x  =  y + 1 ": "x=y+1",
+             "x = \"it's\" + y": "x=\"it's\"+y", "f( 'a  b' , c )": "f('a  b',c)", "é in ü": "é in ü",
+             "x\t=\n1": "x=1", "": "", None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.c for r in df.select("t", P.canonical_ref("t").alias("c")).collect()} == cases
+
+
+def test_text_that_is_no_path_counts_as_itself(spark):
+    df = spark.createDataFrame([(["a.b", "x + y"], ["m[0]", "1 + z"])], "t array<string>, r array<string>")
+    got = df.select(P.statement_reads("t", "r").alias("r"), P.statement_writes("t").alias("w")).first()
+    assert sorted(got.r) == ["1 + z", "a", "m", "m[0]"] and got.w == ["a", "a.b", "x + y"]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from linewise.operators import reaching as E
 from linewise.sources.schema import FACTS
 
+from pairs import reaching_branches_by_pairs
+
 
 def random_block(rng, depth, counter):
     out = []
@@ -60,7 +62,7 @@ def test_reaching_branches_equals_fold(spark):
     facts = spark.createDataFrame(rows, FACTS)
     got = {(r.unit_id, r.src, r.dst, r.key) for r in E.reaching_branches(facts).collect()}
     assert got == want
-    pairs = {(r.unit_id, r.src, r.dst, r.key) for r in E.reaching_branches_by_pairs(facts).collect()}
+    pairs = {(r.unit_id, r.src, r.dst, r.key) for r in reaching_branches_by_pairs(facts).collect()}
     assert pairs == want
 
 
@@ -75,3 +77,15 @@ def test_straight_line_and_undefined(spark):
     assert edges == {(20, 30, "x"), (30, 40, "x")}
     und = {(r.key, r.source_seq, r.n_reads) for r in E.undefined_reads(facts).collect()}
     assert und == {("x", 1, 1), ("y", 4, 2)}
+
+
+def test_large_seq_keeps_every_edge(spark):
+    """Positions are exact: the same program near 0 and near 2**54 has the same edges."""
+    def program(unit, base):
+        t, f = [{"ctl_id": 9, "arm": "T"}], [{"ctl_id": 9, "arm": "F"}]
+        rows = [(1, [], "w"), (2, t, "w"), (3, f, "r"), (4, [], "r")]
+        return [(unit, 0, base + s, s, "assign", None, None, bp, [], [], False,
+                 ["x"] if k == "r" else [], ["x"] if k == "w" else []) for s, bp, k in rows]
+    facts = spark.createDataFrame(program(1, 0) + program(2, 1 << 54) + program(3, (1 << 62) + 1), FACTS)
+    got = {(r.unit_id, r.src, r.dst) for r in E.reaching_branches(facts).collect()}
+    assert got == {(u, a, b) for u in (1, 2, 3) for a, b in ((1, 3), (1, 4), (2, 4))}
