@@ -69,6 +69,15 @@ def number_events(trace: DataFrame, out: str = "seq", chunk_bits: int = DEFAULT_
     return running_sum(trace, ["run_id"], ["event_id"], F.lit(1), out, chunk_of("event_id", chunk_bits))
 
 
+def column_reads(trace: DataFrame) -> DataFrame:
+    """A10: the columns of tabular values that each statement reads: one row per (run,
+    event, line, value name, column)."""
+    return (trace.filter(F.col("kind") == "exec")
+                 .select("run_id", "event_id", "lineno", F.explode("uses").alias("v"))
+                 .select("run_id", "event_id", "lineno", F.col("v.name").alias("name"),
+                         F.explode(F.array_distinct("v.columns")).alias("column_name")).distinct())
+
+
 def column_usage(trace: DataFrame) -> DataFrame:
     """A10: which columns of tabular values statements read: per (value name, column),
     how many reads and in how many runs (map-side partial aggregation)."""

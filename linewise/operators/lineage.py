@@ -191,9 +191,9 @@ def unknown_summary(g: Lineage) -> DataFrame:
                           "n_unknown_reads"))
 
 
-def node_defs(g: Lineage, trace: DataFrame, refinement: str, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
-    """For each node, the refined and complete writes of the last update attributed
-    to it (an update goes to the latest node of its line at or before it)."""
+def _last_updates(g: Lineage, chunk_bits: int) -> DataFrame:
+    """run_id, node_id and the writes of the last update attributed to each node (an update
+    goes to the latest node of its line at or before it)."""
     chunk = chunk_of("event_id", chunk_bits)
     ups = g.trace.filter(F.col("kind") == "update").select(
         "run_id", "event_id", "lineno", "defs")
@@ -205,8 +205,14 @@ def node_defs(g: Lineage, trace: DataFrame, refinement: str, chunk_bits: int = D
     att = last_before(probe, ["run_id", "lineno"], ["event_id", F.col("_n").cast("int")],
                       F.col("_n"), F.col("node_id"), "owner", chunk)
     att = att.filter(~F.col("_n") & F.col("owner").isNotNull())
-    last = att.groupBy("run_id", F.col("owner").alias("node_id")).agg(
-        F.max_by(F.col("defs"), F.col("event_id")).alias("complete_defs"))
+    return att.groupBy("run_id", F.col("owner").alias("node_id")).agg(
+        F.max_by(_dedupe_vars(F.col("defs")), F.col("event_id")).alias("complete_defs"))
+
+
+def node_defs(g: Lineage, trace: DataFrame, refinement: str, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    """For each node, the names of the refined and of the complete writes of its last
+    update, joined (``node_def_vars`` has them with their addresses)."""
+    last = _last_updates(g, chunk_bits)
     return last.select("run_id", "node_id",
                        F.array_join(F.sort_array(F.transform(refine(F.col("complete_defs"), refinement),
                                                              lambda d: d["name"])), ",").alias("defs"),
@@ -214,6 +220,17 @@ def node_defs(g: Lineage, trace: DataFrame, refinement: str, chunk_bits: int = D
                         .alias("complete_defs"))
 
 
+def node_def_vars(g: Lineage, refinement: str, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    """One row per distinct (name, id) that the last update of a node writes, and
+    whether the refinement keeps it."""
+    last = _last_updates(g, chunk_bits).withColumn("kept", F.transform(
+        refine(F.col("complete_defs"), refinement), lambda d: F.struct(d["name"].alias("name"), d["id"].alias("id"))))
+    rows = last.select("run_id", "node_id", "kept", F.explode("complete_defs").alias("d"))
+    return rows.select("run_id", "node_id", F.col("d.name").alias("name"), F.col("d.id").alias("id"),
+                       F.array_contains("kept", F.struct(F.col("d.name").alias("name"), F.col("d.id").alias("id")))
+                       .alias("refined")).distinct()
+
+
 def node_calls(g: Lineage, trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
     """Every enter (at any depth) goes to the latest node of its line before it;
     one row per attributed call (the relational form of the node's ``calls`` list)."""

@@ -17,7 +17,9 @@ from linewise.operators import reaching as E
 from linewise.operators import scope as B
 from linewise.operators import slicing as S
 from linewise.plans import oracle as O
+from linewise.plans.materialize import new_folder
 from linewise.plans.scan import chunk_of, last_before
+from linewise.sources import io as IO
 from linewise.sources.adapters import events_trace, lineitem_trace, orders_facts
 from linewise.streaming import live as G
 
@@ -368,7 +370,7 @@ def _executed(spark, sf) -> DataFrame:
     have gaps."""
     tr = events_trace(spark, sf)
     rows = tr.filter(F.col("kind").isin("exec", "update")).select(
-        "run_id", "event_id", "kind", "lineno", "uses", F.element_at("defs", -1)["name"].alias("target"))
+        "run_id", "event_id", "kind", "lineno", "uses", F.try_element_at("defs", F.lit(-1))["name"].alias("target"))
     owned_by = last_before(rows, ["run_id", "lineno"], ["event_id"], F.col("kind") == "exec", F.col("event_id"),
                            "of", chunk_of("event_id"))
     up = owned_by.filter((F.col("kind") == "update") & F.col("of").isNotNull()).groupBy(
@@ -589,23 +591,119 @@ def impact(spark, sf):
 
 # ---- G: streaming ----------------------------------------------------------------------
 
+LIVE_FILES = 3   # micro-batches of the registered live queries: state is carried over
+
+
 @register("live_lineage", O.lineage_sql("include_all"))
 def live_lineage(spark, sf):
-    out = G.run_available_now(spark, events_trace(spark, sf, with_time=True),
-                              lambda st: G.live_lineage(st), "live_lineage")
-    return out.filter(F.col("src").isNotNull()).select("run_id", "src", "dst").distinct()
+    return G.edges_of(G.run_available_now(spark, events_trace(spark, sf, with_time=True),
+                                          lambda st: G.live_lineage(st), "live_lineage", LIVE_FILES))
 
 
 @register("live_lineage_ordered", O.lineage_sql("include_all"))
 def live_lineage_ordered(spark, sf):
     trace = G.with_flush(events_trace(spark, sf, with_time=True))
-    out = G.run_available_now(spark, trace, lambda st: G.live_lineage(st, ordered=True, delay="1 hour"),
-                              "live_lineage_ordered")
-    return out.filter(F.col("src").isNotNull()).select("run_id", "src", "dst").distinct()
+    return G.edges_of(G.run_available_now(
+        spark, trace, lambda st: G.live_lineage(st, ordered=True, delay="1 hour"), "live_lineage_ordered", LIVE_FILES))
 
 
 @register("live_run_status", f"""WITH {O.EV}
 SELECT run_id, event_id, msg FROM trace WHERE kind = 'exception'""")
 def live_run_status(spark, sf):
-    return G.run_available_now(spark, events_trace(spark, sf, with_time=True), G.live_run_status,
-                               "live_run_status")
+    ends = A.of_kind(events_trace(spark, sf, with_time=True), "exception")
+    return G.run_available_now(spark, ends, G.live_run_status, "live_run_status", LIVE_FILES)
+
+
+# ---- operators over stored traces and graphs -------------------------------------------
+
+@register("lineage_stored_trace", O.lineage_sql("include_all"))
+def lineage_stored_trace(spark, sf):
+    """A1/A2: a trace and a graph written and read again give the same edges."""
+    folder = new_folder(spark, "stored")
+    IO.write_trace(events_trace(spark, sf), f"{folder}/trace")
+    g = L.build(IO.read_trace(spark, f"{folder}/trace"), has_calls=True)
+    IO.write_graph(g.nodes, g.edges, f"{folder}/graph")
+    return IO.read_graph(spark, f"{folder}/graph")[1]
+
+
+@register("call_events", f"""WITH {O.EV}
+SELECT run_id, event_id, concat('f', k % 7) AS co_name, concat('f', k % 7) AS qualname, concat('m', k % 3) AS module,
+       k % 5 = 0 AS is_method, CAST(k % 4 AS BIGINT) AS func_id, k % 2 = 0 AS defined_by_user
+FROM trace WHERE kind = 'enter'""")
+def call_events(spark, sf):
+    """A3/A4: the enter events with their call details as columns."""
+    return A.event_fields(A.of_kind(events_trace(spark, sf), "enter")).select(
+        "run_id", "event_id", "co_name", "qualname", "module", "is_method", "func_id", "defined_by_user")
+
+
+@register("node_uses", f"""WITH {O.graph_ctes()}
+SELECT DISTINCT n.run_id, n.node_id, u.name, u.id FROM nodes n
+JOIN uses_flat u ON u.run_id = n.run_id AND u.event_id = n.event_id""")
+def node_uses(spark, sf):
+    """C11: what each node reads."""
+    nodes = _graph(spark, sf).nodes
+    return nodes.select("run_id", "node_id", F.explode("uses").alias("u")).select(
+        "run_id", "node_id", F.col("u.name").alias("name"), F.col("u.id").alias("id")).distinct()
+
+
+@register("node_def_vars", f"""WITH {O.graph_ctes('most_specific')},
+att AS (
+  SELECT t.run_id, t.event_id, arg_max(n.node_id, n.event_id) AS node_id
+  FROM top t JOIN nodes n ON n.run_id = t.run_id AND n.lineno = t.lineno AND n.event_id < t.event_id
+  WHERE t.kind = 'update' GROUP BY ALL),
+lastup AS (SELECT run_id, node_id, MAX(event_id) AS event_id FROM att GROUP BY ALL)
+SELECT l.run_id, l.node_id, f.name, f.id,
+       NOT EXISTS (SELECT 1 FROM defs_flat o WHERE o.run_id = f.run_id AND o.event_id = f.event_id
+                   AND (starts_with(o.name, f.name || '.') OR starts_with(o.name, f.name || '['))) AS refined
+FROM lastup l JOIN defs_flat f ON f.run_id = l.run_id AND f.event_id = l.event_id""")
+def node_def_vars(spark, sf):
+    """C10 with addresses."""
+    tr = events_trace(spark, sf)
+    return L.node_def_vars(L.build(tr, "most_specific"), "most_specific")
+
+
+@register("column_reads", f"""WITH {O.EV}
+SELECT DISTINCT run_id, event_id, CAST(k % 10 AS BIGINT) AS lineno, 'v0' AS name,
+       concat('c', unnest([k_col % 3, k_col % 3 + 1])) AS column_name
+FROM (SELECT run_id, event_id, k, k AS k_col, event_type FROM trace WHERE kind = 'exec'
+        AND ((event_type IN ('click', 'view') AND k % 4 = 0)))""")
+def column_reads(spark, sf):
+    """A10 per statement: the columns of tabular values that each statement reads."""
+    return A.column_reads(events_trace(spark, sf))
+
+
+@register("prefix_reads", f"""WITH {O.EV}
+SELECT a.run_id, a.event_id, a.name AS prefix, b.name FROM uses_flat a
+JOIN uses_flat b ON b.run_id = a.run_id AND b.event_id = a.event_id
+WHERE a.name = b.name OR starts_with(b.name, a.name || '.') OR starts_with(b.name, a.name || '[')""")
+def prefix_reads(spark, sf):
+    """Pairs of references of one statement of which one is a prefix of the other."""
+    names = A.of_kind(events_trace(spark, sf), "exec").select(
+        "run_id", "event_id", F.transform("uses", lambda u: u["name"]).alias("names"))
+    return (names.select("run_id", "event_id", "names", F.explode("names").alias("prefix"))
+            .select("run_id", "event_id", "prefix", F.explode("names").alias("name"))
+            .filter(P.is_prefix_of("prefix", "name")))
+
+
+@register("statement_accesses", f"""WITH {O.FACTS}
+SELECT unit_id, scope_id, stmt_id, key, is_read AS reads, is_write AS writes FROM facts""")
+def statement_accesses(spark, sf):
+    """What assignments, augmented ones, imports, calls and tests read and write."""
+    f = orders_facts(spark, sf)
+    return f.select("unit_id", "scope_id", "stmt_id", F.explode(F.array_union("loads", "stores")).alias("key"),
+                    "loads", "stores").select(
+        "unit_id", "scope_id", "stmt_id", "key", F.array_contains("loads", F.col("key")).alias("reads"),
+        F.array_contains("stores", F.col("key")).alias("writes"))
+
+
+@register("reverse_slice", f"""WITH RECURSIVE {O.graph_ctes()},
+sl(run_id, seed, node_id) AS (
+  SELECT run_id, node_id, node_id FROM nodes WHERE lineno = 7
+  UNION
+  SELECT s.run_id, s.seed, e.dst FROM sl s JOIN edges_known e ON e.run_id = s.run_id AND e.src = s.node_id)
+SELECT run_id, seed, node_id FROM sl""")
+def reverse_slice(spark, sf):
+    """nodes chosen by a predicate; a backward slice of the reverse graph."""
+    g, e = _known_graph(spark, sf)
+    seeds = S.node_ids(g.nodes, F.col("lineno") == 7).select("run_id", F.col("node_id").alias("seed"))
+    return S.slices(S.reverse(e), seeds, "backward")

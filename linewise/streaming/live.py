@@ -30,6 +30,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from linewise.operators.lineage import refine
+from linewise.plans.materialize import new_folder
+from linewise.session import ship_package
 
 OUT_SCHEMA = "run_id long, src long, dst long, late long"
 STATE_SCHEMA = ("counter long, depth long, line_node string, loc_line string, "
@@ -134,27 +136,57 @@ def live_run_status(stream: DataFrame) -> DataFrame:
     return stream.filter(F.col("kind") == "exception").select("run_id", "event_id", "msg")
 
 
-def run_available_now(spark, trace: DataFrame, build, label: str, files: int = 4,
-                      files_per_trigger: int | None = None) -> DataFrame:
-    """Land ``trace`` as files under the checkpoint folder, run the streaming plan
-    ``build(stream)`` over them with ``availableNow`` into a Parquet sink (exactly-once
-    via the sink's checkpoint) and return the sink as a batch DataFrame."""
-    import uuid
-
-    from linewise.session import checkpoint_dir
-    base = f"{checkpoint_dir(spark).rstrip('/')}/linewise/{label}-{uuid.uuid4().hex}"
-    trace.repartitionByRange(files, "event_id").write.parquet(f"{base}/source")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    reader = spark.readStream.schema(spark.read.parquet(f"{base}/source").schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.parquet(f"{base}/source")
-    q = (build(stream).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/sink")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/sink")
+def run_available_now(spark, trace: DataFrame, build, label: str, files: int | None = None,
+                      files_per_trigger: int | None = 1) -> DataFrame:
+    """Land ``trace`` as files in event order under the checkpoint folder, run the streaming
+    plan ``build(stream)`` over them with ``availableNow``, ``files_per_trigger`` files per
+    micro-batch, into a Parquet sink (exactly-once via the sink's checkpoint) and return
+    the sink as a batch DataFrame. ``files`` defaults to the shuffle partitions. The file
+    source takes files by modification time, so times are set in range order."""
+    base = new_folder(spark, label)
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    trace.repartitionByRange(n, "event_id").sortWithinPartitions("event_id").write.parquet(f"{base}/source")
+    _in_order(spark, f"{base}/source")
+    ship_package(spark)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        reader = spark.readStream.schema(trace.schema)
+        if files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+        out = build(reader.parquet(f"{base}/source"))
+        q = (out.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/sink")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
+    return spark.read.schema(out.schema).parquet(f"{base}/sink")
+
+
+def _in_order(spark, folder: str) -> None:
+    """Give the part files modification times in the order of their names (their ranges)."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((str(f.getPath().toString()), f) for f in fs.listStatus(where)
+                   if f.getPath().getName().startswith("part-"))
+    first = max((f.getModificationTime() for _, f in found), default=0) - 1000 * len(found)
+    for i, (_, f) in enumerate(found):
+        fs.setTimes(f.getPath(), first + 1000 * i, -1)
+
+
+def edges_of(out: DataFrame) -> DataFrame:
+    """The distinct edges of a finished live lineage. Events that came too late were not
+    folded; if there are any the graph is incomplete, so this raises."""
+    late = out.agg(F.sum("late")).first()[0]
+    if late:
+        raise RuntimeError(f"{late} events came after later events of their run; use ordered=True with a longer delay")
+    return out.filter(F.col("src").isNotNull()).select("run_id", "src", "dst").distinct()
 
 
 def with_flush(trace: DataFrame) -> DataFrame:
