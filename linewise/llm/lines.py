@@ -63,7 +63,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, log2_k: int =
     keeps its lines unless other sites make them boilerplate. Repeated rows (equal doc_id
     and text) count as one place, so all of them keep a first occurrence.
     """
-    lines = _lines(docs)
+    lines = cut(_lines(docs), "lines")  # texts are split once; hashes and places are read again
     bad = boilerplate(lines, min_sites, log2_k)
     drops = (lines.join(bad, ["h1", "h2"])
              .where(~(F.struct("doc", "pos").eqNullSafe(F.col("first"))))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from linewise.llm.common import cut, documents, ship_package
 from linewise.llm.tokens import encoder
-from linewise.session import checkpoint_dir
+from linewise.plans.materialize import new_folder
 
 MAGIC = b"LWPLANE1"
 END_ID = 1
@@ -249,5 +249,4 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' ids into plane files of the shared folder, read them back."""
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/linewise/token-planes-{uuid.uuid4().hex}"
-    return read_tokens(write_tokens(documents(spark, sf_dir), folder))
+    return read_tokens(write_tokens(documents(spark, sf_dir), new_folder(spark, "token-planes")))
