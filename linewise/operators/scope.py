@@ -44,11 +44,8 @@ def top_level(trace_with_depth: DataFrame, depth: str = "depth") -> DataFrame:
     return trace_with_depth.filter((F.col(depth) == 0) & F.col("kind").isin("exec", "update"))
 
 
-def call_spans(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
-    """Pair each enter with its exit. The level of an enter is the depth after it;
-    an exit that closes something has level = depth before it. The matching exit is the
-    next enter/exit row of the same level; if that next row is another enter (or none),
-    the call never returned (``exit_id`` NULL)."""
+def _spans(trace: DataFrame, chunk_bits: int) -> DataFrame:
+    """Call spans with the whole ``call`` of the enter event."""
     calls = with_call_depth(trace.filter(F.col("kind").isin("enter", "exit"))
                                  .select("run_id", "event_id", "kind", "lineno", "call"),
                             chunk_bits=chunk_bits)
@@ -60,8 +57,25 @@ def call_spans(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFr
     return (nxt.filter(F.col("kind") == "enter")
                .select("run_id", F.col("event_id").alias("enter_id"),
                        F.when(F.col("_next.kind") == "exit", F.col("_next.event_id")).alias("exit_id"),
-                       F.col("level").cast("bigint").alias("level"), "lineno",
-                       F.col("call.qualname").alias("qualname")))
+                       F.col("level").cast("bigint").alias("level"), "lineno", "call"))
+
+
+def call_spans(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    """Pair each enter with its exit. The level of an enter is the depth after it;
+    an exit that closes something has level = depth before it. The matching exit is the
+    next enter/exit row of the same level; if that next row is another enter (or none),
+    the call never returned (``exit_id`` NULL)."""
+    return _spans(trace, chunk_bits).select(
+        "run_id", "enter_id", "exit_id", "level", "lineno", F.col("call.qualname").alias("qualname"))
+
+
+def _marked(trace: DataFrame, spans: DataFrame) -> DataFrame:
+    """``trace`` with ``_d``: 1 at the enter, -1 at the exit of a span, else 0."""
+    ends = F.array(F.struct(F.col("enter_id").alias("event_id"), F.lit(1).alias("d")),
+                   F.struct(F.col("exit_id").alias("event_id"), F.lit(-1).alias("d")))
+    marks = cut(spans.select("run_id", F.explode(ends).alias("e")).select(
+        "run_id", "e.event_id", F.col("e.d").alias("_d")).filter("event_id IS NOT NULL"), "span_marks")
+    return trace.join(marks, ["run_id", "event_id"], "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
 
 
 def by_origin(trace: DataFrame, defined: bool | None = None, called: bool | None = None) -> DataFrame:
@@ -80,25 +94,12 @@ def collapse_external(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) ->
     An event is kept unless some external call span (B3) strictly contains it; the
     external enter and its exit are the kept boundary rows. Implemented as a running
     count of open external spans (+1 at the enter, -1 at the exit), not a range join."""
-    spans = call_spans_with_origin(trace, chunk_bits)
-    ext = spans.filter(~F.coalesce(F.col("defined_by_user"), F.lit(False)))
-    marks = ext.select("run_id", F.col("enter_id").alias("event_id"), F.lit(1).alias("_d"), F.lit(0).alias("_b")) \
-        .unionByName(ext.filter(F.col("exit_id").isNotNull())
-                        .select("run_id", F.col("exit_id").alias("event_id"), F.lit(-1).alias("_d"), F.lit(1).alias("_b")))
-    t2 = (trace.join(marks, ["run_id", "event_id"], "left")
-               .withColumn("_d", F.coalesce("_d", F.lit(0))).withColumn("_b", F.coalesce("_b", F.lit(0))))
-    inside = running_sum(t2, ["run_id"], ["event_id"], F.col("_d"), "_inside",
+    ext = _spans(trace, chunk_bits).filter(~F.coalesce(F.col("call.defined_by_user"), F.lit(False)))
+    inside = running_sum(_marked(trace, ext), ["run_id"], ["event_id"], F.col("_d"), "_inside",
                          chunk_of("event_id", chunk_bits), inclusive=False)
     # the exclusive count of an external exit row includes its own span
-    keep = (F.col("_inside") == 0) | ((F.col("_inside") == 1) & (F.col("_b") == 1))
-    return inside.filter(keep).drop("_d", "_b", "_inside")
-
-
-def call_spans_with_origin(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
-    spans = call_spans(trace, chunk_bits)
-    origin = trace.filter(F.col("kind") == "enter").select(
-        "run_id", F.col("event_id").alias("enter_id"), F.col("call.defined_by_user").alias("defined_by_user"))
-    return spans.join(origin, ["run_id", "enter_id"])
+    keep = (F.col("_inside") == 0) | ((F.col("_inside") == 1) & (F.col("_d") == -1))
+    return inside.filter(keep).drop("_d", "_inside")
 
 
 def drop_named(trace: DataFrame, names: DataFrame | list[str], field: str = "call.co_name",
@@ -107,23 +108,16 @@ def drop_named(trace: DataFrame, names: DataFrame | list[str], field: str = "cal
 
     ``names`` is a small fixed list (comprehension frames, instrumentation stubs) or a
     DataFrame with a ``name`` column; the DataFrame is joined, never broadcast blindly."""
-    enters = trace.filter(F.col("kind") == "enter").select("run_id", "event_id", F.col(field).alias("name"))
+    spans = _spans(trace, chunk_bits).withColumn("name", F.col(field))
     if isinstance(names, list):
-        hit = enters.filter(F.col("name").isin(names))
+        spans = spans.filter(F.col("name").isin(names))
     else:
-        hit = enters.join(names.select("name").distinct(), "name", "left_semi")
-    spans = call_spans(trace, chunk_bits).join(
-        hit.select("run_id", F.col("event_id").alias("enter_id")), ["run_id", "enter_id"], "left_semi")
-    marks = spans.select("run_id", F.col("enter_id").alias("event_id"), F.lit(1).alias("_d")) \
-        .unionByName(spans.filter(F.col("exit_id").isNotNull())
-                          .select("run_id", F.col("exit_id").alias("event_id"), F.lit(-1).alias("_d")))
-    t2 = trace.join(marks, ["run_id", "event_id"], "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
-    inside = running_sum(t2, ["run_id"], ["event_id"], F.col("_d"), "_in",
+        spans = spans.join(names.select("name").distinct(), "name", "left_semi")
+    inside = running_sum(_marked(trace, spans), ["run_id"], ["event_id"], F.col("_d"), "_in",
                          chunk_of("event_id", chunk_bits), inclusive=True)
-    # a dropped call's enter has _in >= 1 (inclusive), its exit row has _in back at the
-    # outer level, so drop the exit rows of dropped spans explicitly
-    exits = spans.filter(F.col("exit_id").isNotNull()).select("run_id", F.col("exit_id").alias("event_id"))
-    return inside.filter(F.col("_in") == 0).join(exits, ["run_id", "event_id"], "left_anti").drop("_d", "_in")
+    # a dropped call's enter counts itself; its exit row is back at the outer level, so the
+    # exit is dropped by its mark
+    return inside.filter((F.col("_in") == 0) & (F.col("_d") != -1)).drop("_d", "_in")
 
 
 def bound_loops(trace: DataFrame, n: int | None, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:

@@ -11,8 +11,11 @@ in this package is therefore computed in two levels:
    key: a hot key with 10^11 rows has ~10^5 chunks), giving the carry-in of each chunk,
    which is joined back on ``(key, chunk)``.
 
-The explicit ``repartition(_k, _c)`` is consumed twice (local window, chunk summary),
-so Spark reuses the one exchange; the join back only shuffles the small side.
+Both branches (local window, chunk summary) start from an explicit ``repartition(_k, _c)``.
+They need different columns, so Spark plans two exchanges: one wide (all columns, for the
+window) and one narrow (order and value columns, for the summary, aggregated map-side),
+and reads the input for each. The wide rows are not shuffled again for the join back when
+the carry is broadcast by its measured size or is distributed by the same keys.
 Keys are packed into a struct, which makes NULL a real, null-safe key.
 """
 
