@@ -190,34 +190,48 @@ def link_calls(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFr
                                                 F.col("loc").alias("func_id"), "caller_event_id")
 
 
-def function_refs(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+def function_refs(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS, global_only: bool = False) -> DataFrame:
     """What each function reads: every ``exec`` inside a call is attributed to its
     innermost open call (the latest enter whose level equals the statement's depth, an
-    as-of scan keyed by (run, level)); one row per (run, function address, name, id)."""
+    as-of scan keyed by (run, level)); one row per (run, function address, name, id).
+
+    With ``global_only`` the function's own locations are left out: those passed to it as
+    arguments and those that updates inside its calls write."""
     chunk = chunk_of("event_id", chunk_bits)
-    t = with_call_depth(trace.filter(F.col("kind").isin("exec", "enter", "exit"))
-                             .select("run_id", "event_id", "kind", "uses", "call"), chunk_bits=chunk_bits)
+    t = with_call_depth(trace.filter(F.col("kind").isin("exec", "update", "enter", "exit"))
+                             .select("run_id", "event_id", "kind", "uses", "defs", "call"), chunk_bits=chunk_bits)
+    touched = F.when(F.col("kind") == "exec", F.col("uses")).otherwise(F.col("defs"))
     enters = t.filter(F.col("kind") == "enter").select(
-        "run_id", "event_id", (F.col("depth") + 1).alias("level"), F.col("call.func_id").alias("func_id"),
-        F.lit(None).cast(t.schema["uses"].dataType).alias("uses"), F.lit(True).alias("_src"))
-    inner = t.filter((F.col("kind") == "exec") & (F.col("depth") > 0)).select(
-        "run_id", "event_id", F.col("depth").alias("level"), F.lit(None).cast("bigint").alias("func_id"),
-        "uses", F.lit(False).alias("_src"))
+        "run_id", "event_id", "kind", (F.col("depth") + 1).alias("level"), F.col("call.func_id").alias("func_id"),
+        F.lit(None).cast(t.schema["uses"].dataType).alias("vars"), F.lit(True).alias("_src"))
+    inner = t.filter(F.col("kind").isin("exec", "update") & (F.col("depth") > 0)).select(
+        "run_id", "event_id", "kind", F.col("depth").alias("level"), F.lit(None).cast("bigint").alias("func_id"),
+        touched.alias("vars"), F.lit(False).alias("_src"))
     owned = last_before(enters.unionByName(inner), ["run_id", "level"], ["event_id", F.col("_src").cast("int")],
                         F.col("_src"), F.col("func_id"), "owner", chunk)
-    return (owned.filter(~F.col("_src") & F.col("owner").isNotNull())
-                 .select("run_id", F.col("owner").alias("func_id"), F.explode("uses").alias("u"))
-                 .select("run_id", "func_id", F.col("u.name").alias("name"), F.col("u.id").alias("id"))
+    seen = (owned.filter(~F.col("_src") & F.col("owner").isNotNull())
+                 .select("run_id", F.col("owner").alias("func_id"), "kind", F.explode("vars").alias("u"))
+                 .select("run_id", "func_id", "kind", F.col("u.name").alias("name"), F.col("u.id").alias("id"))
                  .distinct())
+    if not global_only:
+        return seen.filter("kind = 'exec'").drop("kind")
+    seen = cut(seen, "function_touches")
+    args = trace.filter(F.col("kind") == "enter").select(
+        "run_id", F.col("call.func_id").alias("func_id"), F.explode("call.args").alias("a")).select(
+        "run_id", "func_id", F.col("a.id").alias("id"))
+    own = seen.filter("kind = 'update'").select("run_id", "func_id", "id").unionByName(args).distinct()
+    return seen.filter("kind = 'exec'").drop("kind").join(own, ["run_id", "func_id", "id"], "left_anti") \
+        .select("run_id", "func_id", "name", "id")
 
 
 def indirect_uses(trace: DataFrame, fn_refs: DataFrame | None = None,
-                  chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+                  chunk_bits: int = DEFAULT_CHUNK_BITS, global_only: bool = False) -> DataFrame:
     """A statement that reads a function's address also reads what that function
     reads, and what the functions it names read (closure over the function graph, by the
     slice frontier). Returns the statement's direct and indirect reads, distinct."""
     from linewise.operators.slicing import slices
-    refs = cut(fn_refs if fn_refs is not None else function_refs(trace, chunk_bits), "function_refs")
+    refs = cut(fn_refs if fn_refs is not None else function_refs(trace, chunk_bits, global_only),
+               "function_refs")
     fns = refs.select("run_id", "func_id").distinct()
     fgraph = (refs.join(fns.select("run_id", F.col("func_id").alias("id")), ["run_id", "id"], "left_semi")
                   .select("run_id", F.col("func_id").alias("src"), F.col("id").alias("dst")).distinct())

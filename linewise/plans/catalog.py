@@ -245,14 +245,17 @@ def link_calls(spark, sf):
     return B.link_calls(events_trace(spark, sf))
 
 
-@register("indirect_uses", f"""WITH RECURSIVE {O.EV},
-ex AS (SELECT * FROM depth WHERE kind = 'exec' AND depth > 0),
-owned AS (SELECT x.run_id, x.event_id, arg_max(n.k % 4, n.event_id) AS fn
+def _indirect_sql(own: str = "SELECT NULL AS run_id, NULL AS func_id, NULL AS id WHERE FALSE") -> str:
+    return f"""WITH RECURSIVE {O.EV},
+ex AS (SELECT * FROM depth WHERE kind IN ('exec', 'update') AND depth > 0),
+owned AS (SELECT x.run_id, x.event_id, x.kind, arg_max(n.k % 4, n.event_id) AS fn
           FROM ex x JOIN depth n ON n.run_id = x.run_id AND n.kind = 'enter' AND n.depth + 1 = x.depth
                                  AND n.event_id < x.event_id
-          GROUP BY x.run_id, x.event_id),
+          GROUP BY x.run_id, x.event_id, x.kind),
+own AS ({own}),
 refs AS (SELECT DISTINCT o.run_id, o.fn AS func_id, u.name, u.id FROM owned o
-         JOIN uses_flat u ON u.run_id = o.run_id AND u.event_id = o.event_id),
+         JOIN uses_flat u ON u.run_id = o.run_id AND u.event_id = o.event_id
+         WHERE NOT EXISTS (SELECT 1 FROM own w WHERE w.run_id = o.run_id AND w.func_id = o.fn AND w.id = u.id)),
 fns AS (SELECT DISTINCT run_id, func_id FROM refs),
 fgraph AS (SELECT DISTINCT r.run_id, r.func_id AS src, r.id AS dst FROM refs r
            JOIN fns f ON f.run_id = r.run_id AND f.func_id = r.id),
@@ -264,11 +267,22 @@ direct AS (SELECT run_id, event_id, name, id FROM uses_flat),
 ind AS (SELECT d.run_id, d.event_id, r.name, r.id FROM direct d
         JOIN reach c ON c.run_id = d.run_id AND c.fn = d.id
         JOIN refs r ON r.run_id = c.run_id AND r.func_id = c.g)
-SELECT run_id, event_id, name, id FROM direct UNION SELECT run_id, event_id, name, id FROM ind""")
+SELECT run_id, event_id, name, id FROM direct UNION SELECT run_id, event_id, name, id FROM ind"""
+
+
+@register("indirect_uses", _indirect_sql())
 def indirect_uses(spark, sf):
     return B.indirect_uses(events_trace(spark, sf))
 
 
+@register("indirect_global_uses", _indirect_sql(
+    """SELECT run_id, k % 4 AS func_id, unnest([k % 4, 100 + k % 12]) AS id FROM trace WHERE kind = 'enter'
+       UNION SELECT o.run_id, o.fn, d.id FROM owned o JOIN defs_flat d ON d.run_id = o.run_id AND d.event_id = o.event_id"""))
+def indirect_global_uses(spark, sf):
+    """B11 for global reads: arguments and locations a function writes are its own."""
+    return B.indirect_uses(events_trace(spark, sf), global_only=True)
+
+
 # ---- A: event model --------------------------------------------------------------------
 
 @register("accesses", f"""WITH {O.EV}
