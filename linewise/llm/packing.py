@@ -18,7 +18,9 @@ share one); its free tail is a *gap*. Then supersteps run until every piece has
    few as that total needs.
 
 With more than ``MANY`` pieces for each gap, steps that place one piece in a gap would go on
-for long; then small pieces are first tied into bundles, which are placed like one piece.
+for long; then one last step places all pieces that wait, several in a gap. Pieces of one
+size are alike, so best-fit decreasing is worked out on the counts by size (bounded by the
+capacity), and every piece looks its place up by its rank in the order by size.
 
 Each step's state is a written table in the shared checkpoint folder, so a lost executor
 costs only the current step; the driver sees a few totals per step.
@@ -26,7 +28,9 @@ costs only the current step; the driver sees a few totals per step.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -132,27 +136,91 @@ def _matched(state: DataFrame) -> DataFrame:
     return cut(met.unionByName(alone), "pack-match")
 
 
-def _bundles(items: DataFrame, most: int) -> DataFrame:
-    """Tie the items (id, size) of each partition, as they come, into bundles of up to
-    ``most`` tokens (a longer item stays alone): id, size, bundle (id of its first item),
-    inner (offset in it)."""
+def _fill_plan(gaps: dict[int, int], items: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+    """Best-fit decreasing on the counts of gaps and pieces by size: every piece goes into the
+    smallest gap that holds it, the largest pieces first, and a new sequence is opened only
+    when no gap does. Gaps are numbered by size, largest first, then the new sequences.
+
+    One row per run of equal pieces that go into a run of equal gaps: rank of the first piece
+    (by size, largest first), number of the first gap, pieces for each gap, offset, size. Runs
+    split only where a size ends, so their number is bounded by the capacity, not by the data.
+    Also the number of new sequences.
+    """
+    free: dict[int, list[tuple[int, int]]] = {}
+    at = rank = 0
+    for size in sorted(gaps, reverse=True):
+        free[size] = [(at, gaps[size])]
+        at += gaps[size]
+    old, sizes, rows = at, sorted(free), []
+
+    def keep(size: int, first: int, n: int) -> None:
+        if n and size:
+            if size not in free:
+                free[size] = []
+                insort(sizes, size)
+            free[size].append((first, n))
+
+    for size in sorted(items, reverse=True):
+        n = items[size]
+        while n:
+            i = bisect_left(sizes, size)
+            if i == len(sizes):
+                new = -(-n // (capacity // size))
+                keep(capacity, at, new)
+                at += new
+                continue
+            gap = sizes[i]
+            first, many = free[gap].pop()
+            if not free[gap]:
+                del free[gap], sizes[i]
+            each = gap // size
+            full = min(many, n // each)
+            rows.append((rank, first, each, capacity - gap, size))
+            last = n - full * each if full < many else 0  # one more gap takes the fewer pieces left
+            keep(gap - each * size, first, full)
+            if last:
+                keep(gap - last * size, first + full, 1)
+            keep(gap, first + full + bool(last), many - full - bool(last))
+            n -= full * each + last
+            rank += full * each + last
+    return np.array(rows, np.int64).reshape(-1, 5), at - old
+
+
+def _filled(state: DataFrame, gaps: dict[int, int], items: dict[int, int], capacity: int,
+            opened: int) -> DataFrame:
+    """Places (id, sequence_id, offset) for all pieces of ``state`` at once, many in a gap:
+    gaps and pieces are numbered by size over the range partitions, and each piece looks its
+    place up in the plan."""
+    plan, _ = _fill_plan(gaps, items, capacity)
+    n_gaps = sum(gaps.values())
+    order = [F.col("kind"), F.col("size").desc(), F.xxhash64("id"), F.col("id")]
+    rows = cut(state.select("kind", "id", "size").repartitionByRange(*order).sortWithinPartitions(*order)
+               .withColumn("at", F.monotonically_increasing_id())
+               .withColumns({"pid": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)}), "pack-ranks")
+    # one row per partition (its number is bounded by the shuffle partitions)
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy("pid").agg(F.count("*").alias("n")).select(
+        "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    ranked = rows.join(F.broadcast(carry), "pid").select("kind", "id", (F.col("off") + F.col("at")).alias("rank"))
+    shared = state.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, used = None, 0
+        table = shared.value
         for batch in batches:
-            heads, inner = [], []
-            for i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if head is None or used + n > most:
-                    head, used = i, 0
-                heads.append(head)
-                inner.append(used)
-                used += n
+            rank = batch.column(1).to_numpy() - n_gaps
+            own = table[np.searchsorted(table[:, 0], rank, "right") - 1]
+            nth = rank - own[:, 0]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(heads, pa.int64()),
-                 pa.array(inner, pa.int64())], names=["id", "size", "bundle", "inner"])
+                [batch.column(0), pa.array(own[:, 1] + nth // own[:, 2]),
+                 pa.array(own[:, 3] + nth % own[:, 2] * own[:, 4])], names=["id", "gap", "offset"])
 
-    return items.select("id", "size").mapInArrow(
-        run, "id bigint, size bigint, bundle bigint, inner bigint")
+    spots = ranked.where("kind = 1").select("id", "rank").mapInArrow(run, "id bigint, gap bigint, offset bigint")
+    named = F.lit(n_gaps - opened - 1) - F.col("gap")  # a sequence that the plan opens
+    if n_gaps:
+        spots = spots.join(ranked.where("kind = 0").select(
+            F.col("rank").alias("gap"), F.col("id").alias("gap_id")), "gap", "left")
+        named = F.coalesce("gap_id", named)
+    return cut(spots.select("id", named.alias("sequence_id"), "offset"), "pack-filled")
 
 
 def _lacking(gaps: dict[int, int], items: dict[int, int]) -> int:
@@ -195,7 +263,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items = pieces.where(~big).select("id", F.col("size").cast("bigint").alias("size"))
 
     state = items.select(F.lit(1).alias("kind"), "id", "size").unionByName(gaps)
-    put, ties, opened = [], [], 0
+    put, opened = [], 0
     while True:
         # sizes are at most the capacity, so this table is bounded by it, not by the data
         count = {(r.kind, r.size): r.n for r in
@@ -210,13 +278,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         n_gaps = new + sum(gaps.values())
         state = state.where((F.col("kind") == 1) | (F.col("size") >= least))
         if n_items > MANY * n_gaps:
-            total = sum(size * n for size, n in waiting.items())
-            most = min(capacity if new else max(gaps), max(capacity // 8, total // n_gaps))
-            tied = cut(_bundles(state.where("kind = 1"), most), "pack-bundles")
-            ties.append((len(put), tied))
-            state = state.where("kind = 0").unionByName(tied.groupBy("bundle").agg(
-                F.lit(1).alias("kind"), F.sum("size").alias("size")).select(
-                "kind", F.col("bundle").alias("id"), "size"))
+            put.append(_filled(state, gaps, waiting, capacity, opened))
+            break
         if new:
             state = state.unionByName(spark.range(opened + 1, opened + new + 1).select(
                 F.lit(0).alias("kind"), (-F.col("id")).alias("id"),
@@ -230,14 +293,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             F.col("size") - F.coalesce("with_size", F.lit(0)))
         state = done.where("kind = 0 OR with_id IS NULL").select(
             "kind", "id", rest.alias("size")).where("size > 0")
-    spots = placed[0].where("1 = 0")
-    for step in reversed(range(len(put))):
-        spots = put[step].unionByName(spots)
-        for at, tied in ties:
-            if at == step:  # what was placed from this step on may be bundles of it
-                spots = cut(tied.join(spots.withColumnRenamed("id", "bundle"), "bundle").select(
-                    "id", "sequence_id", (F.col("offset") + F.col("inner")).alias("offset")), "pack-untied")
-    return placed[0].unionByName(spots)
+    return reduce(DataFrame.unionByName, placed + put)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,

@@ -52,6 +52,20 @@ def test_place(spark, kind):
     assert used <= least * most + 1
 
 
+@pytest.mark.parametrize("kind", ["short", "mostly short", "few long"])
+def test_place_many_short_pieces(spark, kind):
+    rng = np.random.default_rng(11)
+    sizes = {"short": rng.integers(20, 400, 6000),
+             "mostly short": np.minimum(rng.lognormal(5, 1, 6000).astype(int) + 1, 2048),
+             "few long": np.concatenate([rng.integers(1100, 2000, 200), rng.integers(5, 120, 12000)])}[kind]
+    by_id = {int(i): int(n) for i, n in enumerate(rng.permutation(sizes))}
+    df = spark.createDataFrame(list(by_id.items()), "id bigint, size bigint").repartition(3)
+    used = check_places(place(df, 2048).collect(), by_id, 2048)
+    least = max(-(-int(sizes.sum()) // 2048), int((sizes > 1024).sum()))
+    print(f"{kind}: {used} sequences, lower bound {least}")
+    assert used <= 1.01 * least + 1
+
+
 def test_place_empty(spark):
     assert place(spark.createDataFrame([], "id bigint, size bigint"), 100).collect() == []
 
