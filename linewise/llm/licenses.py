@@ -1,8 +1,13 @@
 """License scans: fixed phrases, and an exact set-similarity join with notice templates.
 
-Text blocks are lines. A template matches a block when at least ``threshold`` of the
-template's distinct words are in the block (containment). Only words of the (fixed,
-small) template vocabulary can overlap, so a block is the set of those among its words.
+Text blocks are lines and, for notices that are wrapped, runs of consecutive lines. A run
+goes on from each line as far as the longest template can reach and ends before a line
+without words (a paragraph's end); of a long line it takes only the words next to the line
+break, so a run has fewer than three times the longest template's words. A run counts only
+for a template that no single line of the text matches. A template matches a block when at
+least ``threshold`` of the template's distinct words are in the block (containment). Only
+words of the (fixed, small) template vocabulary can overlap, so a block is the set of those
+among its words.
 The join is exact and uses built-in functions only:
 
 * words are ordered by their frequency over all blocks, the rarest first;
@@ -76,24 +81,65 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _scanned(docs: DataFrame, phrases: Mapping[str, str], vocabulary: list[str]) -> DataFrame:
-    """doc_id, n_words, base (label and starts of every phrase) and blocks (the vocabulary
-    words of every line that has any)."""
+def _runs(lines: Column, vocab: Column, longest: int, least: int) -> Column:
+    """Blocks of the runs of two or more ``lines`` (n words, all, head and tail: vocabulary
+    words) that can hold a text of ``longest`` words and have at least ``least`` vocabulary
+    words, more than their first line alone."""
+    def more(run: Column, ln: Column) -> Column:
+        goes = run["open"] & (ln["n"] > 0) & (run["n"] < longest - 1)
+        return F.struct(
+            F.when(goes, run["n"] + ln["n"]).otherwise(run["n"]).alias("n"), goes.alias("open"),
+            F.when(goes, F.concat(run["words"], F.coalesce(ln["head"], ln["all"]))).otherwise(run["words"]).alias("words"))
+
+    def from_line(ln: Column, i: Column) -> Column:
+        own = F.coalesce(ln["tail"], ln["all"])
+        start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), own.alias("words"))
+        run = F.aggregate(F.slice(lines, i + 2, longest - 1), start, more)["words"]
+        # a line without vocabulary words starts no run: the notice starts later
+        return F.when(F.size(own) > 0, let(F.array_intersect(vocab, run), lambda b: F.when(
+            (F.size(b) >= least) & (F.size(b) > F.size(own)), b)))
+
+    return F.filter(F.transform(lines, from_line), lambda b: b.isNotNull())
+
+
+def _scanned(docs: DataFrame, phrases: Mapping[str, str], vocabulary: list[str], longest: int,
+             least: int) -> DataFrame:
+    """doc_id, n_words, base (label and starts of every phrase), blocks (the vocabulary words
+    of every line that has any) and runs (those of runs of lines, see :func:`_runs`)."""
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     lines = F.transform(F.split(text, "\n"),
                         lambda ln: F.filter(F.split(ln, WORD_GAP), lambda w: w != ""))
     vocab = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
 
+    side = max(longest - 1, 1)
+
+    def line(ws: Column) -> Column:
+        long = F.size(ws) > side
+        return F.struct(
+            F.size(ws).alias("n"), F.array_intersect(vocab, ws).alias("all"),
+            F.when(long, F.array_intersect(vocab, F.slice(ws, 1, side))).alias("head"),
+            F.when(long, F.array_intersect(vocab, F.slice(ws, -side, side))).alias("tail"))
+
+    def blocks(lns: Column) -> Column:
+        return F.struct(
+            F.filter(F.transform(lns, lambda ln: ln["all"]), lambda b: F.size(b) > 0).alias("lines"),
+            (_runs(lns, vocab, longest, least) if longest > 1 else F.array().cast("array<array<string>>")).alias("runs"))
+
     def of(by_line: Column) -> Column:
         return F.struct(
             let(F.flatten(by_line), lambda words: F.struct(
                 F.size(words).cast("bigint").alias("n_words"),
                 F.array(*[F.struct(F.lit(label).alias("label"), _phrase_starts(words, p).alias("starts"))
                           for p, label in phrases.items()]).alias("base"))).alias("own"),
-            F.filter(F.transform(by_line, lambda ws: F.array_intersect(vocab, ws)),
-                     lambda b: F.size(b) > 0).alias("blocks"))
+            let(F.transform(by_line, line), blocks).alias("blocks"))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), let(lines, of).alias("s")).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "s.own.n_words", "s.own.base", "s.blocks")
+        F.monotonically_increasing_id().alias("row"), "doc_id", "s.own.n_words", "s.own.base",
+        F.col("s.blocks.lines").alias("blocks"), "s.blocks.runs")
+
+
+def _need(words: list[str], threshold: float) -> int:
+    """The least number of distinct words in common."""
+    return max(1, math.ceil(threshold * len(set(words)) - 1e-9))
 
 
 def _templates(spark: SparkSession, templates: Mapping[str, list[str]], order: list[str],
@@ -102,7 +148,7 @@ def _templates(spark: SparkSession, templates: Mapping[str, list[str]], order: l
     rank = {w: i for i, w in enumerate(order)}
     rows = [F.struct(F.lit(label).alias("label"),
                      F.array(*[F.lit(w) for w in sorted(set(ws), key=rank.__getitem__)]).alias("t_words"),
-                     F.lit(max(1, math.ceil(threshold * len(set(ws)) - 1e-9))).alias("need"))
+                     F.lit(_need(ws, threshold)).alias("need"))
             for label, ws in templates.items() if ws]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
 
@@ -115,7 +161,7 @@ def matches(blocks: DataFrame, templates: Mapping[str, list[str]], threshold: fl
     frequency = {r.w: r["count"] for r in counted.collect()}  # at most the vocabulary
     order = sorted({w for ws in templates.values() for w in ws}, key=lambda w: (frequency.get(w, 0), w))
     table = F.broadcast(_templates(spark, templates, order, threshold))  # at most MAX_TEMPLATES rows
-    least = min(max(1, math.ceil(threshold * len(set(ws)) - 1e-9)) for ws in templates.values() if ws)
+    least = min(_need(ws, threshold) for ws in templates.values() if ws)
     ordered = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words"))
     sides = (blocks.where(F.size("words") >= least)
              .select("row", F.monotonically_increasing_id().alias("block"), ordered.alias("words"))
@@ -146,7 +192,9 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES,
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     words = {label: template_words(t) for label, t in templates.items()}
     vocabulary = sorted({w for ws in words.values() for w in ws})
-    rows = cut(_scanned(docs, phrases, vocabulary), "license-rows")
+    longest = max((len(ws) for ws in words.values()), default=0)
+    least = min((_need(ws, threshold) for ws in words.values() if ws), default=1)
+    rows = cut(_scanned(docs, phrases, vocabulary, longest, least), "license-rows")
     starts = F.flatten(F.transform("base", lambda b: b["starts"]))
     base_labels = F.array_sort(F.array_distinct(F.transform(
         F.filter("base", lambda b: F.size(b["starts"]) > 0), lambda b: b["label"])))
@@ -155,7 +203,11 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES,
         F.array_min(starts).cast("bigint").alias("first_word"),
         F.array_max(starts).cast("bigint").alias("last_word"), base_labels.alias("b"))
     if vocabulary:
-        found = matches(rows.select("row", F.explode("blocks").alias("words")), words, threshold) \
+        one = rows.select(F.struct("row", F.lit(False).alias("run")).alias("row"), F.explode("blocks").alias("words"))
+        run = rows.select(F.struct("row", F.lit(True).alias("run")).alias("row"), F.explode("runs").alias("words"))
+        best = lambda by_run: F.max(F.when(F.col("row.run") == by_run, F.col("containment")))
+        found = matches(one.unionByName(run), words, threshold) \
+            .groupBy(F.col("row.row").alias("row"), "label").agg(F.coalesce(best(False), best(True)).alias("containment")) \
             .groupBy("row").agg(F.collect_set("label").alias("m"), F.max("containment").alias("best"))
         base = base.join(found, "row", "left")
     else:

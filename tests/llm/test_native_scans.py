@@ -57,6 +57,29 @@ def test_license_cases(spark):
     assert got[9].labels == "cc-by,cc-by-nc-4.0"
 
 
+def test_wrapped_notices(spark):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "of this software and associated documentation files (the \"Software\"), to deal\n"
+           "in the Software without restriction")
+    bsd = ("// Redistribution and use in source and binary forms, with or without\n"
+           "// modification, are permitted provided that the following conditions are\n// met:")
+    gpl = (" * This program is free software: you can redistribute it and/or modify\n"
+           " * it under the terms of the GNU General Public License as published by\n"
+           " * the Free Software Foundation, either version 3 of the License, or")
+    mpl = ("# This Source Code Form is subject to the terms of the Mozilla Public\n"
+           "# License, v. 2.0. If a copy of the MPL was not distributed with this")
+    ends = ("w " * 200 + TEMPLATES["mpl-2.0"]).replace("the Mozilla", "the\nMozilla") + " w" * 200
+    texts = [mit, bsd, gpl, mpl, "x y\n\n" + mpl.replace("\n", "\r\n"), ends, mit.replace("\n", "\n\n"),
+             mpl.replace("\n", "\n" + "w " * 40 + "\n"), TEMPLATES["mpl-2.0"].replace("subject", "") + "\nsubject to",
+             "\n".join(TEMPLATES["gpl-text"].split()), TEMPLATES["mit"].replace(" ", "\n")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in scan(df).collect()}
+    assert [got[i].labels for i in range(11)] == [
+        "mit-text", "bsd-text", "gpl,gpl-text", "mpl-2.0", "mpl-2.0", "mpl-2.0", "", "", "mpl-2.0", "gpl,gpl-text", "mit"]
+    assert got[0].score == got[1].score == got[5].score == 1.0 and got[6].score == 0.0
+    assert got[8].score == 15 / 16  # the line alone matches
+
+
 def test_join_equals_brute_force(spark):
     import random
 
