@@ -121,3 +121,25 @@ m AS (SELECT n.*, b.line IS NOT NULL AND (doc_id, pos) <> b.first AS gone FROM n
 SELECT doc_id, count(*) FILTER (WHERE line <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
        coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE gone IS NOT TRUE), '') AS text
 FROM m GROUP BY doc_id"""
+
+
+def infill_sql() -> str:
+    """The cut texts by code points; the restored text is the document's own."""
+    return r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text,
+                  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, text, length(text) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1,
+             ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3,
+             ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                       OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                     WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+p AS (SELECT *, left(text, a) AS pre, substring(text, a + 1, b - a) AS mid,
+             substring(text, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+                        ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p"""
