@@ -143,3 +143,32 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
                         WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
                         ELSE text END) AS output_sha256, sha256(text) AS restored_sha256
 FROM p"""
+
+
+def mixing_sql() -> str:
+    """Targets by one scan over the sources in the order in which they reach their most."""
+    from linewise.llm.mixing import MOST, SHARE, WEIGHTS
+
+    weights = f"[{', '.join(map(str, WEIGHTS))}]"
+    return rf"""
+WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'),
+                  lambda x: x <> '')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, {MOST} * source_size AS most, {weights}[(row_number() OVER (ORDER BY source NULLS LAST) - 1)
+             % {len(WEIGHTS)} + 1] AS w FROM s),
+o AS (SELECT *, coalesce(sum(most) OVER b, 0)::BIGINT AS spent, sum(w) OVER (ORDER BY most / w DESC, source DESC
+             NULLS FIRST)::BIGINT AS open, (SELECT sum(source_size) FROM s)::BIGINT * {SHARE}::DOUBLE AS budget
+      FROM r WINDOW b AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max((budget - spent) / open) AS level FROM o WHERE most / w > (budget - spent) / open),
+t AS (SELECT source, source_size, CASE WHEN most <= level * w THEN most::DOUBLE ELSE level * w END AS target, budget
+      FROM o, (SELECT coalesce((SELECT level FROM l), 1e300) AS level)),
+q AS (SELECT doc_id, d.source, size, source_size, target, budget, e AS epoch,
+             e * source_size + sum(size) OVER (PARTITION BY d.source, e ORDER BY h)::BIGINT - size AS first
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source, (SELECT unnest(range({MOST})) AS e)),
+g AS (SELECT *, CASE WHEN target > 0 THEN (first + size) / target END AS finish,
+             greatest(0, least(size, ceil(target)::BIGINT - first)) AS offered FROM q),
+p AS (SELECT *, sum(offered) OVER (ORDER BY finish NULLS LAST, source NULLS LAST, doc_id, epoch
+             ROWS UNBOUNDED PRECEDING)::BIGINT - offered AS position FROM g)
+SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+       sum(greatest(0, least(offered, floor(budget)::BIGINT - position)))::BIGINT AS taken
+FROM p GROUP BY doc_id"""

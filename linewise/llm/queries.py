@@ -7,7 +7,8 @@ from linewise.llm.infill import op13_fill_in_middle
 from linewise.llm.language import op8_language_id
 from linewise.llm.licenses import op3_license_scans
 from linewise.llm.lines import op1_line_dedup
-from linewise.llm.oracle import infill_sql, license_sql, line_dedup_sql, quality_sql
+from linewise.llm.mixing import op11_source_mixing
+from linewise.llm.oracle import infill_sql, license_sql, line_dedup_sql, mixing_sql, quality_sql
 from linewise.llm.packing import op4_best_fit_packing
 from linewise.llm.quality import op2_quality_rules
 from linewise.llm.sharding import op7_sharding
@@ -26,11 +27,13 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_planes": op10_token_planes,
+    "op11_source_mixing": op11_source_mixing,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup_sql(),
     "op2_quality_rules": quality_sql(),
     "op3_license_scans": license_sql(),
+    "op11_source_mixing": mixing_sql(),
     "op13_fill_in_middle": infill_sql(),
 }
