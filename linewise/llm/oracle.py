@@ -172,3 +172,35 @@ p AS (SELECT *, sum(offered) OVER (ORDER BY finish NULLS LAST, source NULLS LAST
 SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
        sum(greatest(0, least(offered, floor(budget)::BIGINT - position)))::BIGINT AS taken
 FROM p GROUP BY doc_id"""
+
+
+def trie_sql() -> str:
+    """Nodes as lists of (role, text); crc32 is worked out bit by bit."""
+    return rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS own FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+             string_split(conv_id::VARCHAR, ''), lambda ch: list_transform(range(8), lambda k: ((ascii(ch) >> k) & 1)::BIGINT)))),
+             lambda x, y: xor(x >> 1, CASE WHEN (xor(x, y) & 1) = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)),
+             4294967295::BIGINT) % 4 AS h FROM o),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.own, [])[1:h], own[h + 1:]) AS turns
+      FROM (SELECT o.conv_id, o.own, c.h FROM o JOIN c USING (conv_id)) o
+      LEFT JOIN (SELECT conv_id AS base, own FROM o) b(base, own) ON b.base = o.conv_id - o.conv_id % 20),
+e AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+k AS (SELECT conv_id, depth, turns[1:depth] AS path, len(turns) = depth AS ends,
+             CASE WHEN depth > 0 THEN len(list_filter(regexp_split_to_array(turns[depth].text, '{_SPACE}+'),
+                  lambda x: x <> '')) ELSE 0 END AS words FROM e),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256,
+             count(*) FILTER (WHERE ends) AS n_ends FROM k GROUP BY depth, path),
+u AS (SELECT v.depth, v.path, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens,
+             count(*) FILTER (WHERE n.n_ends = n.n_convs) AS n_leaves
+      FROM n JOIN k ON k.conv_id = n.conv_id AND k.depth <= n.depth
+      JOIN n v ON v.depth = k.depth AND v.path = k.path GROUP BY v.depth, v.path),
+f AS (SELECT depth - 1 AS depth, path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN u USING (depth, path) LEFT JOIN f USING (depth, path)
+LEFT JOIN n p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]"""
