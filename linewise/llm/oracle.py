@@ -185,9 +185,9 @@ c AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(
              string_split(conv_id::VARCHAR, ''), lambda ch: list_transform(range(8), lambda k: ((ascii(ch) >> k) & 1)::BIGINT)))),
              lambda x, y: xor(x >> 1, CASE WHEN (xor(x, y) & 1) = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)),
              4294967295::BIGINT) % 4 AS h FROM o),
-r AS (SELECT o.conv_id, list_concat(coalesce(b.own, [])[1:h], own[h + 1:]) AS turns
+r AS (SELECT o.conv_id, list_concat(coalesce(b.head, [])[1:h], o.own[h + 1:]) AS turns
       FROM (SELECT o.conv_id, o.own, c.h FROM o JOIN c USING (conv_id)) o
-      LEFT JOIN (SELECT conv_id AS base, own FROM o) b(base, own) ON b.base = o.conv_id - o.conv_id % 20),
+      LEFT JOIN (SELECT conv_id AS base, own FROM o) b(base, head) ON b.base = o.conv_id - o.conv_id % 20),
 e AS (SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
 k AS (SELECT conv_id, depth, turns[1:depth] AS path, len(turns) = depth AS ends,
              CASE WHEN depth > 0 THEN len(list_filter(regexp_split_to_array(turns[depth].text, '{_SPACE}+'),
