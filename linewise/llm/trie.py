@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from linewise.llm.common import cut, ship_package, table
 from linewise.llm.mixing import n_words
-from linewise.llm.ordered import before
+from linewise.llm.ordered import before, join_spread
 
 PRIME = (1 << 61) - 1
 GROUP, MAX_HEAD = 20, 3
@@ -224,8 +224,7 @@ def collisions(entry: DataFrame, nodes: DataFrame, turns: DataFrame) -> int:
     turn. Entries that refer to the same stored turn need no comparison; of the others, the
     distinct turns of a node are read back and compared whole."""
     parents = nodes.where("min_pa <> max_pa OR min_pb <> max_pb").count()
-    several = nodes.where("min_ref <> max_ref").select(*KEY)
-    refs = entry.select(*KEY, "ref").join(several, KEY, "left_semi").distinct()
+    refs = join_spread(entry.select(*KEY, "ref"), KEY, nodes, "n_convs", F.expr("min_ref <> max_ref")).distinct()
     turn = F.struct("role", "text")
     told = (refs.join(turns.select("ref", "role", "text"), "ref").groupBy(*KEY)
             .agg(F.min(turn).alias("least"), F.max(turn).alias("most")))
