@@ -105,6 +105,14 @@ class Lineage:
                             F.explode(_dedupe_vars(refine(F.col("defs"), self.refinement))).alias("v"))
                     .select("run_id", "event_id", "lineno", "v.name", "v.id"))
 
+    def _write_rows(self) -> DataFrame:
+        """The writes that a read may come from."""
+        return self.writes.select("run_id", "id", "event_id", "name", "lineno")
+
+    def _node_rows(self) -> DataFrame:
+        """The nodes that a line may lead to."""
+        return self.nodes.select("run_id", "lineno", "event_id", "node_id")
+
     @cached_property
     def _hop1(self) -> DataFrame:
         # A5/A6 + C2: hop 1, location -> lineno of the last write strictly before the read
@@ -113,9 +121,9 @@ class Lineage:
                           .select("run_id", "event_id", "dst", "v.name", "v.id")
         acc = (reads.select("run_id", "id", "event_id", "dst", "name",
                             F.lit(None).cast("bigint").alias("lineno"), F.lit(False).alias("_w"))
-                    .unionByName(self.writes.select("run_id", "id", "event_id",
-                                                    F.lit(None).cast("bigint").alias("dst"), "name",
-                                                    "lineno", F.lit(True).alias("_w"))))
+                    .unionByName(self._write_rows().select("run_id", "id", "event_id",
+                                                           F.lit(None).cast("bigint").alias("dst"), "name",
+                                                           "lineno", F.lit(True).alias("_w"))))
         # the found flag rides along: a write with a NULL lineno is still a write
         hop1 = last_before(acc, ["run_id", "id"], ["event_id", F.col("_w").cast("int")],
                            F.col("_w"), F.struct(F.col("lineno").alias("l")), "_hit", self.chunk)
@@ -130,11 +138,11 @@ class Lineage:
         known = self._hop1.filter(F.col("w_found"))
         probe = (known.select("run_id", F.col("w_lineno").alias("lineno"), "event_id", "dst", "name", "id",
                               F.lit(None).cast("bigint").alias("node_id"), F.lit(False).alias("_n"))
-                      .unionByName(self.nodes.select("run_id", "lineno", "event_id",
-                                                     F.lit(None).cast("bigint").alias("dst"),
-                                                     F.lit(None).cast("string").alias("name"),
-                                                     F.lit(None).cast("bigint").alias("id"),
-                                                     "node_id", F.lit(True).alias("_n"))))
+                      .unionByName(self._node_rows().select("run_id", "lineno", "event_id",
+                                                            F.lit(None).cast("bigint").alias("dst"),
+                                                            F.lit(None).cast("string").alias("name"),
+                                                            F.lit(None).cast("bigint").alias("id"),
+                                                            "node_id", F.lit(True).alias("_n"))))
         hop2 = last_before(probe, ["run_id", "lineno"], ["event_id", F.col("_n").cast("int")],
                            F.col("_n"), F.col("node_id"), "src", self.chunk)
         return hop2.filter(~F.col("_n")).select(

@@ -16,6 +16,7 @@ from linewise.operators import lineage as L
 from linewise.operators import reaching as E
 from linewise.operators import scope as B
 from linewise.operators import slicing as S
+from linewise.operators.growing import GrowingGraph
 from linewise.plans import oracle as O
 from linewise.plans.materialize import new_folder
 from linewise.plans.scan import chunk_of, last_before
@@ -605,27 +606,38 @@ def impact(spark, sf):
 
 # ---- G: streaming ----------------------------------------------------------------------
 
-LIVE_FILES = 3   # micro-batches of the registered live queries: state is carried over
-
-
 @register("live_lineage", O.lineage_sql("include_all"))
 def live_lineage(spark, sf):
-    return G.edges_of(G.run_available_now(spark, events_trace(spark, sf, with_time=True),
-                                          lambda st: G.live_lineage(st), "live_lineage", LIVE_FILES))
+    return G.run_lineage(spark, events_trace(spark, sf, with_time=True))
 
 
 @register("live_lineage_ordered", O.lineage_sql("include_all"))
 def live_lineage_ordered(spark, sf):
-    trace = G.with_flush(events_trace(spark, sf, with_time=True))
-    return G.edges_of(G.run_available_now(
-        spark, trace, lambda st: G.live_lineage(st, ordered=True, delay="1 hour"), "live_lineage_ordered", LIVE_FILES))
+    return G.run_lineage(spark, events_trace(spark, sf, with_time=True), ordered=True, delay="1 hour")
+
+
+@register("live_lineage_parts", O.LINEITEM)
+def live_lineage_parts(spark, sf):
+    """G1 on the trace of few giant runs."""
+    return G.run_lineage(spark, lineitem_trace(spark, sf))
 
 
 @register("live_run_status", f"""WITH {O.EV}
 SELECT run_id, event_id, msg FROM trace WHERE kind = 'exception'""")
 def live_run_status(spark, sf):
-    ends = A.of_kind(events_trace(spark, sf, with_time=True), "exception")
-    return G.run_available_now(spark, ends, G.live_run_status, "live_run_status", LIVE_FILES)
+    return G.run_status(spark, events_trace(spark, sf, with_time=True))
+
+
+@register("growing_lineage", O.lineage_sql("include_all"))
+def growing_lineage(spark, sf):
+    """A2 and C1-C5 on a growing trace: the events in three appended parts, by event id."""
+    trace = events_trace(spark, sf)
+    thirds = trace.selectExpr("percentile_approx(event_id, array(0.33, 0.67)) AS q").first().q
+    graph = GrowingGraph(spark, new_folder(spark, "growing"))
+    for part in ((F.col("event_id") <= thirds[0]), F.col("event_id").between(thirds[0] + 1, thirds[1]),
+                 F.col("event_id") > thirds[1]):
+        graph.append(trace.where(part))
+    return graph.edges
 
 
 # ---- operators over stored traces and graphs -------------------------------------------

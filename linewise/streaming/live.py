@@ -1,134 +1,140 @@
 """G: live lineage over a streaming trace (Structured Streaming).
 
-G1  ``live_lineage``: per run, a stateful fold (``transformWithStateInPandas`` keyed by
-    ``run_id``) keeps the node counter and call depth (value state) and the maps
-    ``lineno -> node`` and ``location -> lineno`` (map states, read and written per key
-    touched, so a micro-batch costs O(its events), not O(state)). The state is bounded by
-    the program (lines and addresses), not by the trace length. Write refinement and the
-    (name, id) de-duplication run in Spark before the state step (Column expressions).
-G2  In-order release: with ``ordered=True`` events are buffered in state and released,
-    sorted by ``event_id``, once the event-time watermark passes them (an event-time
-    timeout flushes the rest); an event older than one already folded is counted as late
-    in the ``late`` output column and skipped. Gaps in ``event_id`` are never waited on.
-    Structured Streaming has no end-of-stream watermark, so a finite source ends each
-    run with a ``flush`` punctuation row, which releases everything of the run before it.
+G1  ``live_graph`` folds every micro-batch into a :class:`~linewise.operators.growing.GrowingGraph`
+    (``foreachBatch``). State is kept per (run, location), per (run, line) and as one row per
+    run, and each batch is resolved by the chunked as-of scans of the batch build, so one run
+    with most of the events is spread over many tasks. A batch is folded once: its number is
+    the stream's batch id, and a batch that is replayed after a failure starts over or, if it
+    was complete, does nothing.
+G2  ``release`` puts a disordered stream into order: events wait in a map state of their
+    (run, range of event ids), one entry per event and at most 2**``RELEASE_BITS`` in a key,
+    until an event-time timer tells that the watermark has passed them. Events that come after
+    the watermark go to a side table and are not folded. A gap in event ids is never waited on.
 G3  ``live_run_status``: abnormal ends, a stateless filter.
 
-Batch/stream parity: over a finite file source run with ``availableNow`` the distinct
-edges equal the batch graph (``linewise.operators.lineage``).
+Structured Streaming has no end-of-stream watermark: a finite source ends with one ``flush``
+row whose time lies beyond all events by more than the delay (``with_flush``).
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from linewise.operators.lineage import refine
+from linewise.operators.growing import GrowingGraph
 from linewise.plans.materialize import new_folder
 from linewise.session import ship_package
+from linewise.sources.schema import TRACE
 
-OUT_SCHEMA = "run_id long, src long, dst long, late long"
-STATE_SCHEMA = ("counter long, depth long, line_node string, loc_line string, "
-                "last_event long, buffer string")
-
-_KINDS = ("exec", "update", "enter", "exit")
-_NULL_LINE = -(1 << 62)   # stands for a NULL lineno inside the Python state (NULL is a real key)
-
-
-def _prepare(stream: DataFrame, refinement: str, delay: str | None = None) -> DataFrame:
-    pair = lambda v: F.struct(v["name"].alias("name"), v["id"].alias("id"))
-    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    if delay is not None:
-        # the watermark sees every row (also kinds the fold ignores, e.g. flush markers)
-        stream = stream.withWatermark("ts", delay)
-    return (stream.filter(F.col("kind").isin(*_KINDS, "flush"))
-                  .select("run_id", "event_id", "kind", "lineno", "ts",
-                          F.to_json(F.array_distinct(F.transform(F.coalesce("uses", F.array()), pair))).alias("uses"),
-                          F.to_json(F.array_distinct(F.transform(F.coalesce(refine(F.col("defs"), refinement),
-                                                                            F.array()), pair))).alias("defs")))
-
-
-def _fold(ignore_unknown: bool, ordered: bool):
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run_id = int(key[0])
-        if state.exists:
-            counter, depth, ln, ll, last, buf = state.get
-            line_node = {int(k): v for k, v in json.loads(ln).items()}
-            loc_line = json.loads(ll)
-            buffer = json.loads(buf)
-        else:
-            counter, depth, line_node, loc_line, last, buffer = 1, 0, {}, {}, -(1 << 62), []
-        flush = None   # a "flush" row of the run releases every buffered event before it
-        if not state.hasTimedOut:
-            for pdf in pdfs:
-                ts = pd.to_datetime(pdf["ts"]).astype("int64") // 1_000_000
-                for e, k, lno, u, d, t in zip(pdf["event_id"], pdf["kind"], pdf["lineno"], pdf["uses"],
-                                               pdf["defs"], ts):
-                    if k == "flush":
-                        flush = max(flush or int(e), int(e))
-                        continue
-                    buffer.append([int(e), k, _NULL_LINE if pd.isna(lno) else int(lno), u, d, int(t)])
-        if ordered and not state.hasTimedOut:
-            wm = state.getCurrentWatermarkMs()
-            due = [(b[5] <= wm) or (flush is not None and b[0] < flush) for b in buffer]
-            ready = [b for b, x in zip(buffer, due) if x]
-            buffer = [b for b, x in zip(buffer, due) if not x]
-        else:
-            ready, buffer = buffer, []
-        ready.sort(key=lambda b: b[0])
-        src, dst, late = [], [], 0
-        for e, k, lno, u, d, _ in ready:
-            if e <= last:
-                late += 1
-                continue
-            last = e
-            if k == "enter":
-                depth += 1
-            elif k == "exit":
-                depth = max(0, depth - 1)
-            elif depth == 0 and k == "exec":
-                node = counter
-                counter += 1
-                for v in json.loads(u):
-                    lid = json.dumps(v.get("id"))
-                    if lid in loc_line and loc_line[lid] in line_node:
-                        src.append(line_node[loc_line[lid]])
-                        dst.append(node)
-                    elif not ignore_unknown:
-                        src.append(0)
-                        dst.append(node)
-                line_node[lno] = node
-            elif depth == 0 and k == "update":
-                for v in json.loads(d):
-                    loc_line[json.dumps(v.get("id"))] = lno
-        state.update((counter, depth, json.dumps({str(k): v for k, v in line_node.items()}),
-                      json.dumps(loc_line), last, json.dumps(buffer)))
-        if ordered and buffer:
-            state.setTimeoutTimestamp(max(b[5] for b in buffer) + 1)
-        n = len(src)
-        out = pd.DataFrame({"run_id": [run_id] * n, "src": src, "dst": dst, "late": [0] * n})
-        if late:
-            out = pd.concat([out, pd.DataFrame({"run_id": [run_id], "src": [None], "dst": [None], "late": [late]})])
-        yield out.astype({"run_id": "int64", "src": "Int64", "dst": "Int64", "late": "int64"})
-    return step
-
-
-def live_lineage(stream: DataFrame, refinement: str = "include_all", ignore_unknown: bool = False,
-                 ordered: bool = False, delay: str = "0 seconds") -> DataFrame:
-    """A streaming DataFrame of edge rows (``late`` rows carry a count instead).
-    Unordered (G1) uses incremental map state; ordered (G2) buffers per run."""
-    if not ordered:
-        return live_lineage_incremental(stream, refinement, ignore_unknown)
-    prepared = _prepare(stream, refinement, delay if ordered else None)
-    timeout = GroupStateTimeout.EventTimeTimeout if ordered else GroupStateTimeout.NoTimeout
-    return prepared.groupBy("run_id").applyInPandasWithState(
-        _fold(ignore_unknown, ordered), OUT_SCHEMA, STATE_SCHEMA, "append", timeout)
+RELEASE_BITS = 12
+BATCHES = 3
+_PAYLOAD = ["kind", "lineno", "line", "uses", "defs"]
+_ENTRY = "kind string, lineno bigint, line string, uses string, defs string, at bigint"
+RELEASED = "run_id bigint, event_id bigint, kind string, lineno bigint, line string, uses string, defs string, late boolean"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Release(StatefulProcessor):
+    """Holds the events of one (run, range of event ids) until the watermark passes them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "event_id bigint", _ENTRY)
+
+    def _rows(self, key, events: list[tuple], late: bool) -> pd.DataFrame:
+        out = pd.DataFrame(events, columns=["event_id", *_PAYLOAD])
+        out.insert(0, "run_id", int(key[0]))
+        return out.assign(late=late).astype({"event_id": "int64", "lineno": "Int64"})
+
+    def _wait_for(self, at: int) -> None:
+        """One timer per key, at its earliest event."""
+        timers = [int(t) for t in self.handle.listTimers()]
+        if not timers or at < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed, first = timerValues.getCurrentWatermarkInMs(), None
+        for pdf in rows:
+            late = []
+            for event_id, *payload, at in pdf[["event_id", *_PAYLOAD, "at"]].itertuples(index=False):
+                payload = [None if pd.isna(v) else v for v in payload]
+                if payload[0] == "flush":
+                    continue
+                if at < passed:
+                    late.append((int(event_id), *payload))
+                    continue
+                payload[1] = None if payload[1] is None else int(payload[1])
+                self.waiting.updateValue((int(event_id),), (*payload, int(at)))
+                first = int(at) if first is None else min(first, int(at))
+            if late:
+                yield self._rows(key, late, True)
+        if first is not None:
+            self._wait_for(first + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed, ready, rest = timerValues.getCurrentWatermarkInMs(), [], None
+        for (event_id,), (*payload, at) in list(self.waiting.iterator()):
+            if at < passed:
+                ready.append((event_id, *payload))
+                self.waiting.removeKey((event_id,))
+            else:
+                rest = at if rest is None else min(rest, at)
+        if rest is not None:
+            self.handle.registerTimer(rest + 1)
+        if ready:
+            yield self._rows(key, sorted(ready, key=lambda e: e[0]), False)
+
+    def close(self) -> None:
+        pass
+
+
+def release(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """The events of ``stream`` (TRACE columns and ``ts``) as the watermark passes them,
+    with ``late`` (true: came after the watermark, which is ``delay`` behind the latest time
+    seen). Within a micro-batch the rows have no order; between micro-batches times ascend."""
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    rows = timed.select("run_id", F.shiftright("event_id", RELEASE_BITS).alias("range"), "event_id", "kind", "lineno",
+                        "line", F.to_json("uses").alias("uses"), F.to_json("defs").alias("defs"),
+                        F.unix_millis("ts").alias("at"))
+    out = rows.groupBy("run_id", "range").transformWithStateInPandas(
+        statefulProcessor=_Release(), outputStructType=RELEASED, outputMode="Append", timeMode="EventTime")
+    return out.withColumns({c: F.from_json(c, TRACE[c].dataType) for c in ("uses", "defs")})
+
+
+def live_graph(stream: DataFrame, folder: str, ordered: bool = False, delay: str = "0 seconds",
+               **options) -> DataStreamWriter:
+    """G1 (and G2 with ``ordered``): a stream writer that folds every micro-batch into the
+    :class:`GrowingGraph` of ``folder``; ``options`` are the graph's. Late events are in its
+    ``late`` table (and, of the release, in ``folder``/behind)."""
+    graph = GrowingGraph(stream.sparkSession, f"{folder}/graph", **options)
+    ship_package(stream.sparkSession)
+
+    def fold(batch: DataFrame, number: int) -> None:
+        if ordered:  # the release's state must be read once
+            at = f"{folder}/released/{number:09d}"
+            batch.write.mode("overwrite").parquet(at)
+            batch = graph.spark.read.schema(batch.schema).parquet(at)
+            (batch.where("late").select("run_id", "event_id")
+             .write.mode("overwrite").parquet(f"{folder}/behind/{number:09d}"))
+            batch = batch.where("NOT late").drop("late")
+        graph.append(batch, number)
+
+    source = release(stream, delay) if ordered else stream
+    return (source.writeStream.foreachBatch(fold).outputMode("append")
+            .option("checkpointLocation", f"{folder}/checkpoint"))
+
+
+def behind(spark: SparkSession, folder: str) -> DataFrame:
+    """run_id and event_id of the events that came after the watermark."""
+    return (spark.read.schema("run_id bigint, event_id bigint").option("recursiveFileLookup", "true")
+            .parquet(f"{folder}/behind"))
 
 
 def live_run_status(stream: DataFrame) -> DataFrame:
@@ -136,39 +142,17 @@ def live_run_status(stream: DataFrame) -> DataFrame:
     return stream.filter(F.col("kind") == "exception").select("run_id", "event_id", "msg")
 
 
-def run_available_now(spark, trace: DataFrame, build, label: str, files: int | None = None,
-                      files_per_trigger: int | None = 1) -> DataFrame:
-    """Land ``trace`` as files in event order under the checkpoint folder, run the streaming
-    plan ``build(stream)`` over them with ``availableNow``, ``files_per_trigger`` files per
-    micro-batch, into a Parquet sink (exactly-once via the sink's checkpoint) and return
-    the sink as a batch DataFrame. ``files`` defaults to the shuffle partitions. The file
-    source takes files by modification time, so times are set in range order."""
-    base = new_folder(spark, label)
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trace.repartitionByRange(n, "event_id").sortWithinPartitions("event_id").write.parquet(f"{base}/source")
-    _in_order(spark, f"{base}/source")
-    ship_package(spark)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        reader = spark.readStream.schema(trace.schema)
-        if files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-        out = build(reader.parquet(f"{base}/source"))
-        q = (out.writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/sink")
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
-    return spark.read.schema(out.schema).parquet(f"{base}/sink")
+def land(spark: SparkSession, trace: DataFrame, folder: str, batches: int = BATCHES) -> DataFrame:
+    """Write ``trace`` as files in event order, as many as Spark has shuffle partitions, and
+    read them as a stream: the files of each of ``batches`` micro-batches are a range of
+    event ids. The file source takes files by modification time, so times follow ranges."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    trace.repartitionByRange(n, "event_id").sortWithinPartitions("event_id").write.parquet(folder)
+    _in_order(spark, folder)
+    return (spark.readStream.schema(trace.schema).option("maxFilesPerTrigger", -(-n // batches)).parquet(folder))
 
 
-def _in_order(spark, folder: str) -> None:
+def _in_order(spark: SparkSession, folder: str) -> None:
     """Give the part files modification times in the order of their names (their ranges)."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
@@ -180,103 +164,53 @@ def _in_order(spark, folder: str) -> None:
         fs.setTimes(f.getPath(), first + 1000 * i, -1)
 
 
-def edges_of(out: DataFrame) -> DataFrame:
-    """The distinct edges of a finished live lineage. Events that came too late were not
-    folded; if there are any the graph is incomplete, so this raises."""
-    late = out.agg(F.sum("late")).first()[0]
-    if late:
-        raise RuntimeError(f"{late} events came after later events of their run; use ordered=True with a longer delay")
-    return out.filter(F.col("src").isNotNull()).select("run_id", "src", "dst").distinct()
-
-
-def with_flush(trace: DataFrame) -> DataFrame:
-    """End a finite trace: one ``flush`` punctuation row per run, after its last event."""
-    last = trace.groupBy("run_id").agg(F.max("event_id").alias("_m"), F.max("ts").alias("_t"))
-    marks = last.select("run_id", (F.col("_m") + 1).alias("event_id"), F.lit("flush").alias("kind"),
-                        F.col("_t").alias("ts"))
-    for c in trace.columns:
-        if c not in marks.columns:
-            marks = marks.withColumn(c, F.lit(None).cast(trace.schema[c].dataType))
-    return trace.unionByName(marks.select(*trace.columns))
-
+def finish(spark: SparkSession, writer: Callable[[], DataStreamWriter]) -> None:
+    """Run a stream writer over all that is there, with the state store that maps need."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        writer().trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
 
-class _LineageProcessor(StatefulProcessor):
-    """G1 with incremental state (``transformWithStateInPandas``): per run a value state
-    (node counter, call depth, last event) and two map states (``lineno -> node``,
-    ``location -> lineno``). Each micro-batch reads only the keys its events touch (once
-    per distinct key) and writes back only the keys it changed."""
 
-    def __init__(self, ignore_unknown: bool):
-        self.ignore_unknown = ignore_unknown
+def run_status(spark: SparkSession, trace: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """G3 over a landed trace, through a Parquet sink."""
+    base = new_folder(spark, "live-status")
+    out = live_run_status(land(spark, trace, f"{base}/source", batches))
+    finish(spark, lambda: out.writeStream.format("parquet").outputMode("append")
+           .option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/sink"))
+    return spark.read.schema(out.schema).parquet(f"{base}/sink")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.meta = handle.getValueState("meta", "counter long, depth long, last_event long")
-        self.line_node = handle.getMapState("line_node", "lineno long", "node long")
-        self.loc_line = handle.getMapState("loc_line", "loc string", "lineno long")
 
-    def _get(self, state, cache, key):
-        if key not in cache:
-            cache[key] = state.getValue((key,))[0] if state.containsKey((key,)) else None
-        return cache[key]
+def run_lineage(spark: SparkSession, trace: DataFrame, ordered: bool = False, delay: str = "0 seconds",
+                batches: int = BATCHES, **options) -> DataFrame:
+    """G1 / G2 over a landed trace: the edges of the finished graph. Events that came too late
+    were not folded; if there are any the graph is incomplete, so this raises."""
+    base = new_folder(spark, "live-lineage")
+    stream = land(spark, with_flush(trace, delay) if ordered else trace, f"{base}/source", batches)
+    finish(spark, lambda: live_graph(stream, base, ordered, delay, **options))
+    return edges_of(spark, base)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        run_id = int(key[0])
-        m = self.meta.get() if self.meta.exists() else None
-        counter, depth, last = (int(m[0]), int(m[1]), int(m[2])) if m else (1, 0, -(1 << 62))
-        events = []
-        for pdf in rows:
-            events.extend(zip(pdf["event_id"], pdf["kind"], pdf["lineno"], pdf["uses"], pdf["defs"]))
-        events.sort(key=lambda r: r[0])
-        ln_cache, ll_cache, ln_dirty, ll_dirty = {}, {}, set(), set()
-        src, dst, late = [], [], 0
-        for e, k, lno, u, d in events:
-            e = int(e)
-            lno = _NULL_LINE if pd.isna(lno) else int(lno)
-            if e <= last:
-                late += 1
-                continue
-            last = e
-            if k == "enter":
-                depth += 1
-            elif k == "exit":
-                depth = max(0, depth - 1)
-            elif depth == 0 and k == "exec":
-                node = counter
-                counter += 1
-                for v in json.loads(u):
-                    line = self._get(self.loc_line, ll_cache, json.dumps(v.get("id")))
-                    owner = None if line is None else self._get(self.line_node, ln_cache, int(line))
-                    if owner is not None:
-                        src.append(owner)
-                        dst.append(node)
-                    elif not self.ignore_unknown:
-                        src.append(0)
-                        dst.append(node)
-                ln_cache[int(lno)] = node
-                ln_dirty.add(int(lno))
-            elif depth == 0 and k == "update":
-                for v in json.loads(d):
-                    loc = json.dumps(v.get("id"))
-                    ll_cache[loc] = int(lno)
-                    ll_dirty.add(loc)
-        for k in ln_dirty:
-            self.line_node.updateValue((k,), (ln_cache[k],))
-        for k in ll_dirty:
-            self.loc_line.updateValue((k,), (ll_cache[k],))
-        self.meta.update((counter, depth, last))
-        n = len(src)
-        out = pd.DataFrame({"run_id": [run_id] * n, "src": src, "dst": dst, "late": [0] * n})
-        if late:
-            out = pd.concat([out, pd.DataFrame({"run_id": [run_id], "src": [None], "dst": [None], "late": [late]})])
-        yield out.astype({"run_id": "int64", "src": "Int64", "dst": "Int64", "late": "int64"})
 
-    def close(self) -> None:
-        pass
+def edges_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges of a finished live graph; raises if events came too late."""
+    graph = GrowingGraph(spark, f"{folder}/graph")
+    where, fs = graph._fs(f"{folder}/behind")
+    late = graph.late.count() + (behind(spark, folder).count() if fs.exists(where) else 0)
+    if late:
+        raise RuntimeError(f"{late} events came after later events of their run; use ordered=True with a longer delay")
+    return graph.edges
 
 
-def live_lineage_incremental(stream: DataFrame, refinement: str = "include_all",
-                             ignore_unknown: bool = False) -> DataFrame:
-    """G1 on ``transformWithStateInPandas`` (needs the RocksDB state store provider)."""
-    return _prepare(stream, refinement).groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=_LineageProcessor(ignore_unknown), outputStructType=OUT_SCHEMA,
-        outputMode="Append", timeMode="None")
+def with_flush(trace: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """End a finite trace: one ``flush`` row, after all events and later than they are by more
+    than ``delay``, takes the watermark past them."""
+    end = trace.agg(F.max("event_id").alias("_e"), F.max(F.col("ts").cast("timestamp")).alias("_t"))
+    mark = end.where("_t IS NOT NULL").select(
+        F.lit(None).cast("bigint").alias("run_id"), (F.col("_e") + 1).alias("event_id"), F.lit("flush").alias("kind"),
+        (F.col("_t") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 2 seconds")).alias("ts"))
+    return trace.withColumn("ts", F.col("ts").cast("timestamp")).unionByName(mark, allowMissingColumns=True)

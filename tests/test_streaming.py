@@ -1,151 +1,159 @@
-"""Batch/stream parity of live lineage (G1) and the live run status."""
+"""Batch/stream parity of live lineage (G1, G2), growing graphs, and the live run status."""
 
+import os
 import random
+import tempfile
 
+import pytest
 from helpers import trace_df
 from linewise.operators import lineage as L
+from linewise.operators.growing import GrowingGraph
+from linewise.sources.schema import TRACE
 from linewise.streaming import live as G
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_property_folds import random_log
 
 
-def test_live_lineage_equals_batch(spark):
-    rng = random.Random(11)
-    rows = []
-    for run in range(6):
-        rows += random_log(rng, run, 40)
-    for r in rows:
-        r.setdefault("uses", None)
-    tr = trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
-    batch = {(r.run_id, r.src, r.dst) for r in L.build(tr.drop("ts")).edges.collect()}
-    out = G.run_available_now(spark, tr, G.live_lineage, "test_live")
-    live = {(r.run_id, r.src, r.dst) for r in out.filter("src is not null").collect()}
-    assert live == batch
-
-
-def test_live_run_status(spark):
-    rows = [{"run_id": 1, "event_id": 1, "kind": "exec", "lineno": 1, "uses": [], "defs": []},
-            {"run_id": 1, "event_id": 2, "kind": "exception", "msg": "boom"},
-            {"run_id": 2, "event_id": 1, "kind": "exec", "lineno": 1, "uses": [], "defs": []}]
-    tr = trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
-    out = G.run_available_now(spark, tr, G.live_run_status, "test_status")
-    assert [(r.run_id, r.msg) for r in out.collect()] == [(1, "boom")]
-
+def _folder():
+    return tempfile.mkdtemp(prefix="linewise-test-", dir="/tmp")
 
-def test_ordered_release_reorders_late_files(spark):
-    """Events of a run arrive in two micro-batches in the wrong order; with a
-    watermark delay covering the disorder they are buffered and folded in event order.
-    A final marker row (a kind the fold ignores) advances the watermark past the data."""
-    import tempfile
-    import time
 
-    rng = random.Random(5)
-    rows = []
-    for run in range(4):
-        rows += random_log(rng, run, 40)
-    for r in rows:
-        r.setdefault("uses", None)
-    tr = trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
-    batch = {(r.run_id, r.src, r.dst) for r in L.build(tr.drop("ts")).edges.collect()}
-    mid = sorted(r["event_id"] for r in rows)[len(rows) // 2]
-    base = tempfile.mkdtemp(prefix="linewise-g2-", dir="/tmp")
-    parts = [tr.filter(F.col("event_id") > mid), tr.filter(F.col("event_id") <= mid),
-             tr.groupBy("run_id").agg(F.max("event_id").alias("m")).select(
-                 "run_id", (F.col("m") + 10_000).alias("event_id"), F.lit("flush").alias("kind"))
-               .join(tr.drop("event_id", "kind").limit(0), "run_id", "left")
-               .withColumn("ts", F.timestamp_seconds(F.col("event_id")))]
-    for i, p in enumerate(parts):
-        p.select(*tr.columns).coalesce(1).write.parquet(f"{base}/source/p{i}")
-        time.sleep(1.1)
-    stream = (spark.readStream.schema(tr.schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(f"{base}/source"))
-    q = (G.live_lineage(stream, ordered=True, delay="1000 seconds").writeStream.format("parquet")
-         .option("checkpointLocation", f"{base}/ckpt").option("path", f"{base}/sink")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.read.parquet(f"{base}/sink")
-    live = {(r.run_id, r.src, r.dst) for r in out.filter("src is not null").collect()}
-    assert out.agg(F.sum("late")).first()[0] in (None, 0)
-    assert live == batch
-
-
-def test_incremental_state_equals_batch(spark):
-    rng = random.Random(13)
-    rows = []
-    for run in range(5):
-        rows += random_log(rng, run, 40)
+def _logs(spark, seed, runs, n=40, first_run=0):
+    rng = random.Random(seed)
+    rows = [r for run in range(first_run, first_run + runs) for r in random_log(rng, run, n)]
     for r in rows:
         r.setdefault("uses", None)
-    tr = trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
-    batch = {(r.run_id, r.src, r.dst) for r in L.build(tr.drop("ts")).edges.collect()}
-    out = G.run_available_now(spark, tr, G.live_lineage_incremental, "test_live_tws")
-    assert {(r.run_id, r.src, r.dst) for r in out.filter("src is not null").collect()} == batch
+    return trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
 
 
-def test_null_line_numbers(spark):
-    rows = [{"run_id": 1, "event_id": 1, "kind": "exec", "lineno": None, "uses": [], "defs": []},
-            {"run_id": 1, "event_id": 2, "kind": "update", "lineno": None, "uses": [], "defs": [("x", 1)]},
-            {"run_id": 1, "event_id": 3, "kind": "exec", "lineno": 2, "uses": [("x", 1)], "defs": []}]
-    tr = trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
-    batch = {(r.run_id, r.src, r.dst) for r in L.build(tr.drop("ts")).edges.collect()}
-    assert batch == {(1, 1, 2)}
-    live = G.run_available_now(spark, tr, G.live_lineage, "test_null")
-    assert {(r.run_id, r.src, r.dst) for r in live.filter("src is not null").collect()} == batch
-    ordered = G.run_available_now(spark, G.with_flush(tr), lambda st: G.live_lineage(st, ordered=True),
-                                  "test_null_ordered")
-    assert {(r.run_id, r.src, r.dst) for r in ordered.filter("src is not null").collect()} == batch
+def _set(edges):
+    return {(r.run_id, r.src, r.dst) for r in edges.select("run_id", "src", "dst").collect()}
+
+
+def _batch(trace, **options):
+    return _set(L.build(trace.drop("ts"), **options).edges)
 
 
 def _chain(spark, n):
     """One run: statement i reads what statement i - 1 wrote (one line and address each)."""
-    from pyspark.sql import Row
-
     rows = []
     for i in range(n):
         var = lambda j: Row(name=f"x{j}", id=j, type="int", columns=None)
         rows.append((1, 2 * i, "exec", i, f"s{i}", [var(i - 1)] if i else [], [], None, None, None))
         rows.append((1, 2 * i + 1, "update", i, None, [], [var(i)], None, None, None))
-    from linewise.sources.schema import TRACE
-    df = spark.createDataFrame(rows, TRACE)
-    return df.withColumn("ts", F.timestamp_seconds(F.col("event_id") + 1_000_000))
+    return spark.createDataFrame(rows, TRACE).withColumn("ts", F.timestamp_seconds(F.col("event_id") + 1_000_000))
+
+
+def test_appended_parts_equal_one_build(spark):
+    trace = _logs(spark, 17, 5).drop("ts")
+    options = {"refinement": "most_specific", "ignore_unknown": True}
+    graph = GrowingGraph(spark, _folder(), chunk_bits=2, compact_every=2, **options)
+    top = trace.agg(F.max("event_id")).first()[0]
+    cuts = [-1, top // 3, top // 3, top // 2, top]  # one part is empty
+    for lo, hi in zip(cuts, cuts[1:]):
+        graph.append(trace.where((F.col("event_id") > lo) & (F.col("event_id") <= hi)))
+    assert graph.edges.count() == graph.edges.distinct().count()
+    assert _set(graph.edges) == _batch(trace, **options)
+    assert graph.late.count() == 0
+
+
+def test_a_part_is_folded_once_and_a_broken_one_anew(spark):
+    trace = _logs(spark, 3, 3).drop("ts")
+    graph = GrowingGraph(spark, _folder())
+    half = trace.agg(F.max("event_id")).first()[0] // 2
+    first, second = trace.where(F.col("event_id") <= half), trace.where(F.col("event_id") > half)
+    graph.append(first, 0)
+    graph.append(first, 0)  # replayed: complete, nothing happens
+    graph.append(second, 1)
+    where, fs = graph._fs(f"{graph._at('part', 1)}/calls")
+    fs.delete(where, True)  # as if the append had broken off before its last table
+    assert _set(graph.edges) < _batch(trace)
+    graph.append(second, 1)
+    assert _set(graph.edges) == _batch(trace)
+
+
+def test_late_events_are_counted_not_folded(spark):
+    trace = _chain(spark, 6).drop("ts")
+    graph = GrowingGraph(spark, _folder())
+    graph.append(trace.where("event_id > 5"))
+    graph.append(trace.where("event_id <= 5"))
+    assert graph.late.count() == 6
+    assert _set(graph.edges) == _batch(trace.where("event_id > 5"))
 
 
-def test_state_is_carried_over_many_batches(spark):
-    """A chain whose every edge crosses statements, over five micro-batches of the runner."""
-    from linewise.streaming import live
+def test_live_lineage_equals_batch(spark):
+    trace = _logs(spark, 11, 4)
+    assert _set(G.run_lineage(spark, trace)) == _batch(trace)
+    assert _set(G.run_lineage(spark, trace, ordered=True, delay="5 seconds")) == _batch(trace)
+
 
-    trace = _chain(spark, 20)
-    for build in (lambda st: live.live_lineage(st), lambda st: live.live_lineage(st, ordered=True)):
-        src = live.with_flush(trace)
-        out = live.run_available_now(spark, src, build, "chain", files=5, files_per_trigger=1)
-        assert {(r.src, r.dst) for r in live.edges_of(out).collect()} == {(i, i + 1) for i in range(1, 20)}
+def test_state_is_carried_over_many_batches(spark):
+    """A chain whose every edge crosses statements, one file per micro-batch."""
+    trace = _chain(spark, 12)
+    assert _set(G.run_lineage(spark, trace, batches=100)) == {(1, i, i + 1) for i in range(1, 12)}
 
 
-def test_late_events_are_not_lost_silently(spark):
-    import pytest
+def test_null_line_numbers(spark):
+    rows = [{"run_id": 1, "event_id": 1, "kind": "exec", "lineno": None, "uses": [], "defs": []},
+            {"run_id": 1, "event_id": 2, "kind": "update", "lineno": None, "uses": [], "defs": [("x", 1)]},
+            {"run_id": 1, "event_id": 3, "kind": "exec", "lineno": 2, "uses": [("x", 1)], "defs": []}]
+    trace = trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    assert _batch(trace) == {(1, 1, 2)}
+    assert _set(G.run_lineage(spark, trace, ordered=True, batches=2)) == {(1, 1, 2)}
 
-    from linewise.streaming import live
 
-    out = spark.createDataFrame([(1, 1, 2, 0), (1, None, None, 3)], live.OUT_SCHEMA)
-    with pytest.raises(RuntimeError, match="3 events"):
-        live.edges_of(out)
+def _streamed(spark, parts, schema, delay):
+    """The parts as files, one per micro-batch, through the ordered live graph."""
+    base = _folder()
+    for i, p in enumerate(parts):
+        p.coalesce(1).write.mode("append").parquet(f"{base}/landed")
+        for f in [f for f in os.listdir(f"{base}/landed") if f.endswith(".parquet")]:
+            full = f"{base}/landed/{f}"
+            if os.path.getmtime(full) > 2000:  # not yet placed
+                os.utime(full, (1000 + i, 1000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landed")
+    G.finish(spark, lambda: G.live_graph(stream, base, ordered=True, delay=delay))
+    return base
+
+
+def test_disordered_batches_are_released_in_order(spark, monkeypatch):
+    """The second half of every run arrives first; the delay covers the disorder."""
+    monkeypatch.setattr(G, "RELEASE_BITS", 3)
+    trace = _logs(spark, 5, 4)
+    mid = trace.agg(F.max("event_id")).first()[0] // 2
+    end = G.with_flush(trace, "1000 seconds")
+    parts = [trace.where(F.col("event_id") > mid), trace.where(F.col("event_id") <= mid), end.where("kind = 'flush'")]
+    base = _streamed(spark, parts, end.schema, "1000 seconds")
+    assert _set(G.edges_of(spark, base)) == _batch(trace)
+
+
+def test_events_behind_the_watermark_go_aside(spark):
+    trace = _chain(spark, 10)
+    parts = [trace.where("event_id >= 8"), trace.where("event_id < 8"),
+             G.with_flush(trace, "1 second").where("kind = 'flush'")]
+    base = _streamed(spark, parts, G.with_flush(trace).schema, "1 second")
+    assert sorted(r.event_id for r in G.behind(spark, base).collect()) == list(range(8))
+    with pytest.raises(RuntimeError, match="8 events"):
+        G.edges_of(spark, base)
+    assert _set(GrowingGraph(spark, f"{base}/graph").edges) == _batch(trace.where("event_id >= 8"))
 
 
 def test_restart_from_the_checkpoint(spark):
     """Two runs of one query over a growing folder: the second continues from the state."""
-    import tempfile
-
-    from linewise.streaming import live
-
-    folder = tempfile.mkdtemp(prefix="linewise-test-", dir="/tmp")
+    folder = _folder()
     trace = _chain(spark, 12)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     for lo, hi in ((0, 13), (13, 24)):
-        trace.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        part = trace.where((F.col("event_id") >= lo) & (F.col("event_id") < hi))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(trace.schema).parquet(f"{folder}/in")
-        q = (live.live_lineage(stream).writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{folder}/cp").option("path", f"{folder}/out").trigger(availableNow=True).start())
-        q.awaitTermination()
-    got = live.edges_of(spark.read.parquet(f"{folder}/out"))
-    assert {(r.src, r.dst) for r in got.collect()} == {(i, i + 1) for i in range(1, 12)}
+        G.finish(spark, lambda: G.live_graph(stream, folder))
+    assert _set(G.edges_of(spark, folder)) == {(1, i, i + 1) for i in range(1, 12)}
+
+
+def test_live_run_status(spark):
+    rows = [{"run_id": 1, "event_id": 1, "kind": "exec", "lineno": 1, "uses": [], "defs": []},
+            {"run_id": 1, "event_id": 2, "kind": "exception", "msg": "boom"},
+            {"run_id": 2, "event_id": 1, "kind": "exec", "lineno": 1, "uses": [], "defs": []}]
+    trace = trace_df(spark, rows).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    assert [(r.run_id, r.msg) for r in G.run_status(spark, trace).collect()] == [(1, "boom")]
