@@ -32,24 +32,25 @@ from linewise.sources.schema import TRACE
 
 RELEASE_BITS = 12
 BATCHES = 3
-_PAYLOAD = ["kind", "lineno", "line", "uses", "defs"]
-_ENTRY = "kind string, lineno bigint, line string, uses string, defs string, at bigint"
+_PAYLOAD = ["run_id", "kind", "lineno", "line", "uses", "defs"]
+_ENTRY = "run_id bigint, kind string, lineno bigint, line string, uses string, defs string, at bigint"
 RELEASED = "run_id bigint, event_id bigint, kind string, lineno bigint, line string, uses string, defs string, late boolean"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Release(StatefulProcessor):
-    """Holds the events of one (run, range of event ids) until the watermark passes them."""
+    """Holds the events of one (run, range of event ids) until the watermark passes them.
+    An entry has its run with it: the key given with an expired timer is not relied on."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "event_id bigint", _ENTRY)
 
-    def _rows(self, key, events: list[tuple], late: bool) -> pd.DataFrame:
-        out = pd.DataFrame(events, columns=["event_id", *_PAYLOAD])
-        out.insert(0, "run_id", int(key[0]))
-        return out.assign(late=late).astype({"event_id": "int64", "lineno": "Int64"})
+    def _rows(self, events: list[tuple], late: bool) -> pd.DataFrame:
+        out = pd.DataFrame(events, columns=["event_id", *_PAYLOAD]).assign(late=late)
+        return out.astype({"event_id": "int64", "run_id": "Int64", "lineno": "Int64"})[
+            ["run_id", "event_id", *_PAYLOAD[1:], "late"]]
 
     def _wait_for(self, at: int) -> None:
         """One timer per key, at its earliest event."""
@@ -64,17 +65,18 @@ class _Release(StatefulProcessor):
         for pdf in rows:
             late = []
             for event_id, *payload, at in pdf[["event_id", *_PAYLOAD, "at"]].itertuples(index=False):
-                payload = [None if pd.isna(v) else v for v in payload]
-                if payload[0] == "flush":
+                run_id, kind, lineno, *texts = [None if pd.isna(v) else v for v in payload]
+                if kind == "flush":
                     continue
+                payload = [None if run_id is None else int(run_id), kind,
+                           None if lineno is None else int(lineno), *texts]
                 if at < passed:
                     late.append((int(event_id), *payload))
                     continue
-                payload[1] = None if payload[1] is None else int(payload[1])
                 self.waiting.updateValue((int(event_id),), (*payload, int(at)))
                 first = int(at) if first is None else min(first, int(at))
             if late:
-                yield self._rows(key, late, True)
+                yield self._rows(late, True)
         if first is not None:
             self._wait_for(first + 1)
 
@@ -89,7 +91,7 @@ class _Release(StatefulProcessor):
         if rest is not None:
             self.handle.registerTimer(rest + 1)
         if ready:
-            yield self._rows(key, sorted(ready, key=lambda e: e[0]), False)
+            yield self._rows(sorted(ready, key=lambda e: e[0]), False)
 
     def close(self) -> None:
         pass
