@@ -601,7 +601,7 @@ SELECT run_id, seed, CAST(COUNT(*) - 1 AS BIGINT) AS impact FROM sl GROUP BY run
 ORDER BY impact DESC, run_id, seed LIMIT {IMPACT_K}""")
 def impact(spark, sf):
     g, e = _known_graph(spark, sf)
-    return S.impact(S.slices_by_text(g.nodes, e, SLICE_TEXT, "forward"), IMPACT_K)
+    return S.top_impact(e, S.seeds_by_text(g.nodes, SLICE_TEXT), IMPACT_K)
 
 
 # ---- G: streaming ----------------------------------------------------------------------

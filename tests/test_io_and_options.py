@@ -40,7 +40,7 @@ def test_slice_invariants(spark):
     edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 1, 3), (1, 3, 4), (1, 5, 4), (1, 4, 2)],
                                   "run_id long, src long, dst long")   # has a cycle 2-3-4-2
     seeds = spark.createDataFrame([(1, 1), (1, 4)], "run_id long, seed long")
-    fwd = {(r.seed, r.node_id) for r in S.slices(edges, seeds, "forward", hops_per_round=1).collect()}
+    fwd = {(r.seed, r.node_id) for r in S.slices(edges, seeds, "forward").collect()}
     assert fwd == {(1, 1), (1, 2), (1, 3), (1, 4), (4, 4), (4, 2), (4, 3)}
     back = {(r.seed, r.node_id) for r in S.slices(S.reverse(edges), seeds, "forward").collect()}
     assert back == {(r.seed, r.node_id) for r in S.slices(edges, seeds, "backward").collect()}
@@ -106,6 +106,7 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
     real = slicing.cut
     monkeypatch.setattr(slicing, "cut", lambda df, label="step": cuts.append(label) or real(df, label))
     n = 10_000
+    monkeypatch.setattr(slicing, "_ascending", lambda edges: False)  # contracted, not swept
     e = spark.range(n).selectExpr("1L AS run_id", "id AS src", "id + 1 AS dst")
     s = spark.createDataFrame([(1, 0), (1, 5_000)], "run_id bigint, seed bigint")
     assert S.slices(e, s, "forward").count() == n + 1 + n - 5_000 + 1
