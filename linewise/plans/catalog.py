@@ -18,7 +18,7 @@ from linewise.operators import scope as B
 from linewise.operators import slicing as S
 from linewise.operators.growing import GrowingGraph
 from linewise.plans import oracle as O
-from linewise.plans.materialize import new_folder
+from linewise.plans.materialize import cut, new_folder
 from linewise.plans.scan import chunk_of, last_before
 from linewise.sources import io as IO
 from linewise.sources.adapters import events_trace, lineitem_trace, orders_facts
@@ -528,7 +528,7 @@ SLICE_SEEDS = "SELECT run_id, MAX(dst) AS seed FROM edges_known GROUP BY run_id"
 
 def _known_graph(spark, sf):
     g = _graph(spark, sf, ignore_unknown=True)
-    return g, g.edges
+    return g, cut(g.edges, "known_edges")  # seeds, order test and steps read it again
 
 
 @register("backward_slice", f"""WITH RECURSIVE {O.graph_ctes()},
