@@ -5,12 +5,14 @@ call arguments and profiles. Every per-run ordered step is a chunked scan
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewise.plans.materialize import cut
 from linewise.plans.scan import (DEFAULT_CHUNK_BITS, chunk_of, clamped_level, first_after,
                                  last_before, running_sum, running_sums)
+from linewise.session import ship_package
 
 def call_delta() -> Column:
     return F.when(F.col("kind") == "enter", 1).when(F.col("kind") == "exit", -1).otherwise(0)
@@ -224,25 +226,96 @@ def function_refs(trace: DataFrame, chunk_bits: int = DEFAULT_CHUNK_BITS, global
         .select("run_id", "func_id", "name", "id")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """Strongly connected components of each run's graph of functions (run_id, src, dst):
+    run_id, func_id, comp (its least function) and level (0: reaches no other component, else
+    one more than the highest level it reaches). One group holds the functions of one run
+    that name one another: bounded by the program, not by the trace."""
+    def run(table: pa.Table) -> pa.Table:
+        out: dict[int, list[int]] = {}
+        for a, b in zip(table["src"].to_pylist(), table["dst"].to_pylist()):
+            out.setdefault(a, []).append(b)
+            out.setdefault(b, [])
+        rows = [(table["run_id"][0].as_py(), f, min(group), level)
+                for group, level in condensed(out) for f in group]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], names=["run_id", "func_id", "comp", "level"])
+
+    ship_package(edges.sparkSession)
+    return edges.select("run_id", "src", "dst").groupBy("run_id").applyInArrow(
+        run, "run_id bigint, func_id bigint, comp bigint, level bigint")
+
+
+def condensed(out: dict[int, list[int]]) -> list[tuple[list[int], int]]:
+    """Components of a graph with their levels, those that are reached before those that
+    reach them (a depth-first search with a stack of its own, however deep the calls)."""
+    index, low, on, stack, found, level = {}, {}, set(), [], [], {}
+    for root in out:
+        work = [(root, iter(out[root]))] if root not in index else []
+        while work:
+            node, rest = work[-1]
+            if node not in index:
+                index[node] = low[node] = len(index)
+                stack.append(node)
+                on.add(node)
+            ahead = next((n for n in rest if n not in index), None)
+            if ahead is not None:
+                work.append((ahead, iter(out[ahead])))
+                continue
+            work.pop()
+            low[node] = min([low[node], *(low[n] for n in out[node] if n in on)])
+            if low[node] == index[node]:
+                group = []
+                while not group or group[-1] != node:
+                    group.append(stack.pop())
+                on.difference_update(group)
+                own = set(group)
+                level |= dict.fromkeys(group, max((1 + level[n] for f in group for n in out[f] if n not in own), default=0))
+                found.append((group, level[node]))
+    return found
+
+
+def closure_refs(refs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the functions of a component and all functions that they reach read (run_id,
+    comp, name, id), and the :func:`components`.
+
+    Sets are merged along the condensed graph from its lowest level up: a component's set is
+    its own and the finished sets of the components it names. There are as many rounds as
+    the program's calls are deep, and no pair of functions is listed."""
+    comp = cut(components(edges), "components")
+    of = lambda f: comp.select("run_id", F.col("func_id").alias(f), F.col("comp").alias(f"{f}_comp"), "level")
+    step = cut(edges.join(of("src"), ["run_id", "src"]).join(of("dst").drop("level"), ["run_id", "dst"])
+               .where("src_comp <> dst_comp").select("run_id", F.col("src_comp").alias("comp"), "level",
+                                                     F.col("dst_comp").alias("to")).distinct(), "component_steps")
+    own = cut(refs.join(comp.select("run_id", "func_id", "comp", "level"), ["run_id", "func_id"])
+              .select("run_id", "comp", "level", "name", "id").distinct(), "component_refs")
+    done = own.where("level = 0").drop("level")
+    for level in range(1, (step.agg(F.max("level")).first()[0] or 0) + 1):
+        gained = (step.where(F.col("level") == level).select("run_id", "comp", "to")
+                  .join(done.withColumnRenamed("comp", "to"), ["run_id", "to"]).select("run_id", "comp", "name", "id"))
+        here = cut(gained.unionByName(own.where(F.col("level") == level).drop("level")).distinct(), "component_closed")
+        done = done.unionByName(here)
+    return done, comp
+
+
 def indirect_uses(trace: DataFrame, fn_refs: DataFrame | None = None,
                   chunk_bits: int = DEFAULT_CHUNK_BITS, global_only: bool = False) -> DataFrame:
     """A statement that reads a function's address also reads what that function
-    reads, and what the functions it names read (closure over the function graph, by the
-    slice frontier). Returns the statement's direct and indirect reads, distinct."""
-    from linewise.operators.slicing import slices
+    reads, and what the functions it names read (closure over the function graph, by its
+    strongly connected components; recursion is one component). Returns the statement's
+    direct and indirect reads, distinct."""
     refs = cut(fn_refs if fn_refs is not None else function_refs(trace, chunk_bits, global_only),
                "function_refs")
     fns = refs.select("run_id", "func_id").distinct()
-    fgraph = (refs.join(fns.select("run_id", F.col("func_id").alias("id")), ["run_id", "id"], "left_semi")
-                  .select("run_id", F.col("func_id").alias("src"), F.col("id").alias("dst")).distinct())
-    reach = slices(fgraph, fns.select("run_id", F.col("func_id").alias("seed")), "forward")
-    closure_refs = (reach.select("run_id", F.col("seed").alias("fn"), F.col("node_id").alias("func_id"))
-                         .join(refs, ["run_id", "func_id"])
-                         .select("run_id", "fn", "name", "id"))
+    # every function names itself here, so that those without calls are components too
+    fgraph = cut(refs.join(fns.select("run_id", F.col("func_id").alias("id")), ["run_id", "id"], "left_semi")
+                 .select("run_id", F.col("func_id").alias("src"), F.col("id").alias("dst"))
+                 .unionByName(fns.select("run_id", F.col("func_id").alias("src"), F.col("func_id").alias("dst")))
+                 .distinct(), "function_graph")
+    closed, comp = closure_refs(refs, fgraph)
     direct = (trace.filter(F.col("kind") == "exec")
                    .select("run_id", "event_id", F.explode("uses").alias("u"))
                    .select("run_id", "event_id", F.col("u.name").alias("name"), F.col("u.id").alias("id")))
-    named = direct.join(fns.select("run_id", F.col("func_id").alias("id")), ["run_id", "id"], "left_semi") \
-                  .select("run_id", "event_id", F.col("id").alias("fn"))
-    indirect = named.join(closure_refs, ["run_id", "fn"]).select("run_id", "event_id", "name", "id")
+    named = direct.join(comp.select("run_id", F.col("func_id").alias("id"), "comp"), ["run_id", "id"]) \
+                  .select("run_id", "event_id", "comp").distinct()
+    indirect = named.join(closed, ["run_id", "comp"]).select("run_id", "event_id", "name", "id")
     return direct.unionByName(indirect).distinct()
