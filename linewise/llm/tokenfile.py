@@ -39,6 +39,7 @@ from linewise.plans.materialize import new_folder
 MAGIC = b"LWPLANE1"
 END_ID = 1
 CHUNK_IDS = 1 << 16
+UNIT_IDS = 1 << 24
 TAIL = struct.Struct("<QQ8s")
 
 FILES_SCHEMA = "part int, path string, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -152,21 +153,28 @@ class PlaneReader:
         sizes = self.sizes[self.first_size[i]:self.first_size[i + 1]]
         return from_planes([self.unzip.decompress(self.f.read(int(s))) for s in sizes], n, self.bits)
 
-    def documents(self) -> Iterator[tuple[int | None, int, int]]:
-        """(doc_id, number of ids, crc32 of the ids) of every document, in order."""
+    def documents(self, first: int = 0, last: int | None = None) -> Iterator[tuple[int | None, int, int, int]]:
+        """(doc_id, ids of the file before it, number of ids, crc32 of the ids) of the documents
+        from number ``first`` up to ``last`` (all), in order; only their chunks are read."""
         import zlib
 
-        data, at, nxt = b"", 0, 0
-        for doc_id, count in zip(self.doc_ids, self.counts.tolist()):
-            need, code = 4 * count, 0
+        starts = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
+        ends = np.cumsum(self.chunks[:, 1].astype(np.int64))
+        last = len(self.counts) if last is None else last
+        nxt = int(np.searchsorted(ends, starts[first], "right"))
+        data, at = b"", 4 * int(starts[first] - (ends[nxt - 1] if nxt else 0))
+        for i in range(first, last):
+            count, code = int(self.counts[i]), 0
+            need = 4 * count
             while need:
-                if at == len(data):
-                    data, at, nxt = self.chunk(nxt).tobytes(), 0, nxt + 1
+                if at >= len(data):
+                    at -= len(data)
+                    data, nxt = self.chunk(nxt).tobytes(), nxt + 1
                 take = data[at:at + need]
                 code = zlib.crc32(take, code)
                 need -= len(take)
                 at += len(take)
-            yield doc_id, count, code & 0xFFFFFFFF
+            yield self.doc_ids[i], int(starts[i]), count, code & 0xFFFFFFFF
 
 
 def _open(path: str):
@@ -216,19 +224,21 @@ def write_tokens(docs: DataFrame, folder: str, end_id: int = END_ID, tokenizer:
     return cut(ranged.mapInArrow(run, FILES_SCHEMA), "token-files")
 
 
-def read_tokens(files: DataFrame) -> DataFrame:
-    """Read files back: doc_id, start (ids of all documents before), n_tokens, ids_crc32."""
+def read_tokens(files: DataFrame, unit_ids: int = UNIT_IDS) -> DataFrame:
+    """Read files back: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
+
+    A task reads one unit: a file, or of a file with over ``unit_ids`` ids the documents of
+    one of several equal ranges, whose chunks it finds by the chunk index."""
     ship_package(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, base, first, last in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, own = _open(path)
                 with fs.open_input_file(own) as f:
-                    reader, rows, at = PlaneReader(f), [], base
-                    for d, n, code in reader.documents():
-                        rows.append((d, at, n, code))
-                        at += n
+                    rows = []
+                    for d, at, n, code in PlaneReader(f).documents(first, last):
+                        rows.append((d, base + at, n, code))
                         if len(rows) == 50_000:
                             yield _rows(rows)
                             rows = []
@@ -237,8 +247,14 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
     # one row per file: the running total is over as many rows as there are partitions
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    based = files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    return based.repartition("path").mapInArrow(
+    based = files.select("part", "path", "n_docs", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"),
+                         F.least("n_docs", F.ceil(F.col("n_ids") / unit_ids)).alias("units"))
+    units = based.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("units") - 1)))
+    edge = lambda u: F.floor(u * F.col("n_docs") / F.col("units")).cast("bigint")
+    n = files.agg(F.sum(F.least("n_docs", F.ceil(F.col("n_ids") / unit_ids)))).first()[0] or 1
+    # a number of partitions of one's own: Spark would put the few KB of names into one task
+    spread = units.select("path", "base", edge(F.col("unit")).alias("first"), edge(F.col("unit") + 1).alias("last"))
+    return spread.repartitionByRange(int(n), "base", "first").mapInArrow(
         run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

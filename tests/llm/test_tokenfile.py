@@ -28,7 +28,12 @@ def test_file_round_trip(bits):
     assert w.close() == len(out.getvalue())
     r = PlaneReader(out)
     assert [d[0] for d in r.documents()] == [0, 1, None, 3, 4, 5, 6]
-    assert [(d[1], d[2]) for d in PlaneReader(out).documents()] == [(len(x), zlib.crc32(x.tobytes())) for x in lists]
+    want = [(len(x), zlib.crc32(x.tobytes())) for x in lists]
+    assert [d[2:] for d in PlaneReader(out).documents()] == want
+    assert [d[1] for d in r.documents()] == [0, 0, 1, 8, 72, 137, 1137]
+    for first in range(8):
+        for last in range(first, 8):
+            assert [d[2:] for d in r.documents(first, last)] == want[first:last]
     flat = np.concatenate(lists)
     assert np.array_equal(r.chunk(3), flat[192:256])  # one chunk alone
 
@@ -54,3 +59,25 @@ def test_write_and_read(spark, odd, bits):
 def test_empty(empty):
     files = write_tokens(empty, tempfile.mkdtemp(prefix="linewise-test-", dir="/tmp"))
     assert files.count() == 0 and read_tokens(files).count() == 0
+
+
+def test_files_and_long_files_are_read_in_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, f"some words {i} of document {i % 7} " * (1 + i % 5)) for i in range(300)],
+                               "doc_id bigint, text string")
+    folder = tempfile.mkdtemp(prefix="linewise-test-", dir="/tmp")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = write_tokens(df, folder, chunk_ids=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n = files.count()
+    assert n > 1
+    one = sorted(map(tuple, read_tokens(files).collect()))
+    tasks = read_tokens(files).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == n
+    split = read_tokens(files, unit_ids=500)
+    assert split.select(F.spark_partition_id().alias("p")).distinct().count() > 2 * n
+    assert sorted(map(tuple, split.collect())) == one
+    assert [r[1] for r in one] == [sum(x[2] for x in one[:i]) for i in range(len(one))]
