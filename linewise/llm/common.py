@@ -12,7 +12,7 @@ from linewise.plans.materialize import cut
 from linewise.session import ship_package
 
 __all__ = ["cut", "documents", "table", "let", "crc32_of_id", "words_of", "lower_ascii",
-           "ASCII_SPACE", "ship_package", "split_words_bytes", "FOLD", "crc32"]
+           "ASCII_SPACE", "ship_package", "split_words_bytes", "FOLD", "crc32", "free_name"]
 
 #: The white space of the word pattern ``[^\x20\x09-\x0D]+``.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -27,6 +27,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so (Spark
+    takes no notice of case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once per row, however often ``body`` uses it.
 

@@ -40,7 +40,7 @@ def before(df: DataFrame, keys: list[str], order: list[Column], value: Column, n
 
 
 def join_spread(rows: DataFrame, keys: list[str], stats: DataFrame, n: str, wanted: Column,
-                payload: tuple[str, ...] = (), least: int = LEAST_FREQUENT) -> DataFrame:
+                payload: tuple[str, ...] = (), least: int | None = None) -> DataFrame:
     """Rows of ``rows`` whose key is ``wanted``, with ``payload`` of ``stats``, without
     bringing the rows of a frequent key together.
 
@@ -49,7 +49,7 @@ def join_spread(rows: DataFrame, keys: list[str], stats: DataFrame, n: str, want
     the input, and are broadcast, wanted or not: their rows are decided where they lie. Only
     the rows of other keys are shuffled."""
     total = stats.agg(F.sum(n)).first()[0] or 0
-    bound = max(least, total // FREQUENT)
+    bound = max(LEAST_FREQUENT if least is None else least, total // FREQUENT)
     named = stats.select(*keys, F.col(n).alias("_n"), wanted.alias("_wanted"), *payload)
     hot = F.broadcast(named.where(F.col("_n") >= bound).drop("_n"))
     tagged = rows.join(hot, keys, "left")
