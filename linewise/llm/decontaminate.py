@@ -11,9 +11,11 @@ is words, its block two words (one word when m is 1):
   that block lists the test strings that end so;
 * each string of the bucket is compared word by word with the document.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text. One block's searchers
-fit in a task by that bound and are sent to every task; documents are scanned once per block, so a
-benchmark of any size works, and usually there is one block.
+The distinct test strings are a written table with numbered blocks: a running total of their
+bytes in one global order, divided by ``block_bytes``. A long item's strings lie in as many
+blocks as they need, so no block exceeds the bound by more than one string. One block is read
+and sent to every task at a time; documents are scanned once per block and each block's result
+is written, so plans don't grow and a benchmark of any size works. Usually there is one block.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewise.llm.common import cut, documents, ship_package, split_words_bytes, table
+from linewise.llm.ordered import before, ordered
+from linewise.plans.materialize import new_folder
 
 WINDOW = 10
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class Searcher:
@@ -75,17 +79,20 @@ class Searcher:
             i += 1
 
 
-def searchers(items: list[tuple[str, str]], window: int = WINDOW) -> list[Searcher]:
-    """Searchers by window length for (item_id, text) rows."""
+def windows_of(text: str | None, window: int = WINDOW) -> set[bytes]:
+    """The distinct test strings of an item, words joined by a blank."""
+    words = split_words_bytes(text)
+    m = min(window, len(words))
+    return {b" ".join(words[i:i + m]) for i in range(len(words) - m + 1)} if m else set()
+
+
+def searchers(strings: list[tuple[bytes, str]]) -> list[Searcher]:
+    """Searchers by window length for (test string, item id) pairs."""
     by_length: dict[int, Searcher] = {}
-    for item_id, text in items:
-        words = split_words_bytes(text)
-        m = min(window, len(words))
-        if not m:
-            continue
-        own = by_length.setdefault(m, Searcher(m))
-        for s in {tuple(words[i:i + m]) for i in range(len(words) - m + 1)}:
-            own.strings[s].append(item_id)
+    one: dict[bytes, bytes] = {}  # equal words are held once
+    for string, item_id in strings:
+        words = tuple(one.setdefault(w, w) for w in string.split(b" "))
+        by_length.setdefault(len(words), Searcher(len(words))).strings[words].append(item_id)
     for s in by_length.values():
         s.build()
     return list(by_length.values())
@@ -120,12 +127,42 @@ def _joined(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return firsts, lasts
 
 
-def _scan_block(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """Scan all rows of ``docs`` (row, doc_id, text) for one block of the benchmark."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def strings_of(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The written table of distinct test strings: string (binary), item_id, block."""
+    ship_package(benchmark.sparkSession)
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"),
+                             F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, longs = searchers(shared.value, window), pa.list_(pa.int64())
+        for batch in batches:
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                strings = list(windows_of(text.as_py(), window))
+                for lo in range(0, len(strings), 10_000):
+                    part = strings[lo:lo + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([item_id] * len(part))],
+                                                     names=["string", "item_id"])
+
+    # equal strings of many items lie apart too: the order is by both
+    order = [F.xxhash64("string", "item_id"), F.col("string"), F.col("item_id")]
+    rows = ordered(items.mapInArrow(run, "string binary, item_id string").distinct(), order, "bench-strings")
+    size = F.octet_length("string") + F.octet_length("item_id")
+    return cut(before(rows, [], order, size, "bytes").select(
+        "string", "item_id", F.floor(F.col("bytes") / block_bytes).cast("int").alias("block")), "bench-blocks")
+
+
+def _blocks(strings: DataFrame) -> Iterator[list[tuple[bytes, str]]]:
+    """The blocks of test strings, one at a time; at least one, which may be empty."""
+    for b in range((strings.agg(F.max("block")).first()[0] or 0) + 1):
+        rows = strings.where(F.col("block") == b).select("string", "item_id").toArrow()
+        yield list(zip(rows["string"].to_pylist(), rows["item_id"].to_pylist()))
+
+
+def _scan_block(docs: DataFrame, block: list[tuple[bytes, str]]) -> DataFrame:
+    """Scan all rows of ``docs`` (row, doc_id, text) for one block of the test strings."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, longs = searchers(shared.value), pa.list_(pa.int64())
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -141,23 +178,6 @@ def _scan_block(docs: DataFrame, items: list[tuple[str, str]], window: int) -> D
              "lasts array<bigint>, items array<string>")
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """(item_id, text) rows in blocks of at most ``block_bytes`` of text (or one longer
-    item); at least one block, which may be empty. One block is held at a time."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"),
-                            F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    block: list[tuple[str, str]] = []
-    size = sent = 0
-    for r in rows.distinct().toLocalIterator():
-        if block and size + len(r.text) > block_bytes:
-            yield block
-            block, size, sent = [], 0, sent + 1
-        block.append((r.item_id, r.text))
-        size += len(r.text)
-    if block or not sent:
-        yield block
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Contamination of whole documents: doc_id, n_words, n_hit (words inside any
@@ -172,22 +192,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     ship_package(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                       F.col("text").cast("string").alias("text"))
-    blocks = _blocks(benchmark, block_bytes)
-    block, after = next(blocks), next(blocks, None)
-    if after is None:
-        found = _scan_block(own.select(F.lit(0).cast("bigint").alias("row"), "*"), block, window)
+    strings = strings_of(benchmark, window, block_bytes)
+    if strings.where("block > 0").isEmpty():
+        found = _scan_block(own.select(F.lit(0).cast("bigint").alias("row"), "*"), next(_blocks(strings)))
     else:
         own = cut(own.withColumn("row", F.monotonically_increasing_id()), "bench-docs")
-        found = _scan_block(own, block, window)
-        while after is not None:
-            more = _scan_block(own, after, window)
-            found, after = found.unionByName(more), next(blocks, None)
+        folder = new_folder(docs.sparkSession, "bench-hits")
+        for b, block in enumerate(_blocks(strings)):  # of a block, only its finds are kept, and once all rows
+            one = _scan_block(own, block)
+            (one if b == 0 else one.where(F.size("items") > 0)).write.parquet(f"{folder}/block={b}")
+        found = docs.sparkSession.read.schema(one.schema).option("recursiveFileLookup", "true").parquet(folder)
         spans = F.flatten(F.collect_list(F.arrays_zip("firsts", "lasts")))
-        found = cut(found, "bench-hits").groupBy("row").agg(
+        found = _merge_spans(found.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.array_sort(spans).alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = _merge_spans(found)
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
     n_hit = F.aggregate(F.arrays_zip("firsts", "lasts"), F.lit(0).cast("bigint"),
                         lambda n, s: n + s["lasts"] - s["firsts"] + 1)
     return found.select(
@@ -216,19 +235,23 @@ def _merge_spans(rows: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs. Null
+    and empty texts have no words and stay, so do repeated rows; null items and an empty
+    benchmark take nothing away; an empty table stays empty. What one block of the test
+    strings leaves is written before the next block is searched."""
     ship_package(docs.sparkSession)
-    for block in _blocks(benchmark, block_bytes):
-        docs = docs.where(_free_of(block, docs, window))
+    strings = strings_of(benchmark, window, block_bytes)
+    for b, block in enumerate(_blocks(strings)):
+        docs = (cut(docs, "bench-left") if b else docs).where(_free_of(block, docs))
     return docs
 
 
-def _free_of(block: list[tuple[str, str]], docs: DataFrame, window: int) -> Column:
+def _free_of(block: list[tuple[bytes, str]], docs: DataFrame) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     @F.pandas_udf("boolean")
     def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = searchers(shared.value, window)
+        own = searchers(shared.value)
         for texts in batches:
             yield pd.Series([not found_in(t, own) for t in texts], dtype="bool")
 
