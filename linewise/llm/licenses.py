@@ -1,20 +1,22 @@
 """License scans: fixed phrases, and an exact set-similarity join with notice templates.
 
 Text blocks are lines and, for notices that are wrapped, runs of consecutive lines. A run
-goes on from each line as far as the longest template can reach and ends before a line
-without words (a paragraph's end); of a long line it takes only the words next to the line
-break, so a run has fewer than three times the longest template's words. A run counts only
-for a template that no single line of the text matches. A template matches a block when at
+belongs to one template of ``n`` words: from a line break it takes the last ``n - 1`` words of
+the line before and at most ``REACH`` (2) times ``n - 1`` words of the lines after, up to a
+line without words (a paragraph's end). So it has fewer than three times the template's own
+words, whatever other templates there are. A run counts only for its template, and only if no
+single line of the text matches that. A template matches a block when at
 least ``threshold`` of the template's distinct words are in the block (containment). Only
 words of the (fixed, small) template vocabulary can overlap, so a block is the set of those
-among its words.
+among its words. Words are lower-cased in A-Z only.
 The join is exact and uses built-in functions only:
 
 * words are ordered by their frequency over all blocks, the rarest first;
 * prefix filter: with a least overlap of ``need`` words, a matching pair shares a word
   among the first ``|T| - need + 1`` of the template and the first ``|B| - need + 1`` of
   the block, so only those words are joined;
-* length filter: a block with fewer than ``need`` words cannot match;
+* length filter: a block with fewer than ``need`` words cannot match (a text without ``need``
+  of a template's words has no run for it);
 * positional filter: a pair that meets at positions i and j can still reach at most
   ``1 + min(|T| - i - 1, |B| - j - 1)``;
 * survivors are verified by their whole intersection.
@@ -33,11 +35,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linewise.llm.common import cut, documents, let
+from linewise.llm.common import cut, documents, let, lower_ascii
 
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.9
 MAX_TEMPLATES = 10_000
+REACH = 2
 
 #: Fixed values of the query: phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -81,60 +84,61 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _runs(lines: Column, vocab: Column, longest: int, least: int) -> Column:
-    """Blocks of the runs of two or more ``lines`` (n words, all, head and tail: vocabulary
-    words) that can hold a text of ``longest`` words and have at least ``least`` vocabulary
-    words, more than their first line alone."""
-    def more(run: Column, ln: Column) -> Column:
-        goes = run["open"] & (ln["n"] > 0) & (run["n"] < longest - 1)
-        return F.struct(
-            F.when(goes, run["n"] + ln["n"]).otherwise(run["n"]).alias("n"), goes.alias("open"),
-            F.when(goes, F.concat(run["words"], F.coalesce(ln["head"], ln["all"]))).otherwise(run["words"]).alias("words"))
+def _runs(lines: Column, vocab: Column, templates: Column) -> Column:
+    """only (a label) and words (the template's words in the run) of every run of ``lines`` (word
+    arrays) that has the least number of its template's words; ``vocab``: all vocabulary words
+    of the text."""
+    def of(t: Column) -> Column:
+        def more(run: Column, ws: Column) -> Column:
+            goes = run["open"] & (F.size(ws) > 0) & (run["left"] > 0)
+            return F.struct(
+                F.when(goes, run["left"] - F.size(ws)).otherwise(run["left"]).alias("left"), goes.alias("open"),
+                F.when(goes, F.concat(run["words"], F.slice(ws, F.lit(1), F.greatest(run["left"], F.lit(0)))))
+                .otherwise(run["words"]).alias("words"))
+
+        def from_line(ws: Column, i: Column) -> Column:
+            side = F.least(F.size(ws), t["n"] - 1)
+            start = F.struct((t["n"] * REACH - REACH).alias("left"), F.lit(True).alias("open"),
+                             F.slice(ws, F.size(ws) - side + 1, side).alias("words"))
+            run = F.aggregate(F.slice(lines, i + 2, F.greatest(t["n"] * REACH - REACH, F.lit(0))), start, more)["words"]
+            # a line without the template's words starts no run: the notice starts later
+            return F.when(F.size(F.array_intersect(t["words"], ws)) > 0, let(
+                F.array_intersect(t["words"], run), lambda b: F.when(F.size(b) >= t["need"], b)))
 
-    def from_line(ln: Column, i: Column) -> Column:
-        own = F.coalesce(ln["tail"], ln["all"])
-        start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), own.alias("words"))
-        run = F.aggregate(F.slice(lines, i + 2, longest - 1), start, more)["words"]
-        # a line without vocabulary words starts no run: the notice starts later
-        return F.when(F.size(own) > 0, let(F.array_intersect(vocab, run), lambda b: F.when(
-            (F.size(b) >= least) & (F.size(b) > F.size(own)), b)))
+        return F.transform(F.filter(F.transform(lines, from_line), lambda b: b.isNotNull()),
+                           lambda b: F.struct(t["label"].alias("only"), b.alias("words")))
 
-    return F.filter(F.transform(lines, from_line), lambda b: b.isNotNull())
+    able = F.filter(templates, lambda t: F.size(F.array_intersect(t["words"], vocab)) >= t["need"])
+    return F.flatten(F.transform(able, of))
 
 
-def _scanned(docs: DataFrame, phrases: Mapping[str, str], vocabulary: list[str], longest: int,
-             least: int) -> DataFrame:
+def _scanned(docs: DataFrame, phrases: Mapping[str, str], vocabulary: list[str], templates: Column) -> DataFrame:
     """doc_id, n_words, base (label and starts of every phrase), blocks (the vocabulary words
-    of every line that has any) and runs (those of runs of lines, see :func:`_runs`)."""
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    of every line that has any) and runs (see :func:`_runs`)."""
+    text = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
     lines = F.transform(F.split(text, "\n"),
                         lambda ln: F.filter(F.split(ln, WORD_GAP), lambda w: w != ""))
     vocab = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
 
-    side = max(longest - 1, 1)
-
-    def line(ws: Column) -> Column:
-        long = F.size(ws) > side
-        return F.struct(
-            F.size(ws).alias("n"), F.array_intersect(vocab, ws).alias("all"),
-            F.when(long, F.array_intersect(vocab, F.slice(ws, 1, side))).alias("head"),
-            F.when(long, F.array_intersect(vocab, F.slice(ws, -side, side))).alias("tail"))
-
-    def blocks(lns: Column) -> Column:
-        return F.struct(
-            F.filter(F.transform(lns, lambda ln: ln["all"]), lambda b: F.size(b) > 0).alias("lines"),
-            (_runs(lns, vocab, longest, least) if longest > 1 else F.array().cast("array<array<string>>")).alias("runs"))
-
     def of(by_line: Column) -> Column:
         return F.struct(
             let(F.flatten(by_line), lambda words: F.struct(
                 F.size(words).cast("bigint").alias("n_words"),
                 F.array(*[F.struct(F.lit(label).alias("label"), _phrase_starts(words, p).alias("starts"))
-                          for p, label in phrases.items()]).alias("base"))).alias("own"),
-            let(F.transform(by_line, line), blocks).alias("blocks"))
+                          for p, label in phrases.items()])
+                .cast("array<struct<label:string,starts:array<int>>>").alias("base"),
+                let(F.array_intersect(vocab, words), lambda own: _runs(by_line, own, templates)).alias("runs"))).alias("own"),
+            F.filter(F.transform(by_line, lambda ws: F.array_intersect(vocab, ws)), lambda b: F.size(b) > 0).alias("blocks"))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), let(lines, of).alias("s")).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "s.own.n_words", "s.own.base",
-        F.col("s.blocks.lines").alias("blocks"), "s.blocks.runs")
+        F.monotonically_increasing_id().alias("row"), "doc_id", "s.own.n_words", "s.own.base", "s.blocks", "s.own.runs")
+
+
+def _template_array(templates: Mapping[str, list[str]], threshold: float) -> Column:
+    """label, n (words), words (distinct) and need of every template with words."""
+    rows = [F.struct(F.lit(label).alias("label"), F.lit(len(ws)).alias("n"),
+                     F.array(*[F.lit(w) for w in sorted(set(ws))]).alias("words"),
+                     F.lit(_need(ws, threshold)).alias("need")) for label, ws in templates.items() if ws]
+    return F.array(*rows) if rows else F.array().cast("array<struct<label:string,n:int,words:array<string>,need:int>>")
 
 
 def _need(words: list[str], threshold: float) -> int:
@@ -154,9 +158,12 @@ def _templates(spark: SparkSession, templates: Mapping[str, list[str]], order: l
 
 
 def matches(blocks: DataFrame, templates: Mapping[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:
-    """The set-similarity join: ``blocks`` (row, words) to row, label, containment for
-    every pair that reaches the threshold (one row per block and template)."""
+    """The set-similarity join: ``blocks`` (row, words, and ``only``, the one label that the
+    block is compared with, null for all) to row, label, containment for every pair that
+    reaches the threshold (one row per block and template)."""
     spark = blocks.sparkSession
+    if "only" not in blocks.columns:
+        blocks = blocks.withColumn("only", F.lit(None).cast("string"))
     counted = blocks.select(F.explode("words").alias("w")).groupBy("w").count()
     frequency = {r.w: r["count"] for r in counted.collect()}  # at most the vocabulary
     order = sorted({w for ws in templates.values() for w in ws}, key=lambda w: (frequency.get(w, 0), w))
@@ -164,13 +171,14 @@ def matches(blocks: DataFrame, templates: Mapping[str, list[str]], threshold: fl
     least = min(_need(ws, threshold) for ws in templates.values() if ws)
     ordered = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words"))
     sides = (blocks.where(F.size("words") >= least)
-             .select("row", F.monotonically_increasing_id().alias("block"), ordered.alias("words"))
-             .select("row", "block", "words", F.posexplode("words").alias("j", "w")))
+             .select("row", "only", F.monotonically_increasing_id().alias("block"), ordered.alias("words"))
+             .select("row", "only", "block", "words", F.posexplode("words").alias("j", "w")))
     prefixes = table.select("label", "t_words", "need", F.posexplode("t_words").alias("i", "w")) \
         .where(F.col("i") <= F.size("t_words") - F.col("need"))
     reach = 1 + F.least(F.size("t_words") - F.col("i"), F.size("words") - F.col("j")) - 1
     met = sides.join(prefixes, "w").where(
-        (F.size("words") >= F.col("need")) & (F.col("j") <= F.size("words") - F.col("need"))
+        (F.col("only").isNull() | (F.col("only") == F.col("label")))
+        & (F.size("words") >= F.col("need")) & (F.col("j") <= F.size("words") - F.col("need"))
         & (reach >= F.col("need")))
     overlap = F.size(F.array_intersect("words", "t_words"))
     return (met.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("need"))
@@ -192,9 +200,7 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES,
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     words = {label: template_words(t) for label, t in templates.items()}
     vocabulary = sorted({w for ws in words.values() for w in ws})
-    longest = max((len(ws) for ws in words.values()), default=0)
-    least = min((_need(ws, threshold) for ws in words.values() if ws), default=1)
-    rows = cut(_scanned(docs, phrases, vocabulary, longest, least), "license-rows")
+    rows = cut(_scanned(docs, phrases, vocabulary, _template_array(words, threshold)), "license-rows")
     starts = F.flatten(F.transform("base", lambda b: b["starts"]))
     base_labels = F.array_sort(F.array_distinct(F.transform(
         F.filter("base", lambda b: F.size(b["starts"]) > 0), lambda b: b["label"])))
@@ -203,8 +209,10 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES,
         F.array_min(starts).cast("bigint").alias("first_word"),
         F.array_max(starts).cast("bigint").alias("last_word"), base_labels.alias("b"))
     if vocabulary:
-        one = rows.select(F.struct("row", F.lit(False).alias("run")).alias("row"), F.explode("blocks").alias("words"))
-        run = rows.select(F.struct("row", F.lit(True).alias("run")).alias("row"), F.explode("runs").alias("words"))
+        one = rows.select(F.struct("row", F.lit(False).alias("run")).alias("row"), F.explode("blocks").alias("words"),
+                          F.lit(None).cast("string").alias("only"))
+        run = rows.select(F.struct("row", F.lit(True).alias("run")).alias("row"), F.explode("runs").alias("r")) \
+            .select("row", "r.words", "r.only")
         best = lambda by_run: F.max(F.when(F.col("row.run") == by_run, F.col("containment")))
         found = matches(one.unionByName(run), words, threshold) \
             .groupBy(F.col("row.row").alias("row"), "label").agg(F.coalesce(best(False), best(True)).alias("containment")) \

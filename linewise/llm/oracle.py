@@ -45,21 +45,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def license_sql() -> str:
     import math
 
-    from linewise.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, template_words
+    from linewise.llm.licenses import PHRASES, REACH, TEMPLATES, THRESHOLD, template_words
 
     def words(text: str) -> str:
         return (f"list_filter(regexp_split_to_array({text}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), "
                 "lambda x: x <> '')")
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
     rows = ", ".join(
-        f"('{label}', [{_text(sorted(set(template_words(t))))}], "
+        f"('{label}', {len(template_words(t))}, [{_text(sorted(set(template_words(t))))}], "
         f"{max(1, math.ceil(THRESHOLD * len(set(template_words(t))) - 1e-9))})"
         for label, t in TEMPLATES.items())
     return rf"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                     'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p(phrase, label, n) AS (VALUES {phrases}),
-k(label, ws, need) AS (VALUES {rows}),
+k(label, n, ws, need) AS (VALUES {rows}),
 w AS (SELECT doc_id, {words("text")} AS ws FROM t),
 a AS (SELECT doc_id, ws, unnest(range(0, len(ws))) AS i FROM w),
 h AS (SELECT doc_id, i, label FROM a JOIN p ON array_to_string(ws[i + 1:i + n], ' ') = phrase
@@ -70,7 +70,19 @@ ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
 lw AS (SELECT doc_id, list_distinct({words("line")}) AS ws FROM ln),
 m AS (SELECT doc_id, label, len(list_intersect(lw.ws, k.ws)) / len(k.ws) AS c FROM lw, k
       WHERE len(list_intersect(lw.ws, k.ws)) >= need),
-mm AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM m GROUP BY doc_id)
+ls AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda line: {words("line")}) AS lw FROM t),
+li AS (SELECT ls.doc_id, label, n, k.ws, need, unnest(range(1, len(lw))) AS i, lw FROM ls, k
+       WHERE len(list_intersect(list_distinct(flatten(lw)), k.ws)) >= need),
+lr AS (SELECT doc_id, label, ws, need, lw[i][greatest(1, len(lw[i]) - n + 2):] AS head, lw[i] AS line, n,
+              lw[i + 1:coalesce(list_position(list_transform(lw[i + 1:], lambda x: len(x) = 0), true) + i - 1,
+                                len(lw))] AS after FROM li),
+rr AS (SELECT doc_id, label, ws, need, list_concat(CASE WHEN n > 1 THEN head ELSE [] END,
+              coalesce(flatten(after)[1:{REACH} * (n - 1)], [])) AS run FROM lr WHERE len(list_intersect(line, ws)) > 0),
+mr AS (SELECT doc_id, label, max(len(list_intersect(list_distinct(run), ws)) / len(ws)) AS c FROM rr
+       WHERE len(list_intersect(list_distinct(run), ws)) >= need GROUP BY ALL),
+mb AS (SELECT doc_id, label, coalesce(l.c, mr.c) AS c FROM (SELECT doc_id, label, max(c) AS c FROM m GROUP BY ALL) l
+       FULL JOIN mr USING (doc_id, label)),
+mm AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM mb GROUP BY doc_id)
 SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []),

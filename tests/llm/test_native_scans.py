@@ -57,7 +57,7 @@ def test_license_cases(spark):
     assert got[9].labels == "cc-by,cc-by-nc-4.0"
 
 
-def test_wrapped_notices(spark):
+def wrapped():
     mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n"
            "of this software and associated documentation files (the \"Software\"), to deal\n"
            "in the Software without restriction")
@@ -72,7 +72,11 @@ def test_wrapped_notices(spark):
     texts = [mit, bsd, gpl, mpl, "x y\n\n" + mpl.replace("\n", "\r\n"), ends, mit.replace("\n", "\n\n"),
              mpl.replace("\n", "\n" + "w " * 40 + "\n"), TEMPLATES["mpl-2.0"].replace("subject", "") + "\nsubject to",
              "\n".join(TEMPLATES["gpl-text"].split()), TEMPLATES["mit"].replace(" ", "\n")]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return texts
+
+
+def test_wrapped_notices(spark):
+    df = spark.createDataFrame(list(enumerate(wrapped())), "doc_id bigint, text string")
     got = {r.doc_id: r for r in scan(df).collect()}
     assert [got[i].labels for i in range(11)] == [
         "mit-text", "bsd-text", "gpl,gpl-text", "mpl-2.0", "mpl-2.0", "mpl-2.0", "", "", "mpl-2.0", "gpl,gpl-text", "mit"]
@@ -99,3 +103,31 @@ def test_license_odd_rows(odd, empty):
     assert scan(odd, templates={}).count() == odd.count()
     assert scan(empty).collect() == []
     assert template_words("CC BY-NC 4.0") == ["cc", "by", "nc", "4", "0"]
+
+
+PROSE = ["The quick team released a new song\nunder grey skies\nhe went to mit and then\ndrove with no license at all\nto the sea",
+         "released\nwords go on and on and on under\nthe mit license", "the\nlicense\nmit\nunder\nreleased",
+         "under the work\u212a license mit released", "RELEASED UNDER THE MIT LICEN\u017fE", "Released under the\nM\u0130T License"]
+
+
+def test_a_short_template_needs_its_words_close_by(spark):
+    df = spark.createDataFrame(list(enumerate(PROSE)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in scan(df).collect()}
+    assert got == {0: ("", 0.0), 1: ("", 0.0), 2: ("mit", 1.0), 3: ("mit", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
+    # letters outside A-Z are not folded: the Kelvin sign is no k
+    kelvin = scan(spark.createDataFrame([(1, "wor\u212a")], "doc_id bigint, text string"), {}, {"t": "work"})
+    assert kelvin.first().labels == ""
+
+
+def test_sql_finds_wrapped_notices_too(spark):
+    import duckdb
+    import pandas as pd
+    from linewise.llm.oracle import license_sql
+
+    texts = [*wrapped(), *PROSE, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = scan(df)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({license_sql()})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
