@@ -95,21 +95,100 @@ def test_word_hashes(monkeypatch):
     assert len(toxicity.word_hashes("")) == len(toxicity.word_hashes(None)) == 0
 
 
-def test_pair_counts_equal_brute_force(spark, docs):
+def test_counts_equal_brute_force(spark, docs):
     df = docs.select((F.col("doc_id") % 2).cast("int").alias("cls"), "text")
-    got = {(r.v, r.w): (r.t, r.o) for r in toxicity._counted(df).collect()}
-    want = {0: Counter(), 1: Counter()}
+    got = {(r.v, r.w): (r.t, r.o, r.dt, r.do) for r in toxicity._counted(df).collect()}
+    n, held = [{0: Counter(), 1: Counter()} for _ in range(2)]
     for r in docs.collect():
         h = toxicity.word_hashes(r.text).view(np.int64).tolist()
-        want[r.doc_id % 2].update(zip([0, *h[:-1]], h))
-    assert got == {k: (want[1][k], want[0][k]) for k in {*want[0], *want[1]}}
+        seen = [*zip([0, *h[:-1]], h), *((None, w) for w in h)]
+        n[r.doc_id % 2].update(seen)
+        held[r.doc_id % 2].update(set(seen))
+    assert got == {k: (n[1][k], n[0][k], held[1][k], held[0][k]) for k in {*n[0], *n[1]}}
 
 
 def test_shared_counts(spark, docs):
-    all_words = [set(toxicity.word_hashes(r.text).tolist()) for r in docs.collect()]
-    keys = np.unique(toxicity.word_hashes(docs.first().text))
-    got = toxicity._shared_counts(docs, keys)
-    assert got.tolist() == [sum(k in ws for ws in all_words) for k in keys.tolist()]
+    texts = [toxicity.word_hashes(r.text) for r in docs.collect()]
+    words = np.unique(toxicity.word_hashes(docs.first().text))
+    pairs = np.unique(toxicity.pair_hashes(toxicity.word_hashes(docs.first().text)))
+    got_words, got_pairs, total = toxicity._shared_counts(docs, words, pairs)
+    held = [set(t.tolist()) for t in texts]
+    held_pairs = [set(toxicity.pair_hashes(t).tolist()) if len(t) else set() for t in texts]
+    assert got_words.tolist() == [sum(k in ws for ws in held) for k in words.tolist()]
+    assert got_pairs.tolist() == [sum(k in ps for ps in held_pairs) for k in pairs.tolist()]
+    assert total == sum(map(len, held))
+
+
+def brute_model(sample, corpus):
+    """word -> ratio and (v, w) -> ratio, from the definitions; sample: (class, words)."""
+    from math import log
+
+    docs_of = {c: [ws for k, ws in sample if k == c] for c in (1, 0)}
+    n = {c: Counter(p for ws in docs_of[c] for p in zip([None, *ws], ws)) for c in (1, 0)}
+    held = {c: Counter(x for ws in docs_of[c] for x in {*ws, *zip([None, *ws], ws)}) for c in (1, 0)}
+    vocab, pairs = {w for p in n.values() for _, w in p}, {*n[0], *n[1]}
+
+    def apart(x, tried):
+        def best(k, m):
+            return sum(y * log(y / m) for y in (k, m - k) if y)
+        a, b, m, o = held[1][x], held[0][x], len(docs_of[1]), len(docs_of[0])
+        return 2 * (best(a, m) + best(b, o) - best(a + b, m + o)) > log(tried)
+
+    def discount(values):
+        one, two = values.count(1), values.count(2)
+        return one / (one + 2 * two) if one and two else 0.75
+
+    follows = {c: Counter(w for _, w in n[c]) for c in n}
+    d1 = discount([follows[1][w] + follows[0][w] for w in vocab])
+    d2 = discount([n[1][p] + n[0][p] for p in pairs])
+    hold = Counter(w for ws in corpus for w in set(ws))
+    hold_pair = Counter(p for ws in corpus for p in set(zip(ws, ws[1:])))
+    shared = {w: (hold[w] + 0.5) / (sum(hold.values()) + 0.5 * (len(vocab) + 1)) for w in vocab}
+
+    def uni(w, c):
+        mass = max(sum(follows[c].values()), 1)
+        return max(follows[c][w] - d1, 0) / mass + d1 * len(follows[c]) / mass * shared[w]
+
+    word = {w: log(uni(w, 1) / uni(w, 0)) for w in vocab if apart(w, len(vocab))}
+    pair = {}
+    for v, w in pairs:
+        if v is None or not apart((v, w), len(pairs)):
+            continue
+        prob = {}
+        for c in (1, 0):
+            ctx = sum(k for (a, _), k in n[c].items() if a == v)
+            kinds = sum(1 for a, _ in n[c] if a == v)
+            back = (hold_pair[v, w] + 0.5) / (hold[v] + 1) * 2 * uni(w, c) / (uni(w, 1) + uni(w, 0))
+            prob[c] = (max(n[c][v, w] - d2, 0) + d2 * kinds * back) / ctx if ctx else back
+        pair[v, w] = log(prob[1] / prob[0]) - word.get(w, 0.0)
+    return word, pair
+
+
+def test_model_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    sample, corpus = [], []
+    for i in range(300):
+        words = [f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 200]
+        if i % 3 == 0:
+            words[3:3] = ["you", "vile", "thing"] if i % 2 else ["vile", "foul"]
+        elif i % 4 == 0:
+            words[2:2] = ["thing", "you"]
+        (sample if i % 5 else corpus).append((int(i % 3 == 0), words))
+    whole = [ws for _, ws in sample + corpus]
+    rows = spark.createDataFrame([(c, " ".join(ws)) for c, ws in sample], "cls int, text string")
+    docs = spark.createDataFrame([(" ".join(ws),) for ws in whole], "text string")
+    model, (word, pair) = toxicity.build(rows, docs), brute_model(sample, whole)
+    hashed = lambda *ws: toxicity.word_hashes(" ".join(ws))
+    assert word and pair and any(p[1] not in word for p in pair) | any(p[1] in word for p in pair)
+    want = {int(hashed(w)[0]): x for w, x in word.items()}
+    assert dict(zip(model.words.tolist(), model.word_llr.tolist())) == pytest.approx(want)
+    want = {int(toxicity.pair_hashes(hashed(v, w))[0]): x for (v, w), x in pair.items()}
+    assert dict(zip(model.pairs.tolist(), model.pair_llr.tolist())) == pytest.approx(want)
+    text = "w1 you vile thing, w2 unheard-of vile foul"
+    ws = [w.decode() for w in text.encode().translate(toxicity.FOLD).split()]
+    assert model.ratio(text) == pytest.approx(
+        (sum(word.get(w, 0) for w in ws) + sum(pair.get(p, 0) for p in zip(ws, ws[1:]))) / len(ws))
+    assert model.ratio("") == model.ratio(None) == 0.0
 
 
 def test_toxicity_separates(spark):
