@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 _NAME = r"[\p{L}_][\p{L}\p{M}\p{N}_]*"
 #: Paths whose brackets hold neither brackets nor quotes: a regular expression splits them.
-_PLAIN = rf"^{_NAME}(\.{_NAME}|\[[^\[\](){{}}'\"]*\]|\([^\[\](){{}}'\"]*\))*$"
+_PLAIN = rf"^{_NAME}(\.{_NAME}|\[[^\[\](){{}}'\"]*\]|\([^\[\](){{}}'\"]*\))*\z"
 _PLAIN_SEGMENT = rf"{_NAME}|\.{_NAME}|\[[^\]]*\]|\([^)]*\)"
 
 

@@ -199,6 +199,23 @@ def unknown_summary(g: Lineage) -> DataFrame:
                           "n_unknown_reads"))
 
 
+LABEL_BITS = 12   # reads in one part of an unknown node's label: 2**12
+
+
+def unknown_label(g: Lineage, chunk_bits: int = DEFAULT_CHUNK_BITS) -> DataFrame:
+    """The label of each run's unknown node with one entry per unknown read, in event order
+    (reads of one event by name and id), as rows run_id, part, n_reads and text: the parts of
+    a run, put together in their order, are the label. A part holds at most 2**LABEL_BITS
+    reads, so no group holds a run."""
+    unknown = g.reads.filter(~F.col("w_found")).select("run_id", "event_id", "name", "id")
+    at = running_sum(unknown, ["run_id"], ["event_id", "name", "id"], F.lit(1), "at", chunk_of("event_id", chunk_bits),
+                     inclusive=False)
+    rows = at.groupBy("run_id", F.shiftright("at", LABEL_BITS).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "name"))).alias("_l"))
+    return rows.select("run_id", "part", F.size("_l").cast("bigint").alias("n_reads"), F.array_join(
+        F.transform("_l", lambda x: F.concat(F.coalesce(x["name"], F.lit("")), F.lit(","))), "").alias("text"))
+
+
 def _last_updates(g: Lineage, chunk_bits: int) -> DataFrame:
     """run_id, node_id and the writes of the last update attributed to each node (an update
     goes to the latest node of its line at or before it)."""

@@ -30,8 +30,8 @@ def _chunk(seq: str = "seq", bits: int = 20) -> Column:
 def with_accesses(facts: DataFrame) -> DataFrame:
     """Fill ``loads`` and ``stores`` from the statement's own fields: an assignment stores its
     targets, an augmented one reads them too (E10), an import stores the name it binds
-    (E11, D7: ``targets`` holds the alias if any, ``rhs_refs`` the module), every other
-    statement only reads (E12)."""
+    (E11, D7: ``targets`` holds the alias if any, ``rhs_refs`` the module), a ``with`` item
+    stores the name it binds its value to (E15), every other statement only reads (E12)."""
     none = F.array().cast("array<string>")
     targets, refs = F.coalesce("targets", none), F.coalesce("rhs_refs", none)
     bound = F.array(imported_name(F.get(refs, 0), F.get(targets, 0)))
@@ -39,7 +39,7 @@ def with_accesses(facts: DataFrame) -> DataFrame:
     return facts.withColumns({
         "loads": F.when(kind == "import", none).when(
             (kind == "assign") & F.coalesce("is_augmented", F.lit(False)), F.array_union(refs, targets)).otherwise(refs),
-        "stores": F.when(kind == "import", bound).when(kind == "assign", targets).otherwise(none)})
+        "stores": F.when(kind == "import", bound).when(kind.isin("assign", "with"), targets).otherwise(none)})
 
 
 def _stores(facts: DataFrame, over_approximate: bool = False, mutating_calls: bool = False) -> Column:

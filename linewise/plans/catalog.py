@@ -21,7 +21,7 @@ from linewise.plans import oracle as O
 from linewise.plans.materialize import cut, new_folder
 from linewise.plans.scan import chunk_of, last_before
 from linewise.sources import io as IO
-from linewise.sources.adapters import events_trace, lineitem_trace, orders_facts
+from linewise.sources.adapters import events_trace, lineitem_facts, lineitem_trace, order_names, orders_facts
 from linewise.streaming import live as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,16 @@ def unknown_summary(spark, sf):
     return L.unknown_summary(_graph(spark, sf))
 
 
+@register("unknown_label", f"""WITH {O.graph_ctes()},
+u AS (SELECT run_id, name, row_number() OVER (PARTITION BY run_id ORDER BY event_id, name, id) - 1 AS i
+      FROM hop2 WHERE w_lineno IS NULL)
+SELECT run_id, CAST(i // 4096 AS BIGINT) AS part, COUNT(*) AS n_reads, string_agg(name || ',', '' ORDER BY i) AS text
+FROM u GROUP BY ALL""")
+def unknown_label(spark, sf):
+    """C6 with one entry per unknown read, in bounded parts."""
+    return L.unknown_label(_graph(spark, sf))
+
+
 @register("node_defs", f"""WITH {O.graph_ctes('most_specific')},
 att AS (
   SELECT t.run_id, t.event_id, arg_max(n.node_id, n.event_id) AS node_id
@@ -140,6 +150,17 @@ def edge_between_lines(spark, sf):
 
 # ---- B: scope, calls, loops ------------------------------------------------------------
 
+@register("call_depth_quarantine", f"""WITH {O.EV},
+s AS (SELECT run_id, event_id, kind, SUM(CASE kind WHEN 'enter' THEN 1 WHEN 'exit' THEN -1 ELSE 0 END)
+             OVER (PARTITION BY run_id ORDER BY event_id) AS after FROM trace),
+ok AS (SELECT run_id FROM s GROUP BY run_id HAVING MIN(after) >= 0)
+SELECT run_id, event_id, kind, CAST(after - CASE kind WHEN 'enter' THEN 1 WHEN 'exit' THEN -1 ELSE 0 END AS BIGINT) AS depth
+FROM s WHERE run_id IN (SELECT run_id FROM ok)""")
+def call_depth_quarantine(spark, sf):
+    """B1: runs that leave more calls than they enter are left out."""
+    return B.with_call_depth(events_trace(spark, sf).select("run_id", "event_id", "kind"), "quarantine")
+
+
 @register("call_depth", f"WITH {O.EV}\nSELECT run_id, event_id, kind, depth FROM depth")
 def call_depth(spark, sf):
     return B.with_call_depth(events_trace(spark, sf)).select("run_id", "event_id", "kind", "depth")
@@ -294,6 +315,13 @@ def accesses(spark, sf):
     return A.accesses(events_trace(spark, sf))
 
 
+@register("accesses_repeated", ORACLE["accesses"])
+def accesses_repeated(spark, sf):
+    """Values that a statement names twice are accessed once."""
+    twice = events_trace(spark, sf).withColumns({c: F.concat(c, c) for c in ("uses", "defs")})
+    return A.accesses(twice)
+
+
 @register("column_usage", f"""WITH {O.EV},
 c AS (SELECT run_id, name, concat('c', k % 3) AS column_name FROM uses_flat WHERE type = 'DataFrame' AND pos = 0
         AND k % 4 = 0
@@ -371,6 +399,18 @@ def path_depth(spark, sf):
     return _names(spark, sf).select("name", P.path_depth("name").alias("depth"), P.path_parent("name").alias("parent"))
 
 
+@register("order_paths", f"""WITH {O.ORDER_NAMES}
+SELECT array_to_string(s, '') AS name, s[1] AS base, len(s)::INTEGER AS depth,
+       array_to_string(list_transform(range(1, len(s) + 1), lambda i: array_to_string(s[1:i], '')), '|') AS prefixes,
+       CASE WHEN len(s) > 1 THEN array_to_string(s[1:len(s) - 1], '') END AS parent FROM seg""")
+def order_paths(spark, sf):
+    """D1-D4 on references with nested and quoted brackets, calls and other alphabets, as many
+    as there are orders."""
+    return order_names(spark, sf).select(
+        "name", P.path_base("name").alias("base"), P.path_depth("name").alias("depth"),
+        F.array_join(P.path_prefixes("name"), "|").alias("prefixes"), P.path_parent("name").alias("parent"))
+
+
 # statements of the events adapter seen as assignments: a purchase writes n2 from base
 STMTS = f"""WITH {O.EV},
 st AS (SELECT run_id, event_id, k,
@@ -475,6 +515,19 @@ def reaching_branches(spark, sf):
     return E.reaching_branches(orders_facts(spark, sf))
 
 
+@register("reaching_nested", O.nested_sql())
+def reaching_nested(spark, sf):
+    """E4/E5/E14 with blocks three deep, with items (E15) and imports with and without alias."""
+    return E.reaching_branches(lineitem_facts(spark, sf))
+
+
+@register("nested_accesses", f"""WITH {O.NESTED}
+SELECT unit_id, seq AS stmt_id, key, false AS is_write FROM reads UNION ALL SELECT unit_id, seq, key, true FROM writes""")
+def nested_accesses(spark, sf):
+    """What imports without alias, with items and reads of two keys touch."""
+    return E.accesses(lineitem_facts(spark, sf)).select("unit_id", "stmt_id", "key", F.col("_w").alias("is_write"))
+
+
 @register("control_edges", f"""WITH {O.FACTS}
 SELECT unit_id, ctl_id, arm, stmt_id FROM facts WHERE ctl_id IS NOT NULL""")
 def control_edges(spark, sf):

@@ -171,3 +171,61 @@ facts AS (
               WHEN o_orderstatus = 'P' THEN 'F' END AS arm,
          yr % 2 = 0 AS in_loop
   FROM st)"""
+
+
+# ---- lineitem -> nested facts, orders -> names --------------------------------------
+
+NESTED = """
+li AS (
+  SELECT *, CAST(l_suppkey * 10 + year(l_shipdate) - 1992 AS BIGINT) AS unit_id, month(l_shipdate) AS m,
+         CASE l_linenumber WHEN 7 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS depth FROM lineitem),
+st AS (
+  SELECT *, CASE WHEN m > 6 THEN 1 ELSE 0 END AS half, (m + 2) // 3 AS q,
+         CAST(ROW_NUMBER() OVER (PARTITION BY unit_id ORDER BY depth > 0, depth > 0 AND m > 6, depth > 1,
+              CASE WHEN depth > 1 THEN (m + 2) // 3 ELSE 0 END, depth > 2, depth > 2 AND m % 3 <> 1, l_shipdate, l_orderkey,
+              l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS BIGINT) AS seq
+  FROM li),
+p AS (
+  SELECT *, ['1' || CASE WHEN half = 0 THEN 'T' ELSE 'F' END, (10 + half) || CASE WHEN q % 2 = 1 THEN 'T' ELSE 'F' END,
+             (100 + q) || CASE WHEN m % 3 = 1 THEN 'T' ELSE 'F' END][1:depth] AS b FROM st),
+facts AS (
+  SELECT unit_id, seq, l_returnflag AS flag, l_linenumber AS n, 'k' || l_partkey % 3 AS key, 'k' || (l_partkey + 1) % 3 AS other,
+         b, '/' || array_to_string(list_transform(b, lambda x: x || '/'), '') AS path FROM p),
+w AS (SELECT unit_id, seq, CASE WHEN flag = 'N' AND n = 3 THEN key || '.sub' ELSE key END AS name, path, b FROM facts WHERE flag <> 'A'),
+writes AS (SELECT unit_id, seq, name AS key, path, b FROM w),
+reads AS (SELECT unit_id, seq, unnest([key, other]) AS key, path, b FROM facts WHERE flag = 'A')"""
+
+
+def nested_sql() -> str:
+    """Writers that reach by NOT EXISTS over paths as texts: a write kills where its own path
+    is a prefix of the earlier writer's or of the reader's; a block whose arms both write
+    kills, at its end, writers from before it. Blocks are worked out from the inside out."""
+    def level(d: int) -> str:
+        inner = f"UNION ALL SELECT unit_id, key, ctx FROM both{d + 1}" if d < 3 else ""
+        return f"""
+arm{d} AS (SELECT DISTINCT unit_id, key, ctx FROM (SELECT unit_id, key, path AS ctx FROM writes {inner})
+          WHERE len(string_split(ctx, '/')) - 2 = {d}),
+both{d} AS (SELECT unit_id, key, ctx, ctl, first, last FROM (
+  SELECT unit_id, key, regexp_extract(ctx, '^(.*/)[^/]+/$', 1) AS ctx, regexp_extract(ctx, '([0-9]+)[TF]/$', 1) AS ctl,
+         count(DISTINCT ctx) AS arms FROM arm{d} GROUP BY ALL HAVING count(DISTINCT ctx) = 2)
+  JOIN (SELECT unit_id, min(seq) AS first, max(seq) AS last, list_aggregate(list_transform(b[1:{d - 1}], lambda x: x || '/'), 'string_agg', '') AS outer_path,
+               b[{d}][1:-2] AS c FROM facts WHERE len(b) >= {d} GROUP BY ALL) e USING (unit_id)
+  WHERE ctl = c AND ctx = '/' || coalesce(outer_path, ''))"""
+    return f"""WITH {NESTED},{level(3)},{level(2)},{level(1)},
+blocks AS (SELECT unit_id, key, ctx, first, last FROM both1 UNION ALL SELECT unit_id, key, ctx, first, last FROM both2
+           UNION ALL SELECT unit_id, key, ctx, first, last FROM both3)
+SELECT DISTINCT r.unit_id, w.seq AS src, r.seq AS dst, r.key
+FROM reads r JOIN writes w ON w.unit_id = r.unit_id AND w.key = r.key AND w.seq < r.seq
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(w.b) AS x) a, (SELECT unnest(r.b) AS y) c
+                  WHERE a.x[1:-2] = c.y[1:-2] AND a.x <> c.y)
+  AND NOT EXISTS (SELECT 1 FROM writes k WHERE k.unit_id = r.unit_id AND k.key = r.key AND k.seq > w.seq AND k.seq < r.seq
+                  AND (starts_with(w.path, k.path) OR starts_with(r.path, k.path)))
+  AND NOT EXISTS (SELECT 1 FROM blocks k WHERE k.unit_id = r.unit_id AND k.key = r.key AND k.first > w.seq AND k.last < r.seq
+                  AND (starts_with(w.path, k.ctx) OR starts_with(r.path, k.ctx)))"""
+
+
+ORDER_NAMES = """
+seg AS (
+  SELECT DISTINCT [(['c', 'größe', '数'][o_orderkey % 3 + 1]) || o_custkey, '["' || o_orderpriority || '"]',
+    '[i[' || o_orderkey % 7 || ']]', '.f' || o_orderkey % 11, '(a, ''](''  , [' || o_orderkey || '])',
+    '.é_' || o_orderstatus][1:o_orderkey % 5 + 2] AS s FROM orders)"""

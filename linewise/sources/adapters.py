@@ -4,6 +4,8 @@ every row here is derived by Spark from the given tables, so the work grows with
 events  -> trace      run = user_id, k = props.k; each source event gives at most two
                       trace rows, at event ids 2*event_id and 2*event_id + 1
 lineitem -> trace     run = supplier, location = part bucket, R rows write
+lineitem -> facts     unit = supplier and year, blocks three deep: half, quarter, month
+orders   -> names     references with nested and quoted brackets, calls, other alphabets
 orders  -> facts      unit = customer, key = priority, block = (year, status)
 """
 
@@ -233,3 +235,59 @@ def orders_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "import", F.array(F.lit("pkg.mod"))).when(writes, empty).otherwise(key).alias("rhs_refs"),
         ((kind == "assign") & (k % 2 == 0)).alias("is_augmented"))
     return cut(with_accesses(rows), "orders_table")
+
+
+NESTED_ORDER = ["_f0", "_half", "_f1", "_quarter", "_f2", "_first", *LINEITEM_ORDER]
+
+
+def lineitem_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement facts with blocks three deep: unit = supplier and ship year, statement = line
+    item. Line number 7 stands outside all blocks, 1 in an arm of the half-year block (arms:
+    halves), 2 in an arm of that half's quarter block, the others in an arm of the quarter's
+    month block (first month or later); in each arm the plain statements come first. Key =
+    l_partkey % 3. Returned items (R) are assignments to the key, or with items for even order
+    keys; N items import it (a module without alias for line number 3), A items read it and a
+    second key."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", *LINEITEM_ORDER)
+    month, n = F.month("l_shipdate"), F.col("l_linenumber")
+    half, quarter = (month > 6).cast("int"), F.quarter("l_shipdate")
+    depth = F.when(n == 7, 0).when(n == 1, 1).when(n == 2, 2).otherwise(3)
+    li = li.withColumns({
+        "unit_id": (F.col("l_suppkey") * 10 + F.year("l_shipdate") - 1992).cast("bigint"), "_depth": depth,
+        "_f0": (depth > 0).cast("int"), "_half": F.when(depth > 0, half).otherwise(0), "_f1": (depth > 1).cast("int"),
+        "_quarter": F.when(depth > 1, quarter).otherwise(0), "_f2": (depth > 2).cast("int"),
+        "_first": F.when((depth > 2) & (month % 3 != 1), 1).otherwise(0)})
+    seq = running_sum(li, ["unit_id"], NESTED_ORDER, F.lit(1), "seq", chunk=F.struct("_f0", "_half"))
+    block = lambda ctl, arm: F.struct(F.lit(ctl).cast("bigint").alias("ctl_id") if isinstance(ctl, int)
+                                      else ctl.cast("bigint").alias("ctl_id"),
+                                      F.when(arm, "T").otherwise("F").alias("arm"), F.lit("if").alias("kind"))
+    path = F.slice(F.array(block(1, half == 0), block(10 + half, quarter % 2 == 1), block(100 + quarter, month % 3 == 1)),
+                   F.lit(1), F.col("_depth"))
+    key = F.concat(F.lit("k"), _s(F.col("l_partkey") % 3))
+    other = F.concat(F.lit("k"), _s((F.col("l_partkey") + 1) % 3))
+    flag, empty = F.col("l_returnflag"), F.array().cast("array<string>")
+    kind = (F.when((flag == "R") & (F.col("l_orderkey") % 2 == 0), "with").when(flag == "R", "assign")
+             .when(flag == "N", "import").otherwise("expr"))
+    rows = seq.select(
+        "unit_id", F.lit(0).cast("bigint").alias("scope_id"), "seq", F.col("seq").alias("stmt_id"), kind.alias("kind"),
+        F.try_element_at(path, F.lit(-1))["ctl_id"].alias("ctl_id"),
+        F.try_element_at(path, F.lit(-1))["arm"].alias("arm"), path.cast(BRANCH).alias("branch_path"),
+        F.when(flag == "R", F.array(key)).when((flag == "N") & (n != 3), F.array(key)).otherwise(empty).alias("targets"),
+        F.when(kind == "import", F.array(F.when(n == 3, F.concat(key, F.lit(".sub"))).otherwise(F.lit("pkg.mod"))))
+         .when(kind == "expr", F.array(key, other)).otherwise(empty).alias("rhs_refs"),
+        F.lit(False).alias("is_augmented"))
+    return cut(with_accesses(rows), "nested_facts")
+
+
+def order_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct references ``name`` made of the orders' values: a base in one of three
+    alphabets, a quoted subscript, a nested one, a field, a call with brackets in quotes, a
+    field with an accent; two to six segments by the order key."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    k = F.col("o_orderkey")
+    segments = F.array(
+        F.concat(F.get(F.array(F.lit("c"), F.lit("größe"), F.lit("数")), (k % 3).cast("int")), _s(F.col("o_custkey"))),
+        F.concat(F.lit('["'), F.col("o_orderpriority"), F.lit('"]')), F.concat(F.lit("[i["), _s(k % 7), F.lit("]]")),
+        F.concat(F.lit(".f"), _s(k % 11)), F.concat(F.lit("(a, ']('  , ["), _s(k), F.lit("])")),
+        F.concat(F.lit(".é_"), F.col("o_orderstatus")))
+    return o.select(F.array_join(F.slice(segments, F.lit(1), (k % 5 + 2).cast("int")), "").alias("name")).distinct()
