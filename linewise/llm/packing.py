@@ -9,18 +9,17 @@ share one); its free tail is a *gap*. Then supersteps run until every piece has
 2. a successor sweep gives every piece the smallest gap that is still free and large
    enough. Read in that order, gaps and pieces are opening and closing brackets, and the
    wanted gap of a piece is its matching bracket, so the sweep is a clamped running count
-   (local counts in every range partition, one summary row per partition carried over);
-3. conflicts are resolved by rank: the count is the rank of the gap on the stack of free
-   gaps, and the gap and the piece that meet at one rank are paired. A rank sees at most
-   one gap and one piece of each size, so no group exceeds twice the capacity;
-4. gaps shrink, gaps too small for any piece left are closed, and the next step runs. New
-   sequences are opened for what exceeds the free space or fits into no gap any more, as
-   few as that total needs.
-
-With more than ``MANY`` pieces for each gap, steps that place one piece in a gap would go on
-for long; then one last step places all pieces that wait, several in a gap. Pieces of one
-size are alike, so best-fit decreasing is worked out on the counts by size (bounded by the
-capacity), and every piece looks its place up by its rank in the order by size.
+   (local counts in every range partition, one summary row per partition carried over). A gap
+   of size ``g`` opens ``g // s`` brackets, ``s`` being the largest piece that waits (one, if
+   that is larger): so many pieces fit into it whatever their sizes, and short pieces need no
+   more steps than long ones;
+3. conflicts are resolved by rank: the count is the rank of a bracket on the stack of free
+   ones, and the bracket and the piece that meet at one rank are paired. A rank sees at most
+   one bracket and one piece of each size, so no group exceeds twice the capacity. The pieces
+   of one gap, fewer than the capacity, are laid one after the other;
+4. gaps shrink by what they took, gaps too small for any piece left are closed, and the next
+   step runs. New sequences are opened for what exceeds the free space or fits into no gap any
+   more, as few as that total needs.
 
 Each step's state is a written table in the shared checkpoint folder, so a lost executor
 costs only the current step; the driver sees a few totals per step.
@@ -28,7 +27,6 @@ costs only the current step; the driver sees a few totals per step.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,7 +41,6 @@ from linewise.llm.tokens import encoder
 
 CAPACITY = 2048
 END_ID = 0
-MANY = 8
 
 PIECE_SCHEMA = ("doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, "
                 "ids binary")
@@ -87,152 +84,67 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
 
 def _swept(state: DataFrame) -> DataFrame:
     """Range-sort and number: adds ``pid`` and the bracket count before each row within its
-    partition (``ex``) with its least value so far (``low``)."""
-    names = ["kind", "id", "size"]
+    partition (``ex``) with its least value so far (``low``). ``open`` is the number of brackets
+    that a gap opens (a piece: 0)."""
+    names = ["kind", "id", "size", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, total, least = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            step = 1 - 2 * batch.column(0).to_numpy().astype(np.int64)  # gap +1, piece -1
+            step = batch.column(3).to_numpy() - batch.column(0).to_numpy()  # gap +open, piece -1
             ex = total + np.cumsum(step) - step
             low = np.minimum.accumulate(np.concatenate([[least], ex]))[1:]
             total, least = int(ex[-1] + step[-1]), int(low[-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ex), pid, np.int64)), *[batch.column(i) for i in range(3)],
+                [pa.array(np.full(len(ex), pid, np.int64)), *[batch.column(i) for i in range(4)],
                  pa.array(ex), pa.array(low)], names=["pid", *names, "ex", "low"])
 
     order = [F.col("size").desc(), F.col("kind"), F.xxhash64("id"), F.col("id")]
     return (state.select(*names).repartitionByRange(*order).sortWithinPartitions(*order)
-            .mapInArrow(run, "pid bigint, kind int, id bigint, size bigint, ex bigint, low bigint"))
+            .mapInArrow(run, "pid bigint, kind int, id bigint, size bigint, open bigint, ex bigint, low bigint"))
 
 
 def _matched(state: DataFrame) -> DataFrame:
-    """One superstep: ``state`` (kind 0 gap / 1 piece, id, size) with ``with_id`` and
-    ``with_size``, the partner of a matched row."""
+    """One superstep: ``state`` (kind 0 gap / 1 piece, id, size, open) with, for a piece that
+    found a place, ``with_id`` and ``offset`` (the gap, and the tokens of the same step before
+    it), for a gap ``took`` (tokens)."""
     rows = cut(_swept(state), "pack-sweep")
     # one row per partition (its number is bounded by the shuffle partitions)
-    part = rows.groupBy("pid").agg(
-        F.sum(1 - 2 * F.col("kind").cast("bigint")).alias("total"), F.min("low").alias("least"))
+    part = rows.groupBy("pid").agg(F.sum(F.col("open") - F.col("kind")).alias("total"), F.min("low").alias("least"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = (part.withColumn("off", F.coalesce(F.sum("total").over(before), F.lit(0)))
              .withColumn("floor", F.min(F.col("off") + F.col("least")).over(before))
              .select("pid", "off", "floor"))
     level = F.col("off") + F.col("ex") - F.least(
         F.lit(0), F.col("off") + F.col("low"), F.coalesce("floor", F.lit(0)))
-    rank = F.when(F.col("kind") == 0, level + 1).otherwise(level)
-    ranked = rows.join(F.broadcast(carry), "pid").select("kind", "id", "size", rank.alias("rank"))
+    ranks = F.when(F.col("kind") == 0, F.sequence(level + 1, level + F.col("open"))).otherwise(F.array(level))
+    ranked = rows.join(F.broadcast(carry), "pid").select("kind", "id", "size", F.explode(ranks).alias("rank"))
     at = Window.partitionBy("rank").orderBy(F.desc("size"), "kind")
-    near = F.when(F.col("kind") == 0, F.lead(F.struct("kind", "id", "size")).over(at)) \
-            .otherwise(F.lag(F.struct("kind", "id", "size")).over(at))
-    meets = F.col("near.kind") == 1 - F.col("kind")
-    met = ranked.where("rank > 0").withColumn("near", near).select(
-        "kind", "id", "size", F.when(meets, F.col("near.id")).alias("with_id"),
-        F.when(meets, F.col("near.size")).alias("with_size"))
+    near = F.lag(F.struct("kind", "id", "size")).over(at)
     # a piece that finds no free gap has no rank: it does not take part in the pairing
-    alone = ranked.where("rank <= 0").select("kind", "id", "size", F.lit(None).cast("bigint").alias("with_id"),
-                                             F.lit(None).cast("bigint").alias("with_size"))
-    return cut(met.unionByName(alone), "pack-match")
-
-
-def _fill_plan(gaps: dict[int, int], items: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """Best-fit decreasing on the counts of gaps and pieces by size: every piece goes into the
-    smallest gap that holds it, the largest pieces first, and a new sequence is opened only
-    when no gap does. Gaps are numbered by size, largest first, then the new sequences.
-
-    One row per run of equal pieces that go into a run of equal gaps: rank of the first piece
-    (by size, largest first), number of the first gap, pieces for each gap, offset, size. Runs
-    split only where a size ends, so their number is bounded by the capacity, not by the data.
-    Also the number of new sequences.
-    """
-    free: dict[int, list[tuple[int, int]]] = {}
-    at = rank = 0
-    for size in sorted(gaps, reverse=True):
-        free[size] = [(at, gaps[size])]
-        at += gaps[size]
-    old, sizes, rows = at, sorted(free), []
-
-    def keep(size: int, first: int, n: int) -> None:
-        if n and size:
-            if size not in free:
-                free[size] = []
-                insort(sizes, size)
-            free[size].append((first, n))
-
-    for size in sorted(items, reverse=True):
-        n = items[size]
-        while n:
-            i = bisect_left(sizes, size)
-            if i == len(sizes):
-                new = -(-n // (capacity // size))
-                keep(capacity, at, new)
-                at += new
-                continue
-            gap = sizes[i]
-            first, many = free[gap].pop()
-            if not free[gap]:
-                del free[gap], sizes[i]
-            each = gap // size
-            full = min(many, n // each)
-            rows.append((rank, first, each, capacity - gap, size))
-            last = n - full * each if full < many else 0  # one more gap takes the fewer pieces left
-            keep(gap - each * size, first, full)
-            if last:
-                keep(gap - last * size, first + full, 1)
-            keep(gap, first + full + bool(last), many - full - bool(last))
-            n -= full * each + last
-            rank += full * each + last
-    return np.array(rows, np.int64).reshape(-1, 5), at - old
-
-
-def _filled(state: DataFrame, gaps: dict[int, int], items: dict[int, int], capacity: int,
-            opened: int) -> DataFrame:
-    """Places (id, sequence_id, offset) for all pieces of ``state`` at once, many in a gap:
-    gaps and pieces are numbered by size over the range partitions, and each piece looks its
-    place up in the plan."""
-    plan, _ = _fill_plan(gaps, items, capacity)
-    n_gaps = sum(gaps.values())
-    order = [F.col("kind"), F.col("size").desc(), F.xxhash64("id"), F.col("id")]
-    rows = cut(state.select("kind", "id", "size").repartitionByRange(*order).sortWithinPartitions(*order)
-               .withColumn("at", F.monotonically_increasing_id())
-               .withColumns({"pid": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)}), "pack-ranks")
-    # one row per partition (its number is bounded by the shuffle partitions)
-    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = rows.groupBy("pid").agg(F.count("*").alias("n")).select(
-        "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    ranked = rows.join(F.broadcast(carry), "pid").select("kind", "id", (F.col("off") + F.col("at")).alias("rank"))
-    shared = state.sparkSession.sparkContext.broadcast(plan)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            rank = batch.column(1).to_numpy() - n_gaps
-            own = table[np.searchsorted(table[:, 0], rank, "right") - 1]
-            nth = rank - own[:, 0]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(own[:, 1] + nth // own[:, 2]),
-                 pa.array(own[:, 3] + nth % own[:, 2] * own[:, 4])], names=["id", "gap", "offset"])
-
-    spots = ranked.where("kind = 1").select("id", "rank").mapInArrow(run, "id bigint, gap bigint, offset bigint")
-    named = F.lit(n_gaps - opened - 1) - F.col("gap")  # a sequence that the plan opens
-    if n_gaps:
-        spots = spots.join(ranked.where("kind = 0").select(
-            F.col("rank").alias("gap"), F.col("id").alias("gap_id")), "gap", "left")
-        named = F.coalesce("gap_id", named)
-    return cut(spots.select("id", named.alias("sequence_id"), "offset"), "pack-filled")
+    met = cut(ranked.where("rank > 0").withColumn("near", near).where("kind = 1 AND near.kind = 0").select(
+        "id", "size", F.col("near.id").alias("with_id"), F.col("near.size").alias("with_size"), "rank"), "pack-pairs")
+    beside = Window.partitionBy("with_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    put = met.select("id", "with_id", (F.coalesce(F.sum("size").over(beside), F.lit(0)) - F.col("with_size")).alias("offset"))
+    took = met.groupBy(F.col("with_id").alias("id")).agg(F.sum("size").alias("took")).withColumn("kind", F.lit(0))
+    told = put.withColumn("kind", F.lit(1)).unionByName(took, allowMissingColumns=True)
+    return cut(rows.select("kind", "id", "size").join(told, ["kind", "id"], "left"), "pack-match")
 
 
 def _lacking(gaps: dict[int, int], items: dict[int, int]) -> int:
     """Tokens for which new sequences are needed now: what exceeds all the free space, or
-    the pieces that after the coming sweep fit into no gap, if that is more. Both tables
-    count rows by size, so they are bounded by the capacity."""
+    the pieces that after the coming sweep fit into no gap, if that is more (at least; a gap that
+    takes several counts as if it took one). Both tables count rows by size, so they are bounded
+    by the capacity."""
+    most = max(items)
     total = sum(size * n for size, n in items.items())
     space = sum(size * n for size, n in gaps.items())
     stack, after, left = [], 0, {}
     for size in sorted({*gaps, *items}, reverse=True):
         if size in gaps:
-            stack.append([size, gaps[size]])
+            stack.append([size, gaps[size] * max(1, size // most)])
         n = items.get(size, 0)
         while n and stack:
             took = min(n, stack[-1][1])
@@ -268,31 +180,24 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         # sizes are at most the capacity, so this table is bounded by it, not by the data
         count = {(r.kind, r.size): r.n for r in
                  state.groupBy("kind", "size").agg(F.count("*").alias("n")).collect()}
-        n_items = sum(n for (kind, _), n in count.items() if kind)
-        if not n_items:
+        waiting = {size: n for (kind, size), n in count.items() if kind}
+        if not waiting:
             break
-        least = min(size for kind, size in count if kind)
+        least, most = min(waiting), max(waiting)
         gaps = {size: n for (kind, size), n in count.items() if not kind and size >= least}
-        waiting = {size: n for (kind, size), n in count.items() if kind}
         new = -(-_lacking(gaps, waiting) // capacity)
-        n_gaps = new + sum(gaps.values())
         state = state.where((F.col("kind") == 1) | (F.col("size") >= least))
-        if n_items > MANY * n_gaps:
-            put.append(_filled(state, gaps, waiting, capacity, opened))
-            break
         if new:
             state = state.unionByName(spark.range(opened + 1, opened + new + 1).select(
                 F.lit(0).alias("kind"), (-F.col("id")).alias("id"),
                 F.lit(capacity).cast("bigint").alias("size")))
             opened += new
-        done = _matched(state)
+        brackets = F.when(F.col("kind") == 0, F.greatest(F.lit(1), F.floor(F.col("size") / most))).otherwise(0)
+        done = _matched(state.withColumn("open", brackets.cast("bigint")))
         put.append(done.where("kind = 1 AND with_id IS NOT NULL").select(
-            "id", F.col("with_id").alias("sequence_id"),
-            (F.lit(capacity) - F.col("with_size")).alias("offset")))
-        rest = F.when(F.col("kind") == 1, F.col("size")).otherwise(
-            F.col("size") - F.coalesce("with_size", F.lit(0)))
+            "id", F.col("with_id").alias("sequence_id"), (F.lit(capacity) + F.col("offset")).alias("offset")))
         state = done.where("kind = 0 OR with_id IS NULL").select(
-            "kind", "id", rest.alias("size")).where("size > 0")
+            "kind", "id", (F.col("size") - F.coalesce("took", F.lit(0))).alias("size")).where("size > 0")
     return reduce(DataFrame.unionByName, placed + put)
 
 
