@@ -152,7 +152,7 @@ def brute_model(sample, corpus):
     word = {w: log(uni(w, 1) / uni(w, 0)) for w in vocab if apart(w, len(vocab))}
     pair = {}
     for v, w in pairs:
-        if v is None or not apart((v, w), len(pairs)):
+        if v is None or not apart((v, w), len(pairs) ** 2):
             continue
         prob = {}
         for c in (1, 0):
