@@ -3,24 +3,30 @@
 1. Fingerprints: 64 majority bits over the XXH64 hashes of a text's word shingles. Equal
    fingerprints are one class from here on (a class keeps its smallest doc_id), so exact
    copies cost nothing more.
-2. Candidates without all pairs: the 64 bits are cut into ``k`` blocks. Two fingerprints
-   within ``distance`` bits agree on at least ``k - distance`` whole blocks, so every
-   linked pair shares a bucket (a choice of that many blocks and their bits). ``k`` grows
-   with the number of classes, which keeps buckets small; every ``k`` gives the same links.
-3. Pivot distance tables: each fingerprint's Hamming distances to many reference
-   fingerprints are computed once; a pair whose distances to any reference differ by more
-   than ``distance`` cannot be linked (triangle inequality) and is discarded by its maximum
-   coordinate difference. Survivors are verified on their bits.
+2. Pivot distance table, written once: each fingerprint's Hamming distances to 33 reference
+   fingerprints, zero and 32 with one block of bits set each. A distance to such a reference
+   and the distance to zero tell the block's weight, so the table keeps, in one 64-bit code,
+   each block's weight as a run of ones (``coordinates``); all distances follow from it. The
+   distance to any union of references changes by the blocks' weight differences with either
+   sign, so the largest coordinate difference over all 2^32 unions is the sum of the absolute
+   weight differences: the number of bits in which two codes differ.
+3. Candidates without all pairs: the references are cut into ``k`` groups. Two fingerprints
+   within ``distance`` bits have the same coordinates in at least ``k - distance`` groups, so
+   every linked pair shares a bucket (a choice of that many groups and their coordinates).
+   ``k`` grows with the number of classes, which keeps buckets small; every ``k`` gives the
+   same links. Pairs of a bucket whose maximum coordinate difference is over ``distance`` are
+   discarded (triangle inequality), survivors are verified on their bits.
 4. A small bucket yields its verified pairs; a larger one only a spanning forest of its
    links. A bucket of more than ``bucket_rows`` classes is not held by any task: each of
    its fingerprints is dealt to the points within half the distance that keep the bucket's
-   blocks. Two fingerprints share such a point if and only if they are linked, so a star
-   per point holds all links at a cost linear in the bucket.
+   coordinates. Two fingerprints that share such a point are linked, and two linked ones of
+   the bucket share one, so a star per point holds all links at a cost linear in the bucket.
 5. Connected components over the links (see ``components``).
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -36,8 +42,9 @@ from linewise.llm.components import components
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-PIVOTS = 24
-BUCKET_ROWS = 4096
+PIVOTS = 32
+BUCKET_ROWS = 16384
+MEAN_ROWS = 128
 SMALL = 32
 
 
@@ -88,12 +95,19 @@ def _text_hash(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _edges(n: int) -> list[int]:
+    """Where ``n`` nearly equal blocks of 64 bits begin, and 64."""
+    return [64 * i // n for i in range(n + 1)]
+
+
+def _mask(a: int, b: int) -> int:
+    return ((1 << b) - 1) ^ ((1 << a) - 1)
+
+
 def pivots(n: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints: the first ``n`` values of a fixed mixing sequence."""
-    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Reference fingerprints: zero, then ``n`` with one block of bits set each."""
+    edges = _edges(n)
+    return np.array([0, *[_mask(a, b) for a, b in zip(edges, edges[1:])]], np.uint64)
 
 
 def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -101,17 +115,46 @@ def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def block_masks(k: int, keep: int) -> list[int]:
-    """Bit masks of all choices of ``keep`` out of ``k`` nearly equal blocks of 64 bits."""
-    edges = [64 * i // k for i in range(k + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(block, keep)]
+def coordinates(table: np.ndarray) -> np.ndarray:
+    """A row of distances to ``pivots(n)`` as one code: each block's weight as a run of ones
+    from the block's low end. Two codes differ in as many bits as the largest difference of
+    the distances to any union of references."""
+    edges = np.array(_edges(table.shape[1] - 1))
+    wide = table.astype(np.int16)
+    weights = (wide[:, :1] + np.diff(edges) - wide[:, 1:]) // 2
+    ones = np.array([(1 << i) - 1 for i in range(65)], np.uint64)
+    return np.bitwise_or.reduce(ones[weights] << edges[:-1].astype(np.uint64), axis=1)
+
+
+def pivot_table(classes: DataFrame, n_pivots: int = PIVOTS) -> DataFrame:
+    """fp and code (its distances to the references) of every class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = pivots(n_pivots)
+        for batch in batches:
+            fps = batch.column(0).to_numpy()
+            codes = coordinates(distance_table(fps.view(np.uint64), refs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))],
+                                             names=["fp", "code"])
+
+    return classes.select("fp").mapInArrow(run, "fp bigint, code bigint")
+
 
+def block_masks(k: int, keep: int, n_pivots: int = PIVOTS) -> list[int]:
+    """Bit masks of all choices of ``keep`` out of ``k`` nearly equal groups of references."""
+    edges = _edges(n_pivots)
+    cuts = [edges[n_pivots * i // k] for i in range(k + 1)]
+    return [sum(c) for c in combinations([_mask(a, b) for a, b in zip(cuts, cuts[1:])], keep)]
 
-def blocks_for(n: int, distance: int = DISTANCE) -> int:
-    """The least number of blocks whose bucket keys have bits enough for ``n`` classes."""
+
+def blocks_for(n: int, distance: int = DISTANCE, n_pivots: int = PIVOTS) -> int:
+    """The least number of groups whose keys tell enough for ``n`` classes: some MEAN_ROWS
+    classes a bucket if fingerprints were random."""
+    edges = _edges(n_pivots)
+    told = sum(width - sum(math.comb(width, w) * math.log2(math.comb(width, w)) for w in range(width + 1))
+               / 2 ** width for width in (b - a for a, b in zip(edges, edges[1:])))
     k = distance + 2
-    while k < 2 * distance + 4 and 64 * (k - distance) / k < math.log2(max(n, 2)):
+    while k < 2 * distance + 4 and told * (k - distance) / k < math.log2(max(n, 2) / MEAN_ROWS):
         k += 1
     return k
 
@@ -120,7 +163,15 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _small_pairs(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, distance: int):
+def _near(fps: np.ndarray, codes: np.ndarray, fp, code, distance: int) -> np.ndarray:
+    """Which of the pairs are linked: pivot discard, then the bits of the survivors."""
+    near = np.bitwise_count(codes ^ code) <= distance
+    at = np.nonzero(near)
+    near[at] = np.bitwise_count((fps ^ fp)[at]) <= distance
+    return near
+
+
+def _small_pairs(keys: np.ndarray, fps: np.ndarray, codes: np.ndarray, distance: int):
     """Linked pairs of rows with equal keys; rows lie sorted by key, groups are small."""
     lag, out = 1, []
     at = np.arange(len(fps))
@@ -129,23 +180,21 @@ def _small_pairs(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, distance:
         at = at[keys[at] == keys[at + lag]]
         if not len(at):
             return out
-        a, b = at, at + lag
-        near = np.abs(table[a] - table[b]).max(axis=1) <= distance  # pivot discard
-        a, b = a[near], b[near]
-        good = np.bitwise_count(fps[a] ^ fps[b]) <= distance
-        out.append((fps[a[good]], fps[b[good]]))
+        good = at[_near(fps[at], codes[at], fps[at + lag], codes[at + lag], distance)]
+        out.append((fps[good], fps[good + lag]))
         lag += 1
 
 
-def _forest(fps: np.ndarray, table: np.ndarray, distance: int):
+def _forest(fps: np.ndarray, codes: np.ndarray, distance: int):
     """Links that connect what is connected within one bucket: a spanning forest."""
-    left, out = np.arange(len(fps)), []
+    paired = [_near(fps[None, :], codes[None, :], fps[at:at + 64, None], codes[at:at + 64, None],
+                    distance).sum(axis=1) > 1 for at in range(0, len(fps), 64)]
+    left, out = np.flatnonzero(np.concatenate(paired)), []
     while len(left):
         frontier, left = [int(left[0])], left[1:]
         while frontier and len(left):
             f = frontier.pop()
-            near = np.abs(table[left] - table[f]).max(axis=1) <= distance  # pivot discard
-            near[near] = np.bitwise_count(fps[left[near]] ^ fps[f]) <= distance
+            near = _near(fps[left], codes[left], fps[f], codes[f], distance)
             hit = left[near]
             if len(hit):
                 out.append((np.full(len(hit), fps[f]), fps[hit]))
@@ -154,12 +203,11 @@ def _forest(fps: np.ndarray, table: np.ndarray, distance: int):
     return out
 
 
-def _bucket_links(rows: DataFrame, distance: int, n_pivots: int, bucket_rows: int) -> DataFrame:
-    """Links within buckets. ``rows`` (choice, key, fp) is distributed by bucket and sorted.
+def _bucket_links(rows: DataFrame, distance: int, bucket_rows: int) -> DataFrame:
+    """Links within buckets. ``rows`` (choice, key, fp, code) is distributed by bucket and sorted.
     Result: x, y; a bucket that is too large gives one row with its choice and key instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = pivots(n_pivots)
         rest: list[np.ndarray] | None = None  # rows of the bucket that is still open
         closed = None  # bucket found too large
 
@@ -176,23 +224,22 @@ def _bucket_links(rows: DataFrame, distance: int, n_pivots: int, bucket_rows: in
                 pa.array([*none, *[k for _, k in over]], pa.int64())],
                 names=["x", "y", "choice", "key"])
 
-        def work(c, k, f):
+        def work(c, k, f, codes):
             change = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1
             edges = np.concatenate([[0], change, [len(f)]])
             group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
             size = np.diff(edges)
-            table = distance_table(f, refs)
             small = (size <= SMALL)[group] & (size > 1)[group]
-            links = _small_pairs(group[small], f[small], table[small], distance)
+            links = _small_pairs(group[small], f[small], codes[small], distance)
             for g in np.flatnonzero((size > SMALL) & (size <= bucket_rows)):
                 own = slice(edges[g], edges[g + 1])
-                links += _forest(f[own], table[own], distance)
+                links += _forest(f[own], codes[own], distance)
             return links, [(int(c[edges[g]]), int(k[edges[g]])) for g in np.flatnonzero(size > bucket_rows)]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy() for i in range(3)]
+            cols = [batch.column(i).to_numpy() for i in range(4)]
             if closed is not None:  # drop what follows of a bucket already handed over
                 go_on = (cols[0] != closed[0]) | (cols[1] != closed[1])
                 cols = [c[go_on] for c in cols]
@@ -201,7 +248,7 @@ def _bucket_links(rows: DataFrame, distance: int, n_pivots: int, bucket_rows: in
                 closed = None
             if rest is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
-            c, k, f = cols
+            c, k, f, codes = cols
             same = (c == c[-1]) & (k == k[-1])
             first = int(np.argmax(same))
             if len(f) - first > bucket_rows:
@@ -209,15 +256,33 @@ def _bucket_links(rows: DataFrame, distance: int, n_pivots: int, bucket_rows: in
             else:
                 rest, done = [x[first:].copy() for x in cols], first
             if done:
-                yield emit(*work(c[:done], k[:done], f[:done].view(np.uint64)))
+                yield emit(*work(c[:done], k[:done], f[:done].view(np.uint64), codes[:done].view(np.uint64)))
         if rest is not None and len(rest[0]):
-            yield emit(*work(rest[0], rest[1], rest[2].view(np.uint64)))
+            yield emit(*work(rest[0], rest[1], rest[2].view(np.uint64), rest[3].view(np.uint64)))
 
     return rows.mapInArrow(run, "x bigint, y bigint, choice int, key bigint")
 
 
-def _midpoints(rows: DataFrame, masks: list[int], distance: int) -> DataFrame:
-    """(choice, point, fp): points within half the distance that keep the bucket's blocks."""
+def _flips(mask: int, half: int, n_pivots: int) -> list[int]:
+    """Changes of at most ``half`` bits that keep the coordinates under ``mask``: of the bits
+    outside any, of a block inside two at a time (two fingerprints of equal weight there
+    differ by such twos). An odd half may have to part such a two, so then all bits are free."""
+    edges = _edges(n_pivots)
+    blocks = [(a, b) for a, b in zip(edges, edges[1:]) if half % 2 == 0 and mask >> a & 1]
+    held = sum(_mask(a, b) for a, b in blocks)
+    free = [1 << i for i in range(64) if not held >> i & 1]
+    twos = [(1 << i) | (1 << j) for a, b in blocks for i, j in combinations(range(a, b), 2)]
+    out = set()
+    for t in range(half // 2 + 1):
+        for two in combinations(twos, t):
+            moved = functools.reduce(int.__xor__, two, 0)
+            for r in range(half - 2 * t + 1):
+                out |= {moved ^ sum(more) for more in combinations(free, r)}
+    return sorted(out)
+
+
+def _midpoints(rows: DataFrame, masks: list[int], distance: int, n_pivots: int) -> DataFrame:
+    """(choice, point, fp): points within half the distance that keep the bucket's coordinates."""
     half = distance // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +291,7 @@ def _midpoints(rows: DataFrame, masks: list[int], distance: int) -> DataFrame:
             choice, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for c in np.unique(choice).tolist():
                 if c not in flips:
-                    free = [1 << i for i in range(64) if not masks[c] >> i & 1]
-                    flips[c] = np.array([sum(s) for r in range(half + 1)
-                                         for s in combinations(free, r)], np.uint64).view(np.int64)
+                    flips[c] = np.array(_flips(masks[c], half, n_pivots), np.uint64).view(np.int64)
                 own = fps[choice == c]
                 for at in range(0, len(own), 64):
                     part = own[at:at + 64]
@@ -246,18 +309,19 @@ def links(classes: DataFrame, distance: int = DISTANCE, n_pivots: int = PIVOTS,
     of all pairs within ``distance`` bits. ``distance`` must be even."""
     if distance % 2:
         raise ValueError("an even distance is needed for the points halfway")
-    k = n_blocks or blocks_for(classes.count(), distance)
-    masks = block_masks(k, k - distance)
-    keyed = classes.select("fp", F.explode(F.array([
-        F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
-        for i, m in enumerate(masks)])).alias("b")).select("b.choice", "b.key", "fp")
+    table = cut(pivot_table(classes, n_pivots), "simhash-pivots")
+    k = n_blocks or blocks_for(table.count(), distance, n_pivots)
+    masks = block_masks(k, k - distance, n_pivots)
+    keyed = table.select("fp", "code", F.explode(F.array([
+        F.struct(F.lit(i).alias("choice"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("key"))
+        for i, m in enumerate(masks)])).alias("b")).select("b.choice", "b.key", "fp", "code")
     dealt = keyed.repartition("choice", "key").sortWithinPartitions("choice", "key")
-    found = cut(_bucket_links(dealt, distance, n_pivots, bucket_rows), "simhash-links")
+    found = cut(_bucket_links(dealt, distance, bucket_rows), "simhash-links")
     out = found.where("x IS NOT NULL").select("x", "y")
     large = found.where("choice IS NOT NULL").select("choice", "key")
     if large.isEmpty():
         return out
-    points = cut(_midpoints(keyed.join(large, ["choice", "key"], "left_semi"), masks, distance),
+    points = cut(_midpoints(keyed.join(large, ["choice", "key"], "left_semi"), masks, distance, n_pivots),
                  "simhash-points")
     heads = points.groupBy("choice", "point").agg(F.min("fp").alias("x"), F.max("fp").alias("_m")) \
         .where("x <> _m").drop("_m")

@@ -7,8 +7,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from linewise.llm.components import components
-from linewise.llm.simhash import (_forest, block_masks, blocks_for, distance_table, fingerprint_of, keep_one, links,
-                                  near_duplicates, pivots)
+from linewise.llm.simhash import (_flips, _forest, block_masks, blocks_for, coordinates, distance_table,
+                                  fingerprint_of, keep_one, links, near_duplicates, pivots)
 
 
 def brute_print(text):
@@ -95,6 +95,46 @@ def test_pivots_never_discard_a_link():
     assert (np.abs(distance_table(a, refs) - distance_table(b, refs)).max(axis=1) <= 4).all()
 
 
+@pytest.mark.parametrize("n", [1, 8, 24, 32, 64])
+def test_code_holds_all_distances(n):
+    rng, refs = np.random.default_rng(n), pivots(n)
+    fps = np.concatenate([rng.integers(0, 2**64, 300, np.uint64), np.array([0, 2**64 - 1, 1, 2**63], np.uint64)])
+    table = distance_table(fps, refs)
+    codes = coordinates(table)
+    # the code as a fingerprint has the same distances, and one code belongs to one row of distances
+    assert (distance_table(codes, refs) == table).all()
+    assert len({*codes.tolist()}) == len({tuple(r) for r in table.tolist()})
+
+
+def test_codes_differ_by_the_maximum_over_unions():
+    rng, refs = np.random.default_rng(6), pivots(8)
+    a, b = rng.integers(0, 2**64, (2, 50), np.uint64)
+    unions = np.array([sum(int(refs[1 + i]) for i in range(8) if u >> i & 1) for u in range(256)], np.uint64)
+    most = np.abs(distance_table(a, unions) - distance_table(b, unions)).max(axis=1)
+    codes = [coordinates(distance_table(x, refs)) for x in (a, b)]
+    assert (np.bitwise_count(codes[0] ^ codes[1]) == most).all()
+
+
+@pytest.mark.parametrize("half", [1, 2, 4])
+def test_linked_pairs_of_a_bucket_share_a_point(half):
+    rnd, refs = random.Random(half), pivots()
+    mask, n = (1 << 32) - 1 if half < 4 else (1 << 56) - 1, 0
+    flips = _flips(mask, half, 32)
+    assert len(flips) == len({*flips}) and max(bin(f).count("1") for f in flips) <= half
+    while n < 40:
+        x = rnd.getrandbits(64)
+        y = x
+        for _ in range(rnd.randint(0, half)):
+            y ^= 3 << 2 * rnd.randrange(16)
+        for _ in range(rnd.randint(0, 2 * half)):
+            y ^= 1 << rnd.randrange(64)
+        c, d = (int(v) for v in coordinates(distance_table(np.array([x, y], np.uint64), refs)))
+        if (c ^ d) & mask or bin(x ^ y).count("1") > 2 * half:
+            continue
+        n += 1
+        assert {x ^ f for f in flips} & {y ^ f for f in flips}
+
+
 def test_blocks_cover_all_bits():
     for k in range(6, 13):
         assert max(block_masks(k, k - 4)).bit_length() == 64
@@ -103,7 +143,7 @@ def test_blocks_cover_all_bits():
 
 def test_forest_of_a_chain():
     fps = np.array([(1 << 4 * i) - 1 for i in range(12)], np.uint64)
-    assert sum(len(x) for x, _ in _forest(fps, distance_table(fps, pivots()), 4)) == 11
+    assert sum(len(x) for x, _ in _forest(fps, coordinates(distance_table(fps, pivots())), 4)) == 11
 
 
 def test_odd_rows(odd):
