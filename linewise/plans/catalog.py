@@ -21,7 +21,8 @@ from linewise.plans import oracle as O
 from linewise.plans.materialize import cut, new_folder
 from linewise.plans.scan import chunk_of, last_before
 from linewise.sources import io as IO
-from linewise.sources.adapters import events_trace, lineitem_facts, lineitem_trace, order_names, orders_facts
+from linewise.sources.adapters import (events_trace, lineitem_facts, lineitem_trace, order_names, orders_facts,
+                                       stored_events_trace)
 from linewise.streaming import live as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +42,7 @@ def register(name: str, sql: str | None = None):
 
 def _graph(spark, sf, refinement="include_all", ignore_unknown=False) -> L.Lineage:
     # the events adapter emits enter/exit rows (signup / error events)
-    return L.build(events_trace(spark, sf), refinement, ignore_unknown, has_calls=True)
+    return L.build(stored_events_trace(spark, sf), refinement, ignore_unknown, has_calls=True)
 
 
 # ---- C: lineage graph ------------------------------------------------------------------
@@ -105,7 +106,7 @@ SELECT d.run_id, d.node_id,
        string_agg(d.name, ',' ORDER BY d.name) AS complete_defs
 FROM d GROUP BY d.run_id, d.node_id""")
 def node_defs(spark, sf):
-    tr = events_trace(spark, sf)
+    tr = stored_events_trace(spark, sf)
     return L.node_defs(L.build(tr, "most_specific"), tr, "most_specific")
 
 
@@ -115,7 +116,7 @@ SELECT t.run_id, arg_max(n.node_id, n.event_id) AS node_id, t.event_id AS call_e
 FROM trace t JOIN nodes n ON n.run_id = t.run_id AND n.lineno = t.lineno AND n.event_id < t.event_id
 WHERE t.kind = 'enter' GROUP BY t.run_id, t.event_id, t.k""")
 def node_calls(spark, sf):
-    tr = events_trace(spark, sf)
+    tr = stored_events_trace(spark, sf)
     return L.node_calls(L.build(tr), tr)
 
 
@@ -163,13 +164,13 @@ def call_depth_quarantine(spark, sf):
 
 @register("call_depth", f"WITH {O.EV}\nSELECT run_id, event_id, kind, depth FROM depth")
 def call_depth(spark, sf):
-    return B.with_call_depth(events_trace(spark, sf)).select("run_id", "event_id", "kind", "depth")
+    return B.with_call_depth(stored_events_trace(spark, sf)).select("run_id", "event_id", "kind", "depth")
 
 
 @register("top_level", f"""WITH {O.EV}
 SELECT run_id, event_id, kind, lineno FROM depth WHERE depth = 0 AND kind IN ('exec', 'update')""")
 def top_level(spark, sf):
-    return B.top_level(B.with_call_depth(events_trace(spark, sf))).select("run_id", "event_id", "kind", "lineno")
+    return B.top_level(B.with_call_depth(stored_events_trace(spark, sf))).select("run_id", "event_id", "kind", "lineno")
 
 
 SPANS = f"""WITH {O.EV},
@@ -185,7 +186,7 @@ spans AS (SELECT run_id, event_id AS enter_id, CASE WHEN next_kind = 'exit' THEN
 
 @register("call_spans", SPANS + "\nSELECT run_id, enter_id, exit_id, level, lineno, qualname FROM spans")
 def call_spans(spark, sf):
-    return B.call_spans(events_trace(spark, sf))
+    return B.call_spans(stored_events_trace(spark, sf))
 
 
 @register("by_origin", f"""WITH {O.EV}
@@ -199,7 +200,7 @@ SELECT t.run_id, t.event_id, t.kind FROM trace t
 WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE NOT s.defined_by_user AND s.run_id = t.run_id
                   AND t.event_id > s.enter_id AND (s.exit_id IS NULL OR t.event_id < s.exit_id))""")
 def collapse_external(spark, sf):
-    return B.collapse_external(events_trace(spark, sf)).select("run_id", "event_id", "kind")
+    return B.collapse_external(stored_events_trace(spark, sf)).select("run_id", "event_id", "kind")
 
 
 # Fixed parameter of the drop_named query: call names treated as instrumentation frames.
@@ -211,7 +212,7 @@ SELECT t.run_id, t.event_id, t.kind FROM trace t
 WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.qualname IN ('f0', 'f3') AND s.run_id = t.run_id
                   AND t.event_id >= s.enter_id AND (s.exit_id IS NULL OR t.event_id <= s.exit_id))""")
 def drop_named(spark, sf):
-    return B.drop_named(events_trace(spark, sf), DROP_NAMES).select("run_id", "event_id", "kind")
+    return B.drop_named(stored_events_trace(spark, sf), DROP_NAMES).select("run_id", "event_id", "kind")
 
 
 LOOP_BOUND = 2
@@ -235,7 +236,7 @@ t AS (SELECT tr.run_id, tr.event_id, tr.kind,
       FROM trace tr LEFT JOIN m4 ON m4.run_id = tr.run_id AND m4.event_id = tr.event_id)
 SELECT run_id, event_id, kind FROM t WHERE nf = 0 AND kind NOT LIKE 'loop_%'""")
 def bound_loops(spark, sf):
-    return B.bound_loops(events_trace(spark, sf), LOOP_BOUND).select("run_id", "event_id", "kind")
+    return B.bound_loops(stored_events_trace(spark, sf), LOOP_BOUND).select("run_id", "event_id", "kind")
 
 
 @register("call_profile", f"""WITH {O.EV}
@@ -264,7 +265,7 @@ SELECT t.run_id, t.event_id AS enter_id, CAST(t.k % 4 AS BIGINT) AS func_id,
           AND u.event_id < t.event_id) AS caller_event_id
 FROM trace t WHERE t.kind = 'enter'""")
 def link_calls(spark, sf):
-    return B.link_calls(events_trace(spark, sf))
+    return B.link_calls(stored_events_trace(spark, sf))
 
 
 def _indirect_sql(own: str = "SELECT NULL AS run_id, NULL AS func_id, NULL AS id WHERE FALSE") -> str:
@@ -294,7 +295,7 @@ SELECT run_id, event_id, name, id FROM direct UNION SELECT run_id, event_id, nam
 
 @register("indirect_uses", _indirect_sql())
 def indirect_uses(spark, sf):
-    return B.indirect_uses(events_trace(spark, sf))
+    return B.indirect_uses(stored_events_trace(spark, sf))
 
 
 @register("indirect_global_uses", _indirect_sql(
@@ -302,7 +303,7 @@ def indirect_uses(spark, sf):
        UNION SELECT o.run_id, o.fn, d.id FROM owned o JOIN defs_flat d ON d.run_id = o.run_id AND d.event_id = o.event_id"""))
 def indirect_global_uses(spark, sf):
     """B11 for global reads: arguments and locations a function writes are its own."""
-    return B.indirect_uses(events_trace(spark, sf), global_only=True)
+    return B.indirect_uses(stored_events_trace(spark, sf), global_only=True)
 
 
 # ---- A: event model --------------------------------------------------------------------
@@ -371,7 +372,7 @@ segs AS (SELECT name, regexp_extract_all(name, '[A-Za-z_][A-Za-z0-9_]*|\\.[A-Za-
 
 
 def _names(spark, sf) -> DataFrame:
-    tr = events_trace(spark, sf)
+    tr = stored_events_trace(spark, sf)
     return A.accesses(tr).select("name").distinct()
 
 
@@ -423,7 +424,7 @@ def _executed(spark, sf) -> DataFrame:
     """Exec events with the most specific path that the update after them writes (NULL: no
     update). An update belongs to the latest exec of its run and line before it; ids may
     have gaps."""
-    tr = events_trace(spark, sf)
+    tr = stored_events_trace(spark, sf)
     rows = tr.filter(F.col("kind").isin("exec", "update")).select(
         "run_id", "event_id", "kind", "lineno", "uses", F.try_element_at("defs", F.lit(-1))["name"].alias("target"))
     owned_by = last_before(rows, ["run_id", "lineno"], ["event_id"], F.col("kind") == "exec", F.col("event_id"),
@@ -661,12 +662,12 @@ def impact(spark, sf):
 
 @register("live_lineage", O.lineage_sql("include_all"))
 def live_lineage(spark, sf):
-    return G.run_lineage(spark, events_trace(spark, sf, with_time=True))
+    return G.run_lineage(spark, stored_events_trace(spark, sf, with_time=True))
 
 
 @register("live_lineage_ordered", O.lineage_sql("include_all"))
 def live_lineage_ordered(spark, sf):
-    return G.run_lineage(spark, events_trace(spark, sf, with_time=True), ordered=True, delay="1 hour")
+    return G.run_lineage(spark, stored_events_trace(spark, sf, with_time=True), ordered=True, delay="1 hour")
 
 
 @register("live_lineage_parts", O.LINEITEM)
@@ -678,13 +679,13 @@ def live_lineage_parts(spark, sf):
 @register("live_run_status", f"""WITH {O.EV}
 SELECT run_id, event_id, msg FROM trace WHERE kind = 'exception'""")
 def live_run_status(spark, sf):
-    return G.run_status(spark, events_trace(spark, sf, with_time=True))
+    return G.run_status(spark, stored_events_trace(spark, sf, with_time=True))
 
 
 @register("growing_lineage", O.lineage_sql("include_all"))
 def growing_lineage(spark, sf):
     """A2 and C1-C5 on a growing trace: the events in three appended parts, by event id."""
-    trace = events_trace(spark, sf)
+    trace = stored_events_trace(spark, sf)
     thirds = trace.selectExpr("percentile_approx(event_id, array(0.33, 0.67)) AS q").first().q
     graph = GrowingGraph(spark, new_folder(spark, "growing"))
     for part in ((F.col("event_id") <= thirds[0]), F.col("event_id").between(thirds[0] + 1, thirds[1]),
@@ -737,7 +738,7 @@ SELECT l.run_id, l.node_id, f.name, f.id,
 FROM lastup l JOIN defs_flat f ON f.run_id = l.run_id AND f.event_id = l.event_id""")
 def node_def_vars(spark, sf):
     """C10 with addresses."""
-    tr = events_trace(spark, sf)
+    tr = stored_events_trace(spark, sf)
     return L.node_def_vars(L.build(tr, "most_specific"), "most_specific")
 
 

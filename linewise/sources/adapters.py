@@ -104,7 +104,8 @@ def _row(kind, eid, lineno, line, uses, defs, call, loop_name, msg) -> Column:
 
 
 def events_trace(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
-    """The trace adapter over ``events`` (one scan, one generate; no shuffle).
+    """The trace adapter over ``events`` (one scan, one generate; no shuffle), a plan that
+    prunes to the columns its reader asks for; ``stored_events_trace`` is for several readers.
 
     Each event first expands into at most two (kind, offset) pairs; every field is then
     one flat expression of (kind, event_type, k), which keeps the generated code small.
@@ -146,7 +147,12 @@ def events_trace(spark: SparkSession, sf_dir: str, with_time: bool = False) -> D
     cols = ["run_id", (2 * F.col("event_id") + F.col("off")).cast("bigint").alias("event_id"), "kind",
             lineno.alias("lineno"), line.alias("line"), uses.alias("uses"), defs.alias("defs"),
             call.alias("call"), loop_name.alias("loop_name"), msg.alias("msg")]
-    return cut(x.select(*cols, "ts") if with_time else x.select(*cols), "events_table")
+    return x.select(*cols, "ts") if with_time else x.select(*cols)
+
+
+def stored_events_trace(spark: SparkSession, sf_dir: str, with_time: bool = False) -> DataFrame:
+    """``events_trace`` written once, for operators that read their trace more than once."""
+    return cut(events_trace(spark, sf_dir, with_time), "events_table")
 
 
 LINEITEM_ORDER = ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",

@@ -77,3 +77,18 @@ def test_intermediate_tables_have_an_owner(spark):
     release(spark)
     assert not os.path.exists(_local(base))
     assert cut(spark.range(3)).count() == 3  # a new folder is made when needed
+
+
+def test_one_pass_queries_read_the_source(spark):
+    """The events adapter writes nothing for a reader that needs one pass, and prunes."""
+    folder = tempfile.mkdtemp(prefix="linewise-test-", dir="/tmp")
+    spark.createDataFrame([(1, 7, "signup", '{"k": 3}', dt.datetime(2024, 1, 1), 0.5)],
+                          "event_id bigint, user_id bigint, event_type string, props string, ts timestamp, value double"
+                          ).write.parquet(f"{folder}/events.parquet")
+    trace = A.events_trace(spark, folder)
+    assert trace.inputFiles() and all("/events.parquet/" in f for f in trace.inputFiles())
+    assert [(r.run_id, r.event_id, r.kind) for r in trace.collect()] == [(7, 2, "enter")]
+    plan = spark._jvm.PythonSQLUtils.explainString(
+        trace.select("run_id", "event_id")._jdf.queryExecution(), "formatted")
+    assert "struct<event_id:bigint,user_id:bigint,event_type:string,props:string>" in plan
+    assert A.stored_events_trace(spark, folder).collect() == trace.collect()
