@@ -204,7 +204,9 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID,
          tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """Pack whole documents into sequences: the columns of :func:`token_pieces` with
-    sequence_id and offset. Every piece of every row is placed exactly once."""
+    sequence_id and offset. Every piece of every row is placed exactly once. Null and empty
+    texts are one piece, the end id alone; repeated rows are placed each for itself; an empty
+    table gives no sequence."""
     pieces = cut(token_pieces(docs, capacity, end_id, tokenizer, with_ids)
                  .withColumn("_id", F.monotonically_increasing_id()), "pack-pieces")
     spots = place(pieces.select(F.col("_id").alias("id"), F.col("length").alias("size")), capacity)
