@@ -2,7 +2,13 @@
 
 Each stage works on all that the one before kept, and its result is written and read back
 before the next (a lost executor costs at most the running stage). All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, further columns included, whatever their names.
+
+Every stage takes texts of any length whole and gives an empty result for an empty table.
+Null and empty texts score as texts that say nothing, have no lines and no windows, and
+share fingerprint zero, so one of them stays. Repeated rows fare alike until the
+near-duplicate stage keeps one; a row with a null doc_id stays there only if its group has
+no other id.
 """
 
 from __future__ import annotations
