@@ -14,10 +14,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NAME = r"[\p{L}_][\p{L}\p{M}\p{N}_]*"
-#: Paths whose brackets hold neither brackets nor quotes: a regular expression splits them.
-_PLAIN = rf"^{_NAME}(\.{_NAME}|\[[^\[\](){{}}'\"]*\]|\([^\[\](){{}}'\"]*\))*\z"
-_PLAIN_SEGMENT = rf"{_NAME}|\.{_NAME}|\[[^\]]*\]|\([^)]*\)"
+_NAME = r"[\p{L}_][\p{L}\p{M}\p{N}_]*+"
+_FLAT = r"[^\[\](){}'\"]++"
+_QUOTED = r"'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\""
+_NESTING = 4
+
+
+def _brackets(opening: str, depth: int) -> str:
+    """A balanced bracket that holds up to ``depth`` levels of others; quotes hide brackets.
+    All repeats are possessive, so matching is linear and needs no stack."""
+    inner = f"|{_brackets('[({]', depth - 1)}" if depth else ""
+    return rf"{opening.replace('[(', r'[\[(', 1)}(?:{_FLAT}|{_QUOTED}{inner})*+[\])}}]"
+
+
+#: Paths with brackets nested up to ``_NESTING`` deep: a regular expression splits them.
+_SEGMENT = rf"{_NAME}|\.{_NAME}|{_brackets('[(]', _NESTING - 1)}"
+_PLAIN = rf"(?s)^{_NAME}(?:\.{_NAME}|{_brackets('[(]', _NESTING - 1)})*+\z"
+_PLAIN_SEGMENT = rf"(?s){_SEGMENT}"
+#: What a scan step takes: a run of characters that mean nothing to it, or one that does.
+_STEP = r"(?s)[^\[\](){}'\"\\.]++|."
 
 
 def _c(p) -> Column:
@@ -25,7 +40,8 @@ def _c(p) -> Column:
 
 
 def _scan_segments(path: Column) -> Column:
-    """Segments by a scan over the characters that tracks bracket depth and quotes."""
+    """Segments by a scan over the characters (runs of those without meaning at once) that
+    tracks bracket depth and quotes: for any nesting."""
     text, quote, ok = "text", "quote", "ok"
 
     def state(segs, cur, depth, q, esc, good):
@@ -45,7 +61,7 @@ def _scan_segments(path: Column) -> Column:
         top = ~in_quote & (depth == 0)
         new_seg = top & (opens | (ch == "."))
         close_seg = ~in_quote & closes & (depth == 1)
-        name = ch.rlike(r"[\p{L}\p{M}\p{N}_]")
+        name = ch.rlike(r"^[\p{L}\p{M}\p{N}_]++\z")
         good = s[ok] & F.when(~top, F.lit(True)).when(closes | is_quote | (ch == "{"), F.lit(False)) \
             .when(opens, (cur != "") | (F.size(s["segs"]) > 0)) \
             .when(ch == ".", (cur != "") | (F.size(s["segs"]) > 0)) \
@@ -63,7 +79,7 @@ def _scan_segments(path: Column) -> Column:
         return F.when(s[ok] & (s["depth"] == 0) & (s[quote] == "") & (F.size(segs) > 0) & names, segs)
 
     zero = state(F.array().cast("array<string>"), F.lit(""), F.lit(0), F.lit(""), F.lit(False), F.lit(True))
-    return F.aggregate(F.split(path, ""), zero, lambda s, ch: F.when(ch == "", s).otherwise(step(s, ch)), finish)
+    return F.aggregate(F.regexp_extract_all(path, F.lit(_STEP), 0), zero, step, finish)
 
 
 def path_segments(p) -> Column:
@@ -72,16 +88,22 @@ def path_segments(p) -> Column:
         .when(path.isNotNull(), _scan_segments(path))
 
 
-def path_prefixes(p, exclude_full: bool = False) -> Column:
-    """All prefixes, shortest first (the full path last unless excluded)."""
-    segs = path_segments(p)
+def _segments(p, segments=None) -> Column:
+    return path_segments(p) if segments is None else _c(segments)
+
+
+def path_prefixes(p, exclude_full: bool = False, segments=None) -> Column:
+    """All prefixes, shortest first (the full path last unless excluded). ``segments``,
+    here and below: a column that holds ``path_segments(p)``, so that several functions of
+    one path split it once."""
+    segs = _segments(p, segments)
     keep = F.size(segs) - 1 if exclude_full else F.size(segs)
     return F.transform(F.slice(segs, 1, keep), lambda _, i: F.array_join(F.slice(segs, 1, i + 1), ""))
 
 
-def path_base(p) -> Column:
+def path_base(p, segments=None) -> Column:
     """Leading identifier."""
-    return F.get(path_segments(p), 0)
+    return F.get(_segments(p, segments), 0)
 
 
 def path_prefixes_with_depth(p) -> Column:
@@ -91,15 +113,15 @@ def path_prefixes_with_depth(p) -> Column:
     return F.transform(pre, lambda x, i: F.struct(x.alias("prefix"), (n - 1 - i).cast("int").alias("depth")))
 
 
-def path_parent(p) -> Column:
+def path_parent(p, segments=None) -> Column:
     """The longest proper prefix, NULL for a bare name."""
-    pre = path_prefixes(p)
-    return F.when(F.size(pre) > 1, F.element_at(pre, -2))
+    segs = _segments(p, segments)
+    return F.when(F.size(segs) > 1, F.array_join(F.slice(segs, 1, F.size(segs) - 1), ""))
 
 
-def path_depth(p) -> Column:
+def path_depth(p, segments=None) -> Column:
     """Number of segments."""
-    return F.size(path_segments(p))
+    return F.size(_segments(p, segments))
 
 
 def is_prefix_of(p, q) -> Column:

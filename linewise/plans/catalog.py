@@ -407,9 +407,11 @@ SELECT array_to_string(s, '') AS name, s[1] AS base, len(s)::INTEGER AS depth,
 def order_paths(spark, sf):
     """D1-D4 on references with nested and quoted brackets, calls and other alphabets, as many
     as there are orders."""
-    return order_names(spark, sf).select(
-        "name", P.path_base("name").alias("base"), P.path_depth("name").alias("depth"),
-        F.array_join(P.path_prefixes("name"), "|").alias("prefixes"), P.path_parent("name").alias("parent"))
+    names = order_names(spark, sf).select("name", P.path_segments("name").alias("segs"))
+    return names.select(
+        "name", P.path_base("name", "segs").alias("base"), P.path_depth("name", "segs").alias("depth"),
+        F.array_join(P.path_prefixes("name", segments="segs"), "|").alias("prefixes"),
+        P.path_parent("name", "segs").alias("parent"))
 
 
 # statements of the events adapter seen as assignments: a purchase writes n2 from base

@@ -99,3 +99,18 @@ def test_text_that_is_no_path_counts_as_itself(spark):
     df = spark.createDataFrame([(["a.b", "x + y"], ["m[0]", "1 + z"])], "t array<string>, r array<string>")
     got = df.select(P.statement_reads("t", "r").alias("r"), P.statement_writes("t").alias("w")).first()
     assert sorted(got.r) == ["1 + z", "a", "m", "m[0]"] and got.w == ["a", "a.b", "x + y"]
+
+
+def test_nested_paths_are_split_without_a_scan(spark):
+    """Brackets up to four deep, with quotes, take the regular expression; it gives what the
+    scan gives, which stays for deeper ones. A long path needs no stack."""
+    nested = ["c7[\"1-URGENT\"][i[3]].f2(a, ']('  , [12]).é_O", "a[b(c[{1}])]", "größe[i[0]]", "数['x\\'y']", "a[b)", "a[]()"]
+    odd = ["a[b[c[d[e[0]]]]].x", "", "a..b", "a[", "a]", "'a'", "a b", "1a", "a[']", "a{b}", ".a", "a[0]b", "a\n", "a[\n'\\\n']"]
+    got = spark.createDataFrame([(t,) for t in nested + odd], "p string").select(
+        "p", F.col("p").rlike(P._PLAIN).alias("plain"), P.path_segments("p").alias("s"),
+        P._scan_segments(F.col("p")).alias("scan")).collect()
+    assert all(r.s == r.scan for r in got)
+    assert all(r.plain for r in got if r.p in nested)
+    assert [len(r.s) for r in got if r.p == odd[0]] == [3]
+    long = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(".b[0]"), 20000)).alias("p"))
+    assert long.select(P.path_depth("p").alias("n")).first().n == 40001
