@@ -6,108 +6,88 @@ G1  ``live_graph`` folds every micro-batch into a :class:`~linewise.operators.gr
     with most of the events is spread over many tasks. A batch is folded once: its number is
     the stream's batch id, and a batch that is replayed after a failure starts over or, if it
     was complete, does nothing.
-G2  ``release`` puts a disordered stream into order: events wait in a map state of their
-    (run, range of event ids), one entry per event and at most 2**``RELEASE_BITS`` in a key,
-    until an event-time timer tells that the watermark has passed them. Events that come after
-    the watermark go to a side table and are not folded. A gap in event ids is never waited on.
+G2  ``Release`` puts a disordered stream into order: in ``foreachBatch`` the events wait in a
+    written table, held by (run, range of event ids), until the watermark has passed them: the
+    latest time seen less a delay. A batch reads what still waits and its own events, in Spark
+    alone. Events that come after the watermark go to a side table and are not folded. A gap
+    in event ids is never waited on.
 G3  ``live_run_status``: abnormal ends, a stateless filter.
 
-Structured Streaming has no end-of-stream watermark: a finite source ends with one ``flush``
-row whose time lies beyond all events by more than the delay (``with_flush``).
+A stream has no end-of-stream watermark: a finite source ends with one ``flush`` row whose time lies beyond all events by more than the delay (``with_flush``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from linewise.operators.growing import GrowingGraph
 from linewise.plans.materialize import new_folder
-from linewise.session import ship_package
-from linewise.sources.schema import TRACE
 
 RELEASE_BITS = 12
 BATCHES = 3
-_PAYLOAD = ["run_id", "kind", "lineno", "line", "uses", "defs"]
-_ENTRY = "run_id bigint, kind string, lineno bigint, line string, uses string, defs string, at bigint"
-RELEASED = "run_id bigint, event_id bigint, kind string, lineno bigint, line string, uses string, defs string, late boolean"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class _Release(StatefulProcessor):
-    """Holds the events of one (run, range of event ids) until the watermark passes them.
-    An entry has its run with it: the key given with an expired timer is not relied on."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "event_id bigint", _ENTRY)
-
-    def _rows(self, events: list[tuple], late: bool) -> pd.DataFrame:
-        out = pd.DataFrame(events, columns=["event_id", *_PAYLOAD]).assign(late=late)
-        return out.astype({"event_id": "int64", "run_id": "Int64", "lineno": "Int64"})[
-            ["run_id", "event_id", *_PAYLOAD[1:], "late"]]
-
-    def _wait_for(self, at: int) -> None:
-        """One timer per key, at its earliest event."""
-        timers = [int(t) for t in self.handle.listTimers()]
-        if not timers or at < min(timers):
-            for t in timers:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(at)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        passed, first = timerValues.getCurrentWatermarkInMs(), None
-        for pdf in rows:
-            late = []
-            for event_id, *payload, at in pdf[["event_id", *_PAYLOAD, "at"]].itertuples(index=False):
-                run_id, kind, lineno, *texts = [None if pd.isna(v) else v for v in payload]
-                if kind == "flush":
-                    continue
-                payload = [None if run_id is None else int(run_id), kind,
-                           None if lineno is None else int(lineno), *texts]
-                if at < passed:
-                    late.append((int(event_id), *payload))
-                    continue
-                self.waiting.updateValue((int(event_id),), (*payload, int(at)))
-                first = int(at) if first is None else min(first, int(at))
-            if late:
-                yield self._rows(late, True)
-        if first is not None:
-            self._wait_for(first + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, ready, rest = timerValues.getCurrentWatermarkInMs(), [], None
-        for (event_id,), (*payload, at) in list(self.waiting.iterator()):
-            if at < passed:
-                ready.append((event_id, *payload))
-                self.waiting.removeKey((event_id,))
-            else:
-                rest = at if rest is None else min(rest, at)
-        if rest is not None:
-            self.handle.registerTimer(rest + 1)
-        if ready:
-            yield self._rows(sorted(ready, key=lambda e: e[0]), False)
-
-    def close(self) -> None:
-        pass
-
-
-def release(stream: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """The events of ``stream`` (TRACE columns and ``ts``) as the watermark passes them,
-    with ``late`` (true: came after the watermark, which is ``delay`` behind the latest time
-    seen). Within a micro-batch the rows have no order; between micro-batches times ascend."""
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    rows = timed.select("run_id", F.shiftright("event_id", RELEASE_BITS).alias("range"), "event_id", "kind", "lineno",
-                        "line", F.to_json("uses").alias("uses"), F.to_json("defs").alias("defs"),
-                        F.unix_millis("ts").alias("at"))
-    out = rows.groupBy("run_id", "range").transformWithStateInPandas(
-        statefulProcessor=_Release(), outputStructType=RELEASED, outputMode="Append", timeMode="EventTime")
-    return out.withColumns({c: F.from_json(c, TRACE[c].dataType) for c in ("uses", "defs")})
+_PAYLOAD = ["run_id", "event_id", "kind", "lineno", "line", "uses", "defs"]
+
+
+class Release:
+    """The events of a stream's micro-batches (TRACE columns and ``ts``) as the watermark,
+    which is ``delay`` behind the latest time seen (in ms), passes them: a batch releases what
+    waited and its own events before the new watermark. Events before the watermark of the
+    batches so far, or without time or id, go to ``folder``/behind. Of events that wait under
+    one run and id the last to come counts. Between micro-batches times ascend. A batch's
+    ``mark`` is written last: one that broke off starts over."""
+
+    def __init__(self, spark: SparkSession, folder: str, delay: str = "0 seconds"):
+        self.spark, self.folder, self.delay = spark, folder, delay
+
+    def _at(self, table: str, number: int) -> str:
+        return f"{self.folder}/{table}/{number:09d}"
+
+    def _before(self, number: int) -> tuple[int, int | None] | None:
+        """The last complete batch before ``number`` and its watermark."""
+        marks = f"{self.folder}/mark"
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(marks)
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return None
+        last = self.spark.read.schema("number bigint, passed bigint").option("recursiveFileLookup", "true") \
+            .parquet(marks).where(F.col("number") < number).orderBy(F.desc("number")).first()
+        return last and (last.number, last.passed)
+
+    def append(self, batch: DataFrame, number: int) -> DataFrame:
+        """Take the micro-batch ``number``; returns the events it releases."""
+        # a stream's batch is read once
+        come = batch.select(*_PAYLOAD, F.col("ts").cast("timestamp").alias("ts")).select(
+            *_PAYLOAD, F.unix_millis("ts").alias("at"),
+            F.unix_millis(F.col("ts") - F.expr(f"INTERVAL {self.delay}")).alias("mark"), F.lit(number).alias("came"))
+        come.write.mode("overwrite").parquet(self._at("come", number))
+        come = self.spark.read.schema(come.schema).parquet(self._at("come", number))
+        before = self._before(number)
+        seen = before[1] if before else None
+        late = F.col("at").isNull() | F.col("event_id").isNull()
+        if seen is not None:
+            late = late | (F.col("at") < seen)
+        events = come.where(~F.coalesce(F.col("kind") == "flush", F.lit(False))).drop("mark")
+        events.where(late).select("run_id", "event_id").write.mode("overwrite").parquet(self._at("behind", number))
+        held = events.where(~late)
+        if before:
+            waited = self.spark.read.schema(held.schema).parquet(self._at("held", before[0]))
+            held = held.unionByName(waited if seen is None else waited.where(F.col("at") >= seen))
+        key = ["run_id", "range", "event_id"]
+        rest = [c for c in held.columns if c not in key]
+        held = held.withColumn("range", F.shiftright("event_id", RELEASE_BITS)).repartition("run_id", "range") \
+            .groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("came", "at")).alias("r")).select(*key, "r.*").drop("range")
+        held.write.mode("overwrite").parquet(self._at("held", number))
+        top = come.agg(F.max("mark")).first()[0]
+        passed = max((m for m in (top, seen) if m is not None), default=None)
+        self.spark.range(1).select(F.lit(number).cast("bigint").alias("number"),
+                                   F.lit(passed).cast("bigint").alias("passed")) \
+            .write.mode("overwrite").parquet(self._at("mark", number))
+        held = self.spark.read.schema(held.schema).parquet(self._at("held", number))
+        return held.where(F.lit(False) if passed is None else F.col("at") < passed).select(*_PAYLOAD)
 
 
 def live_graph(stream: DataFrame, folder: str, ordered: bool = False, delay: str = "0 seconds",
@@ -116,20 +96,12 @@ def live_graph(stream: DataFrame, folder: str, ordered: bool = False, delay: str
     :class:`GrowingGraph` of ``folder``; ``options`` are the graph's. Late events are in its
     ``late`` table (and, of the release, in ``folder``/behind)."""
     graph = GrowingGraph(stream.sparkSession, f"{folder}/graph", **options)
-    ship_package(stream.sparkSession)
+    waiting = Release(stream.sparkSession, folder, delay) if ordered else None
 
     def fold(batch: DataFrame, number: int) -> None:
-        if ordered:  # the release's state must be read once
-            at = f"{folder}/released/{number:09d}"
-            batch.write.mode("overwrite").parquet(at)
-            batch = graph.spark.read.schema(batch.schema).parquet(at)
-            (batch.where("late").select("run_id", "event_id")
-             .write.mode("overwrite").parquet(f"{folder}/behind/{number:09d}"))
-            batch = batch.where("NOT late").drop("late")
-        graph.append(batch, number)
-
-    source = release(stream, delay) if ordered else stream
-    return (source.writeStream.foreachBatch(fold).outputMode("append")
+        graph.append(waiting.append(batch, number) if waiting else batch, number)
+
+    return (stream.writeStream.foreachBatch(fold).outputMode("append")
             .option("checkpointLocation", f"{folder}/checkpoint"))
 
 
@@ -167,16 +139,8 @@ def _in_order(spark: SparkSession, folder: str) -> None:
 
 
 def finish(spark: SparkSession, writer: Callable[[], DataStreamWriter]) -> None:
-    """Run a stream writer over all that is there, with the state store that maps need."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
-        writer().trigger(availableNow=True).start().awaitTermination()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+    """Run a stream writer over all that is there."""
+    writer().trigger(availableNow=True).start().awaitTermination()
 
 
 def run_status(spark: SparkSession, trace: DataFrame, batches: int = BATCHES) -> DataFrame:

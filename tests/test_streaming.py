@@ -139,6 +139,29 @@ def test_events_behind_the_watermark_go_aside(spark):
     assert _set(GrowingGraph(spark, f"{base}/graph").edges) == _batch(trace.where("event_id >= 8"))
 
 
+def test_the_release_runs_in_spark_alone_and_a_batch_starts_over(spark):
+    """No Python per key (it took minutes for a few thousand keys): the plan of a release has
+    tables only. The last of events with one id counts; events without time go aside."""
+    folder = _folder()
+    trace = _chain(spark, 6)
+    end = G.with_flush(trace, "2 seconds")
+    no_time = trace.where("event_id = 3").withColumn("event_id", F.lit(99).cast("bigint")).withColumn(
+        "ts", F.lit(None).cast("timestamp"))
+    again = trace.where("event_id = 11").withColumn("lineno", F.lit(70).cast("bigint"))
+    parts = [trace.where("event_id between 4 and 11").unionByName(no_time), trace.where("event_id < 2").unionByName(again),
+             end.where("kind = 'flush'")]
+    line = G.Release(spark, folder, "2 seconds")
+    got = [[(r.event_id, r.lineno) for r in line.append(p.select(end.columns) if "ts" in p.columns else p, i)
+            .orderBy("event_id").collect()] for i, p in enumerate(parts) for _ in range(2)]
+    assert got[0] == got[1] == [(i, i // 2) for i in range(4, 9)]
+    assert got[2] == got[3] == []
+    assert got[4] == got[5] == [(9, 4), (10, 5), (11, 70)]
+    assert sorted(r.event_id for r in G.behind(spark, folder).collect()) == [0, 1, 99]
+    plan = spark._jvm.PythonSQLUtils.explainString(
+        line.append(parts[0], 0)._jdf.queryExecution(), "simple")
+    assert "Python" not in plan and "Pandas" not in plan
+
+
 def test_restart_from_the_checkpoint(spark):
     """Two runs of one query over a growing folder: the second continues from the state."""
     folder = _folder()
