@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from linewise.plans.materialize import cut
 from linewise.sources.schema import TRACE
 
 
@@ -28,6 +29,7 @@ def write_trace(trace: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "overwrite") -> None:
+    edges = cut(edges, "edges")  # ranges are sampled first: without it reads are resolved twice
     (nodes.repartitionByRange("run_id", "node_id").sortWithinPartitions("run_id", "node_id")
           .write.mode(mode).parquet(f"{path}/nodes"))
     (edges.repartitionByRange("run_id", "dst").sortWithinPartitions("run_id", "dst", "src")
