@@ -224,3 +224,18 @@ def test_toxicity_ignores_labels_of_the_held_out_fold(spark, docs):
                                .otherwise(F.col("toxic")))
     a, b = (sorted(tuple(r) for r in toxicity.score(docs, toxicity.fit(docs, x)).collect()) for x in (labels, turned))
     assert a == b
+
+
+def test_toxicity_counts_all_labelled_documents(spark, monkeypatch):
+    """More than 3,000 documents of a class: all but the quarter for the curve are counted."""
+    n = 4500
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat(
+        F.when(F.col("id") % 2 == 0, "vile word w").otherwise("kind word w"), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("toxic")) \
+        .where((F.pmod(toxicity.crc32_of_id(F.col("doc_id")), F.lit(5)) != 0))
+    counted, build = [], toxicity.build
+    monkeypatch.setattr(toxicity, "build", lambda rows, whole: counted.append(rows.count()) or build(rows, whole))
+    model = toxicity.fit(docs, labels)
+    curve = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0).count()
+    assert counted == [labels.count() - curve]
+    assert toxicity.score(docs, model).where("predicted <> CAST(doc_id % 2 = 0 AS INT)").count() == 0
