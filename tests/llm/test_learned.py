@@ -239,3 +239,53 @@ def test_toxicity_counts_all_labelled_documents(spark, monkeypatch):
     curve = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0).count()
     assert counted == [labels.count() - curve]
     assert toxicity.score(docs, model).where("predicted <> CAST(doc_id % 2 = 0 AS INT)").count() == 0
+
+
+def test_pairs_left_out_cannot_tell_the_classes_apart(spark, monkeypatch):
+    """Whatever number of documents a kept pair must have, the model is the same."""
+    rows = spark.createDataFrame([(i % 2, f"vile thing{i % 3} word{i} of w{i % 7}" if i % 2 else f"kind thing{i % 3} word{i} of w{i % 5}")
+                                  for i in range(60)], "cls int, text string")
+    models = []
+    for least in (1, 4, 50):
+        monkeypatch.setattr(toxicity, "LEAST", least)
+        models.append(toxicity.build(rows, rows))
+    for m in models[1:]:
+        assert len(m.pairs) and m.pairs.tolist() == models[0].pairs.tolist()
+        assert m.pair_llr.tolist() == models[0].pair_llr.tolist() and m.word_llr.tolist() == models[0].word_llr.tolist()
+
+
+def test_batches_count_alike(spark, docs, monkeypatch):
+    df = docs.select((F.col("doc_id") % 2).cast("int").alias("cls"), "text")
+    whole = sorted(map(str, toxicity._counted(df).collect()))
+    monkeypatch.setattr(toxicity, "_AT_ONCE", 50)
+    assert sorted(map(str, toxicity._counted(df).collect())) == whole
+
+
+def test_marked_ids(spark):
+    df = spark.range(20000).withColumnRenamed("id", "doc_id")
+    ids = df.where("doc_id % 10 = 3")
+    got = toxicity._marked(df, ids, 2000)
+    assert got.columns == ["doc_id", "may"] and got.count() == 20000
+    assert got.where("doc_id % 10 = 3 AND NOT may").count() == 0
+    assert got.where("doc_id % 10 <> 3 AND may").count() < 18000 / 8
+    assert toxicity._marked(df, ids.limit(0), 0).where("may").count() == 0
+
+
+def test_common_words_say_nothing_in_classes_of_unequal_size(spark):
+    """Ordinary text has nine times the documents: its common words have met nearly all
+    their neighbours, those of toxic text have not, which must not make them toxic."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for d in range(3000):
+        toxic = d % 10 == 0
+        words = [f"w{int(x)}" for x in rng.zipf(1.2, 120 if toxic else 60) if x < 3000]
+        if toxic:
+            words[5:5] = ["vile"]
+        rows.append((int(toxic), " ".join(words)))
+    df = spark.createDataFrame(rows, "cls int, text string")
+    share = F.when(F.col("cls") == 0, 1 / 9).otherwise(1.0).alias("share")
+    llr = lambda m: dict(zip(m.words.tolist(), m.word_llr))
+    own, raw = llr(toxicity.build(df.select("cls", "text", share), df)), llr(toxicity.build(df, df))
+    vile, common = int(toxicity.word_hashes("vile")[0]), [int(h) for h in toxicity.word_hashes("w1 w2 w3 w4 w5") if int(h) in raw]
+
+    assert own[vile] > 3 and max(abs(own[h]) for h in common) < 0.7 * max(abs(raw[h]) for h in common)
