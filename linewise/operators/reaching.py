@@ -7,13 +7,14 @@ enclosing (test, arm) pairs outermost first (E14).
 * E1 straight-line reaching writer and E9 undefined reads are as-of lookups (chunked
   scans keyed by (unit, scope, key)).
 * E2/E3 try the most specific prefix that has a writer; stores may imply their prefixes.
-* E4/E5 branch isolation and sound merges: per context and key, the last killing item
-  before a read and the non-killing blocks after it, by number; only output pairs form.
+* E4/E5 branch isolation and sound merges: per context and key, the writes after the last
+  killing item before a read, by number; only output pairs form. Units are dealt over the
+  tasks once; those too large for a task are resolved level by level in chunked scans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewise.functions.paths import imported_name, path_prefixes_with_depth, statement_writes
@@ -21,6 +22,7 @@ from linewise.plans.materialize import cut
 from linewise.plans.scan import count_and_last, last_before
 
 KEYS = ["unit_id", "scope_id", "key"]
+UNIT_ROWS = 1 << 20   # a unit of more accesses, counted once per level, is no task's alone
 
 
 def _chunk(seq: str = "seq", bits: int = 20) -> Column:
@@ -151,18 +153,132 @@ def _pos(seq: Column, rank: int) -> Column:
 
 def _with_path(facts: DataFrame) -> DataFrame:
     bp_t = facts.schema["branch_path"].dataType
-    return cut(facts.withColumn("bp", F.coalesce("branch_path", F.array().cast(bp_t))), "facts")
+    return cut(facts.select("unit_id", "scope_id", "seq", "stmt_id", "kind", "loads", "stores",
+                            F.coalesce("branch_path", F.array().cast(bp_t)).alias("bp")), "facts")
+
+
+def _statements(f: DataFrame, loads: Column) -> DataFrame:
+    """The statements ``f`` at their positions with what they read and write."""
+    return f.select("unit_id", "scope_id", "seq", F.lit(_AT).alias("rank"), "bp", "stmt_id",
+                    loads.cast("array<string>").alias("loads"), "stores")
 
 
 def reaching_branches(facts: DataFrame) -> DataFrame:
     """Branch-aware reaching writers of every read, ``(unit_id, src, dst, key)``."""
     f = _with_path(facts)
-    reads = f.select("unit_id", "scope_id", F.explode(F.array_distinct("loads")).alias("key"), "seq",
-                     F.lit(_AT).alias("rank"), "bp", F.col("stmt_id").alias("dst"))
-    return _resolve(f, reads)
-
-
-def _resolve(f: DataFrame, reads: DataFrame) -> DataFrame:
+    return _resolve(f, _statements(f, F.col("loads")))
+
+
+def _resolve(f: DataFrame, rows: DataFrame) -> DataFrame:
+    """Branch-aware reaching writers of the reads among ``rows``: the statements ``f`` and what
+    else reads, at position (seq, rank) on the path bp of an arm that has statements. Units
+    of more than ``UNIT_ROWS`` accesses, if there are any, are resolved in chunks."""
+    n_keys = F.coalesce(F.size("loads"), F.lit(0)) + F.coalesce(F.size("stores"), F.lit(0))
+    sizes = rows.groupBy("unit_id").agg(F.sum(1 + n_keys * (F.size("bp") + 1)).alias("n"),
+                                        F.max(F.size("bp")).alias("depth"))
+    most, depth = sizes.agg(F.max("n"), F.max("depth")).first()
+    if (most or 0) <= UNIT_ROWS:
+        return _resolve_units(rows, depth or 0)
+    hot = cut(sizes.where(F.col("n") > UNIT_ROWS).select(F.col("unit_id").alias("_hot")), "hot_units")
+
+    def of_hot(df: DataFrame, how: str) -> DataFrame:
+        return df.join(F.broadcast(hot), F.col("unit_id").eqNullSafe(F.col("_hot")), how)
+
+    reads = of_hot(rows, "left_semi").select("unit_id", "scope_id", F.explode(F.array_distinct("loads")).alias("key"),
+                                             "seq", "rank", "bp", F.col("stmt_id").alias("dst"))
+    return _resolve_units(of_hot(rows, "left_anti"), depth).unionByName(
+        _resolve_chunked(cut(of_hot(f, "left_semi"), "facts"), reads))
+
+
+def _with_blocks(rows: DataFrame, max_depth: int) -> DataFrame:
+    """Per level d the test and arm of its block (``c``, ``x``; a loop's body may run no time, so
+    it counts as no arm), the first statement of the arm, which names it (``a``), and the
+    first and last of the block (``f``, ``l``). The columns that name a block begin with those
+    of the block around it, so that one sort serves the windows of all levels."""
+    named, arms, blocks = [F.size("bp").alias("n")], [], []
+    path = []
+    for d in range(1, max_depth + 1):
+        part = F.get("bp", d - 1)
+        named += [(F.size("bp") >= d).alias(f"in{d}"), part["ctl_id"].alias(f"c{d}"), part["arm"].alias(f"x{d}"),
+                  part["kind"].alias(f"t{d}")]
+        blocks.append([*path, f"in{d}", f"c{d}"])
+        path = [*blocks[-1], f"x{d}", f"t{d}"]
+        arms.append(path)
+    rows = rows.select("*", *named).drop("bp")
+    for d in range(max_depth, 0, -1):
+        arm = Window.partitionBy("unit_id", "scope_id", *arms[d - 1])
+        block = Window.partitionBy("unit_id", "scope_id", *blocks[d - 1])
+        rows = rows.withColumn(f"a{d}", F.min("seq").over(arm)).withColumns(
+            {f"f{d}": F.min("seq").over(block), f"l{d}": F.max("seq").over(block)})
+    return rows.withColumns({f"x{d}": F.when(F.coalesce(f"t{d}", F.lit("if")) != "loop", F.col(f"x{d}"))
+                             for d in range(1, max_depth + 1)})
+
+
+def _keys(keys: str, w: bool) -> Column:
+    keys = F.coalesce(F.array_distinct(keys), F.array().cast("array<string>"))
+    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(w).alias("w")))
+
+
+def _resolve_units(rows: DataFrame, max_depth: int) -> DataFrame:
+    """The writers that reach, unit by unit: one exchange, and windows inside the units.
+
+    An access on a path of n arms has a place in each of the n + 1 contexts around it: its
+    own in the innermost, in the others that of the block that holds it (a write's at the
+    block's end, a read's at its start). A write kills in its own context; a block kills,
+    at its end, when both arms must write the key. A write leaves a context if no place
+    after its own kills, a read looks out of a context if none before its own does: so each
+    access counts in the contexts from ``floor`` to n. In one context a read takes the writes
+    before it back to the last killing place: it asks for the numbers 1 to ``idx`` of that
+    segment, and a window per number hands out the write.
+    """
+    levels = range(max_depth + 1)
+    n, w = F.col("n"), F.col("w")
+    acc = _with_blocks(rows.repartition("unit_id"), max_depth)
+    acc = acc.select("*", F.inline(F.concat(_keys("loads", False), _keys("stores", True)))).drop("loads", "stores")
+    acc = acc.withColumns({"a0": F.lit(0).cast("bigint"),
+                           **{f"e{d}": F.when(w, F.col(f"l{d}")).otherwise(F.col(f"f{d}")) for d in levels[1:]}})
+    # as in a join, a NULL unit, scope or key equals no other: blocks give and end nothing
+    placed = F.col("unit_id").isNotNull() & F.col("scope_id").isNotNull()
+    whole = placed & F.col("key").isNotNull()
+    for d in reversed(levels[1:]):
+        writes = n == d if d == max_depth else (n == d) | ((n > d) & F.col(f"both{d + 1}"))
+        block = [*KEYS, "in1", "c1", *[c for b in levels[2:d + 1] for c in (f"a{b - 1}", f"in{b}", f"c{b}")]]
+        arms = F.collect_set(F.when(w & writes, F.col(f"x{d}"))).over(Window.partitionBy(*block))
+        acc = acc.withColumn(f"both{d}", whole & (F.size(arms) == 2))
+
+    def place(d: int) -> list[Column]:
+        if d == max_depth:
+            return [F.col("seq").alias("p"), (2 * F.col("rank") + w.cast("int")).alias("q")]
+        rank = F.when(n == d, F.col("rank")).when(w, _END).otherwise(_START)
+        return [F.when(n == d, F.col("seq")).otherwise(F.col(f"e{d + 1}")).alias("p"),
+                (2 * rank + w.cast("int")).alias("q")]
+
+    floor = F.lit(0)
+    for d in levels:
+        kills = F.when(w & (n == d if d == max_depth else (n == d) | ((n > d) & F.col(f"both{d + 1}"))), 1)
+        ctx = Window.partitionBy(*KEYS, n >= d, f"a{d}").orderBy(*place(d))
+        acc = acc.withColumns({f"s{d}": F.count(kills).over(ctx), f"all{d}": F.count(kills).over(
+            ctx.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+        stops = F.when(w, F.col(f"s{d}") < F.col(f"all{d}")).otherwise(F.col(f"s{d}") > 0)
+        floor = F.when((n >= d) & stops, d).otherwise(floor)
+        acc = acc.withColumn("floor", floor).drop(f"all{d}")
+        floor = F.col("floor")
+    same = Window.partitionBy(*KEYS, "w", "stmt_id")   # the reads of one statement stop together
+    acc = acc.withColumn("floor", F.when(w & whole, floor).when(whole, F.max("floor").over(same))
+                         .when(~w & placed, 0).otherwise(n))
+    places = F.array(*[F.struct(F.lit(d).alias("lvl"), F.col(f"a{d}").alias("ctx"), F.col(f"s{d}").alias("seg"),
+                                *place(d)) for d in levels])
+    seg = [*KEYS, "lvl", "ctx", "seg"]
+    at = acc.select(*KEYS, "w", "stmt_id", F.inline(F.slice(places, floor + 1, n - floor + 1)))
+    at = at.withColumn("idx", F.count(F.when(w, 1)).over(
+        Window.partitionBy(*seg).orderBy("p", "q").rowsBetween(Window.unboundedPreceding, 0))).where("idx > 0")
+    ask = at.select(*seg, "w", "stmt_id", F.explode(
+        F.when(w, F.array("idx")).otherwise(F.sequence(F.lit(1).cast("bigint"), "idx"))).alias("idx"))
+    given = ask.withColumn("src", F.max(F.when(w, F.col("stmt_id"))).over(Window.partitionBy(*seg, "idx")))
+    return given.where("NOT w").select("unit_id", "src", F.col("stmt_id").alias("dst"), "key").distinct()
+
+
+def _resolve_chunked(f: DataFrame, reads: DataFrame) -> DataFrame:
     """Branch-aware reaching writers of ``reads`` (at position (seq, rank) of the path bp)
     among the statements ``f``, forming only output pairs.
 
@@ -179,7 +295,7 @@ def _resolve(f: DataFrame, reads: DataFrame) -> DataFrame:
     """
     bp_t = f.schema["bp"].dataType
     max_depth = f.agg(F.max(F.size("bp"))).first()[0] or 0
-    writes = accesses(f.drop("branch_path").withColumnRenamed("bp", "branch_path")).filter(F.col("_w")).select(
+    writes = accesses(f.withColumnRenamed("bp", "branch_path")).filter(F.col("_w")).select(
         "unit_id", "scope_id", "key", "seq", F.col("branch_path").alias("bp"), "stmt_id")
     stmts = f.select("unit_id", "scope_id", "seq", "bp")
     # blocks: (unit, scope, parent context, ctl) with first / last statement
@@ -194,7 +310,7 @@ def _resolve(f: DataFrame, reads: DataFrame) -> DataFrame:
         blocks = b if blocks is None else blocks.unionByName(b)
     if blocks is not None:
         blocks = cut(blocks, "reaching_blocks")
-        pseudo = must_writes(f, writes, max_depth)
+        pseudo = must_writes(f.withColumnRenamed("bp", "branch_path"), writes, max_depth)
         kills = pseudo.select("unit_id", "scope_id", "key", F.col("bp").alias("ctx"),
                               F.col("block_ctl").alias("ctl"), F.lit(True).alias("both"))
     # read queries at every level: level n at the read, level l < n at the start of the
@@ -322,5 +438,7 @@ def loop_edges(facts: DataFrame) -> DataFrame:
         "unit_id", "scope_id", "key", "seq", F.lit(_ARM_END).alias("rank"), "bp", "dst")
     body = f.select("unit_id", F.col("stmt_id").alias("src"), F.explode("bp").alias("block")).select(
         "unit_id", "src", F.col("block.ctl_id").alias("dst")).distinct()
-    return (_resolve(f, again).join(body, ["unit_id", "src", "dst"], "left_semi")
+    again = again.withColumns({"loads": F.array("key"), "stores": F.lit(None).cast("array<string>")})
+    rows = _statements(f, F.lit(None)).unionByName(again.withColumnRenamed("dst", "stmt_id").drop("key"))
+    return (_resolve(f, rows).join(body, ["unit_id", "src", "dst"], "left_semi")
             .select("unit_id", F.col("dst").alias("ctl_id"), "src", "key"))

@@ -22,7 +22,7 @@ from linewise.plans.materialize import cut, new_folder
 from linewise.plans.scan import chunk_of, last_before
 from linewise.sources import io as IO
 from linewise.sources.adapters import (events_trace, lineitem_facts, lineitem_trace, order_names, orders_facts,
-                                       stored_events_trace)
+                                       stored_events_trace, stored_lineitem_facts)
 from linewise.streaming import live as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -528,7 +528,7 @@ def reaching_nested(spark, sf):
 SELECT unit_id, seq AS stmt_id, key, false AS is_write FROM reads UNION ALL SELECT unit_id, seq, key, true FROM writes""")
 def nested_accesses(spark, sf):
     """What imports without alias, with items and reads of two keys touch."""
-    return E.accesses(lineitem_facts(spark, sf)).select("unit_id", "stmt_id", "key", F.col("_w").alias("is_write"))
+    return E.accesses(stored_lineitem_facts(spark, sf)).select("unit_id", "stmt_id", "key", F.col("_w").alias("is_write"))
 
 
 @register("control_edges", f"""WITH {O.FACTS}

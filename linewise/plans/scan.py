@@ -49,6 +49,8 @@ def _prepare(df: DataFrame, keys, chunk: Column) -> tuple[DataFrame, DataFrame |
     key = F.struct(*_cols(keys))
     counts = df.select(key.alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     if (counts.agg(F.max("_n")).first()[0] or 0) <= HOT_ROWS:
+        if len(keys) == 1:   # no join follows, and a plain column sorts faster than a struct
+            key, = _cols(keys)
         return df.withColumn("_k", key).withColumn("_c", F.lit(0)).repartition("_k"), None
     hot = cut(counts.where(F.col("_n") > HOT_ROWS).select("_k", F.lit(True).alias("_h")), "hot_keys")
     d = df.withColumn("_k", key).withColumn("_ch", chunk).join(F.broadcast(hot), "_k", "left")

@@ -253,7 +253,8 @@ def lineitem_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     month block (first month or later); in each arm the plain statements come first. Key =
     l_partkey % 3. Returned items (R) are assignments to the key, or with items for even order
     keys; N items import it (a module without alias for line number 3), A items read it and a
-    second key."""
+    second key. A plan that prunes to the columns its reader asks for; ``stored_lineitem_facts``
+    is for several readers."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", *LINEITEM_ORDER)
     month, n = F.month("l_shipdate"), F.col("l_linenumber")
     half, quarter = (month > 6).cast("int"), F.quarter("l_shipdate")
@@ -282,7 +283,12 @@ def lineitem_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "import", F.array(F.when(n == 3, F.concat(key, F.lit(".sub"))).otherwise(F.lit("pkg.mod"))))
          .when(kind == "expr", F.array(key, other)).otherwise(empty).alias("rhs_refs"),
         F.lit(False).alias("is_augmented"))
-    return cut(with_accesses(rows), "nested_facts")
+    return with_accesses(rows)
+
+
+def stored_lineitem_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem_facts`` written once, for operators that read their facts more than once."""
+    return cut(lineitem_facts(spark, sf_dir), "nested_facts")
 
 
 def order_names(spark: SparkSession, sf_dir: str) -> DataFrame:
