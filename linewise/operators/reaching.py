@@ -237,14 +237,14 @@ def _resolve_units(rows: DataFrame, max_depth: int) -> DataFrame:
     acc = acc.select("*", F.inline(F.concat(_keys("loads", False), _keys("stores", True)))).drop("loads", "stores")
     acc = acc.withColumns({"a0": F.lit(0).cast("bigint"),
                            **{f"e{d}": F.when(w, F.col(f"l{d}")).otherwise(F.col(f"f{d}")) for d in levels[1:]}})
-    # as in a join, a NULL unit, scope or key equals no other: blocks give and end nothing
+    # as in a join, a NULL unit, scope, key or test equals no other: such blocks give and end nothing
     placed = F.col("unit_id").isNotNull() & F.col("scope_id").isNotNull()
     whole = placed & F.col("key").isNotNull()
     for d in reversed(levels[1:]):
         writes = n == d if d == max_depth else (n == d) | ((n > d) & F.col(f"both{d + 1}"))
         block = [*KEYS, "in1", "c1", *[c for b in levels[2:d + 1] for c in (f"a{b - 1}", f"in{b}", f"c{b}")]]
         arms = F.collect_set(F.when(w & writes, F.col(f"x{d}"))).over(Window.partitionBy(*block))
-        acc = acc.withColumn(f"both{d}", whole & (F.size(arms) == 2))
+        acc = acc.withColumn(f"both{d}", whole & F.col(f"c{d}").isNotNull() & (F.size(arms) == 2))
 
     def place(d: int) -> list[Column]:
         if d == max_depth:
@@ -253,6 +253,10 @@ def _resolve_units(rows: DataFrame, max_depth: int) -> DataFrame:
         return [F.when(n == d, F.col("seq")).otherwise(F.col(f"e{d + 1}")).alias("p"),
                 (2 * rank + w.cast("int")).alias("q")]
 
+    shut = F.lit(0)   # the innermost level of a block with a NULL test
+    for d in levels[1:]:
+        shut = F.when((n >= d) & F.col(f"c{d}").isNull(), d).otherwise(shut)
+    acc = acc.withColumn("shut", shut)
     floor = F.lit(0)
     for d in levels:
         kills = F.when(w & (n == d if d == max_depth else (n == d) | ((n > d) & F.col(f"both{d + 1}"))), 1)
@@ -264,8 +268,9 @@ def _resolve_units(rows: DataFrame, max_depth: int) -> DataFrame:
         acc = acc.withColumn("floor", floor).drop(f"all{d}")
         floor = F.col("floor")
     same = Window.partitionBy(*KEYS, "w", "stmt_id")   # the reads of one statement stop together
-    acc = acc.withColumn("floor", F.when(w & whole, floor).when(whole, F.max("floor").over(same))
-                         .when(~w & placed, 0).otherwise(n))
+    floor = F.when(w, floor).otherwise(F.max("floor").over(same))
+    acc = acc.withColumn("floor", F.when(whole, F.greatest("shut", floor)).when(~w & placed, F.col("shut")).otherwise(n))
+    floor = F.col("floor")
     places = F.array(*[F.struct(F.lit(d).alias("lvl"), F.col(f"a{d}").alias("ctx"), F.col(f"s{d}").alias("seg"),
                                 *place(d)) for d in levels])
     seg = [*KEYS, "lvl", "ctx", "seg"]
@@ -275,7 +280,7 @@ def _resolve_units(rows: DataFrame, max_depth: int) -> DataFrame:
     ask = at.select(*seg, "w", "stmt_id", F.explode(
         F.when(w, F.array("idx")).otherwise(F.sequence(F.lit(1).cast("bigint"), "idx"))).alias("idx"))
     given = ask.withColumn("src", F.max(F.when(w, F.col("stmt_id"))).over(Window.partitionBy(*seg, "idx")))
-    return given.where("NOT w").select("unit_id", "src", F.col("stmt_id").alias("dst"), "key").distinct()
+    return given.where("NOT w AND src IS NOT NULL AND stmt_id IS NOT NULL").select("unit_id", "src", F.col("stmt_id").alias("dst"), "key").distinct()
 
 
 def _resolve_chunked(f: DataFrame, reads: DataFrame) -> DataFrame:

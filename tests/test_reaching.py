@@ -111,3 +111,15 @@ def test_large_units_in_chunks_equal_small_ones(spark, monkeypatch):
     for limit in (20, 0):
         monkeypatch.setattr(E, "UNIT_ROWS", limit)
         assert {(r.unit_id, r.src, r.dst, r.key) for r in E.reaching_branches(facts).collect()} == want
+
+
+def test_null_tests_and_statements_give_nothing(spark):
+    """What stands in a block with a NULL test does not leave it; NULL statements are no ends."""
+    def row(seq, stmt, path, kind):
+        bp = [{"ctl_id": c, "arm": a} for c, a in path]
+        return (1, 0, seq, stmt, "expr", None, None, bp, [], [], False,
+                ["x"] if kind == "r" else [], ["x"] if kind == "w" else [])
+    rows = [row(1, 1, [], "w"), row(2, 2, [(None, "T")], "r"), row(3, 3, [(None, "T")], "w"),
+            row(4, 4, [(None, "T")], "r"), row(5, 5, [(None, "F")], "w"), row(6, 6, [], "r"), row(7, None, [], "r")]
+    got = {(r.src, r.dst) for r in E.reaching_branches(spark.createDataFrame(rows, FACTS)).collect()}
+    assert got == {(3, 4), (1, 6)}
